@@ -9,6 +9,7 @@ with their similarity.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +26,24 @@ BLOCK = 1 << 20
 ROWS = 256
 
 
+#: The last terms are no n-grams but counts of the surface: a word that repeats the one before it, capitals, marks.
+SURFACE = 3
+#: Occurrences that one count of these terms stands for.
+BOOST = 16.0
+_CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
+_MARK = np.array([33 <= b <= 47 and b not in b"'(),-." or 58 <= b <= 64 and b not in b":;?" or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
+
+
 def counts(text: str | None, dims: int) -> np.ndarray:
-    """Hashed counts of a text's byte bigrams and trigrams, upper case and marks kept."""
-    out = np.zeros(dims)
+    """Hashed counts of a text's byte bigrams and trigrams, upper case and marks kept, and of its surface terms."""
+    full = np.zeros(dims)
+    out, dims = full[:-SURFACE], dims - SURFACE
     raw = text.encode("utf-8") if text else b""
+    if raw:
+        words = text.split()
+        every = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        full[-SURFACE:] = sum(map(operator.eq, words, words[1:])), every[_CAPITAL].sum(), every[_MARK].sum()
+        full[-SURFACE:] *= BOOST
     for at in range(0, len(raw), BLOCK):
         b = np.frombuffer(raw, np.uint8)[at : at + BLOCK + 2].astype(np.uint32)
         if len(b) < 2:
@@ -38,7 +53,7 @@ def counts(text: str | None, dims: int) -> np.ndarray:
         for g in (two, three):
             h = ((g ^ (g >> np.uint32(11))) * np.uint32(0x9E3779B1)) >> np.uint32(7)
             out += np.bincount(h % np.uint32(dims), minlength=dims)
-    return out
+    return full
 
 
 @dataclass(frozen=True)
@@ -87,8 +102,12 @@ def fit(rows: DataFrame, dims: int, rank: int, k: int) -> Model:
     got = got[got["x"].map(len) > 0].sort_values(["x", "label"], kind="stable") if len(got) else got
     if not len(got):
         return Model(np.ones(dims), np.zeros((dims, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, k)
-    x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float)
-    labels = got["label"].to_numpy(float)
+    return learn(np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float), got["label"].to_numpy(float), rank, k)
+
+
+def learn(x: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
+    """A model of counted texts: inverse document frequencies, then a truncated singular value decomposition."""
+    dims = x.shape[1]
     weight = np.log((len(x) + 1) / ((x > 0).sum(0) + 1)) + 0.1
     y = np.sqrt(x) * weight
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
@@ -113,7 +132,7 @@ def classify(
     sample: int = 4000,
     dims: int = 4096,
     rank: int = 64,
-    k: int = 25,
+    k: int = 9,
     threshold: float = 0.3,
 ) -> DataFrame:
     """Score the quality of every whole text; one row for each row, no shuffle of texts.
