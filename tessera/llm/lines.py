@@ -95,11 +95,12 @@ def near_lines(distinct: DataFrame) -> DataFrame:
     return links.where(within_one(F.col("a"), F.col("b"))).select("ord").distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove lines that equal, or nearly equal, an earlier line of the corpus.
 
     Returns ``doc_id, n_lines, n_removed, text``, one row for each row;
-    ``text`` has the kept lines in order. Blank lines stay and remove
+    ``text`` has the kept lines in order; columns named in ``carry`` are
+    returned as they are. Blank lines stay and remove
     nothing. Lines of fewer than ``min_words`` words are compared for
     equality only (in lower case, white space as one space). Ids must be
     integers; rows with a null id keep all lines and remove none. A null
@@ -108,7 +109,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     that share an id but not the text, the line number orders them. An
     empty table gives no rows; further columns are not read.
     """
-    docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), F.struct(F.lit(0).alias("none"), *[df[c] for c in carry]).alias("carried"))
     at = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     at = at.select("doc_id", "no", line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
     ord_ = (F.col("doc_id").cast("decimal(20,0)") * F.expr(f"cast({_SPAN} as decimal(11,0))") + F.col("no")).cast("decimal(38,0)")
@@ -128,4 +129,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size("kept")).cast("bigint")
-    return out.select("doc_id", n.alias("n_lines"), (n - left).alias("n_removed"), F.when(F.col("text").isNotNull(), text).alias("text"))
+    return out.select("doc_id", n.alias("n_lines"), (n - left).alias("n_removed"), F.when(F.col("text").isNotNull(), text).alias("text"), *[F.col("carried")[c].alias(c) for c in carry])

@@ -121,6 +121,17 @@ def learn(x: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
     return Model(weight, basis, model.vectors(x), labels, float(labels.mean()), k)
 
 
+def prepare(
+    df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, sample: int, dims: int, rank: int, k: int
+) -> Model:
+    """Learn from a bounded sample of the labelled rows outside the held-out fold."""
+    own = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("double").alias("label")).where("doc_id is not null and label is not null")
+    marks = marks.where(crc_mod(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.avg("label").alias("label"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return fit(own.join(F.broadcast(marks), "doc_id").where("text is not null and text <> ''"), dims, rank, k)
+
+
 def classify(
     df: DataFrame,
     labels: DataFrame,
@@ -147,12 +158,9 @@ def classify(
     with its mean. Repeated rows are scored each, null ids stay null, an
     empty table gives no rows, further columns are not read.
     """
+    model = prepare(df, labels, id_col, text_col, label_col, folds, held, sample, dims, rank, k)
+    shared = df.sparkSession.sparkContext.broadcast(model)
     own = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("double").alias("label")).where("doc_id is not null and label is not null")
-    marks = marks.where(crc_mod(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.avg("label").alias("label"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = own.join(F.broadcast(marks), "doc_id").where("text is not null and text <> ''")
-    shared = df.sparkSession.sparkContext.broadcast(fit(rows, dims, rank, k))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,3 +172,28 @@ def classify(
 
     held_out = (crc_mod(F.col("doc_id"), folds) == held).alias("held_out")
     return own.select("doc_id", "text", held_out).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    folds: int = 5,
+    held: int = 0,
+    sample: int = 4000,
+    dims: int = 4096,
+    rank: int = 64,
+    k: int = 9,
+    threshold: float = 0.3,
+) -> DataFrame:
+    """The rows, with all their columns, whose text ``classify`` scores at ``threshold`` or more."""
+    shared = df.sparkSession.sparkContext.broadcast(prepare(df, labels, id_col, text_col, label_col, folds, held, sample, dims, rank, k))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.scores(b.column(at).to_pylist()) >= threshold))
+
+    return df.mapInArrow(run, df.schema)
