@@ -1,6 +1,6 @@
 """Queries: the operators bound to the driver's tables."""
 
-from . import joins, projections
+from . import aggregates, joins, projections
 from .base import ORACLES, PLANS
 
-__all__ = ["ORACLES", "PLANS", "joins", "projections"]
+__all__ = ["ORACLES", "PLANS", "aggregates", "joins", "projections"]
