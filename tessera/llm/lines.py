@@ -19,6 +19,8 @@ number, equals it or is within the edit bound.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,13 +76,15 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.size(differ) <= 1).when(F.size(longer) - F.size(shorter) == 1, tail).otherwise(False)
 
 
-def near_lines(distinct: DataFrame) -> DataFrame:
-    """``ord`` of the different lines ``(ord, w)`` that an earlier one is within one edit of."""
-    key = distinct.select("ord", F.explode(blocks(F.col("w"), F.size("w"))).alias("key"))
-    key = cut(key, "halves")
+def near_lines(first: DataFrame, words: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``ord`` of the different lines ``(ord, halves)`` that an earlier one is within one edit of.
+
+    ``words`` fetches ``(ord, w)`` of the few lines that share a half.
+    """
+    key = cut(first.select("ord", F.explode("halves").alias("key")), "halves")
     more = cut(key.groupBy("key").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a <> b").select("key"), "shared-halves")
-    some = key.join(more, "key", "left_semi").select("ord").distinct()
-    cand = cut(distinct.join(some, "ord", "left_semi"), "candidates")
+    some = cut(key.join(more, "key", "left_semi").select("ord").distinct(), "sharing")
+    cand = cut(words(some), "candidates")
     v = cut(variants(cand), "variants")
     replaced = v.where("i >= 0").groupBy("v", "i", "n").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first <> last")
     replaced = cut(replaced.select("v", "i", "n", "first"), "replaced")
@@ -110,15 +114,30 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     empty table gives no rows; further columns are not read.
     """
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), F.struct(F.lit(0).alias("none"), *[df[c] for c in carry]).alias("carried"))
+    ord_ = (F.col("doc_id").cast("decimal(20,0)") * F.expr(f"cast({_SPAN} as decimal(11,0))") + F.col("no")).cast("decimal(38,0)")
     at = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     at = at.select("doc_id", "no", line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    ord_ = (F.col("doc_id").cast("decimal(20,0)") * F.expr(f"cast({_SPAN} as decimal(11,0))") + F.col("no")).cast("decimal(38,0)")
-    at = at.select("doc_id", "no", "w", F.xxhash64("w").alias("key"), ord_.alias("ord"))
-    occurrences = cut(at.select("doc_id", "no", "key", "ord"), "occurrences")
-    first = cut(occurrences.groupBy("key").agg(F.min("ord").alias("first")), "first-lines")
-    distinct = at.where(F.size("w") >= min_words).join(first.select(F.col("first").alias("ord"), F.col("key").alias("of")), "ord").where("key = of")
-    distinct = distinct.select("ord", "w").dropDuplicates(["ord"])
-    near = cut(near_lines(cut(distinct, "different-lines")), "near-lines")
+    at = at.select("doc_id", "no", F.xxhash64("w").alias("key"), F.when(F.size("w") >= min_words, blocks(F.col("w"), F.size("w"))).alias("b"))
+    occurrences = cut(at.select("doc_id", "no", "key", ord_.alias("ord"), *[F.col("b")[i].alias(f"b{i}") for i in range(4)]), "occurrences")
+    first = occurrences.groupBy("key").agg(F.min("ord").alias("first"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(4)])
+    first = cut(first, "first-lines")
+    occurrences = occurrences.select("doc_id", "no", "key", "ord")
+
+    def words(some: DataFrame) -> DataFrame:
+        span = F.expr(f"cast({_SPAN} as decimal(11,0))")
+        no = F.pmod(F.col("ord"), span)
+        asked = some.select(((F.col("ord") - no) / span).cast("decimal(20,0)").cast("bigint").alias("doc_id"), no.cast("int").alias("no"))
+        asked = asked.groupBy("doc_id").agg(F.collect_set("no").alias("asked"))
+        lines = docs.select("doc_id", "text").join(asked, "doc_id")
+        lines = lines.select("doc_id", F.split("text", "\n").alias("lines"), "asked").select("doc_id", "lines", F.explode("asked").alias("no"))
+        got = lines.select("doc_id", "no", line_words(F.get("lines", F.col("no"))).alias("w")).where(F.size("w") >= min_words)
+        got = got.select(ord_.alias("ord"), "w", F.xxhash64("w").alias("of"))
+        own = first.select(F.col("first").alias("ord"), F.col("key").alias("of"))
+        return got.join(own, ["ord", "of"], "left_semi").dropDuplicates(["ord"]).select("ord", "w")
+
+    long = first.where("b0 is not null").select(F.col("first").alias("ord"), F.array("b0", "b1", "b2", "b3").alias("halves"))
+    near = cut(near_lines(long, words), "near-lines")
+    first = first.select("key", "first")
     state = first.join(near.select(F.col("ord").alias("first"), F.lit(True).alias("near")), "first", "left")
     state = cut(state, "line-state")
     gone = occurrences.join(state, "key").where("near or ord > first")
