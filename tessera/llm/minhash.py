@@ -170,19 +170,36 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
 
 
+def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
+    """``id, shingle`` of every text's set."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, k) for t in b.column(1).to_pylist()]
+            if sets:
+                at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "shingle"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, shingle bigint")
+
+
 def near_duplicates(
     df: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Documents with equal sets are first reduced to one representative (the
-    smallest id). Banding buckets then give candidates in two rounds:
-    every member against the lowest and highest representative it shares
-    a bucket with, which joins most groups by links as many as members;
-    then, in the buckets that still hold several components, the pairs
-    across components. Both rounds confirm links on full sets. No bucket
-    is capped, no document's candidates are cut off, and pairs inside a
-    joined group are never emitted. A pair at the bound is missed with
+    smallest id). Banding buckets then give candidates in two rounds, both
+    confirmed on full sets. First every member is compared with the most
+    central representative that it shares a bucket with, the one with the
+    fewest shingles of its own; that joins most groups by as many links as
+    members. Then, in buckets that still hold several components, pairs
+    across components are compared, but for those that cannot be similar:
+    of n shingles u that no other candidate has cannot be shared, so with
+    m = min(n1 - u1, n2 - u2) the similarity is m / (n1 + n2 - m) at most.
+    No bucket is capped, no candidate cut off, and pairs inside a joined
+    group are never emitted. A pair at the bound is missed with
     probability (1 - s^rows)^bands.
 
     Returns ``doc_id, n_shingles, component_id, kept``, one row for each
@@ -194,25 +211,30 @@ def near_duplicates(
     sig = cut(signatures(df, k, bands, rows, id_col, text_col), "signatures")
     by = ["n", "set_a", "set_b"]
     sets = sig.where("n > 0 and id is not null").groupBy(*by).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    keys = cut(sets.select("rep", F.explode("bands").alias("key")), "keys")
-    ends = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    ends = cut(ends, "buckets")
-    shared = cut(keys.join(ends, "key"), "members")
-    member = shared.groupBy("rep").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    member = cut(member, "leaders")
-    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(member.select(F.col("rep").alias("id")), "id", "left_semi")
+    keys = cut(sets.select("rep", "n", F.explode("bands").alias("key")), "keys")
+    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
+    shared = keys.join(cut(shared, "buckets"), "key")
+    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(shared.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     texts = cut(texts, "texts")
-    pairs = member.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b")).where("a <> b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    alone = shingle_rows(texts, k).groupBy("shingle").agg(F.min("id").alias("rep"), F.max("id").alias("hi")).where("rep = hi")
+    alone = cut(alone.groupBy("rep").agg(F.count("*").alias("own")), "own-shingles")
+    member = shared.join(alone, "rep", "left").select("key", "rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    member = cut(member, "members")
+    head = cut(member.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("head"), F.min("n").alias("least")), "heads")
+    pairs = member.join(head, "key").groupBy("rep").agg(F.min("head").alias("head")).where("rep <> head.rep")
+    pairs = pairs.select(F.greatest("rep", "head.rep").alias("a"), F.least("rep", "head.rep").alias("b")).distinct()
     tried = cut(verify(pairs, texts, k, percent), "verified")
     groups = components(tried.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = shared.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = cut(placed.select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    able = member.join(head.select("key", "least"), "key").where(100 * (F.col("n") - F.col("own")) >= percent * (F.col("least") + F.col("own")))
+    placed = able.select("key", "rep", "n", "own").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = cut(placed.withColumn("component", F.coalesce("component", "rep")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
     rest = cut(placed.join(cut(mixed, "mixed"), "key"), "rest")
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    most = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
+    apart = (F.col("x.component") < F.col("y.component")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
+    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & apart)
     across = across.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    across = cut(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "across")
     more = verify(across, texts, k, percent).where("linked").select("a", "b")
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
