@@ -68,7 +68,7 @@ class Model:
     k: int
 
     def vectors(self, x: np.ndarray) -> np.ndarray:
-        x = np.sqrt(x) * self.weight
+        x = np.sqrt(x).astype(np.float32) * self.weight
         x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ self.basis
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
@@ -102,17 +102,19 @@ def fit(rows: DataFrame, dims: int, rank: int, k: int) -> Model:
     got = got[got["x"].map(len) > 0].sort_values(["x", "label"], kind="stable") if len(got) else got
     if not len(got):
         return Model(np.ones(dims), np.zeros((dims, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, k)
-    return learn(np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float), got["label"].to_numpy(float), rank, k)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), dims)
+    return learn(x, got["label"].to_numpy(float), rank, k)
 
 
 def learn(x: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
     """A model of counted texts: inverse document frequencies, then a truncated singular value decomposition."""
     dims = x.shape[1]
-    weight = np.log((len(x) + 1) / ((x > 0).sum(0) + 1)) + 0.1
-    y = np.sqrt(x) * weight
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    weight = (np.log((len(x) + 1) / ((x > 0).sum(0) + 1)) + 0.1).astype(np.float32)
+    y = np.sqrt(x)
+    y *= weight
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), np.float32(1e-12))
     rng = np.random.default_rng(7)
-    q = rng.standard_normal((dims, min(rank + 16, *y.shape)))
+    q = rng.standard_normal((dims, min(rank + 16, *y.shape))).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(y.T @ (y @ q))
     _, _, v = np.linalg.svd(y @ q, full_matrices=False)
@@ -140,8 +142,8 @@ def classify(
     label_col: str = "quality",
     folds: int = 5,
     held: int = 0,
-    sample: int = 4000,
-    dims: int = 4096,
+    sample: int = 3000,
+    dims: int = 2048,
     rank: int = 64,
     k: int = 9,
     threshold: float = 0.3,
@@ -182,8 +184,8 @@ def keep_good(
     label_col: str = "quality",
     folds: int = 5,
     held: int = 0,
-    sample: int = 4000,
-    dims: int = 4096,
+    sample: int = 3000,
+    dims: int = 2048,
     rank: int = 64,
     k: int = 9,
     threshold: float = 0.3,
