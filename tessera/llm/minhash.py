@@ -151,23 +151,24 @@ def signatures(df: DataFrame, k: int, bands: int, rows: int, id_col: str = "doc_
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b, linked`` of the pairs, on the full sets of shingles."""
+    """``a, b, linked, both`` of the pairs, on the full sets of shingles; ``both`` is the size of what they share."""
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok, last, right = [], None, None
+            ok, size, last, right = [], [], None, None
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if right is None or y != last:
                     last, right = y, shingles(y, k)
                 left = shingles(x, k)
                 both = len(np.intersect1d(left, right, assume_unique=True))
+                size.append(both)
                 ok.append(both > 0 and 100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_()), pa.array(size, pa.int64())], names=["a", "b", "linked", "both"])
 
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean, both bigint")
 
 
 def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
@@ -197,8 +198,10 @@ def near_duplicates(
     members. Then, in buckets that still hold several components, pairs
     across components are compared, but for those that cannot be similar:
     of n shingles u that no other candidate has cannot be shared, so with
-    m = min(n1 - u1, n2 - u2) the similarity is m / (n1 + n2 - m) at most.
-    No bucket is capped, no candidate cut off, and pairs inside a joined
+    m = min(n1 - u1, n2 - u2) the similarity is m / (n1 + n2 - m) at most;
+    if both were compared with one representative and share i1 and i2
+    shingles with it, m is min(i1, i2) + min(n1 - i1 - u1, n2 - i2 - u2)
+    at most. No bucket is capped, no candidate cut off, and pairs inside a joined
     group are never emitted. A pair at the bound is missed with
     probability (1 - s^rows)^bands.
 
@@ -222,19 +225,24 @@ def near_duplicates(
     member = cut(member, "members")
     head = cut(member.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("head"), F.min("n").alias("least")), "heads")
     pairs = member.join(head, "key").groupBy("rep").agg(F.min("head").alias("head")).where("rep <> head.rep")
-    pairs = pairs.select(F.greatest("rep", "head.rep").alias("a"), F.least("rep", "head.rep").alias("b")).distinct()
+    pairs = pairs.select(F.col("rep").alias("a"), F.col("head.rep").alias("b"))
     tried = cut(verify(pairs, texts, k, percent), "verified")
     groups = components(tried.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    pivot = tried.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "both")
     able = member.join(head.select("key", "least"), "key").where(100 * (F.col("n") - F.col("own")) >= percent * (F.col("least") + F.col("own")))
     placed = able.select("key", "rep", "n", "own").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = cut(placed.withColumn("component", F.coalesce("component", "rep")), "placed")
+    placed = placed.join(pivot, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = cut(placed.withColumn("rest", F.col("n") - F.col("both") - F.col("own")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-    rest = cut(placed.join(cut(mixed, "mixed"), "key"), "rest")
+    rest = placed.join(cut(mixed, "mixed"), "key").join(sets.select("rep", F.array_sort("bands").alias("bands")), "rep")
+    rest = cut(rest, "rest")
     most = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
+    most = F.when(F.col("x.pivot") == F.col("y.pivot"), F.least(most, F.least("x.both", "y.both") + F.least("x.rest", "y.rest"))).otherwise(most)
     apart = (F.col("x.component") < F.col("y.component")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & apart)
+    once = F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))  # a pair is met in the first bucket that it shares
+    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & once)
     across = across.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    across = cut(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    across = cut(across.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
     more = verify(across, texts, k, percent).where("linked").select("a", "b")
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
