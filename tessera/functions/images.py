@@ -75,3 +75,63 @@ def linear_head(df: DataFrame, vector: str, weights: list[float], bias: float) -
     w = F.array(*map(F.lit, weights))
     z = F.aggregate(F.zip_with(vector, w, lambda x, y: x.cast("double") * y), F.lit(float(bias)), lambda s, x: s + x)
     return df.withColumn("score", 1 / (1 + F.exp(-z)))
+
+
+def mlp_head(df: DataFrame, vector: str, first: np.ndarray, second: np.ndarray) -> DataFrame:
+    """A two-layer head: rectified hidden units, then the sigmoid of their weighted sum, in Arrow batches."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                x = np.stack(pdf[vector].to_list()).astype(float)
+                z = np.maximum(x @ first, 0) @ second
+                yield pdf.drop(columns=[vector]).assign(score=1 / (1 + np.exp(-z)))
+
+    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != vector)
+    return df.mapInPandas(run, f"{rest}, score double")
+
+
+def infer_poses(df: DataFrame, backend: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """From each frame to any number of poses ``(frame, pose_idx, x1, y1, x2, y2, conf)``; the backend sees Arrow batches."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield backend(pdf)
+
+    return df.mapInPandas(run, "frame bigint, pose_idx int, x1 double, y1 double, x2 double, y2 double, conf double")
+
+
+def stub_poses(frames: pd.DataFrame) -> pd.DataFrame:
+    """Stands in for a pose model: as many poses as the frame's number modulo three."""
+    rows = [(f, i, 10.0 * i, 0.0, 10.0 * i + 40, 80.0, 0.5) for f in frames["frame"] for i in range(f % 3)]
+    return pd.DataFrame(rows, columns=["frame", "pose_idx", "x1", "y1", "x2", "y2", "conf"]).astype({"frame": "int64", "pose_idx": "int32"})
+
+
+def associate(det: DataFrame, keys: list[str], least: float = 0.3, memory: int = 180) -> DataFrame:
+    """Track ids of boxes: frame by frame, the pair that overlaps most first; a track is kept for ``memory`` frames."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracks: dict[int, tuple[int, np.ndarray]] = {}
+        out, made = [], 0
+        for frame, rows in pdf.sort_values(["frame", "event_id"]).groupby("frame", sort=True):
+            tracks = {t: x for t, x in tracks.items() if frame - x[0] <= memory}
+            boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+            pairs = []
+            for t, (_, b) in tracks.items():
+                side = np.maximum(np.minimum(boxes[:, 2:], b[2:]) - np.maximum(boxes[:, :2], b[:2]), 0)
+                both = side.prod(1)
+                area = (boxes[:, 2:] - boxes[:, :2]).prod(1) + (b[2:] - b[:2]).prod() - both
+                pairs += [(-v, t, i) for i, v in enumerate(both / area) if v >= least]
+            taken: dict[int, int] = {}
+            for _, t, i in sorted(pairs):
+                if i not in taken and t not in taken.values():
+                    taken[i] = t
+            for i, e in enumerate(rows["event_id"]):
+                if i not in taken:
+                    taken[i], made = made, made + 1
+                tracks[taken[i]] = (frame, boxes[i])
+                out.append((*[rows[k].iloc[0] for k in keys], e, taken[i]))
+        return pd.DataFrame(out, columns=[*keys, "event_id", "track"])
+
+    names = ", ".join(f"{k} {det.schema[k].dataType.simpleString()}" for k in keys)
+    return det.groupBy(*keys).applyInPandas(run, f"{names}, event_id bigint, track bigint")

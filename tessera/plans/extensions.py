@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import images as I
 from ..sources import detections as S
 from .base import det_plan, plan, read
+from .joins import _POSE, poses
 
 
 @plan("x01_pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity)::BIGINT AS sum_qty, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS price_c, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
@@ -107,3 +108,67 @@ def f10(det: DataFrame) -> DataFrame:
     n = lambda t: F.countDistinct(F.when(F.col("team_id") == t, F.col("track_id")))
     c = det.where("track_id >= 0").groupBy("run_id").agg(n(0).alias("a"), n(1).alias("b"))
     return c.select("run_id", (F.least("a", "b") * (F.col("a") + F.col("b"))).alias("weight"))
+
+
+@det_plan("s06_pose_cache", f"@DET, p AS ({_POSE}) SELECT frame, count(*) AS poses, sum(x1)::BIGINT AS x FROM p GROUP BY frame")
+def s06(det: DataFrame) -> DataFrame:
+    """The pose table, written and read again, by frame."""
+    from ..operators.store import materialise
+
+    return materialise(poses(det)).groupBy("frame").agg(F.count("*").alias("poses"), F.sum("px1").cast("bigint").alias("x"))
+
+
+@det_plan("k02_render_plan", "@DET SELECT frame * 2 + i AS out_frame, count(*) AS boxes FROM det, (SELECT unnest([0, 1]) AS i) WHERE track_id >= 0 GROUP BY 1")
+def k02(det: DataFrame) -> DataFrame:
+    """What a writer would draw on each output frame at twice the rate."""
+    out = det.where("track_id >= 0").select(F.explode(F.array(F.col("frame") * 2, F.col("frame") * 2 + 1)).alias("out_frame"))
+    return out.groupBy("out_frame").agg(F.count("*").alias("boxes"))
+
+
+@det_plan("k04_upsert", "@DET, o AS (SELECT track_id, min(num) AS label FROM det WHERE k < 60 AND track_id >= 0 GROUP BY track_id), n AS (SELECT track_id, max(num) AS label FROM det WHERE k > 40 AND track_id >= 0 GROUP BY track_id) SELECT * FROM n UNION ALL SELECT * FROM o WHERE track_id NOT IN (SELECT track_id FROM n)")
+def k04(det: DataFrame) -> DataFrame:
+    from ..sources.sinks import merge_rows
+
+    o = det.where("k < 60 and track_id >= 0").groupBy("track_id").agg(F.min("num").alias("label"))
+    return merge_rows(o, det.where("k > 40 and track_id >= 0").groupBy("track_id").agg(F.max("num").alias("label")), ["track_id"])
+
+
+@det_plan("k05_fan_out", "@DET, c AS (SELECT event_id AS client, run_id AS match_id, sec AS since, CASE WHEN k % 2 = 0 THEN sec + 86400 END AS until FROM det WHERE event_type = 'signup' AND k > 90), r AS (SELECT run_id AS match_id, event_id AS seq, sec AS sc FROM det WHERE event_type = 'click') SELECT client, count(*) AS messages, min(seq) AS first_seq FROM c JOIN r ON c.match_id = r.match_id AND r.sc >= c.since AND (c.until IS NULL OR r.sc < c.until) GROUP BY client")
+def k05(det: DataFrame) -> DataFrame:
+    """Messages that each subscriber of a match gets."""
+    from ..sources.sinks import fan_out
+
+    c = det.where("event_type = 'signup' and k > 90").selectExpr("event_id as client", "run_id as match_id", "sec as since", "case when k % 2 = 0 then sec + 86400 end as until")
+    r = det.where("event_type = 'click'").selectExpr("run_id as match_id", "event_id as seq", "sec as at")
+    return fan_out(r, c).groupBy("client").agg(F.count("*").alias("messages"), F.min("seq").alias("first_seq"))
+
+
+@plan("f02_embedding_engine", None)
+def f02(spark: SparkSession, sf: str) -> DataFrame:
+    """Embedding engine: two centroids of each label's vectors on two axes, and every vector's nearest."""
+    e = read(spark, sf, "embeddings").selectExpr("label", "vec_id", "cast(embedding[0] as double) as a", "cast(embedding[1] as double) as b")
+    c = I.cluster_samples(e, "label", ["a", "b"]).groupBy("label").pivot("cluster", [0, 1]).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    near = "if(pow(a - `1_a`, 2) + pow(b - `1_b`, 2) < pow(a - `0_a`, 2) + pow(b - `0_b`, 2), 1, 0)"
+    return e.join(c, "label").select("label", "vec_id", F.expr(near).alias("team"))
+
+
+@plan("f05_referee_head", None)
+def f05(spark: SparkSession, sf: str) -> DataFrame:
+    """A 64-16-1 head over embeddings."""
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return I.mlp_head(e, "embedding", r.standard_normal((64, 16)), r.standard_normal(16))
+
+
+@det_plan("f07_pose_inference", None)
+def f07(det: DataFrame) -> DataFrame:
+    """Poses of the frames that the cache lacks, through the stub model."""
+    return I.infer_poses(det.where("frame % 5 = 2").select("frame").distinct(), I.stub_poses)
+
+
+@det_plan("g09_association", None)
+def g09(det: DataFrame) -> DataFrame:
+    """Tracks by overlap within each run."""
+    return I.associate(det.where("class_id = 0").selectExpr("user_id % 512 as part", "event_id", "frame", "x1", "y1", "x2", "y2"), ["part"])
