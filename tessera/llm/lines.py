@@ -128,7 +128,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         no = F.pmod(F.col("ord"), span)
         asked = some.select(((F.col("ord") - no) / span).cast("decimal(20,0)").cast("bigint").alias("doc_id"), no.cast("int").alias("no"))
         asked = asked.groupBy("doc_id").agg(F.collect_set("no").alias("asked"))
-        lines = docs.select("doc_id", "text").join(asked, "doc_id")
+        lines = docs.select("doc_id", "text").join(asked.hint("shuffle_hash"), "doc_id")  # at any size alike; texts are not sorted
         lines = lines.select("doc_id", F.split("text", "\n").alias("lines"), "asked").select("doc_id", "lines", F.explode("asked").alias("no"))
         got = lines.select("doc_id", "no", line_words(F.get("lines", F.col("no"))).alias("w")).where(F.size("w") >= min_words)
         got = got.select(ord_.alias("ord"), "w", F.xxhash64("w").alias("of"))
@@ -143,7 +143,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     gone = occurrences.join(state, "key").where("near or ord > first")
     gone = gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
     none = F.array().cast("array<int>")
-    out = docs.join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
+    out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     out = out.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", none)))
     text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
