@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, tune
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "query"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,7 +112,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-#: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
