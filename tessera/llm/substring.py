@@ -93,6 +93,15 @@ def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a ^ mix(b))
 
 
+def member(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x
+
+
 def find_runs(docs: DataFrame, window: int) -> DataFrame:
     """``anchor, seg, shard, n``: how often each run occurs in each shard, counted within batches."""
 
@@ -141,25 +150,30 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         """The phrases of a shard's recurring anchors, and the windows of the runs that it has to tell."""
         anchor, seg = right["anchor"].to_numpy().view(np.uint64), right["seg"].to_numpy().view(np.uint64)
         weight, whole = right["weight"].to_numpy(), right["whole"].to_numpy(zero_copy_only=False)
-        known = set(anchor.tolist())
+        known = np.unique(anchor)
         tell = {k: (w, x) for k, w, x in zip(pairs(anchor, seg).tolist(), weight.tolist(), whole.tolist()) if w}
         phrases: set[str] = set()
+        seen: set[int] = set()
         a, b, n, check = [], [], [], []
-        if known:
-            every = np.fromiter(known, np.uint64, len(known))
-            for text in left["text"].to_pylist():
-                words = split(text)
-                r = Runs(words, window)
-                for k in np.flatnonzero(np.isin(r.anchor, every)).tolist():
+        for text in left["text"].to_pylist() if len(known) else ():
+            words = split(text)
+            r = Runs(words, window)
+            hit = np.flatnonzero(member(known, r.anchor))
+            if not len(hit):
+                continue
+            for k, x in zip(hit.tolist(), r.anchor[hit].tolist()):
+                if x not in seen:
+                    seen.add(x)
                     phrases.add(b" ".join(words[r.at[k] : r.at[k] + PHRASE]).decode())
-                    key = int(pairs(r.anchor[k : k + 1], r.digest[k : k + 1])[0])
-                    if key in tell:
-                        w, x = tell.pop(key)
-                        p, q = r.windows(np.arange(r.first[k], r.last[k] + 1))
-                        a.append(p)
-                        b.append(q)
-                        n.append(np.full(len(p), w))
-                        check.append(np.full(len(p), not x))
+            told = [(k, *tell.pop(key)) for k, key in zip(hit.tolist(), pairs(r.anchor[hit], r.digest[hit]).tolist()) if key in tell]
+            if told:
+                at = np.concatenate([np.arange(r.first[k], r.last[k] + 1) for k, _, _ in told])
+                size = [int(r.last[k] - r.first[k]) + 1 for k, _, _ in told]
+                p, q = r.windows(at)
+                a.append(p)
+                b.append(q)
+                n.append(np.repeat([w for _, w, _ in told], size))
+                check.append(np.repeat([not x for _, _, x in told], size))
         shard = (left if len(left) else right)["shard"][0].as_py()
         some = len(phrases)
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
@@ -194,7 +208,7 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         rule = right.filter(right["phrase"].is_null()) if len(right) else right
         keys = pairs(rule["a"].to_numpy().view(np.uint64), rule["b"].to_numpy().view(np.uint64)) if len(rule) else np.zeros(0, np.uint64)
         is_whole = rule["whole"].to_numpy(zero_copy_only=False).astype(bool) if len(rule) else np.zeros(0, bool)
-        whole, single = keys[is_whole], keys[~is_whole]
+        whole, single = np.unique(keys[is_whole]), np.unique(keys[~is_whole])
         n_words, n_removed, out = [], [], []
         for text in left["text"].to_pylist():
             words = split(text)
@@ -204,15 +218,15 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
                 flat = b" ".join(words).decode()
                 hits = [end - size + 1 for end, size in automaton.iter(f" {flat} ")]
                 if hits:
-                    starts = np.concatenate([[0], np.cumsum([len(w.decode()) + 1 for w in words[:-1]])])
+                    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in flat.split(" ")[:-1]])])
                     r = Runs(words, window)
                     mine = np.flatnonzero(np.isin(r.at, np.searchsorted(starts, hits)))
-                    full = np.isin(pairs(r.anchor[mine], r.digest[mine]), whole)
+                    full = member(whole, pairs(r.anchor[mine], r.digest[mine]))
                     begin = [np.arange(a, b + 1) for a, b in zip(r.first[mine][full], r.last[mine][full])]
                     part = [np.arange(a, b + 1) for a, b in zip(r.first[mine][~full], r.last[mine][~full])]
                     if part:
                         at = np.concatenate(part)
-                        begin.append(at[np.isin(pairs(*r.windows(at)), single)])
+                        begin.append(at[member(single, pairs(*r.windows(at)))])
                     step = np.zeros(len(words) + 1, np.int64)
                     at = np.concatenate(begin) if begin else np.zeros(0, np.int64)
                     step[at] += 1
