@@ -67,7 +67,7 @@ def superminhash(x: np.ndarray, doc: np.ndarray, docs: int, m: int) -> np.ndarra
     place = np.arange(m)
     perm = None
     for j in range(m):
-        seed = mix(x + _STEP * np.uint64(2 * j + 1))
+        seed = mix(x + np.uint64(int(_STEP) * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF))
         value = (np.uint64(j) << np.uint64(40)) | (seed >> np.uint64(24))
         k = j + (mix(seed ^ _STEP) % np.uint64(m - j)).astype(np.int64)
         if perm is None:
