@@ -172,3 +172,48 @@ def f07(det: DataFrame) -> DataFrame:
 def g09(det: DataFrame) -> DataFrame:
     """Tracks by overlap within each run."""
     return I.associate(det.where("class_id = 0").selectExpr("user_id % 512 as part", "event_id", "frame", "x1", "y1", "x2", "y2"), ["part"])
+
+
+@plan("f03_projection_engine", None)
+def f03(spark: SparkSession, sf: str) -> DataFrame:
+    """Projection engine: embeddings on three axes, then two clusters of all of them."""
+    from .graphs import g10
+
+    p = g10(spark, sf).selectExpr("0 as grp", "vec_id", "p[0] as a", "p[1] as b", "p[2] as c")
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    v = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(p)
+    return KMeans(k=2, seed=0).fit(v).transform(v).select("vec_id", F.col("prediction").alias("team"))
+
+
+@plan("f12_batched_embeddings", None)
+def f12(spark: SparkSession, sf: str) -> DataFrame:
+    """An embedding extractor's interface: vectors of images, sixty-four at once; a stub hashes bytes."""
+    import numpy as np
+    import pandas as pd
+
+    def embed(parts):
+        for pdf in parts:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                v = [np.bincount(np.frombuffer(x, np.uint8) % 8, minlength=8).astype(float).tolist() for x in part["image"]]
+                yield pd.DataFrame({"page_id": part["page_id"], "vec": v})
+
+    pages = read(spark, sf, "pages").select("page_id", F.col("url").cast("binary").alias("image"))
+    return pages.mapInPandas(embed, "page_id bigint, vec array<double>")
+
+
+@plan("k09_model_checkpoint", None)
+def k09(spark: SparkSession, sf: str) -> DataFrame:
+    """A classifier head is fitted, saved to the shared folder, loaded again and scored."""
+    import uuid
+
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.functions import array_to_vector
+
+    e = read(spark, sf, "embeddings").select(array_to_vector("embedding").alias("features"), (F.col("label") == 0).cast("double").alias("label"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-shared"
+    path = f"{base.rstrip('/')}/model-{uuid.uuid4().hex}"
+    LogisticRegression(maxIter=20).fit(e).save(path)
+    return LogisticRegressionModel.load(path).transform(e).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("correct"))
