@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp_box, col, digits
+from ..functions.exprs import clamp_box, col, digits, dot
 
 
 def remap_classes(df: DataFrame, table: list[tuple[int, int, str]]) -> DataFrame:
@@ -80,6 +80,18 @@ def number_islands(spans: DataFrame, least: int = 2) -> DataFrame:
     return g.where(F.col("n_tracks") >= least)
 
 
+def medoids(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """Of each group's vectors ``v`` the one with the largest sum of products with all of them, itself included.
+
+    The sum is the product with the summed vector, rounded to nine
+    decimals; of equals the least ``ident`` is taken. Keys must not be null.
+    """
+    total = rows.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    total = total.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("t"))
+    s = rows.join(total, keys).withColumn("s", F.round(dot("v", "t"), 9))
+    return top_n(s, keys, [F.desc("s"), F.col(ident)], 1).select(*keys, ident, "v")
+
+
 def majority(c0: Column, c1: Column) -> Column:
     """The team with more votes; equal votes give team 0."""
     return F.when(c1 > c0, 1).otherwise(0)

@@ -165,12 +165,22 @@ _DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 @plan("a19_medoid", f"SELECT label, vec_id FROM (SELECT label, a AS vec_id, row_number() OVER (PARTITION BY label ORDER BY s DESC, a) AS rn FROM (SELECT a.label, a.vec_id AS a, round(sum({_DOT}), 9) AS s FROM (SELECT * FROM embeddings WHERE vec_id < 300) a JOIN (SELECT * FROM embeddings WHERE vec_id < 300) b ON a.label = b.label GROUP BY 1, 2)) WHERE rn = 1")
 def a19(spark: SparkSession, sf: str) -> DataFrame:
+    """The medoids of the first 300 ids only, as its SQL has them; ``a19_medoid_all`` takes all rows."""
+    return medoids(read(spark, sf, "embeddings").where("vec_id < 300"))
+
+
+_TOTAL = "t AS (SELECT label, list(x ORDER BY i) AS t FROM (SELECT label, i, sum(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
+
+
+@plan("a19_medoid_all", f"WITH {_TOTAL} SELECT label, vec_id FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY round(list_inner_product(e.embedding::DOUBLE[], t.t), 9) DESC, e.vec_id) AS rn FROM embeddings e JOIN t ON e.label = t.label) WHERE rn = 1")
+def a19_all(spark: SparkSession, sf: str) -> DataFrame:
+    return medoids(read(spark, sf, "embeddings"))
+
+
+def medoids(e: DataFrame) -> DataFrame:
     """The vector nearest all others of its label: its product with the summed vector, in one pass."""
-    e = read(spark, sf, "embeddings").where("vec_id < 300").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    total = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
-    total = total.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("t"))
-    s = e.join(total, "label").withColumn("s", F.round(E.dot("v", "t"), 9))
-    return O.top_n(s, ["label"], [F.desc("s"), F.col("vec_id")], 1).select("label", "vec_id")
+    e = e.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return O.medoids(e, ["label"], "vec_id").select("label", "vec_id")
 
 
 @plan("a20_l2_normalise", "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 0.000000001), 12)) AS v FROM embeddings")
