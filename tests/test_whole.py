@@ -15,3 +15,10 @@ def test_medoid_is_of_all_vectors(spark):
         want[label] = own[int(np.round((v @ v.T).sum(1), 9).argmax())]["vec_id"]
     assert max(want.values()) >= 300  # the ids that the sample leaves out
     assert {r["label"]: r["vec_id"] for r in PLANS["a19_medoid_all"](spark, SF).collect()} == want
+
+
+def test_overtime_is_told_of_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    got = PLANS["p33_overtime_all"](spark, SF)
+    assert got.count() == orders.count()
+    assert got.where("overtime").count() == orders.where("o_orderkey % 3 = 0 or upper(o_orderpriority) like 'PROL%'").count()
