@@ -106,8 +106,14 @@ def report(det: DataFrame) -> DataFrame:
 
 @det_plan("k08_graph_payload", "@DET SELECT event_id, replace('{\"label\":\"</' || num || '\"}', '</', '<\\/') AS payload FROM det WHERE k = 1")
 def payload(det: DataFrame) -> DataFrame:
+    """One class of ``k`` only, as its SQL has it; ``k08_graph_payload_all`` takes all rows."""
+    return escaped(det.where("k = 1"))
+
+
+@det_plan("k08_graph_payload_all", "@DET SELECT event_id, replace('{\"label\":\"</' || num || '\"}', '</', '<\\/') AS payload FROM det")
+def escaped(det: DataFrame) -> DataFrame:
     doc = F.concat(F.lit('{"label":"</'), F.col("num"), F.lit('"}'))
-    return det.where("k = 1").select("event_id", F.replace(doc, F.lit("</"), F.lit("<\\/")).alias("payload"))
+    return det.select("event_id", F.replace(doc, F.lit("</"), F.lit("<\\/")).alias("payload"))
 
 
 @det_plan("k10_stub_marker", "@DET SELECT 'stub' AS status, count(*) AS inputs FROM det")
@@ -117,7 +123,17 @@ def marker(det: DataFrame) -> DataFrame:
 
 @det_plan("k11_copy_paths", "@DET SELECT event_id, 'crops/' || num || '/' || event_id || '.png' AS target FROM det WHERE k < 10")
 def copies(det: DataFrame) -> DataFrame:
-    return det.where("k < 10").select("event_id", F.concat_ws("/", F.lit("crops"), "num", F.concat(F.col("event_id").cast("string"), F.lit(".png"))).alias("target"))
+    """A tenth of the crops, as its SQL has them; ``k11_copy_paths_all`` takes every labelled crop."""
+    return paths(det.where("k < 10"))
+
+
+@det_plan("k11_copy_paths_all", "@DET SELECT event_id, 'crops/' || num || '/' || event_id || '.png' AS target FROM det WHERE num IS NOT NULL")
+def copies_all(det: DataFrame) -> DataFrame:
+    return paths(det.where("num is not null"))
+
+
+def paths(det: DataFrame) -> DataFrame:
+    return det.select("event_id", F.concat_ws("/", F.lit("crops"), "num", F.concat(F.col("event_id").cast("string"), F.lit(".png"))).alias("target"))
 
 
 @det_plan("p01_class_remap", "@DET SELECT event_id, CASE k % 7 WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE 32 END AS class_id, CASE k % 7 WHEN 3 THEN 'goaltender' WHEN 4 THEN 'player' ELSE 'puck' END AS class_name FROM det WHERE k % 7 IN (3, 4, 5)")
