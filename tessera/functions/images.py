@@ -49,6 +49,49 @@ def cluster_samples(df: DataFrame, keys: str, columns: list[str]) -> DataFrame:
     return df.groupBy(keys).applyInPandas(run, schema)
 
 
+def two_centroids(df: DataFrame, vector: str, ident: str, rounds: int = 30) -> np.ndarray | None:
+    """``two_means`` on all components, the sums made on the executors, until nothing moves; none for an empty table."""
+
+    def total(c: np.ndarray | None) -> dict[int, tuple]:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if len(pdf):
+                    v = np.stack(pdf[vector].to_list()).astype(float)
+                    own = np.zeros(len(v), int) if c is None else ((v[:, None] - c) ** 2).sum(-1).argmin(1)
+                    for i in np.unique(own):
+                        x = v[own == i]
+                        yield pd.DataFrame({"team": [int(i)], "n": [len(x)], "s": [x.sum(0).tolist()], "q": [(x**2).sum(0).tolist()]})
+
+        out: dict[int, tuple] = {}
+        for r in df.select(vector).mapInPandas(run, "team int, n bigint, s array<double>, q array<double>").collect():
+            n, s, q = out.get(r["team"], (0, 0.0, 0.0))
+            out[r["team"]] = (n + r["n"], s + np.array(r["s"]), q + np.array(r["q"]))
+        return out
+
+    every = total(None)
+    if not every:
+        return None
+    n, s, q = every[0]
+    at = F.col(vector)[int((q / n - (s / n) ** 2).argmax())]
+    c = np.array([df.orderBy(o, ident).select(vector).first()[0] for o in (at.asc(), at.desc())], float)
+    for _ in range(rounds):
+        got = total(c)
+        new = np.stack([got[i][1] / got[i][0] if i in got else c[i] for i in (0, 1)])
+        moved = np.abs(new - c).max()
+        c = new
+        if moved < 1e-9:
+            break
+    return c
+
+
+def nearest_of_two(df: DataFrame, vector: str, c: np.ndarray | None) -> DataFrame:
+    """Adds the ``team`` of the nearer centroid; the first of equals, and 0 where there is none."""
+    if c is None:
+        return df.withColumn("team", F.lit(0))
+    far = [F.aggregate(F.zip_with(vector, F.array(*map(F.lit, x.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d) for x in c]
+    return df.withColumn("team", F.when(far[1] < far[0], 1).otherwise(0))
+
+
 Backend = Callable[[list[bytes]], list[tuple[str, float]]]
 
 

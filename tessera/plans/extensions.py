@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..functions import images as I
 from ..sources import detections as S
 from .base import det_plan, plan, read
@@ -145,11 +146,24 @@ def k05(det: DataFrame) -> DataFrame:
 
 @plan("f02_embedding_engine", None)
 def f02(spark: SparkSession, sf: str) -> DataFrame:
-    """Embedding engine: two centroids of each label's vectors on two axes, and every vector's nearest."""
-    e = read(spark, sf, "embeddings").selectExpr("label", "vec_id", "cast(embedding[0] as double) as a", "cast(embedding[1] as double) as b")
-    c = I.cluster_samples(e, "label", ["a", "b"]).groupBy("label").pivot("cluster", [0, 1]).agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    near = "if(pow(a - `1_a`, 2) + pow(b - `1_b`, 2) < pow(a - `0_a`, 2) + pow(b - `0_b`, 2), 1, 0)"
-    return e.join(c, "label").select("label", "vec_id", F.expr(near).alias("team"))
+    """Embedding engine; a label is a track."""
+    return embedding_teams(read(spark, sf, "embeddings").selectExpr("label", "vec_id", "cast(embedding as array<double>) as v"))
+
+
+def embedding_teams(e: DataFrame) -> DataFrame:
+    """The medoid of each label's unit vectors, two clusters of the medoids on all components, and votes.
+
+    The assigned team gets as many votes as the label has vectors, the
+    other none. Rows without label or vector are left out.
+    """
+    from ..operators.store import materialise
+    from ..operators.tracks import medoids
+
+    e = e.where("label is not null and v is not null").select("label", "vec_id", E.unit("v").alias("v"))
+    m = materialise(medoids(e, ["label"], "vec_id").join(e.groupBy("label").agg(F.count("*").alias("n")), "label"))
+    out = I.nearest_of_two(m, "v", I.two_centroids(m, "v", "label")).drop("v")
+    votes = [F.when(F.col("team") == t, F.col("n")).otherwise(0).cast("bigint").alias(f"votes_{t}") for t in (0, 1)]
+    return out.select("label", "vec_id", "team", *votes)
 
 
 @plan("f05_referee_head", None)

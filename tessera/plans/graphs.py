@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import entities as N
 from ..operators import graph as G
+from ..operators import tracks as O
 from ..operators.components import connected_components
 from ..sources import detections as S
 from .base import det_plan, plan, read
@@ -143,8 +144,32 @@ def g12(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") * 200).alias("x"), (way * (60 + 40 * i)).cast("bigint").alias("y"))
 
 
-@det_plan("f08_edge_similarity", None)
-def f08(det: DataFrame) -> DataFrame:
-    """Medoid-like unit vectors of tracks from their samples' vectors."""
-    t = track_table(det)
-    return t.select("track_id", E.unit("vec").alias("unit"))
+@plan("f08_edge_similarity", None)
+def f08(spark: SparkSession, sf: str) -> DataFrame:
+    """Similarity of each user's pairs of tracks.
+
+    Detections have no images here; the vector of one is that whose number
+    is ``event_id`` modulo the count of vectors (numbered within hash
+    buckets, so that no task numbers all).
+    """
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(1024)).alias("part"))
+    sizes = e.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(W.partitionBy("part").orderBy("vec_id")) - 1
+    e = e.withColumn("rank", rank).join(before, "part").select((F.col("before") + F.col("rank")).alias("slot"), "v")
+    det = S.tracked(S.detections(spark, sf)).select("user_id", "track_id", "event_id", "conf_c")
+    det = det.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("n")))).withColumn("slot", F.expr("pmod(event_id, n)"))
+    return track_similarity(det.join(e, "slot"))
+
+
+def track_similarity(rows: DataFrame, samples: int = 15) -> DataFrame:
+    """The product of the medoids of each user's pairs of tracks.
+
+    A track's medoid is that of the unit vectors of its ``samples`` surest
+    detections. ``rows(user_id, track_id, event_id, conf_c, v)``.
+    """
+    keys = ["user_id", "track_id"]
+    top = O.top_n(rows, keys, [F.desc("conf_c"), F.col("event_id")], samples).select(*keys, "event_id", E.unit("v").alias("v"))
+    m = O.medoids(top, keys, "event_id")
+    p = m.alias("l").join(m.alias("r"), F.expr("l.user_id = r.user_id and l.track_id < r.track_id"))
+    return p.select("l.user_id", F.col("l.track_id").alias("a"), F.col("r.track_id").alias("b"), E.dot("l.v", "r.v").alias("sim"))

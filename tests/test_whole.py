@@ -5,6 +5,8 @@ import pytest
 
 from tessera.plans import PLANS
 from tessera.plans.aggregates import o01_all
+from tessera.plans.extensions import embedding_teams
+from tessera.plans.graphs import track_similarity
 from tessera.sources.detections import detections
 from tests.conftest import SF
 
@@ -44,3 +46,43 @@ def test_every_detection_is_read(spark, name):
     det = detections(spark, SF)
     want = det.where("num is not null").count() if name == "k11_copy_paths_all" else det.count()
     assert PLANS[name](spark, SF).select("event_id").distinct().count() == want
+
+
+def unit(v):
+    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
+
+
+def medoid(v):
+    return int(np.round((v @ v.T).sum(1), 9).argmax())
+
+
+def test_teams_come_from_all_components(spark):
+    r, rows = np.random.default_rng(1), []
+    for label in range(8):  # the first two components are alike
+        for _ in range(2 + label):
+            rows.append((label, len(rows), [1.0, 1.0, *((5.0 if label % 2 else -5.0) + r.standard_normal(6)).tolist()]))
+    got = sorted(map(tuple, embedding_teams(spark.createDataFrame(rows, "label int, vec_id bigint, v array<double>")).collect()))
+    for label, vec_id, team, *votes in got:
+        own = [x for x in rows if x[0] == label]
+        assert vec_id == own[medoid(unit(np.array([x[2] for x in own])))][1]
+        assert team == (label + got[0][2]) % 2 and votes[team] == len(own) and votes[1 - team] == 0
+    assert [x[0] for x in got] == list(range(8))
+
+
+def test_similarity_is_that_of_medoids_of_the_surest_samples(spark):
+    r = np.random.default_rng(2)
+    rows = [(u, 10 * u + t, 1000 * u + 100 * t + i, int(r.integers(0, 9)), r.standard_normal(5).tolist()) for u in (0, 1) for t in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "user_id bigint, track_id bigint, event_id bigint, conf_c bigint, v array<double>")
+    got = {(x["a"], x["b"]): x["sim"] for x in track_similarity(df).collect()}
+    best = {}
+    for t in {x[1] for x in rows}:
+        top = sorted(sorted((x for x in rows if x[1] == t), key=lambda x: (-x[3], x[2]))[:15], key=lambda x: x[2])
+        v = unit(np.array([x[4] for x in top]))
+        best[t] = v[medoid(v)]
+    want = {(a, b): best[a] @ best[b] for a in best for b in best if a < b and a // 10 == b // 10}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_every_track_has_a_vector(spark):
+    t = detections(spark, SF).where("class_id = 0 and track_id >= 0").select("user_id", "track_id").distinct().groupBy("user_id").count()
+    assert PLANS["f08_edge_similarity"](spark, SF).count() == sum(n * (n - 1) // 2 for _, n in t.collect())
