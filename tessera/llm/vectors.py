@@ -6,8 +6,9 @@ come near any vector (the robust pruning of Vamana graphs, without a
 hierarchy); the lists of a vector's shards are united; every vector is
 searched for from the medoid of each of its shards, and the search
 expands while it finds vectors in range. A sample compared with all rows
-audits the recall, and the search is widened until it suffices. Links are
-verified in double precision.
+audits the recall, and the search is widened until it suffices; where it
+never does, or the sample has too few links to tell, exact blocked products
+decide. Links are verified in double precision.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import components, cut
 SHARD, CENTROIDS = 1000, 32_768
 #: Vectors that centroids are learnt from, and vectors of an audit.
 SAMPLE, AUDIT = 40_000, 256
+#: True links that an audit needs to judge by.
+ENOUGH = 100
 
 
 def matrix(rows) -> np.ndarray:
@@ -205,11 +208,40 @@ def links_once(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
     return pairs.distinct()
 
 
-def audit(vec: DataFrame, pairs: DataFrame, bound: float, sample: int = AUDIT) -> float:
-    """Recall of the links of a bounded sample, against a comparison with all vectors."""
-    rows = vec.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample).toPandas()
+def exact(vec: DataFrame, bound: float) -> DataFrame:
+    """All directed links: every block of a group's vectors is multiplied with every other; quadratic in a group's size."""
+    sizes = vec.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(2.0 * SHARD)).cast("int").alias("blocks"))
+    dealt = vec.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("grp", "own", "id", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "vec")
+
+    def multiply(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["own"] == key[1]], pdf[pdf["own"] == key[2]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        i, j = np.nonzero(matrix(left["vec"]) @ matrix(right["vec"]).T >= bound)
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        if key[1] != key[2]:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]}).astype("int64")
+
+    return dealt.groupBy("grp", "lo", "hi").applyInPandas(multiply, "a bigint, b bigint").distinct()
+
+
+def audit(vec: DataFrame, pairs: DataFrame, bound: float, sample: int = AUDIT) -> float | None:
+    """Recall of the links of a bounded sample, against a comparison with all vectors; none if it has too few true links.
+
+    The sample is of vectors at random and of as many that have links. It
+    is judged altogether and by the random ones alone; the lower counts.
+    """
+    order = F.xxhash64("id", F.lit(11))
+    some = vec.orderBy(order, "id").limit(sample).toPandas()
+    linked = vec.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(*vec.columns)
+    linked = linked.orderBy(order, "id").limit(sample).toPandas()
+    chance = set(some["id"].tolist())
+    rows = pd.concat([some, linked[~linked["id"].isin(chance)]])
     if not len(rows):
-        return 1.0
+        return None
     shared = vec.sparkSession.sparkContext.broadcast({g: (r["id"].to_numpy(), matrix(r["vec"])) for g, r in rows.groupby("grp")})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +259,12 @@ def audit(vec: DataFrame, pairs: DataFrame, bound: float, sample: int = AUDIT) -
 
     true = cut(vec.select("id", "grp", "vec").mapInArrow(compare, "a bigint, b bigint"), "audit")
     n = true.count()
-    return true.join(pairs, ["a", "b"], "left_semi").count() / n if n else 1.0
+    if n < ENOUGH:
+        return None
+    missed = [r["a"] for r in true.join(pairs, ["a", "b"], "left_anti").groupBy("a").count().collect() for _ in range(r["count"])]
+    drawn = sum(r["count"] for r in true.groupBy("a").count().collect() if r["a"] in chance)
+    lost = sum(a in chance for a in missed)
+    return min(1 - len(missed) / n, 1 - lost / drawn if drawn else 1.0)
 
 
 def near_vectors(
@@ -251,7 +288,8 @@ def near_vectors(
     and is not kept. Rows that share an id are returned each. An empty
     table gives no rows; further columns are not read. If an audited
     recall is below ``recall``, shards and beam are widened, three times
-    at most.
+    at most. If it is still below, or an audit sees fewer than ``ENOUGH``
+    true links, all vectors of a label are compared, which is quadratic.
     """
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     own = df.select(df[id_col].cast("bigint").alias("id"), df[vec_col].cast("array<double>").alias("vec"), label.alias("label"))
@@ -272,9 +310,12 @@ def near_vectors(
         where = centroids(some.select("id", "grp", "vec").toPandas(), want)
     for _ in range(4):
         pairs = cut(links_once(vec, where, bound, overlap, beam, slack), "links")
-        if audit(vec, pairs, bound) >= recall:
+        found = audit(vec, pairs, bound)
+        if found is None or found >= recall:
             break
         overlap, beam, slack = overlap + 1, beam * 2, slack * 1.5
+    if found is None or found < recall:
+        pairs = cut(exact(vec, bound), "exact")
     count = pairs.join(vec.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
     group = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src > dst"))
     state = vec.join(count.withColumnRenamed("a", "id"), "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")

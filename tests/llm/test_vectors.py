@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 
+import tessera.llm.vectors as V
 from tessera.llm.registry import QUERIES
 from tessera.llm.vectors import build, near_vectors, search
 
@@ -76,3 +77,16 @@ def test_query_recall(spark, sf):
     assert set(got) == set(expected)
     assert all(got[i]["n_links"] <= expected[i][1] for i in got)
     assert sum(x["n_links"] for x in got.values()) >= 0.99 * sum(x[1] for x in expected.values())
+
+
+def test_links_that_the_search_loses_are_found(spark, monkeypatch):
+    """With no link found at all: too few true links to judge by, then many and no audit that suffices."""
+    monkeypatch.setattr(V, "links_once", lambda vec, *_: vec.selectExpr("id as a", "id as b").limit(0))
+    monkeypatch.setattr(V, "SHARD", 40)
+    r = np.random.default_rng(4)
+    for copies in (1, 6):
+        base = r.standard_normal((30, 16))
+        vecs = [b + r.standard_normal(16) * 0.02 for b in base[:20] for _ in range(copies)] + [*base]
+        rows = [(i, [float(np.float32(x)) for x in v], i % 2 if copies == 1 else 0) for i, v in enumerate(vecs)]
+        got = sorted((tuple(x) for x in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+        assert sum(x[1] for x in got) > 0 and got == brute(rows, 0.98)
