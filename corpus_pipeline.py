@@ -18,41 +18,75 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
 
+#: Name of the row number that stages add for themselves; it is longer than any column of the tables.
+ROW = "corpus_pipeline_row_number"
+#: Ids of rows whose own is null begin here, where only the order of lines looks at them.
+NO_ID = 1 << 62
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written, so that the numbers stay the same however often a task runs again.
+
+    Ids may be null or repeated; what a stage decides, it decides by row.
+    """
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null and empty texts get the labels' mean and stay unless that is low.
+
+    Rows are judged one by one: null or repeated ids make no difference.
+    """
     tune(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, and documents that had text and keep none of it."""
+    """Lines that repeat an earlier line go, and documents that had text and keep none of it.
+
+    Earlier is by document id and line number; rows without an id come
+    last, in the order of the table. Null texts stay. Rows that repeat id
+    and text lose the same lines and stay for the next stage to drop.
+    """
     tune(spark)
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = dedup_lines(docs, carry=rest).where("n_removed = 0 or trim(text) <> ''")
+    rows = numbered(docs)
+    rest = tuple(c for c in docs.columns if c != "text")
+    keyed = rows.withColumn(ROW, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) + F.col(ROW)))
+    out = dedup_lines(keyed, id_col=ROW, carry=rest, named="row").where("n_removed = 0 or trim(text) <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) one document stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) one row stays, the one of the smallest id.
+
+    Rows without an id are grouped like others and stay only if no row of
+    their group has one; of rows that tie, the first in the table stays.
+    Rows without text are in no group and stay.
+    """
     tune(spark)
-    gone = near_duplicates(docs, k=5, percent=80).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    group = near_duplicates(rows, k=5, percent=80, id_col=ROW).where("n_shingles > 0")
+    member = group.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    best = member.groupBy("component_id").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    gone = member.join(best, "component_id").where(F.col("best")[ROW] != F.col(ROW)).select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Rows whose own text holds a window of a benchmark item go, whatever their id; null texts stay."""
     tune(spark)
-    gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    gone = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, packed into sequences of 2048 ids."""
+    """The documents that are left, packed into sequences of 2048 ids; null ids stay null, repeated rows are packed each."""
     tune(spark)
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

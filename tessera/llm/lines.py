@@ -99,10 +99,12 @@ def near_lines(first: DataFrame, words: Callable[[DataFrame], DataFrame]) -> Dat
     return links.where(within_one(F.col("a"), F.col("b"))).select("ord").distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, carry: tuple[str, ...] = (), named: str = "doc_id"
+) -> DataFrame:
     """Remove lines that equal, or nearly equal, an earlier line of the corpus.
 
-    Returns ``doc_id, n_lines, n_removed, text``, one row for each row;
+    Returns the id (as ``named``), ``n_lines, n_removed, text``, one row for each row;
     ``text`` has the kept lines in order; columns named in ``carry`` are
     returned as they are. Blank lines stay and remove
     nothing. Lines of fewer than ``min_words`` words are compared for
@@ -148,4 +150,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size("kept")).cast("bigint")
-    return out.select("doc_id", n.alias("n_lines"), (n - left).alias("n_removed"), F.when(F.col("text").isNotNull(), text).alias("text"), *[F.col("carried")[c].alias(c) for c in carry])
+    return out.select(F.col("doc_id").alias(named), n.alias("n_lines"), (n - left).alias("n_removed"), F.when(F.col("text").isNotNull(), text).alias("text"), *[F.col("carried")[c].alias(c) for c in carry])

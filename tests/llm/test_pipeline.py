@@ -31,3 +31,42 @@ def test_empty_table(spark, sf):
     for _, stage in C.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1 if t is None else len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def kept(df):
+    return sorted(((x["doc_id"], x["text"]) for x in df.collect()), key=str)
+
+
+def test_rows_not_ids_are_deduplicated(spark, sf):
+    text = "a quiet harbour town wakes before the boats come in from the northern banks"
+    rows = [(7, text), (5, text), (5, text), (None, text), (5, "another text under the same id that has nothing in common"), (None, "x y z"), (None, "x y z"), (9, None), (9, None), (None, "")]
+    got = C.near(spark, table(spark, rows), sf)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert kept(got) == sorted([(5, text), rows[4], (None, "x y z"), (9, None), (9, None), (None, "")], key=str)
+
+
+def test_contaminated_rows_go_whatever_their_id(spark, sf):
+    item = next(x["text"] for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(x["text"].split()) >= 12)
+    clean = "words of no benchmark at all stand here in one row"
+    rows = [(None, "so: " + item), (3, item), (3, clean), (None, clean), (4, None), (4, ""), (8, "w " * 300_000 + item)]
+    assert kept(C.decontaminated(spark, table(spark, rows), sf)) == sorted([(3, clean), (None, clean), (4, None), (4, "")], key=str)
+
+
+def test_lines_of_rows_without_id(spark, sf):
+    one, two = "the first line of some length here", "and a second line that differs from it"
+    rows = [(None, f"{one}\n{two}"), (4, one), (4, one), (None, two), (6, None), (None, "")]
+    df = C.lines(spark, table(spark, rows).selectExpr("*", "1 as key", "2 as n_lines", "'z' as w").drop("n_lines"), sf)
+    assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "w"]
+    got = kept(df)
+    assert got.count((4, one)) == 2 and (6, None) in got and (None, "") in got
+    assert sum((t or "").count(two) for _, t in got) == 1 and sum((t or "").count(one) for _, t in got) == 2
+
+
+def test_pack_stage_takes_any_rows(spark, sf):
+    rows = [(None, "a b"), (None, "a b"), (1, None), (1, None), (2, "w " * 50_000)]
+    got = C.packed(spark, table(spark, rows), sf).collect()
+    assert sum(x["doc_id"] is None for x in got) == 2 and sum(x["doc_id"] == 1 for x in got) == 2 and sum(x["length"] for x in got if x["doc_id"] == 2) > 50_000

@@ -6,11 +6,11 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import best_fit, encoder, pack, solve
+from tessera.llm.packing import best_fit, encoder, least_sequences, pack, solve
 from tessera.llm.registry import QUERIES
 from tessera.llm.tokens import Generations, Merger, token_counts
 
-JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+JSON = P.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +37,9 @@ def test_long_word(library):
 
 
 def test_ids_equal_the_library(library):
-    enc = encoder(RANKS)
+    enc = encoder(JSON)
     for t in texts(3000):
-        assert enc.encode(t, allowed_special="all") == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert enc.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_cache_is_bounded():
@@ -67,13 +67,30 @@ def test_packing_holds_every_piece_once(n):
     lengths = np.clip(r.lognormal(5.5, 1, n).astype(int), 1, 2048)
     histogram = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)])) if n else {}
     found, used = {}, 0
-    for config, times in solve(histogram, 2048):
+    configs, given = solve(histogram, 2048)
+    for config, times in configs:
         assert sum(config) <= 2048
         used += times
         for l in config:
             found[l] = found.get(l, 0) + times
     assert found == histogram
-    assert used <= np.ceil(1.02 * lengths.sum() / 2048) + 1
+    assert given == used or given >= 0.9 * used
+    assert least_sequences(histogram, 2048) <= used <= least_sequences(histogram, 2048) * 1.002 + 1
+
+
+def test_program_is_better_than_best_fit():
+    """Three pieces fill a sequence only in some combinations, which best-fit does not look for."""
+    r = np.random.default_rng(0)
+    lengths, counts = np.unique(r.integers(500, 900, 900), return_counts=True)
+    configs, given = solve(dict(zip(lengths.tolist(), counts.tolist())), 2048)
+    plain = sum(m for c, m in best_fit(lengths, counts, 2048) if c)
+    assert sum(m for _, m in configs) < plain and given > 0.9 * plain
+
+
+def test_bound_knows_pieces_that_cannot_share():
+    histogram = {l: 5 for l in range(1100, 1500, 4)}
+    assert sum(m for _, m in solve(histogram, 2048)[0]) == 500
+    assert 320 < least_sequences(histogram, 2048) <= 500
 
 
 def test_best_fit_fills_before_it_opens():
@@ -107,11 +124,17 @@ def check_packing(rows, out, library, size=2048):
 
 def test_pack_small_table(docs, library):
     rows = [(1, "word " * 5000), (2, None), (3, ""), (4, "a b c"), (5, "x"), (5, "x"), (None, "no id")]
-    check_packing(rows, pack(docs(rows), RANKS).collect(), library)
-    assert pack(docs([]), RANKS).count() == 0
+    check_packing(rows, pack(docs(rows), JSON).collect(), library)
+    assert pack(docs([]), JSON).count() == 0
+
+
+def test_runs_of_white_space_are_tokenised(docs, library):
+    """The fast encoder refuses such texts."""
+    rows = [(1, " " * 2_000_000 + "x"), (2, "a" + "\n" * 1_000_000), (3, "b")]
+    check_packing(rows, pack(docs(rows), JSON).collect(), library)
 
 
 def test_pack_query(spark, sf, library):
     rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     used, least = check_packing(rows, QUERIES["op5_best_fit_packing"](spark, sf).collect(), library)
-    assert used <= 1.03 * least + 1
+    assert used <= least + 1
