@@ -1,18 +1,20 @@
 """Substring dedup by repeated-phrase automata.
 
-A window of ``window`` words is anchored at the least hash of the phrases
-of ``PHRASE`` words that it holds; neighbouring windows with one anchor
-form a run. Equal windows have equal anchors, so
+Confirming what recurs: a window of ``window`` words is anchored at the
+least hash of the phrases of ``PHRASE`` words that it holds; neighbouring
+windows with one anchor form a run. Equal windows have equal anchors, so
 
 * anchors that occur once rule out their runs;
-* equal runs that occur twice repeat as a whole;
+* equal runs that occur twice recur as a whole;
 * only runs that differ around a recurring anchor have their windows
   compared, each different run once, whatever its number of copies.
 
-The phrases of recurring anchors are the patterns: documents are dealt to
-shards, and each shard compiles one Aho-Corasick automaton of the
-patterns confirmed for it and streams its documents through it. Every
-occurrence is then extended to the repeated windows around it.
+Each confirmed passage (a whole run, or the stretch of a run whose windows
+all recur) is told once, by one document, as text. The passages are the
+patterns. They are dealt to the shards of documents that their runs were
+seen in; each shard compiles its patterns into one Aho-Corasick automaton
+and streams all its documents through it. The matches, which compare
+words and no hashes, are all that decides which words go.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -31,7 +33,9 @@ from .minhash import grams, mix, word_hashes
 #: Words of an anchor phrase.
 PHRASE = 8
 #: Bytes of text that a shard is meant to hold.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 3_000_000
+#: Symbols of one place of a word's code.
+BASE = 256
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -88,20 +92,6 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Two columns of 64 bits as one sortable key; equal keys are equal pairs but for a hash of 64 bits."""
-    return mix(a ^ mix(b))
-
-
-def member(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which of ``x`` are in the sorted ``known``."""
-    if not len(known):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(known, x)
-    at[at == len(known)] = 0
-    return known[at] == x
-
-
 def find_runs(docs: DataFrame, window: int) -> DataFrame:
     """``anchor, seg, shard, n``: how often each run occurs in each shard, counted within batches."""
 
@@ -112,7 +102,12 @@ def find_runs(docs: DataFrame, window: int) -> DataFrame:
                 continue
             anchor, seg = np.concatenate([r.anchor for r in found]), np.concatenate([r.digest for r in found])
             shard = np.repeat(b.column(1).to_numpy(), [len(r.at) for r in found])
-            _, first, n = np.unique(mix(pairs(anchor, seg) ^ mix(shard.astype(np.uint64))), return_index=True, return_counts=True)
+            order = np.lexsort((seg, anchor, shard))
+            anchor, seg, shard = anchor[order], seg[order], shard[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1]) | (shard[1:] != shard[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(order)))
             yield pa.RecordBatch.from_arrays(
                 [signed(anchor[first]), signed(seg[first]), pa.array(shard[first], pa.int32()), pa.array(n.astype(np.int64))], names=["anchor", "seg", "shard", "n"]
             )
@@ -120,15 +115,57 @@ def find_runs(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text", "shard").mapInArrow(run, "anchor bigint, seg bigint, shard int, n bigint")
 
 
+class Phrases:
+    """The automaton of a shard's passages. Words are coded by symbols of fixed width, so that matches are whole words."""
+
+    def __init__(self, passages: list[str]):
+        split_ = [p.encode("utf-8").split(b" ") for p in passages]
+        kinds = dict.fromkeys(w for p in split_ for w in p)
+        self.width = 1
+        while BASE**self.width < len(kinds):
+            self.width += 1
+        self.code = {w: "".join(chr(256 + BASE * k + i // BASE**k % BASE) for k in range(self.width)) for i, w in enumerate(kinds)}
+        self.none = "\0" * self.width
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in split_:
+            self.automaton.add_word("".join(map(self.code.__getitem__, p)))
+        self.automaton.make_automaton()
+
+    def covered(self, words: list[bytes]) -> np.ndarray:
+        """Which words stand in an occurrence of a passage."""
+        step = np.zeros(len(words) + 1, np.int64)
+        if len(self.automaton):
+            get, none = self.code.get, self.none
+            found = list(self.automaton.iter("".join([get(w, none) for w in words])))
+            if found:
+                at = np.array(found, np.int64)
+                end, size = (at[:, 0] + 1) // self.width, at[:, 1] // self.width
+                np.add.at(step, end - size, 1)
+                np.add.at(step, end, -1)
+        return np.cumsum(step)[:-1] > 0
+
+
+def stretches(words: Column, at: Column, window: int) -> Column:
+    """The passages of a run's words that the windows starting ``at`` cover, one for each row of neighbouring starts."""
+    firsts = F.filter(at, lambda p: ~F.array_contains(at, p - 1))
+    lasts = F.filter(at, lambda p: ~F.array_contains(at, p + 1))
+    both = F.arrays_zip(F.sort_array(firsts).alias("a"), F.sort_array(lasts).alias("b"))
+    return F.transform(both, lambda s: F.array_join(F.slice(words, s["a"] + 1, s["b"] - s["a"] + window), " "))
+
+
 def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts anywhere else in the corpus.
 
     Windows are judged on the input. Returns ``doc_id, n_words, n_removed,
     text``, one row for each row; ``text`` joins the kept words by one
     space. A null text has no words and an empty result; documents shorter
-    than a window keep all words; repeated rows repeat each other's
-    windows; null ids stay null; an empty table gives no rows; further
-    columns are not read. Windows are compared by 128-bit hashes.
+    than a window keep all words; a text of any length is read whole, by
+    one task; repeated rows repeat each other's windows and lose them all;
+    ties do not arise; null ids stay null; an empty table gives no rows;
+    further columns are not read, whatever their names. What recurs is
+    confirmed by 128 bits of a run (anchor and digest) or of a window, what
+    is removed is compared word by word. Rows that are equal in id and text
+    share a shard.
     """
     spark = df.sparkSession
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
@@ -139,103 +176,63 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
     anchors = runs.groupBy("anchor").agg(F.sum("n").alias("total"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
     anchors = cut(anchors.where("total > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     again = cut(runs.join(anchors, "anchor"), "recurring")
-    segs = again.where("mixed").groupBy("anchor", "seg").agg(F.sum("n").alias("weight"), F.min("shard").alias("teller"))
-    segs = cut(segs, "segments")
-    plain = again.where("not mixed").select("shard", "anchor", "seg", F.lit(True).alias("whole"), F.lit(0).cast("bigint").alias("weight"))
-    told = again.where("mixed").select("shard", "anchor", "seg").join(segs, ["anchor", "seg"])
-    told = told.select("shard", "anchor", "seg", (F.col("weight") > 1).alias("whole"), F.when(F.col("shard") == F.col("teller"), F.col("weight")).otherwise(0).alias("weight"))
-    routes = cut(plain.union(told).distinct(), "routes")
+    tell = again.groupBy("anchor", "seg", "mixed").agg(F.sum("n").alias("weight"), F.min("shard").alias("shard"))
 
     def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The phrases of a shard's recurring anchors, and the windows of the runs that it has to tell."""
-        anchor, seg = right["anchor"].to_numpy().view(np.uint64), right["seg"].to_numpy().view(np.uint64)
-        weight, whole = right["weight"].to_numpy(), right["whole"].to_numpy(zero_copy_only=False)
-        known = np.unique(anchor)
-        tell = {k: (w, x) for k, w, x in zip(pairs(anchor, seg).tolist(), weight.tolist(), whole.tolist()) if w}
-        phrases: set[str] = set()
-        seen: set[int] = set()
-        a, b, n, check = [], [], [], []
-        for text in left["text"].to_pylist() if len(known) else ():
+        """The passages of the runs that a shard has to tell, and the windows of those that differ around one anchor."""
+        asked = zip(right["anchor"].to_pylist(), right["seg"].to_pylist(), right["weight"].to_pylist(), right["mixed"].to_pylist())
+        todo = {(a, s): (w, m) for a, s, w, m in asked}
+        out: dict[str, list] = {k: [] for k in ("anchor", "seg", "whole", "passage", "at", "a", "b", "n")}
+
+        def emit(**row):
+            for k, v in out.items():
+                v.append(row.get(k))
+
+        for text in left["text"].to_pylist() if todo else ():
+            if not todo:
+                break
             words = split(text)
             r = Runs(words, window)
-            hit = np.flatnonzero(member(known, r.anchor))
-            if not len(hit):
-                continue
-            for k, x in zip(hit.tolist(), r.anchor[hit].tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    phrases.add(b" ".join(words[r.at[k] : r.at[k] + PHRASE]).decode())
-            told = [(k, *tell.pop(key)) for k, key in zip(hit.tolist(), pairs(r.anchor[hit], r.digest[hit]).tolist()) if key in tell]
-            if told:
-                at = np.concatenate([np.arange(r.first[k], r.last[k] + 1) for k, _, _ in told])
-                size = [int(r.last[k] - r.first[k]) + 1 for k, _, _ in told]
-                p, q = r.windows(at)
-                a.append(p)
-                b.append(q)
-                n.append(np.repeat([w for _, w, _ in told], size))
-                check.append(np.repeat([not x for _, _, x in told], size))
-        shard = (left if len(left) else right)["shard"][0].as_py()
-        some = len(phrases)
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        m = len(join(a, np.uint64))
-        return pa.table(
-            {
-                "shard": pa.array([shard] * (some + m), pa.int32()),
-                "phrase": pa.array([*sorted(phrases), *[None] * m], pa.string()),
-                "a": pa.concat_arrays([pa.nulls(some, pa.int64()), signed(join(a, np.uint64))]),
-                "b": pa.concat_arrays([pa.nulls(some, pa.int64()), signed(join(b, np.uint64))]),
-                "n": pa.concat_arrays([pa.nulls(some, pa.int64()), pa.array(join(n, np.int64))]),
-                "checked": pa.concat_arrays([pa.nulls(some, pa.bool_()), pa.array(join(check, bool))]),
-            }
-        )
-
-    told = docs.select("shard", "text").groupBy("shard").cogroup(routes.groupBy("shard"))
-    told = cut(told.applyInArrow(confirm, "shard int, phrase string, a bigint, b bigint, n bigint, checked boolean"), "told")
-    windows = told.where("phrase is null")
-    twice = cut(windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b"), "windows")
-    none = F.lit(None)
-    rules = routes.where("whole").select("shard", none.cast("string").alias("phrase"), F.lit(True).alias("whole"), F.col("anchor").alias("a"), F.col("seg").alias("b"))
-    rules = rules.union(windows.where("checked").join(twice, ["a", "b"]).select("shard", none.cast("string"), F.lit(False), "a", "b"))
-    rules = rules.union(told.where("phrase is not null").select("shard", "phrase", none.cast("boolean"), none.cast("bigint"), none.cast("bigint")))
+            for k, key in enumerate(zip(r.anchor.view(np.int64).tolist(), r.digest.view(np.int64).tolist())):
+                if key not in todo:
+                    continue
+                weight, mixed = todo.pop(key)
+                first, last = int(r.first[k]), int(r.last[k])
+                emit(anchor=key[0], seg=key[1], whole=weight > 1, passage=b" ".join(words[first : last + window]).decode())
+                if mixed:
+                    a, b = r.windows(np.arange(first, last + 1))
+                    for i, (x, y) in enumerate(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())):
+                        emit(anchor=key[0], seg=key[1], whole=weight > 1, at=i, a=x, b=y, n=weight)
+        kinds = {"whole": pa.bool_(), "passage": pa.string(), "at": pa.int32()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+
+    told = docs.select("shard", "text").groupBy("shard").cogroup(tell.groupBy("shard"))
+    told = told.applyInArrow(confirm, "anchor bigint, seg bigint, whole boolean, passage string, at int, a bigint, b bigint, n bigint")
+    told = cut(told, "told")
+    windows = told.where("passage is null")
+    twice = windows.groupBy("a", "b").agg(F.sum("n").alias("total")).where("total > 1").select("a", "b")
+    marked = windows.where("not whole").join(twice, ["a", "b"]).groupBy("anchor", "seg").agg(F.collect_set("at").alias("at"))
+    passages = told.where("passage is not null").select("anchor", "seg", "whole", "passage")
+    partly = passages.where("not whole").join(marked, ["anchor", "seg"])
+    partly = partly.select("anchor", "seg", F.explode(stretches(F.split("passage", " "), F.col("at"), window)).alias("passage"))
+    patterns = cut(passages.where("whole").select("anchor", "seg", "passage").union(partly), "passages")
+    routed = again.select("anchor", "seg", "shard").distinct().join(patterns, ["anchor", "seg"]).select("shard", "passage")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Stream a shard's documents through its automaton and extend every occurrence."""
-        automaton = ahocorasick.Automaton()
-        for p in right["phrase"].drop_null().to_pylist():
-            automaton.add_word(f" {p} ", len(p) + 2)
-        automaton.make_automaton()
-        rule = right.filter(right["phrase"].is_null()) if len(right) else right
-        keys = pairs(rule["a"].to_numpy().view(np.uint64), rule["b"].to_numpy().view(np.uint64)) if len(rule) else np.zeros(0, np.uint64)
-        is_whole = rule["whole"].to_numpy(zero_copy_only=False).astype(bool) if len(rule) else np.zeros(0, bool)
-        whole, single = np.unique(keys[is_whole]), np.unique(keys[~is_whole])
+        """Stream a shard's documents through the automaton of its passages."""
+        phrases = Phrases(right["passage"].unique().to_pylist())
         n_words, n_removed, out = [], [], []
         for text in left["text"].to_pylist():
             words = split(text)
             n_words.append(len(words))
-            kept = words
-            if len(words) >= window and len(automaton):
-                flat = b" ".join(words).decode()
-                hits = [end - size + 1 for end, size in automaton.iter(f" {flat} ")]
-                if hits:
-                    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in flat.split(" ")[:-1]])])
-                    r = Runs(words, window)
-                    mine = np.flatnonzero(np.isin(r.at, np.searchsorted(starts, hits)))
-                    full = member(whole, pairs(r.anchor[mine], r.digest[mine]))
-                    begin = [np.arange(a, b + 1) for a, b in zip(r.first[mine][full], r.last[mine][full])]
-                    part = [np.arange(a, b + 1) for a, b in zip(r.first[mine][~full], r.last[mine][~full])]
-                    if part:
-                        at = np.concatenate(part)
-                        begin.append(at[member(single, pairs(*r.windows(at)))])
-                    step = np.zeros(len(words) + 1, np.int64)
-                    at = np.concatenate(begin) if begin else np.zeros(0, np.int64)
-                    step[at] += 1
-                    step[at + window] -= 1
-                    covered = np.cumsum(step)[:-1] > 0
-                    kept = [w for w, c in zip(words, covered.tolist()) if not c]
-            n_removed.append(len(words) - len(kept))
-            out.append(b" ".join(kept).decode())
+            if len(words) >= window:
+                gone = phrases.covered(words)
+                if gone.any():
+                    words = [w for w, x in zip(words, gone.tolist()) if not x]
+            n_removed.append(n_words[-1] - len(words))
+            out.append(b" ".join(words).decode())
         return pa.table({"doc_id": left["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(out, pa.string())})
 
-    out = docs.select("shard", "doc_id", "text").groupBy("shard").cogroup(rules.groupBy("shard"))
+    out = docs.select("shard", "doc_id", "text").groupBy("shard").cogroup(routed.groupBy("shard"))
     return out.applyInArrow(locate, f"doc_id {kind}, n_words bigint, n_removed bigint, text string")

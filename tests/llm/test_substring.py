@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from tessera.llm.registry import QUERIES
-from tessera.llm.substring import remove_repeats
+from tessera.llm.substring import Phrases, remove_repeats
 
 
 def brute(rows, window):
@@ -40,6 +40,28 @@ def test_matches_brute_force(docs):
     assert got == brute(rows, 35)
 
 
+def test_nothing_is_removed_but_by_the_automaton(docs):
+    """Shards see only the passages that they are dealt; a run of one document and a stretch inside another are both found."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(["a"] * 5 + base[10:50] + ["b"] * 5)), (3, " ".join(base[30:60]))]
+    assert [x[2] for x in sorted(tuple(x) for x in remove_repeats(docs(rows), 35).collect())] == [40, 40, 0]
+    p = Phrases([" ".join(base[5:45]), " ".join(base[20:55])])
+    assert p.covered([w.encode() for w in base]).tolist() == [False] * 5 + [True] * 50 + [False] * 5
+    assert not p.covered([b"x", *[w.encode() for w in base[5:44]]]).any() and not Phrases([]).covered([b"x"]).any()
+
+
+def test_many_kinds_of_words():
+    words = [f"w{i}".encode() for i in range(70_000)]
+    p = Phrases([" ".join(w.decode() for w in words)])
+    assert p.width == 3 and p.covered([b"x", *words, b"y"]).sum() == 70_000
+
+
+def test_long_texts(docs):
+    long = " ".join(f"{i}" for i in range(300_000))
+    rows = [(1, long), (2, "z " + long), (3, "x " * 300_000)]
+    assert sorted(tuple(x)[:3] for x in remove_repeats(docs(rows), 35).collect()) == [(1, 300_000, 300_000), (2, 300_001, 300_000), (3, 300_000, 300_000)]
+
+
 def test_empty_table(docs):
     assert remove_repeats(docs([])).count() == 0
 
