@@ -1,14 +1,16 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Vectors of one label are dealt to overlapping cluster shards. Each shard
-builds a graph whose adjacency lists are pruned so that a greedy walk can
-come near any vector (the robust pruning of Vamana graphs, without a
-hierarchy); the lists of a vector's shards are united; every vector is
-searched for from the medoid of each of its shards, and the search
-expands while it finds vectors in range. A sample compared with all rows
-audits the recall, and the search is widened until it suffices; where it
-never does, or the sample has too few links to tell, exact blocked products
-decide. Links are verified in double precision.
+builds a graph by insertion: a batch of vectors is searched for greedily
+in the graph of those before, and what the walks met is pruned so that a
+greedy walk can come near any vector (the robust pruning of Vamana
+graphs, without a hierarchy). The lists of a vector's shards are united.
+Every vector is searched for from the medoid of each of its shards, and
+the search expands while it finds vectors in range. Links are verified in
+double precision; each is counted in one shard only, so that a group of
+near copies costs rows in proportion to its vectors and not to its pairs.
+Planted and sampled queries, compared with all vectors, audit the recall,
+and the search is widened until it suffices.
 """
 
 from __future__ import annotations
@@ -25,10 +27,16 @@ from .common import components, cut
 
 #: Vectors that one graph is meant for, and centroids altogether, which bounds what goes to the executors.
 SHARD, CENTROIDS = 1000, 32_768
-#: Vectors that centroids are learnt from, and vectors of an audit.
+#: Vectors that centroids are learnt from, and vectors of an audit, of each of its two kinds.
 SAMPLE, AUDIT = 40_000, 256
-#: True links that an audit needs to judge by.
+#: True links of sampled vectors that an audit needs to judge by them, besides the planted ones.
 ENOUGH = 100
+#: Audits, each of a wider search than the one before; the last beam is wider than any shard.
+ROUNDS = 9
+#: Vectors that are searched for at once.
+BLOCK = 256
+#: What single precision may be wrong by; what is within it is compared in double precision.
+NEAR = 1e-5
 
 
 def matrix(rows) -> np.ndarray:
@@ -37,44 +45,99 @@ def matrix(rows) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def robust_prune(order: np.ndarray, near: np.ndarray, between: np.ndarray, degree: int, alpha: float) -> list[int]:
-    """Keep of the candidates, nearest first, those that no kept one is much nearer to.
+def dots(v: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Products of each row of ``q`` with the vectors that its row of ``at`` names."""
+    return np.matmul(v[np.minimum(at, len(v) - 1)], q[:, :, None])[:, :, 0]
 
-    ``near`` holds their distances to the vector, ``between`` those among them.
+
+def once(at: np.ndarray, none: int) -> np.ndarray:
+    """Each row sorted, repeats replaced by ``none``, the highest value, and cut to the longest row."""
+    at = np.sort(at, 1)
+    at[:, 1:][at[:, 1:] == at[:, :-1]] = none
+    at.sort(1)
+    return at[:, : max(1, int((at < none).sum(1).max(initial=0)))]
+
+
+def robust_prune(cand: np.ndarray, near: np.ndarray, v: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Of each row's candidates (``len(v)``: none), nearest first, those that no kept one is much nearer to.
+
+    ``near`` holds their distances to the row's vector.
     """
-    kept: list[int] = []
-    alive = np.ones(len(order), bool)
-    for i in order:
-        if alive[i]:
-            kept.append(int(i))
-            if len(kept) >= degree:
-                break
-            alive &= alpha * between[i] > near
-    return kept
-
-
-def build(v: np.ndarray, degree: int = 24, width: int = 48, alpha: float = 1.2) -> list[np.ndarray]:
-    """Adjacency lists of a shard; every vector can be reached from the medoid."""
+    n, r = len(v), np.arange(len(cand))
+    alive = cand < n
+    vec = v[np.minimum(cand, n - 1)]
+    out = np.full((len(cand), degree), n)
+    for k in range(degree):
+        at = np.where(alive, near, np.inf).argmin(1)
+        some = alive[r, at]
+        if not some.any():
+            break
+        out[some, k] = cand[r, at][some]
+        between = np.matmul(vec, vec[r, at][:, :, None])[:, :, 0]
+        alive &= alpha * np.sqrt(np.maximum(2 - 2 * between, 0)) > near
+        alive[r, at] = False
+    return out
+
+
+def walk(q: np.ndarray, v: np.ndarray, adj: np.ndarray, start: int, beam: int, floor: float, expand: int = 4):
+    """Greedy walks for all rows of ``q`` at once, each with a beam.
+
+    Returns the beams, what was seen, what was expanded, and the pairs
+    ``row, node, product`` met with a product of ``floor`` or more.
+    """
+    n = len(v)
+    seen = np.zeros((len(q), n + 1), bool)
+    seen[:, [start, n]] = True
+    ids, sims = np.full((len(q), beam), n), np.full((len(q), beam), -2, np.float32)
+    done = np.ones((len(q), beam), bool)
+    ids[:, 0], sims[:, 0], done[:, 0] = start, q @ v[start], False
+    near = np.flatnonzero(sims[:, 0] >= floor)
+    path, pool = [], [(near, np.full(len(near), start), sims[near, 0])]
+    on = np.arange(len(q))
+    while True:
+        open_ = np.where(done[on], -3, sims[on])
+        pick = np.argpartition(-open_, expand - 1, axis=1)[:, :expand]
+        some = np.take_along_axis(open_, pick, 1) > -3
+        go = some.any(1)
+        on, pick, some = on[go], pick[go], some[go]
+        if not len(on):
+            return ids, seen, path, pool
+        row = on[:, None]
+        done[row, pick] = True
+        node = np.where(some, ids[row, pick], n)
+        path.append(np.full((len(q), expand), n))
+        path[-1][on] = node
+        new = adj[node].reshape(len(on), -1)
+        new = once(np.where(seen[row, new], n, new), n)
+        seen[row, new] = True
+        s = dots(v, new, q[on])
+        s[new == n] = -2
+        a, b = np.nonzero(s >= floor)
+        pool.append((on[a], new[a, b], s[a, b]))
+        both, s2 = np.concatenate([ids[on], new], 1), np.concatenate([sims[on], s], 1)
+        d2 = np.concatenate([done[on], new == n], 1)
+        top = np.argpartition(-s2, beam - 1, axis=1)[:, :beam]
+        ids[on], sims[on], done[on] = (np.take_along_axis(x, top, 1) for x in (both, s2, d2))
+
+
+def search(q: np.ndarray, v: np.ndarray, adj: np.ndarray, start: int, beam: int, bound: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``row, node`` in range: greedy walks, then an expansion from all that came in or near the range."""
     n = len(v)
-    if n == 1:
-        return [np.zeros(0, int)]
-    rng = np.random.default_rng(n)
-    links: list[set[int]] = [set() for _ in range(n)]
-    for at in range(0, n, 512):
-        sim = v[at : at + 512] @ v.T
-        sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -2
-        top = min(width, n - 1)
-        near = np.argpartition(-sim, top - 1, axis=1)[:, :top]
-        for r in range(len(sim)):
-            c = np.unique(np.concatenate([near[r], rng.integers(0, n, 16)]))
-            c = c[c != at + r]
-            d = np.sqrt(np.maximum(2 - 2 * sim[r, c], 0))
-            between = np.sqrt(np.maximum(2 - 2 * (v[c] @ v[c].T), 0))
-            links[at + r].update(int(c[k]) for k in robust_prune(np.argsort(d, kind="stable"), d, between, degree, alpha))
-    for i in range(n):
-        for j in list(links[i]):
-            links[j].add(i)
-    return [np.array(sorted(x), dtype=int) for x in connect(v, links)]
+    _, seen, _, pool = walk(q, v, adj, start, beam, bound - slack)
+    row, node, sim = (np.concatenate(x) for x in zip(*pool))
+    found = []
+    while True:
+        hit, go = sim >= bound - NEAR, sim >= bound - slack
+        found.append((row[hit], node[hit]))
+        row, node = row[go], node[go]
+        new = adj[node]
+        a, b = np.nonzero(~seen[row[:, None], new])
+        if not len(a):
+            return np.concatenate([r for r, _ in found]), np.concatenate([m for _, m in found])
+        key = np.unique(row[a] * n + new[a, b])
+        row, node = key // n, key % n
+        seen[row, node] = True
+        sim = np.concatenate([np.einsum("ij,ij->i", v[node[i : i + 100_000]], q[row[i : i + 100_000]]) for i in range(0, len(row), 100_000)])
 
 
 def medoid(v: np.ndarray) -> int:
@@ -82,59 +145,78 @@ def medoid(v: np.ndarray) -> int:
     return int((v @ v.mean(0)).argmax())
 
 
-def connect(v: np.ndarray, links: list[set[int]]) -> list[set[int]]:
+def relink(adj: np.ndarray, v: np.ndarray, who: np.ndarray, cand: np.ndarray, alpha: float, most: int = 96) -> None:
+    """Give each of ``who`` the pruned list of its candidates, of which the nearest ``most`` count."""
+    n, degree = len(v), adj.shape[1]
+    for at in range(0, len(who), BLOCK):
+        w, c = who[at : at + BLOCK], cand[at : at + BLOCK]
+        sim = dots(v, c, v[w])
+        sim[c == n] = -2
+        if c.shape[1] > most:
+            top = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+            c, sim = np.take_along_axis(c, top, 1), np.take_along_axis(sim, top, 1)
+        adj[w] = robust_prune(c, np.sqrt(np.maximum(2 - 2 * sim, 0)), v, degree, alpha)
+
+
+def dealt(key: np.ndarray, value: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and the values of each in a row."""
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    names, first, n = np.unique(key, return_index=True, return_counts=True)
+    out = np.full((len(names), int(n.max())), none)
+    out[np.repeat(np.arange(len(names)), n), np.arange(len(key)) - np.repeat(first, n)] = value
+    return names, out
+
+
+def build(v: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.2, passes: int = 2, batch: int = 128) -> np.ndarray:
+    """Adjacency lists of a shard (``len(v)``: none); every vector can be reached from the medoid.
+
+    Vectors are inserted in a fixed random order, in batches that double up
+    to ``batch``; a second pass inserts each again into the whole graph.
+    """
+    n = len(v)
+    adj = np.full((n + 1, degree), n)
+    start = medoid(v)
+    order = np.random.default_rng(n).permutation(n)
+    order = order[order != start]
+    for _ in range(passes):
+        at, size = 0, 1
+        while at < len(order):
+            own = order[at : at + size]
+            at, size = at + size, min(batch, size * 2)
+            ids, _, path, _ = walk(v[own], v, adj, start, width, 3)
+            cand = np.concatenate([ids, *path, adj[own]], 1)
+            cand[cand == own[:, None]] = n
+            relink(adj, v, own, once(cand, n), alpha)
+            i, k = np.nonzero(adj[own] < n)
+            to, back = dealt(adj[own][i, k], own[i], n)
+            both = once(np.concatenate([adj[to], back], 1), n)
+            fits = (both < n).sum(1) <= degree
+            adj[to[fits], : min(degree, both.shape[1])] = both[fits, :degree]
+            relink(adj, v, to[~fits], both[~fits], alpha)
+    return connect(adj, v, start)
+
+
+def connect(adj: np.ndarray, v: np.ndarray, start: int) -> np.ndarray:
     """Tie what the medoid does not reach to the nearest vector that it reaches."""
-    seen = np.zeros(len(v), bool)
-    todo = [medoid(v)]
-    seen[todo] = True
+    n = len(v)
+    seen = np.zeros(n + 1, bool)
+    seen[[start, n]] = True
+    todo = np.array([start])
     while True:
-        while todo:
-            for j in links[todo.pop()]:
-                if not seen[j]:
-                    seen[j] = True
-                    todo.append(j)
-        if seen.all():
-            return links
-        out, inn = int(np.flatnonzero(~seen)[0]), np.flatnonzero(seen)
-        best = int(inn[(v[inn] @ v[out]).argmax()])
-        links[best].add(out)
-        links[out].add(best)
+        while len(todo):
+            todo = np.unique(adj[todo])
+            todo = todo[~seen[todo]]
+            seen[todo] = True
+        out, reached = np.flatnonzero(~seen)[:BLOCK], np.flatnonzero(seen[:n])
+        if not len(out):
+            return adj
+        to, more = dealt(reached[(v[out] @ v[reached].T).argmax(1)], out, n)
+        wide = np.full((n + 1, more.shape[1]), n)
+        wide[to] = more
+        adj = once(np.concatenate([adj, wide], 1), n)
+        todo = out
         seen[out] = True
-        todo.append(out)
-
-
-def search(q: np.ndarray, v: np.ndarray, adj: list[np.ndarray], start: int, beam: int, bound: float, slack: float) -> np.ndarray:
-    """Vectors in range: a greedy walk with a beam, then an expansion from all that came in or near the range."""
-    seen = np.zeros(len(v), bool)
-    seen[start] = True
-    ids, sims, done = np.array([start]), np.array([v[start] @ q]), np.array([False])
-    reached, values = [ids], [sims]
-    while not done.all():
-        at = int(np.argmax(np.where(done, -2.0, sims)))
-        done[at] = True
-        new = adj[ids[at]]
-        new = new[~seen[new]]
-        if not len(new):
-            continue
-        seen[new] = True
-        s = v[new] @ q
-        reached.append(new)
-        values.append(s)
-        ids, sims, done = np.concatenate([ids, new]), np.concatenate([sims, s]), np.concatenate([done, np.zeros(len(new), bool)])
-        if len(ids) > beam:
-            keep = np.argpartition(-sims, beam - 1)[:beam]
-            ids, sims, done = ids[keep], sims[keep], done[keep]
-    found, sims = np.concatenate(reached), np.concatenate(values)
-    todo = found[sims >= bound - slack]
-    hits = [found[sims >= bound]]
-    while len(todo):
-        new = np.unique(np.concatenate([adj[i] for i in todo]))
-        new = new[~seen[new]]
-        seen[new] = True
-        s = v[new] @ q
-        hits.append(new[s >= bound])
-        todo = new[s >= bound - slack]
-    return np.concatenate(hits)
 
 
 def centroids(sample: pd.DataFrame, want: dict[str, int]) -> dict[str, np.ndarray]:
@@ -145,7 +227,7 @@ def centroids(sample: pd.DataFrame, want: dict[str, int]) -> dict[str, np.ndarra
         k = min(want[g], len(v))
         c = v[np.random.default_rng(0).permutation(len(v))[:k]]
         for _ in range(5):
-            best = (v @ c.T).argmax(1)
+            best = np.concatenate([(v[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(v), 4096)])
             for i in range(k):
                 if (m := v[best == i]).size:
                     mean = m.mean(0)
@@ -154,117 +236,163 @@ def centroids(sample: pd.DataFrame, want: dict[str, int]) -> dict[str, np.ndarra
     return out
 
 
-def links_once(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overlap: int, beam: int, slack: float) -> DataFrame:
-    """Directed links ``(a, b)`` between different vectors ``vec(id, grp, vec)``, as one search finds them."""
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of ``n`` nodes reaches over the pairs."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overlap: int, beam: int, slack: float) -> DataFrame:
+    """``id, n, root, hits`` of vectors ``vec(id, grp, vec, copies, asks)``, as one search finds them; rows of one id add up.
+
+    ``n`` counts the other vectors linked, ``root`` is one of them or the
+    vector itself and names a group within a shard. Rows that only ask are
+    in no graph; what is found for them is listed in ``hits``.
+    """
     spark = vec.sparkSession
     shared = spark.sparkContext.broadcast(where)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            groups, vecs = b.column(1).to_pylist(), b.column(2).to_pylist()
-            own = []
-            for g, x in zip(groups, vecs):
-                c = shared.value.get(g)
-                own.append([0] if c is None else np.argsort(-(c @ np.asarray(x)), kind="stable")[:overlap].tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.list_(pa.int32()))], names=["id", "grp", "vec", "own"])
-
-    placed = vec.select("id", "grp", "vec").mapInArrow(assign, "id bigint, grp string, vec array<double>, own array<int>")
-    placed = cut(placed.select("id", "grp", "vec", F.explode("own").alias("cluster")), "placed")
-    sizes = placed.groupBy("grp", "cluster").agg(F.ceil(F.count("*") / F.lit(2.0 * SHARD)).cast("int").alias("salts"))
-    placed = placed.join(sizes, ["grp", "cluster"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+            groups, vecs = np.array(b.column(1).to_pylist(), dtype=object), b.column(2).to_pylist()
+            own: list = [[0]] * len(vecs)
+            for g in set(groups.tolist()):
+                if (c := shared.value.get(g)) is not None:
+                    rows = np.flatnonzero(groups == g)
+                    sim = matrix([vecs[i] for i in rows]) @ c.T
+                    top = min(overlap, len(c))
+                    near = np.sort(np.argpartition(-sim, top - 1, axis=1)[:, :top], 1)
+                    for i, x in zip(rows.tolist(), near.tolist()):
+                        own[i] = x
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.list_(pa.int32()))], names=["id", "grp", "vec", "copies", "asks", "own"])
+
+    kinds = "id bigint, grp string, vec array<double>, copies bigint, asks boolean"
+    placed = vec.select("id", "grp", "vec", "copies", "asks").mapInArrow(assign, f"{kinds}, own array<int>")
+    placed = cut(placed.select("*", F.explode("own").alias("cluster")), "placed")
+    sizes = placed.where("not asks").groupBy("grp", "cluster").agg(F.ceil(F.count("*") / F.lit(2.0 * SHARD)).cast("int").alias("salts"))
+    placed = placed.join(sizes, ["grp", "cluster"]).withColumn("salt", F.when(F.col("asks"), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int"))
     placed = cut(placed, "shards")
 
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids = pdf["id"].to_numpy()
-        adj = build(matrix(pdf["vec"]))
-        return pd.DataFrame({"id": ids, "next": [ids[a].tolist() for a in adj]})
+        adj = build(matrix(pdf["vec"]).astype(np.float32))[:-1]
+        return pd.DataFrame({"id": ids, "next": [ids[a[a < len(ids)]].tolist() for a in adj]})
 
-    graph = placed.select("grp", "cluster", "salt", "id", "vec").groupBy("grp", "cluster", "salt").applyInPandas(lists, "id bigint, next array<bigint>")
-    graph = cut(graph, "lists")
+    graph = placed.where("not asks").select("grp", "cluster", "salt", "id", "vec").groupBy("grp", "cluster", "salt")
+    graph = cut(graph.applyInPandas(lists, "id bigint, next array<bigint>"), "lists")
     union = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    every = placed.select("grp", "cluster", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("at"), "salt", "id", "vec")
-    every = every.join(union, "id").withColumn("member", F.col("at") == F.col("salt"))
+    every = placed.withColumn("at", F.explode(F.sequence(F.greatest("salt", F.lit(0)), F.col("salts") - 1))).join(union, "id", "left")
+    every = every.withColumn("member", F.col("at") == F.col("salt"))
+
+    def ask(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["asks", "id"], ignore_index=True)
+        ids, copies, member, asks = (pdf[c].to_numpy() for c in ("id", "copies", "member", "asks"))
+        own = np.full((len(pdf), int(pdf["own"].map(len).max())), -1)
+        for i, x in enumerate(pdf["own"]):
+            own[i, : len(x)] = x
+        inside = np.flatnonzero(member)
+        place = {int(x): i for i, x in enumerate(ids[inside])}
+        near = [[place[y] for y in pdf["next"][i] if y in place] for i in inside]
+        adj = np.full((len(inside) + 1, max(1, max(map(len, near)))), len(inside))
+        for i, x in enumerate(near):
+            adj[i, : len(x)] = x
+        full = matrix(pdf["vec"])
+        q = full.astype(np.float32)
+        v, exact = q[inside], full[inside]
+        start, got = medoid(v), []
+        for i in range(0, len(q), BLOCK):
+            row, node = search(q[i : i + BLOCK], v, adj, start, beam, bound, slack)
+            row = row + i
+            ok = np.concatenate([np.einsum("ij,ij->i", full[row[k : k + 100_000]], exact[node[k : k + 100_000]]) >= bound for k in range(0, len(row), 100_000)] or [np.zeros(0, bool)])
+            got.append((row[ok], inside[node[ok]]))
+        a, b = (np.concatenate(x) for x in zip(*got))
+        hits: dict[int, list[int]] = {}
+        for x, y in zip(ids[a[asks[a]]].tolist(), ids[b[asks[a]]].tolist()):
+            hits.setdefault(x, []).append(y)
+        keep = ~asks[a] & (a != b)
+        pair = np.unique(np.minimum(a[keep], b[keep]) * len(pdf) + np.maximum(a[keep], b[keep]))
+        a, b = pair // len(pdf), pair % len(pdf)
+        # a pair that meets in several clusters counts in the first of them
+        first = np.concatenate(
+            [np.where((x[:, :, None] == y[:, None, :]).any(2) & (x >= 0), x, 1 << 30).min(1) for x, y in ((own[a[k : k + 100_000]], own[b[k : k + 100_000]]) for k in range(0, len(a), 100_000))]
+            or [np.zeros(0, int)]
+        )
+        root = least_reached(len(pdf), a, b)
+        mine = first == key[1]
+        n = np.zeros(len(pdf), np.int64)
+        np.add.at(n, a[mine], copies[b[mine]])
+        np.add.at(n, b[mine], copies[a[mine]])
+        some = np.flatnonzero((n > 0) | (root != np.arange(len(pdf))))
+        out = pd.DataFrame({"id": ids[some], "n": n[some], "root": ids[root[some]], "hits": [[] for _ in some]})
+        more = pd.DataFrame({"id": list(hits), "n": 0, "root": list(hits), "hits": list(hits.values())})
+        return pd.concat([out, more]).astype({"id": "int64", "n": "int64", "root": "int64"})
+
+    return every.groupBy("grp", "cluster", "at").applyInPandas(ask, "id bigint, n bigint, root bigint, hits array<bigint>")
+
+
+def planted(v: np.ndarray, seed: int, bound: float) -> np.ndarray:
+    """A unit vector whose cosine with ``v`` is in range, near its bound or far from it."""
+    r = np.random.default_rng(seed & 0x7FFFFFFF)
+    u = r.standard_normal(len(v))
+    u -= (u @ v) * v
+    if len(v) == 1 or not np.linalg.norm(u):
+        return v
+    c = bound + (1 - bound) * (0.05 + 0.9 * r.random())
+    return c * v + np.sqrt(1 - c * c) * u / np.linalg.norm(u)
+
+
+def questions(vec: DataFrame, bound: float) -> tuple[DataFrame | None, pd.DataFrame]:
+    """Rows that ask, and their ids with the vectors that they do not ask for: sampled vectors, and vectors planted in their range."""
+    some = vec.orderBy(F.xxhash64("name", F.lit(11)), "name", "grp").limit(AUDIT).toPandas()
+    if not len(some):
+        return None, some
+    v = matrix(some["vec"]) if some["vec"].map(len).nunique() == 1 else [matrix([x])[0] for x in some["vec"]]
+    rows, n = [], len(some)
+    for i, (own, seed, g, x) in enumerate(zip(some["id"].tolist(), some["name"].tolist(), some["grp"].tolist(), v)):
+        rows.append((-1 - i, g, x.tolist(), own))
+        rows.append((-1 - n - i, g, planted(x, seed, bound).tolist(), None))
+    spark = vec.sparkSession
+    asked = pd.DataFrame(rows, columns=["id", "grp", "vec", "but"])
+    frame = spark.createDataFrame([(a, g, x, 0, True) for a, g, x, _ in rows], "id bigint, grp string, vec array<double>, copies bigint, asks boolean")
+    return frame, asked
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        inside = pdf[pdf["member"]]
-        ids = inside["id"].to_numpy()
-        if not len(ids):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        v, place = matrix(inside["vec"]), {int(x): i for i, x in enumerate(ids)}
-        adj = [np.array([place[y] for y in x if y in place], dtype=int) for x in inside["next"]]
-        q, own, start = matrix(pdf["vec"]), pdf["id"].to_numpy(), medoid(v)
-        a, b = [], []
-        for i in range(len(q)):
-            hit = ids[search(q[i], v, adj, start, beam, bound, slack)]
-            hit = hit[hit != own[i]]
-            a.append(np.full(len(hit), own[i]))
-            b.append(hit)
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).astype("int64")
-
-    pairs = every.groupBy("grp", "cluster", "at").applyInPandas(walk, "a bigint, b bigint")
-    pairs = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
-    return pairs.distinct()
-
-
-def exact(vec: DataFrame, bound: float) -> DataFrame:
-    """All directed links: every block of a group's vectors is multiplied with every other; quadratic in a group's size."""
-    sizes = vec.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(2.0 * SHARD)).cast("int").alias("blocks"))
-    dealt = vec.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("grp", "own", "id", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "vec")
-
-    def multiply(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["own"] == key[1]], pdf[pdf["own"] == key[2]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        i, j = np.nonzero(matrix(left["vec"]) @ matrix(right["vec"]).T >= bound)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        if key[1] != key[2]:
-            a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        return pd.DataFrame({"a": a[a != b], "b": b[a != b]}).astype("int64")
-
-    return dealt.groupBy("grp", "lo", "hi").applyInPandas(multiply, "a bigint, b bigint").distinct()
-
-
-def audit(vec: DataFrame, pairs: DataFrame, bound: float, sample: int = AUDIT) -> float | None:
-    """Recall of the links of a bounded sample, against a comparison with all vectors; none if it has too few true links.
-
-    The sample is of vectors at random and of as many that have links. It
-    is judged altogether and by the random ones alone; the lower counts.
-    """
-    order = F.xxhash64("id", F.lit(11))
-    some = vec.orderBy(order, "id").limit(sample).toPandas()
-    linked = vec.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(*vec.columns)
-    linked = linked.orderBy(order, "id").limit(sample).toPandas()
-    chance = set(some["id"].tolist())
-    rows = pd.concat([some, linked[~linked["id"].isin(chance)]])
-    if not len(rows):
-        return None
-    shared = vec.sparkSession.sparkContext.broadcast({g: (r["id"].to_numpy(), matrix(r["vec"])) for g, r in rows.groupby("grp")})
+
+def true_answers(vec: DataFrame, asked: pd.DataFrame, bound: float) -> DataFrame:
+    """``id, node``: every question compared with every vector of its group, block by block."""
+    shared = vec.sparkSession.sparkContext.broadcast({g: (r["id"].to_numpy(), matrix(r["vec"])) for g, r in asked.groupby("grp")})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pdf, a, c = b.to_pandas(), [], []
+            pdf, a, c = b.to_pandas(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for g, r in pdf.groupby("grp"):
                 if g in shared.value:
                     ids, v = shared.value[g]
                     i, j = np.nonzero(v @ matrix(r["vec"]).T >= bound)
                     a.append(ids[i])
                     c.append(r["id"].to_numpy()[j])
-            a, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, c))
-            keep = a != c
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], names=["id", "node"])
+
+    return vec.select("id", "grp", "vec").mapInArrow(compare, "id bigint, node bigint")
+
 
-    true = cut(vec.select("id", "grp", "vec").mapInArrow(compare, "a bigint, b bigint"), "audit")
-    n = true.count()
-    if n < ENOUGH:
-        return None
-    missed = [r["a"] for r in true.join(pairs, ["a", "b"], "left_anti").groupBy("a").count().collect() for _ in range(r["count"])]
-    drawn = sum(r["count"] for r in true.groupBy("a").count().collect() if r["a"] in chance)
-    lost = sum(a in chance for a in missed)
-    return min(1 - len(missed) / n, 1 - lost / drawn if drawn else 1.0)
+def recall(found: DataFrame, truth: DataFrame, asked: pd.DataFrame) -> float:
+    """The lower share of true answers found, of planted questions and, if they have ``ENOUGH``, of sampled vectors."""
+    got = found.select("id", F.explode("hits").alias("node")).distinct().withColumn("found", F.lit(1))
+    counts = truth.join(got, ["id", "node"], "left").groupBy("id").agg(F.count("*").alias("n"), F.count("found").alias("found")).toPandas()
+    counts = counts.merge(asked[["id", "but"]], on="id")
+    real = counts["but"].notna()  # a sampled vector answers itself, which is no evidence
+    n, m = counts["n"] - real, counts["found"] - real
+    shares = [m[k].sum() / n[k].sum() for k in (real, ~real) if n[k].sum() >= (ENOUGH if k is real else 1)]
+    return float(min(shares, default=1.0))
 
 
 def near_vectors(
@@ -273,10 +401,11 @@ def near_vectors(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     label_col: str | None = "label",
-    recall: float = 0.99,
+    recall_least: float = 0.99,
     overlap: int = 2,
     beam: int = 32,
     slack: float = 0.03,
+    report: dict | None = None,
 ) -> DataFrame:
     """Link vectors of equal label whose cosine is ``bound`` or more, and group what links reach.
 
@@ -285,11 +414,19 @@ def near_vectors(
     that are null, zero, or hold null or non-finite components, and rows
     with a null label or id, link with nothing; vectors of different
     lengths are not compared. A row with a null id has a null component
-    and is not kept. Rows that share an id are returned each. An empty
-    table gives no rows; further columns are not read. If an audited
-    recall is below ``recall``, shards and beam are widened, three times
-    at most. If it is still below, or an audit sees fewer than ``ENOUGH``
-    true links, all vectors of a label are compared, which is quadratic.
+    and is not kept. Rows that share an id are returned each,
+    with the links of their own vectors. An empty
+    table gives no rows; further columns are not read, whatever their
+    names. Ties do not arise: all links in range count.
+
+    Every vector is indexed and searched for; centroids are learnt from
+    ``SAMPLE`` vectors. The recall of each search is audited by ``AUDIT``
+    vectors and as many planted ones, against all vectors; below ``recall_least``
+    beam, range and overlap are widened and all is searched again. If
+    ``ROUNDS`` searches do not suffice, the job fails. ``report``, if
+    given, gets the audited recalls. There are ``CENTROIDS`` shards with
+    further ones by salt: beyond 33 million vectors, work per vector grows
+    with the table, by a millisecond for each further 50 million or so.
     """
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     own = df.select(df[id_col].cast("bigint").alias("id"), df[vec_col].cast("array<double>").alias("vec"), label.alias("label"))
@@ -298,7 +435,8 @@ def near_vectors(
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     good = good & (norm > 0) & (norm < F.lit(float("inf")))
     fit = own.where(F.coalesce(good, F.lit(False))).withColumn("grp", F.concat_ws("|", F.size("vec").cast("string"), "label"))
-    vec = cut(fit.groupBy("grp", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
+    vec = fit.groupBy("grp", "vec").agg(F.min("id").alias("name"), F.count("*").alias("copies"))
+    vec = cut(vec.withColumn("id", F.monotonically_increasing_id()), "vectors")  # ids of the table may name several vectors
     total = vec.count()
     size = max(SHARD, -(-total // CENTROIDS))
     large = vec.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > size)
@@ -306,21 +444,29 @@ def near_vectors(
     where: dict[str, np.ndarray] = {}
     if want:
         share = min(1.0, SAMPLE / total)
-        some = vec.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000).join(large.select("grp"), "grp", "left_semi")
-        where = centroids(some.select("id", "grp", "vec").toPandas(), want)
-    for _ in range(4):
-        pairs = cut(links_once(vec, where, bound, overlap, beam, slack), "links")
-        found = audit(vec, pairs, bound)
-        if found is None or found >= recall:
+        some = vec.where(F.pmod(F.xxhash64("name", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000).join(large.select("grp"), "grp", "left_semi")
+        where = centroids(some.select(F.col("name").alias("id"), "grp", "vec").toPandas(), want)
+    vec = vec.withColumn("asks", F.lit(False))
+    asks, asked = questions(vec, bound)
+    both = vec if asks is None else cut(vec.select("id", "grp", "vec", "copies", "asks").union(asks), "vectors-asked")
+    truth = cut(true_answers(vec, asked, bound), "answers") if len(asked) else None
+    for _ in range(ROUNDS):
+        links = cut(find_links(both, where, bound, overlap, beam, slack), "links")
+        share = recall(links, truth, asked) if truth is not None else 1.0
+        if report is not None:
+            report.setdefault("recall", []).append(share)
+        if share >= recall_least:
             break
         overlap, beam, slack = overlap + 1, beam * 2, slack * 1.5
-    if found is None or found < recall:
-        pairs = cut(exact(vec, bound), "exact")
-    count = pairs.join(vec.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
-    group = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src > dst"))
-    state = vec.join(count.withColumnRenamed("a", "id"), "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")
-    state = state.select("grp", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    state = cut(state, "vector-state")
+    else:
+        raise RuntimeError(f"near_vectors: audited recall {share:.3f}")
+    links = links.where("id >= 0")
+    count = links.groupBy("id").agg(F.sum("n").alias("n"))
+    group = components(links.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    state = vec.join(count, "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")
+    state = cut(state.select("grp", "vec", "name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "vector-state")
+    least = state.where("component is not null").groupBy("component").agg(F.min("name").alias("least"))
+    state = state.join(least, "component", "left").select("grp", "vec", "n_links", F.coalesce("least", "name").alias("component"))
     named = own.withColumn("grp", F.when(F.coalesce(good, F.lit(False)), F.concat_ws("|", F.size("vec").cast("string"), "label")))
     out = named.join(state, ["grp", "vec"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
