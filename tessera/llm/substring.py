@@ -19,7 +19,9 @@ words and no hashes, are all that decides which words go.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .minhash import grams, mix, word_hashes
+from .minhash import mix, word_hashes
 
 #: Words of an anchor phrase.
 PHRASE = 8
@@ -45,47 +47,73 @@ def split(text: str | None) -> list[bytes]:
     return text.encode("utf-8").split() if text else []
 
 
+@functools.lru_cache(maxsize=4)
+def powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``2 ** bits`` powers of an odd number and of its inverse, modulo 2**64."""
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        p = np.full(1 << bits, x, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
 class Rolling:
     """Hashes of ranges of a hashed word sequence, modulo 2**64."""
 
     def __init__(self, h: np.ndarray, base: int):
-        n = len(h)
-        one = np.ones(n + 1, np.uint64)
-        self.inverse = one.copy()
-        one[1:], self.inverse[1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        power = np.cumprod(one, dtype=np.uint64)
-        self.inverse = np.cumprod(self.inverse, dtype=np.uint64)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * power[:n], dtype=np.uint64, out=self.sums[1:])
+        power, self.inverse = powers(base, max(18, len(h).bit_length()))
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * power[: len(h)], dtype=np.uint64, out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
 class Runs:
-    """A document's runs: anchor and place, first and last window, and a digest of the words that the run covers."""
-
-    def __init__(self, words: list[bytes], window: int):
-        self.h = word_hashes(words)
-        self.window = window
-        n = len(words) - window + 1
-        if n <= 0:
-            self.at = self.first = self.last = np.zeros(0, np.int64)
+    """The runs of some documents: anchor and its place, first and last window, and a digest of the words that the run covers.
+
+    Places count through the words of all these documents.
+    """
+
+    def __init__(self, docs: list[list[bytes]], window: int):
+        self.window, self.words = window, list(chain.from_iterable(docs))
+        size = np.array([len(d) for d in docs], np.int64)
+        n = len(self.words)
+        self.h = word_hashes(self.words)
+        self.roll = Rolling(self.h, _B1)
+        start = np.flatnonzero(np.arange(n) + window <= np.repeat(np.cumsum(size), size))
+        if not len(start):
+            self.first = self.last = self.doc = start
             self.anchor = self.digest = np.zeros(0, np.uint64)
             return
-        g = grams(self.h, min(PHRASE, window))
-        view = np.lib.stride_tricks.sliding_window_view(g, len(g) - n + 1)
-        at = view.argmin(axis=1) + np.arange(n)
+        k = min(PHRASE, window)
+        g = self.roll.ranges(np.arange(n - k + 1), np.arange(k, n + 1))
+        at = np.lib.stride_tricks.sliding_window_view(g, window - k + 1).argmin(axis=1)[start] + start
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        self.at, self.first, self.last = at[begin], begin, np.concatenate([begin[1:], [n]]) - 1
-        self.anchor = g[self.at]
-        shape = ((self.last - self.first) << 20 | (self.at - self.first)).astype(np.uint64)
-        self.digest = mix(Rolling(self.h, _B1).ranges(self.first, self.last + window) ^ mix(shape))
+        self.first, self.last = start[begin], start[np.concatenate([begin[1:], [len(start)]]) - 1]
+        self.doc = np.repeat(np.arange(len(size)), size)[self.first]
+        at = at[begin]
+        self.anchor = g[at]
+        shape = ((self.last - self.first) << 20 | (at - self.first)).astype(np.uint64)
+        self.digest = mix(self.roll.ranges(self.first, self.last + window) ^ mix(shape))
 
     def windows(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit hashes of the windows that start at the given places."""
-        a = Rolling(self.h, _B1).ranges(start, start + self.window)
-        return a, Rolling(mix(self.h ^ _SALT), _B2).ranges(start, start + self.window)
+        return self.roll.ranges(start, start + self.window), Rolling(mix(self.h ^ _SALT), _B2).ranges(start, start + self.window)
+
+
+def chunks(texts: list[str | None], words: int = 200_000) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Split texts, a number of words at a time, with the place of the first text."""
+    first, out, n = 0, [], 0
+    for i, t in enumerate(texts):
+        out.append(split(t))
+        n += len(out[-1])
+        if n >= words:
+            yield first, out
+            first, out, n = i + 1, [], 0
+    if out:
+        yield first, out
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -97,20 +125,21 @@ def find_runs(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [Runs(split(t), window) for t in b.column(0).to_pylist()]
-            if not found:
-                continue
-            anchor, seg = np.concatenate([r.anchor for r in found]), np.concatenate([r.digest for r in found])
-            shard = np.repeat(b.column(1).to_numpy(), [len(r.at) for r in found])
-            order = np.lexsort((seg, anchor, shard))
-            anchor, seg, shard = anchor[order], seg[order], shard[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1]) | (shard[1:] != shard[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(order)))
-            yield pa.RecordBatch.from_arrays(
-                [signed(anchor[first]), signed(seg[first]), pa.array(shard[first], pa.int32()), pa.array(n.astype(np.int64))], names=["anchor", "seg", "shard", "n"]
-            )
+            shards = b.column(1).to_numpy()
+            for at, docs_ in chunks(b.column(0).to_pylist()):
+                r = Runs(docs_, window)
+                yield counted(r.anchor, r.digest, shards[at + r.doc])
+
+    def counted(anchor: np.ndarray, seg: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((seg, anchor, shard))
+        anchor, seg, shard = anchor[order], seg[order], shard[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1]) | (shard[1:] != shard[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(order)))
+        return pa.RecordBatch.from_arrays(
+            [signed(anchor[first]), signed(seg[first]), pa.array(shard[first], pa.int32()), pa.array(n.astype(np.int64))], names=["anchor", "seg", "shard", "n"]
+        )
 
     return docs.select("text", "shard").mapInArrow(run, "anchor bigint, seg bigint, shard int, n bigint")
 
@@ -182,29 +211,37 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         """The passages of the runs that a shard has to tell, and the windows of those that differ around one anchor."""
         asked = zip(right["anchor"].to_pylist(), right["seg"].to_pylist(), right["weight"].to_pylist(), right["mixed"].to_pylist())
         todo = {(a, s): (w, m) for a, s, w, m in asked}
-        out: dict[str, list] = {k: [] for k in ("anchor", "seg", "whole", "passage", "at", "a", "b", "n")}
-
-        def emit(**row):
-            for k, v in out.items():
-                v.append(row.get(k))
-
-        for text in left["text"].to_pylist() if todo else ():
-            if not todo:
-                break
-            words = split(text)
-            r = Runs(words, window)
-            for k, key in enumerate(zip(r.anchor.view(np.int64).tolist(), r.digest.view(np.int64).tolist())):
-                if key not in todo:
-                    continue
-                weight, mixed = todo.pop(key)
-                first, last = int(r.first[k]), int(r.last[k])
-                emit(anchor=key[0], seg=key[1], whole=weight > 1, passage=b" ".join(words[first : last + window]).decode())
-                if mixed:
-                    a, b = r.windows(np.arange(first, last + 1))
-                    for i, (x, y) in enumerate(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())):
-                        emit(anchor=key[0], seg=key[1], whole=weight > 1, at=i, a=x, b=y, n=weight)
-        kinds = {"whole": pa.bool_(), "passage": pa.string(), "at": pa.int32()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+        known = np.unique(right["anchor"].to_numpy())
+        tables = [told_rows([], [], [], [], [], [], [])]
+        for _, docs_ in chunks(left["text"].to_pylist()) if todo else ():
+            r = Runs(docs_, window)
+            hit = np.flatnonzero(np.isin(r.anchor.view(np.int64), known))
+            own, weight, mixed = [], [], []
+            for k, key in zip(hit.tolist(), zip(r.anchor[hit].view(np.int64).tolist(), r.digest[hit].view(np.int64).tolist())):
+                if key in todo:
+                    w, m = todo.pop(key)
+                    own.append(k)
+                    weight.append(w)
+                    mixed.append(m)
+            if not own:
+                continue
+            k, weight, mixed = np.array(own), np.array(weight), np.array(mixed)
+            anchor, seg = r.anchor[k].view(np.int64), r.digest[k].view(np.int64)
+            passage = [b" ".join(r.words[i : j + window]).decode() for i, j in zip(r.first[k].tolist(), r.last[k].tolist())]
+            none = pa.nulls(len(k), pa.int64())
+            tables.append(told_rows(anchor, seg, weight > 1, passage, none.cast(pa.int32()), none, none, none))
+            size = (r.last - r.first)[k] + 1
+            size = np.where(mixed, size, 0)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            a, b = r.windows(np.repeat(r.first[k], size) + at)
+            rest = [np.repeat(x, size) for x in (anchor, seg, weight > 1, weight)]
+            tables.append(told_rows(*rest[:3], pa.nulls(len(at), pa.string()), at, a.view(np.int64), b.view(np.int64), rest[3]))
+        return pa.concat_tables(tables)
+
+    def told_rows(anchor, seg, whole, passage, at, a, b, n=()) -> pa.Table:
+        kinds = zip(("anchor", "seg", "whole", "passage", "at", "a", "b", "n"), (anchor, seg, whole, passage, at, a, b, n))
+        types = {"whole": pa.bool_(), "passage": pa.string(), "at": pa.int32()}
+        return pa.table({name: pa.array(x, types.get(name, pa.int64())) for name, x in kinds})
 
     told = docs.select("shard", "text").groupBy("shard").cogroup(tell.groupBy("shard"))
     told = told.applyInArrow(confirm, "anchor bigint, seg bigint, whole boolean, passage string, at int, a bigint, b bigint, n bigint")
