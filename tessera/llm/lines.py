@@ -29,11 +29,22 @@ from .common import cut
 
 #: Line numbers are below this; document id and line number make one ordered number.
 _SPAN = "4294967296"
+#: What the second hash begins with.
+SECOND = 0x5DEECE66D
 
 
 def line_words(line: Column) -> Column:
-    """Words of a line in lower case; none if it is blank."""
-    return F.array_remove(F.split(F.lower(line), r"\s+"), "")
+    """Words of a line in lower case; none if it is blank. A single space as separator needs no pattern."""
+    other = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(c))
+    low = F.lower(line)
+    return F.array_remove(F.when(other, F.split(low, r"\s+")).otherwise(F.split(low, " ")), "")
+
+
+def keys(w: Column) -> list[Column]:
+    """Two independent hashes of a line's words, 128 bits that stand for the line."""
+    return [F.xxhash64(w).alias("key"), F.xxhash64(F.lit(SECOND), w).alias("also")]
 
 
 def blocks(w: Column, n: Column) -> Column:
@@ -113,17 +124,20 @@ def dedup_lines(
     text stays null with no lines; an empty one has one blank line. Rows
     that repeat id and text count as one and are each returned; of rows
     that share an id but not the text, the line number orders them. An
-    empty table gives no rows; further columns are not read.
+    empty table gives no rows; further columns are not read, whatever
+    their names. Texts and lines of any length are read whole; of lines
+    that tie, the earliest stays. Equal lines are told by two independent
+    64-bit hashes of their words, near ones by the words themselves.
     """
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), F.struct(F.lit(0).alias("none"), *[df[c] for c in carry]).alias("carried"))
     ord_ = (F.col("doc_id").cast("decimal(20,0)") * F.expr(f"cast({_SPAN} as decimal(11,0))") + F.col("no")).cast("decimal(38,0)")
     at = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    at = at.select("doc_id", "no", line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    at = at.select("doc_id", "no", F.xxhash64("w").alias("key"), F.when(F.size("w") >= min_words, blocks(F.col("w"), F.size("w"))).alias("b"))
-    occurrences = cut(at.select("doc_id", "no", "key", ord_.alias("ord"), *[F.col("b")[i].alias(f"b{i}") for i in range(4)]), "occurrences")
-    first = occurrences.groupBy("key").agg(F.min("ord").alias("first"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(4)])
+    at = at.where(F.col("line").rlike(r"\S")).select("doc_id", "no", line_words(F.col("line")).alias("w"))
+    at = at.select("doc_id", "no", *keys(F.col("w")), F.when(F.size("w") >= min_words, blocks(F.col("w"), F.size("w"))).alias("b"))
+    occurrences = cut(at.select("doc_id", "no", "key", "also", ord_.alias("ord"), *[F.col("b")[i].alias(f"b{i}") for i in range(4)]), "occurrences")
+    first = occurrences.groupBy("key", "also").agg(F.min("ord").alias("first"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(4)])
     first = cut(first, "first-lines")
-    occurrences = occurrences.select("doc_id", "no", "key", "ord")
+    occurrences = occurrences.select("doc_id", "no", "key", "also", "ord")
 
     def words(some: DataFrame) -> DataFrame:
         span = F.expr(f"cast({_SPAN} as decimal(11,0))")
@@ -133,16 +147,16 @@ def dedup_lines(
         lines = docs.select("doc_id", "text").join(asked.hint("shuffle_hash"), "doc_id")  # at any size alike; texts are not sorted
         lines = lines.select("doc_id", F.split("text", "\n").alias("lines"), "asked").select("doc_id", "lines", F.explode("asked").alias("no"))
         got = lines.select("doc_id", "no", line_words(F.get("lines", F.col("no"))).alias("w")).where(F.size("w") >= min_words)
-        got = got.select(ord_.alias("ord"), "w", F.xxhash64("w").alias("of"))
-        own = first.select(F.col("first").alias("ord"), F.col("key").alias("of"))
-        return got.join(own, ["ord", "of"], "left_semi").dropDuplicates(["ord"]).select("ord", "w")
+        got = got.select(ord_.alias("ord"), "w", *keys(F.col("w")))
+        own = first.select(F.col("first").alias("ord"), "key", "also")
+        return got.join(own, ["ord", "key", "also"], "left_semi").dropDuplicates(["ord"]).select("ord", "w")
 
     long = first.where("b0 is not null").select(F.col("first").alias("ord"), F.array("b0", "b1", "b2", "b3").alias("halves"))
     near = cut(near_lines(long, words), "near-lines")
-    first = first.select("key", "first")
+    first = first.select("key", "also", "first")
     state = first.join(near.select(F.col("ord").alias("first"), F.lit(True).alias("near")), "first", "left")
     state = cut(state, "line-state")
-    gone = occurrences.join(state, "key").where("near or ord > first")
+    gone = occurrences.join(state, ["key", "also"]).where("near or ord > first")
     gone = gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
     none = F.array().cast("array<int>")
     out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
