@@ -5,7 +5,8 @@ of ``gram`` words, of which each window of ``window - gram + 1`` keeps the
 least. Two texts that share ``window`` words share such a window and so
 its least hash; hence the join of the fingerprints finds every document
 that holds any window of any item. Hits are then extended: all windows of
-these documents are joined with the windows of the items.
+these documents are joined with the windows of the items, and their
+words compared.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import cut
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fingerprints of the test set up to which they are sent to every executor; beyond, both sides are shuffled.
-SEND = 1_000_000
+SEND = 200_000
 
 
 def words(text: Column) -> Column:
@@ -69,29 +70,33 @@ def decontaminate(
     never hit; a null item id counts among the items as an empty string.
     Repeated rows are returned each, repeated items count once. A null
     document id stays null. Empty tables give no rows, or none hit.
-    Further columns are not read. Windows are compared by 64-bit hashes of
-    64-bit word hashes.
+    Further columns are not read, whatever their names. Texts of any length
+    are read whole; of windows that tie for the least hash any one serves.
+    Candidates are found by 64-bit hashes; a hit is a window whose words
+    are equal. Fingerprints and windows of the items are sent to every
+    executor up to ``SEND`` of each, and shuffled beyond, with equal results.
     """
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     keyed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("digest", F.xxhash64("text"))
     items = bench.select(F.coalesce(bench[item_col].cast("string"), F.lit("")).alias("item"), words(bench[item_text]).alias("w"))
-    items = items.where(F.size("w") > 0).withColumn("h", hashes(F.col("w"))).select("item", "h")
+    items = items.where(F.size("w") > 0).withColumn("h", hashes(F.col("w"))).select("item", "w", "h")
     items = cut(items.withColumn("len", F.least(F.lit(window), F.size("h"))), "items")
     lens = sorted(r["len"] for r in items.select("len").distinct().collect())
     short = [n for n in lens if n < window]
 
     def spots(rows: DataFrame, keep: list[str]) -> DataFrame:
-        """``len, start, key`` of all windows of rows with hashed words ``h``, of every length that items have."""
+        """``len, start, key, phrase`` of all windows of rows with words ``w``, hashed in ``h``, of every length that items have."""
 
         def windows(n: int) -> Column:
-            return F.transform(grams(F.col("h"), n), lambda x, i: F.struct(F.lit(n).alias("len"), i.alias("start"), x.alias("key")))
+            phrase = lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " ")
+            return F.transform(grams(F.col("h"), n), lambda x, i: F.struct(F.lit(n).alias("len"), i.alias("start"), x.alias("key"), phrase(i).alias("phrase")))
 
         every = [windows(n) for n in lens]
-        none = F.array().cast("array<struct<len:int,start:int,key:bigint>>")
+        none = F.array().cast("array<struct<len:int,start:int,key:bigint,phrase:string>>")
         return rows.select(*keep, F.explode(F.concat(none, *every)).alias("span")).select(*keep, "span.*")
 
     own = spots(items.withColumnRenamed("len", "n"), ["item", "n"]).where("len = n")
-    own = cut(own.groupBy("len", "key").agg(F.collect_set("item").alias("items")), "windows")
+    own = cut(own.groupBy("len", "key", "phrase").agg(F.collect_set("item").alias("items")), "windows")
     marks = fingerprints(items.where(F.col("len") == window), gram, window).select(F.explode("marks").alias("mark"))
     marks = cut(marks.union(own.where(F.col("len") < window).select("key")).distinct(), "marks")
 
@@ -104,8 +109,9 @@ def decontaminate(
     found = found.select("id", "digest", F.explode(F.concat("marks", *[grams(F.col("h"), n) for n in short])).alias("mark"))
     found = cut(found.join(small(marks), "mark", "left_semi").select("id", "digest").distinct(), "found")
     hit = keyed.select("id", "digest", "text").join(found, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    hit = spots(hit.withColumn("w", words(F.col("text"))).select("id", "digest", hashes(F.col("w")).alias("h")), ["id", "digest"])
-    hit = hit.join(small(own), ["len", "key"])
+    hit = hit.select("id", "digest", words(F.col("text")).alias("w"))
+    hit = spots(hit.select("id", "digest", "w", hashes(F.col("w")).alias("h")), ["id", "digest"])
+    hit = hit.join(small(own), ["len", "key", "phrase"])
     hit = hit.groupBy("id", "digest").agg(
         F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
