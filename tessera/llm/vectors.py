@@ -173,6 +173,8 @@ def build(v: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.2,
 
     Vectors are inserted in a fixed random order, in batches that double up
     to ``batch``; a second pass inserts each again into the whole graph.
+    In the end links go both ways: pruning leaves some of a dense group
+    with hardly a link to them.
     """
     n = len(v)
     adj = np.full((n + 1, degree), n)
@@ -194,7 +196,12 @@ def build(v: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.2,
             fits = (both < n).sum(1) <= degree
             adj[to[fits], : min(degree, both.shape[1])] = both[fits, :degree]
             relink(adj, v, to[~fits], both[~fits], alpha)
-    return connect(adj, v, start)
+    i, k = np.nonzero(adj[:n] < n)
+    if len(i):
+        to, back = dealt(adj[i, k], i, n)
+        adj = np.concatenate([adj, np.full((n + 1, back.shape[1]), n)], 1)
+        adj[to, degree:] = back
+    return connect(once(adj, n), v, start)
 
 
 def connect(adj: np.ndarray, v: np.ndarray, start: int) -> np.ndarray:
