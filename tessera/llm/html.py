@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,12 +23,14 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'=<>`]++)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_MAYBE_HIDDEN = re.compile(r"hidden|display|visibility|open|colspan|start|value|type", re.I)
-_STYLE_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_AT = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -72,8 +75,8 @@ class Node:
         return None
 
 
-def parse(source: str) -> Node:
-    """Build the tree; never fails, whatever the markup."""
+def parse(source: str, sheets: list[str] | None = None) -> Node:
+    """Build the tree; never fails, whatever the markup. Style sheets are added to ``sheets``."""
     root = Node("#root")
     stack, tags = [root], ["#root"]
     counts: dict[str, int] = {}
@@ -151,18 +154,98 @@ def parse(source: str) -> Node:
             text = source[at : end.start() if end else size]
             at = end.end() if end else size
             stack[-1].kids.append(entities.unescape(text) if tag in ("textarea", "title") else text)
+            if tag == "style" and sheets is not None:
+                sheets.append(text)
             pop_to(len(tags) - 1)
     return root
 
 
-def hidden(node: Node) -> bool:
-    """Whether a browser would not show the element."""
-    if node.tag in HIDDEN:
-        return True
-    if node.attrs and _MAYBE_HIDDEN.search(node.attrs):
-        if node.attr("hidden") is not None or _STYLE_HIDDEN.search(node.attr("style") or ""):
-            return True
-    return node.tag == "dialog" and node.attr("open") is None
+@dataclass(frozen=True)
+class Rule:
+    """A style rule of one simple selector: a tag, classes and an id, any of them absent."""
+
+    tag: str
+    classes: frozenset
+    ident: str
+    weight: tuple
+    display: str | None
+    visibility: str | None
+
+    def matches(self, tag: str, classes: set, ident: str | None) -> bool:
+        return self.tag in ("", tag) and self.classes <= classes and self.ident in ("", ident)
+
+
+def declared(text: str) -> tuple[str | None, str | None, bool]:
+    """``display`` and ``visibility`` of a list of declarations, and whether one of them is important."""
+    found: dict[str, str] = {}
+    important = False
+    for part in text.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in ("display", "visibility") and value:
+            important |= value.endswith("!important")
+            found[name] = value.removesuffix("!important").strip()
+    return found.get("display"), found.get("visibility"), important
+
+
+def rules_of(sheet: str) -> list[Rule]:
+    """The rules of a style sheet that say whether something shows. At-rules and compound selectors are left out."""
+    out = []
+    for m in _RULE.finditer(_AT.sub("", _COMMENT.sub("", sheet))):
+        display, visibility, important = declared(m[2])
+        if display is None and visibility is None:
+            continue
+        for selector in m[1].split(","):
+            simple = _SIMPLE.fullmatch(selector.strip())
+            if not simple or not simple[0]:
+                continue
+            marks = re.findall(r"[.#][\w-]+", simple[2])
+            ids = [x[1:] for x in marks if x[0] == "#"]
+            if len(ids) > 1:
+                continue
+            tag = (simple[1] or "").lower().replace("*", "")
+            classes = frozenset(x[1:] for x in marks if x[0] == ".")
+            weight = (important, len(ids), len(classes), bool(tag), len(out))
+            out.append(Rule(tag, classes, "".join(ids), weight, display, visibility))
+    return out
+
+
+class Look:
+    """Visibility rules of one page."""
+
+    def __init__(self, sheets: list[str]):
+        rules = rules_of("\n".join(sheets)) if any("display" in x or "visibility" in x for x in sheets) else []
+        self.rules = sorted(rules, key=lambda r: r.weight)
+
+    def of(self, node: Node) -> tuple[bool, str | None]:
+        """Whether an element is left out, and what visibility it sets (none: that of its parent)."""
+        tag = node.tag
+        if tag in HIDDEN or tag == "dialog" and node.attr("open") is None:
+            return True, None
+        display = visibility = None
+        found = []
+        if self.rules:
+            classes, ident = set((node.attr("class") or "").split()), node.attr("id")
+            found = [r for r in self.rules if r.matches(tag, classes, ident)]
+        for r in found:
+            display, visibility = r.display or display, r.visibility or visibility
+        if node.attrs and (low := node.attrs.lower()):
+            if "style" in low:
+                own = declared(node.attr("style") or "")
+                display, visibility = own[0] or display, own[1] or visibility
+                for r in found:
+                    if r.weight[0]:
+                        display, visibility = r.display or display, r.visibility or visibility
+            if "hidden" in low and display is None and node.attr("hidden") is not None:
+                return True, None
+        return display == "none", visibility
+
+
+def whole(text: str | None, least: int, most: int) -> int | None:
+    """An integer attribute within bounds; none if it is absent or no number."""
+    if text and re.fullmatch(r"\s*[+-]?\d{1,9}\s*", text):
+        return max(least, min(most, int(text)))
+    return None
 
 
 class Writer:
@@ -228,27 +311,43 @@ def _kids(node: Node) -> list:
     return node.kids
 
 
-def layout(node: Node, depth: int = 0) -> list[str]:
-    """The visible lines of a subtree. Nothing but nested tables recurses, at most 40 deep."""
+def run(task: Generator) -> list[str]:
+    """Run a layout; the layouts that it asks for stand on a stack of their own, so that tables nest to any depth."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def layout(node: Node, look: Look, off: bool = False) -> Generator:
+    """The visible lines of a subtree; ``off`` if its surroundings are invisible."""
     w = Writer()
     lists: list[list] = []  # [tag, number of the next item]
     pre = 0
-    todo: list = [(node, False)]
+    todo: list = [(node, None)]
     while todo:
         x, closing = todo.pop()
         if isinstance(x, str):
+            if off:
+                continue
             if pre:
                 w.pre(x)
             else:
                 w.text(x)
             continue
         tag = x.tag
-        if closing:
-            if tag == "li" or tag == "dd" or tag == "blockquote":
+        if closing is not None:
+            indent, off = closing
+            if tag in ("li", "dd", "blockquote"):
                 w.flush()
                 w.marker = ""
-                w.indent = w.indent[: -closing] if closing is not True else w.indent
-            elif tag in ("ul", "ol", "menu", "dir"):
+                w.indent = w.indent[: len(w.indent) - indent]
+            elif tag in _LIST:
                 lists.pop()
             elif tag in ("pre", "xmp", "textarea"):
                 w.flush()
@@ -257,123 +356,169 @@ def layout(node: Node, depth: int = 0) -> list[str]:
                 w.gap()
             elif tag in BLOCK:
                 w.flush()
+            elif tag == "text":
+                w.text(" ")
             continue
-        if hidden(x):
+        gone, sight = look.of(x)
+        if gone:
             continue
+        before, off = off, sight in ("hidden", "collapse") if sight in ("hidden", "collapse", "visible") else off
         if tag == "br":
             if w.line:
                 w.flush()
-            elif w.lines:
+            elif w.lines and not off:
                 w.put("")
+            off = before
             continue
         if tag == "hr":
             w.gap()
+            off = before
             continue
-        if tag == "table" and depth < 40:
+        if tag == "table":
             w.gap()
-            for line in table(x, depth + 1):
+            for line in (yield table(x, look, off)):
                 w.put(line)
             w.gap()
+            off = before
             continue
         if tag in ("td", "th", "tr", "caption"):
             w.flush() if tag in ("tr", "caption") else w.text(" ")
         if tag in VOID:
-            if tag == "input" and (x.attr("type") or "text").lower() in ("submit", "button", "reset", "text"):
+            if tag == "input" and not off and (x.attr("type") or "text").lower() in ("submit", "button", "reset", "text"):
                 w.text(x.attr("value") or "")
+            off = before
             continue
         if tag in SPACED and not (tag in _LIST and lists):
             w.gap()
         elif tag in BLOCK:
             w.flush()
-        end: object = True
-        if tag in ("ul", "ol", "menu", "dir"):
-            start = x.attr("start") if tag == "ol" else None
-            lists.append([tag, int(start) if start and re.fullmatch(r"-?\d{1,9}", start) else 1])
+        elif tag == "text":
+            w.text(" ")
+        indent = 0
+        if tag in _LIST:
+            start = whole(x.attr("start"), -(10**9), 10**9) if tag == "ol" else None
+            lists.append([tag, 1 if start is None else start])
         elif tag == "li":
             marker = "- "
             if lists and lists[-1][0] == "ol":
+                value = whole(x.attr("value"), -(10**9), 10**9) if x.attrs else None
+                if value is not None:
+                    lists[-1][1] = value
                 marker = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            end = len(marker)
-            w.indent += " " * end
-            w.marker = marker
+            indent = len(marker)
+            w.indent += " " * indent
+            w.marker = "" if off else marker
         elif tag in ("dd", "blockquote"):
-            end = 2
+            indent = 2
             w.indent += "  "
         elif tag in ("pre", "xmp", "textarea"):
             pre += 1
             if x.kids and isinstance(x.kids[0], str) and x.kids[0][:1] == "\n":
                 x.kids[0] = x.kids[0][1:]
-        todo.append((x, end))
-        todo.extend((k, False) for k in reversed(_kids(x)))
+        todo.append((x, (indent, before)))
+        todo.extend((k, None) for k in reversed(_kids(x)))
     return w.done()
 
 
-def table(node: Node, depth: int) -> list[str]:
-    """A table's lines: captions, then rows whose cells begin at the same columns."""
+#: The most columns and rows that a cell may span (fixed values of the public HTML standard).
+SPANS = (1000, 65534)
+
+
+def table(node: Node, look: Look, off: bool) -> Generator:
+    """A table's lines: captions, then rows whose cells begin at the same columns.
+
+    Cells take the first free column of their row; those that span rows
+    keep their columns in the rows below.
+    """
     out: list[str] = []
-    rows: list[list[tuple[list[str], int]]] = []
-    todo = list(reversed(node.kids))
+    rows: list[list[tuple[list[str], int, int]]] = []  # lines, first column, columns
+    taken: dict[int, int] = {}  # column -> rows below that a cell still covers
+    todo: list = [(k, off) for k in reversed(node.kids)]
     loose: list = []
     while todo:
-        x = todo.pop()
+        x, dark = todo.pop()
         if isinstance(x, str):
-            loose.append(x)
-        elif hidden(x) or x.tag in ("col", "colgroup"):
+            if not dark:
+                loose.append(x)
             continue
-        elif x.tag == "caption":
-            out += layout(x, depth)
+        gone, sight = look.of(x)
+        if gone or x.tag in ("col", "colgroup") or (sight == "collapse" and x.tag in ("tr", "thead", "tbody", "tfoot")):
+            continue
+        seen = dark
+        if sight in ("hidden", "collapse", "visible"):
+            dark = sight != "visible"
+        if x.tag == "caption":
+            out += yield layout(cell_of(x.kids), look, dark)
         elif x.tag in ("thead", "tbody", "tfoot"):
-            todo += reversed(x.kids)
+            taken = {}
+            todo += [(k, dark) for k in reversed(x.kids)]
         elif x.tag == "tr":
-            row = []
+            row, at, new = [], 0, {}
             for c in x.kids:
-                if isinstance(c, Node) and c.tag in ("td", "th"):
-                    if not hidden(c):
-                        span = c.attr("colspan") if c.attrs else None
-                        cell = Node("#cell")
-                        cell.kids = c.kids
-                        row.append((layout(cell, depth), min(int(span), 100) if span and span.isdecimal() and len(span) < 5 and int(span) else 1))
-                elif isinstance(c, str):
-                    loose.append(c)
-                else:
-                    cell = Node("#cell")
-                    cell.kids = [c]
-                    row.append((layout(cell, depth), 1))
-            if any(lines for lines, _ in row):
+                if isinstance(c, str):
+                    if not dark:
+                        loose.append(c)
+                    continue
+                gone, sight = look.of(c)
+                if gone:
+                    continue
+                wide, deep, kids = 1, 1, [c]
+                if c.tag in ("td", "th"):
+                    kids = c.kids
+                    if c.attrs:
+                        wide = whole(c.attr("colspan"), 1, SPANS[0]) or 1
+                        deep = whole(c.attr("rowspan"), 0, SPANS[1])
+                        deep = 1 if deep is None else deep or SPANS[1]
+                while at in taken:
+                    at += 1
+                inner = sight != "visible" if sight in ("hidden", "collapse", "visible") else dark
+                row.append(((yield layout(cell_of(kids), look, inner)), at, wide))
+                if deep > 1:
+                    new |= dict.fromkeys(range(at, at + wide), deep - 1)
+                at += wide
+            taken = {k: n - 1 for k, n in taken.items() if n > 1} | new
+            if any(lines for lines, _, _ in row):
                 rows.append(row)
         else:
             loose.append(x)
+        dark = seen
     if loose:
-        before = Node("#loose")
-        before.kids = loose
-        out = layout(before, depth) + out
+        out = (yield layout(cell_of(loose), look, off)) + out
     widths: list[int] = []
     for row in rows:
-        at = 0
-        for lines, span in row:
-            if len(widths) < at + span:
-                widths += [0] * (at + span - len(widths))
-            if span == 1:
+        for lines, at, wide in row:
+            if len(widths) < at + wide:
+                widths += [0] * (at + wide - len(widths))
+            if wide == 1:
                 widths[at] = max([widths[at], *map(len, lines)])
-            at += span
+    begins = [0]
+    for x in widths:
+        begins.append(begins[-1] + x + 2)
     for row in rows:
-        for k in range(max(len(lines) for lines, _ in row)):
-            line, at, begin = "", 0, 0
-            for lines, span in row:
+        for k in range(max(len(lines) for lines, _, _ in row)):
+            line = ""
+            for lines, at, _ in row:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(begin) + lines[k]
-                begin = max(begin + sum(widths[at : at + span]) + 2 * span, len(line) + 2 if k < len(lines) and lines[k] else 0)
-                at += span
+                    line = line.ljust(max(begins[at], len(line) + 2 if line else 0)) + lines[k]
             out.append(line.rstrip())
     return out
 
 
+def cell_of(kids: list) -> Node:
+    """A nameless element of the given children."""
+    cell = Node("#cell")
+    cell.kids = kids
+    return cell
+
+
 def render(source: str | None) -> str:
     """All visible text of a page; null and empty pages give an empty text."""
     if not source:
         return ""
-    return "\n".join(layout(parse(source))).replace("\xa0", " ").strip("\n")
+    sheets: list[str] = []
+    root = parse(source, sheets)
+    return "\n".join(run(layout(root, Look(sheets)))).replace("\xa0", " ").strip("\n")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -382,7 +527,15 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> D
     Returns the id column as ``page_id``, ``text``, ``n_lines`` and
     ``n_words``. A null or empty page has an empty text; a repeated row is
     rendered again; a null id stays null; an empty table gives no rows;
-    further columns are not read.
+    further columns are not read, whatever their names. A page of any
+    length is rendered whole; tables and elements nest to any depth. Ties
+    do not arise.
+
+    Visible is what a browser with scripts would show by the markup: not
+    heads, scripts, templates, closed details and dialogs, nor elements
+    hidden by attribute, by their own style or by a style rule whose
+    selector is a tag, a class, an id or a conjunction of these; a visible
+    child of an invisible element shows. Text of SVG and MathML shows.
     """
     own = df.select(df[id_col].alias("page_id"), df[html_col].alias("html"))
     kind = own.schema["page_id"].dataType.simpleString()
