@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where chunks may not be cut at spaces: a space with white space on both sides, or after white space at the end.
 _RUN = re.compile(r"\s \s|\s \Z")
-#: Entries of one generation of a worker's cache.
-CACHE = 200_000
+#: Entries of one generation of a worker's cache, and the longest key that it keeps.
+CACHE, LONGEST = 200_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -51,6 +51,8 @@ class Generations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -163,7 +165,9 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     and ``over_limit``. A null text counts as empty (0 bytes, 0 tokens), a
     repeated row is counted again, a null id stays null, an empty table
     gives an empty result, and further columns, whatever their names, are
-    not read.
+    not read. A text of any length is counted whole; ties do not arise. A
+    worker remembers counts of pieces and chunks of at most ``LONGEST``
+    characters, so its memory is bounded whatever the texts.
     """
     own = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()

@@ -43,8 +43,10 @@ def test_ids_equal_the_library(library):
 
 
 def test_cache_is_bounded():
-    g = Generations(lambda k: k + 1, 10)
-    assert [g[i] for i in range(100)] == list(range(1, 101)) and len(g) <= 10 and len(g.old) <= 10
+    g = Generations(len, 10)
+    keys = ["x" * (i % 7) + str(i) for i in range(100)] + ["y" * 65, "z" * 100_000]
+    assert [g[k] for k in keys] == list(map(len, keys)) and len(g) <= 10 and len(g.old) <= 10
+    assert max(map(len, [*g, *g.old])) <= 64
 
 
 def test_token_counts(docs):
