@@ -167,7 +167,9 @@ def identify(
     there was nothing to learn from; a letter text without a known n-gram
     gets the commonest language with score 0. Repeated rows are predicted
     each, null ids stay null, an empty table gives no rows, and further
-    columns are not read.
+    columns are not read, whatever their names. A text of any length is
+    read whole, its n-grams counted as often as they stand; of languages
+    that tie, the first by name is returned.
     """
     own = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), df[lang_col].alias("lang"))
     fold = crc_mod(F.col("doc_id"), folds)

@@ -1,7 +1,8 @@
 """Quality classifier by nearest-neighbour voting.
 
-Texts become latent-semantic vectors: hashed byte n-grams, weighted and
-projected on the leading singular vectors of a labelled sample. The
+Texts become latent-semantic vectors: hashed n-grams of bytes and of word
+recency, weighted by how rare they are and projected on the leading
+singular vectors of a labelled sample. The
 sample's vectors go to every executor; exact cosine products with all of
 them, block by block, find each document's neighbours, whose labels vote
 with their similarity.
@@ -9,7 +10,6 @@ with their similarity.
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,24 +26,37 @@ BLOCK = 1 << 20
 ROWS = 256
 
 
-#: The last terms are no n-grams but counts of the surface: a word that repeats the one before it, capitals, marks.
-SURFACE = 3
-#: Occurrences that one count of these terms stands for.
-BOOST = 16.0
-_CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
-_MARK = np.array([33 <= b <= 47 and b not in b"'(),-." or 58 <= b <= 64 and b not in b":;?" or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
+#: What recency terms of one, two and three words begin with, so that they differ from each other and from n-grams of bytes.
+RECENCY = (7_000_000, 8_000_000, 9_000_000)
+
+
+def recency(words: list[str]) -> np.ndarray:
+    """For each word how long ago it stood last: the binary length of the distance, 0 if it is new."""
+    last: dict[str, int] = {}
+    out = np.zeros(len(words), np.uint32)
+    for i, w in enumerate(words):
+        j = last.get(w)
+        if j is not None:
+            out[i] = (i - j).bit_length()
+        last[w] = i
+    return out
+
+
+def term(g: np.ndarray, factor: int, shift: int) -> np.ndarray:
+    """A hash of numbered terms."""
+    return ((g ^ (g >> np.uint32(shift))) * np.uint32(factor)) >> np.uint32(7)
 
 
 def counts(text: str | None, dims: int) -> np.ndarray:
-    """Hashed counts of a text's byte bigrams and trigrams, upper case and marks kept, and of its surface terms."""
-    full = np.zeros(dims)
-    out, dims = full[:-SURFACE], dims - SURFACE
+    """Hashed counts of a text's terms: byte bigrams and trigrams, upper case and marks kept, and recency n-grams of words.
+
+    A word's recency says how long ago it stood last; sequences of up to
+    three of them tell prose, in which most words are new or far from
+    their like, from lists, refrains and words said over and over, in any
+    language.
+    """
+    out = np.zeros(dims)
     raw = text.encode("utf-8") if text else b""
-    if raw:
-        words = text.split()
-        every = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-        full[-SURFACE:] = sum(map(operator.eq, words, words[1:])), every[_CAPITAL].sum(), every[_MARK].sum()
-        full[-SURFACE:] *= BOOST
     for at in range(0, len(raw), BLOCK):
         b = np.frombuffer(raw, np.uint8)[at : at + BLOCK + 2].astype(np.uint32)
         if len(b) < 2:
@@ -51,9 +64,15 @@ def counts(text: str | None, dims: int) -> np.ndarray:
         two = (b[:-1] << 8) | b[1:]
         three = ((two[:-1] << 8) | b[2:]) + np.uint32(1 << 24)
         for g in (two, three):
-            h = ((g ^ (g >> np.uint32(11))) * np.uint32(0x9E3779B1)) >> np.uint32(7)
-            out += np.bincount(h % np.uint32(dims), minlength=dims)
-    return full
+            out += np.bincount(term(g, 0x9E3779B1, 11) % np.uint32(dims), minlength=dims)
+    r = recency(text.split()) if text else np.zeros(0, np.uint32)
+    for n, start in enumerate(RECENCY, 1):
+        if len(r) >= n:
+            g = np.zeros(len(r) - n + 1, np.uint32)
+            for k in range(n):
+                g = g * np.uint32(64) + r[k : len(r) - n + 1 + k]
+            out += np.bincount(term(g + np.uint32(start), 0x85EBCA77, 15) % np.uint32(dims), minlength=dims)
+    return out
 
 
 @dataclass(frozen=True)
@@ -143,7 +162,7 @@ def classify(
     folds: int = 5,
     held: int = 0,
     sample: int = 3000,
-    dims: int = 2048,
+    dims: int = 4096,
     rank: int = 64,
     k: int = 9,
     threshold: float = 0.3,
@@ -158,7 +177,10 @@ def classify(
     texts, and texts like no labelled one, get the share of label 1 among
     the labelled rows (0.5 if there are none). An id labelled twice counts
     with its mean. Repeated rows are scored each, null ids stay null, an
-    empty table gives no rows, further columns are not read.
+    empty table gives no rows, further columns are not read, whatever their
+    names. A text of any length is counted whole. Of neighbours that tie
+    for the last of the ``k`` places either may vote; a score at the
+    threshold counts as label 1.
     """
     model = prepare(df, labels, id_col, text_col, label_col, folds, held, sample, dims, rank, k)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -185,7 +207,7 @@ def keep_good(
     folds: int = 5,
     held: int = 0,
     sample: int = 3000,
-    dims: int = 2048,
+    dims: int = 4096,
     rank: int = 64,
     k: int = 9,
     threshold: float = 0.3,

@@ -76,3 +76,93 @@ def test_learnt_vectors_do_not_depend_on_row_order():
     x = np.stack([counts(t, 512) for t in ("a b c", "x! y! z!", "plain words", "MORE!! MARKS")]).astype(np.float32)
     m = learn(x, np.array([1.0, 0, 1, 0]), 2, 1)
     assert m.scores(["plain word"])[0] == 1.0 and m.scores(["MORE!! MARK"])[0] == 0.0
+
+
+def slow_counts(text, dims):
+    """The terms one by one."""
+    out, raw, words = [0] * dims, (text or "").encode(), (text or "").split()
+
+    def add(g, factor, shift):
+        out[(((g ^ (g >> shift)) * factor & 0xFFFFFFFF) >> 7) % dims] += 1
+
+    for i in range(len(raw) - 1):
+        add(raw[i] * 256 + raw[i + 1], 0x9E3779B1, 11)
+    for i in range(len(raw) - 2):
+        add(raw[i] * 65536 + raw[i + 1] * 256 + raw[i + 2] + (1 << 24), 0x9E3779B1, 11)
+    far = [next(((i - j).bit_length() for j in range(i - 1, -1, -1) if words[j] == w), 0) for i, w in enumerate(words)]
+    for n, start in ((1, 7_000_000), (2, 8_000_000), (3, 9_000_000)):
+        for i in range(len(far) - n + 1):
+            add(sum(far[i + k] * 64 ** (n - 1 - k) for k in range(n)) + start, 0x85EBCA77, 15)
+    return out
+
+
+def test_query_equals_slow_votes(spark, sf):
+    """Terms, projection and votes of op2's query against loops over all labelled vectors, with a full decomposition."""
+    docs = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {x["doc_id"]: x["quality"] for x in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    learnt = [i for i in sorted(labels) if fold(i, 5) and docs.get(i)]
+    x = np.array([slow_counts(docs[i], 4096) for i in learnt], float)
+    weight = np.log((len(x) + 1) / ((x > 0).sum(0) + 1)) + 0.1
+
+    def unit(v):
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    y = np.array([unit(np.sqrt(r) * weight) for r in x])
+    _, s, v = np.linalg.svd(y, full_matrices=False)
+    rank = min(64, len(x))
+    refs = [unit(v[:rank] @ r) for r in y]
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op2_quality_classifier"](spark, sf).collect()}
+    off = 0
+    for i in sorted(docs)[:120]:
+        q = unit(v[:rank] @ unit(np.sqrt(np.array(slow_counts(docs[i], 4096), float)) * weight))
+        near = sorted(((float(q @ r), labels[j]) for r, j in zip(refs, learnt)), key=lambda p: -p[0])[:9]
+        votes = [max(c, 0) ** 4 for c, _ in near]
+        score = sum(w * l for w, (_, l) in zip(votes, near)) / sum(votes)
+        off += abs(score - got[i]) > 0.02
+    assert off <= 2  # neighbours may tie but for rounding
+
+
+def test_query_equals_sets_of_ngrams(spark, sf):
+    """op9's query against plain sets of the n-grams of each language, without hashing."""
+    from collections import Counter
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+
+    def grams(t):
+        b = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in b" " + t.lower().encode() + b" ")
+        both = [b[i : i + 3] for i in range(len(b) - 2)] + [b[i : i + 4] for i in range(len(b) - 3)]
+        return [g for g in both if g[-2:] != b"  "]
+
+    by = {}
+    for x in rows:
+        if fold(x["doc_id"], 3) != 1 and x["lang"] is not None and x["text"] is not None:
+            by.setdefault(x["lang"], Counter()).update(grams(x["text"]))
+    share = {l: {g: n / c.total() for g, n in c.items() if n >= max(2, 1e-5 * c.total())} for l, c in by.items()}
+    top = Counter()
+    for s in share.values():
+        for g, f in s.items():
+            top[g] = max(top[g], f)
+    sets = {l: {g for g, f in s.items() if f >= 0.25 * top[g]} for l, s in share.items()}
+    got = {x["doc_id"]: x for x in QUERIES["op9_language_id"](spark, sf).collect()}
+    same = close = n = 0
+    for x in rows:
+        hits = {l: sum(g in s for g in grams(x["text"] or "")) for l, s in sets.items()}
+        if not x["text"] or not any(c.isalpha() for c in x["text"]):
+            assert got[x["doc_id"]]["lang_pred"] == "und"
+            continue
+        best = max(sorted(hits), key=hits.get)
+        n += 1
+        same += got[x["doc_id"]]["lang_pred"] == best
+        close += abs(got[x["doc_id"]]["score"] - hits[best] / max(1, sum(hits.values()))) < 0.02
+    assert same >= 0.99 * n and close >= 0.97 * n
+
+
+def test_long_and_tied_texts(spark):
+    rows = [(i, t, l, "s") for i, (t, l) in enumerate([("the cat sat on the mat", "en"), ("le chat est sur le tapis", "fr")] * 20)]
+    rows += [(900, "the mat " * 400_000, None, "s"), (901, "zzzz", None, "s")]
+    got = {x["doc_id"]: x for x in identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert got[900]["lang_pred"] == "en" and got[901]["score"] == 0.0 and got[901]["lang_pred"] in ("en", "fr")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame([(1, "same text"), (2, "same text"), (3, "same text"), (4, "w " * 2_000_000)], "doc_id bigint, text string")
+    score = {x["doc_id"]: (x["score"], x["predicted"]) for x in classify(docs, marks, folds=10**6).collect()}
+    assert score[1] == score[2] == score[3] == (0.5, 1)
