@@ -35,6 +35,8 @@ ENOUGH = 100
 ROUNDS = 9
 #: Vectors that are searched for at once.
 BLOCK = 256
+#: Pairs of vectors that are multiplied at once.
+PAIRS = 100_000
 #: What single precision may be wrong by; what is within it is compared in double precision.
 NEAR = 1e-5
 
@@ -79,15 +81,62 @@ def robust_prune(cand: np.ndarray, near: np.ndarray, v: np.ndarray, degree: int,
     return out
 
 
-def walk(q: np.ndarray, v: np.ndarray, adj: np.ndarray, start: int, beam: int, floor: float, expand: int = 4):
+class Lists:
+    """Adjacency lists of any length, one after the other."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.start = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        self.to = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a place in ``nodes`` and a neighbour of the node there."""
+        size = self.start[nodes + 1] - self.start[nodes]
+        place = np.repeat(np.arange(len(nodes)), size)
+        return place, self.to[np.repeat(self.start[nodes] - np.cumsum(size) + size, size) + np.arange(len(place))]
+
+
+class Rows:
+    """Adjacency lists of bounded length while a graph is built; ``none`` fills them up."""
+
+    def __init__(self, adj: np.ndarray):
+        self.adj, self.none = adj, len(adj) - 1
+
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = self.adj[nodes]
+        place, k = np.nonzero(near < self.none)
+        return place, near[place, k]
+
+
+def products(v: np.ndarray, at: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Products of pairs, some at a time."""
+    parts = [np.einsum("ij,ij->i", v[at[i : i + PAIRS]], q[row[i : i + PAIRS]]) for i in range(0, len(at), PAIRS)]
+    return np.concatenate(parts or [np.zeros(0, v.dtype)])
+
+
+def step(lists, row: np.ndarray, node: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``row, neighbour`` that a row has not seen yet, in order; they are seen from here on."""
+    n, keys = seen.shape[1], [np.zeros(0, np.int64)]
+    for i in range(0, len(row), PAIRS // 8):
+        place, near = lists.of(node[i : i + PAIRS // 8])
+        r = row[i + place]
+        new = ~seen[r, near]
+        keys.append(np.unique(r[new] * n + near[new]))
+    key = np.unique(np.concatenate(keys)) if len(keys) > 2 else keys[-1]
+    row, near = key // n, key % n
+    seen[row, near] = True
+    return row, near
+
+
+def walk(q: np.ndarray, v: np.ndarray, lists, start: int, beam: int, floor: float, expand: int = 4):
     """Greedy walks for all rows of ``q`` at once, each with a beam.
 
-    Returns the beams, what was seen, what was expanded, and the pairs
-    ``row, node, product`` met with a product of ``floor`` or more.
+    Returns the beams (``len(v)``: none), what was seen, what was expanded,
+    and the pairs ``row, node, product`` met with a product of ``floor`` or
+    more.
     """
     n = len(v)
-    seen = np.zeros((len(q), n + 1), bool)
-    seen[:, [start, n]] = True
+    seen = np.zeros((len(q), n), bool)
+    seen[:, start] = True
     ids, sims = np.full((len(q), beam), n), np.full((len(q), beam), -2, np.float32)
     done = np.ones((len(q), beam), bool)
     ids[:, 0], sims[:, 0], done[:, 0] = start, q @ v[start], False
@@ -102,42 +151,37 @@ def walk(q: np.ndarray, v: np.ndarray, adj: np.ndarray, start: int, beam: int, f
         on, pick, some = on[go], pick[go], some[go]
         if not len(on):
             return ids, seen, path, pool
-        row = on[:, None]
-        done[row, pick] = True
-        node = np.where(some, ids[row, pick], n)
+        done[on[:, None], pick] = True
+        node = np.where(some, ids[on[:, None], pick], n)
         path.append(np.full((len(q), expand), n))
         path[-1][on] = node
-        new = adj[node].reshape(len(on), -1)
-        new = once(np.where(seen[row, new], n, new), n)
-        seen[row, new] = True
-        s = dots(v, new, q[on])
-        s[new == n] = -2
-        a, b = np.nonzero(s >= floor)
-        pool.append((on[a], new[a, b], s[a, b]))
-        both, s2 = np.concatenate([ids[on], new], 1), np.concatenate([sims[on], s], 1)
-        d2 = np.concatenate([done[on], new == n], 1)
+        row, new = step(lists, np.repeat(on, expand)[some.ravel()], node.ravel()[some.ravel()], seen)
+        if not len(row):
+            continue
+        s = products(v, new, q, row)
+        hit = s >= floor
+        pool.append((row[hit], new[hit], s[hit]))
+        who, first, count = np.unique(row, return_index=True, return_counts=True)
+        place = np.repeat(np.arange(len(who)), count), np.arange(len(row)) - np.repeat(first, count)
+        more, worth = np.full((len(who), int(count.max())), n), np.full((len(who), int(count.max())), -2, np.float32)
+        more[place], worth[place] = new, s
+        both, s2 = np.concatenate([ids[who], more], 1), np.concatenate([sims[who], worth], 1)
+        d2 = np.concatenate([done[who], more == n], 1)
         top = np.argpartition(-s2, beam - 1, axis=1)[:, :beam]
-        ids[on], sims[on], done[on] = (np.take_along_axis(x, top, 1) for x in (both, s2, d2))
+        ids[who], sims[who], done[who] = (np.take_along_axis(x, top, 1) for x in (both, s2, d2))
 
 
-def search(q: np.ndarray, v: np.ndarray, adj: np.ndarray, start: int, beam: int, bound: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+def search(q: np.ndarray, v: np.ndarray, lists, start: int, beam: int, bound: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs ``row, node`` in range: greedy walks, then an expansion from all that came in or near the range."""
-    n = len(v)
-    _, seen, _, pool = walk(q, v, adj, start, beam, bound - slack)
+    _, seen, _, pool = walk(q, v, lists, start, beam, bound - slack)
     row, node, sim = (np.concatenate(x) for x in zip(*pool))
     found = []
-    while True:
+    while len(row):
         hit, go = sim >= bound - NEAR, sim >= bound - slack
         found.append((row[hit], node[hit]))
-        row, node = row[go], node[go]
-        new = adj[node]
-        a, b = np.nonzero(~seen[row[:, None], new])
-        if not len(a):
-            return np.concatenate([r for r, _ in found]), np.concatenate([m for _, m in found])
-        key = np.unique(row[a] * n + new[a, b])
-        row, node = key // n, key % n
-        seen[row, node] = True
-        sim = np.concatenate([np.einsum("ij,ij->i", v[node[i : i + 100_000]], q[row[i : i + 100_000]]) for i in range(0, len(row), 100_000)])
+        row, node = step(lists, row[go], node[go], seen)
+        sim = products(v, node, q, row)
+    return np.concatenate([np.zeros(0, np.int64), *(r for r, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(m for _, m in found)])
 
 
 def medoid(v: np.ndarray) -> int:
@@ -168,13 +212,13 @@ def dealt(key: np.ndarray, value: np.ndarray, none: int) -> tuple[np.ndarray, np
     return names, out
 
 
-def build(v: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.2, passes: int = 2, batch: int = 128) -> np.ndarray:
-    """Adjacency lists of a shard (``len(v)``: none); every vector can be reached from the medoid.
+def build(v: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.2, passes: int = 2, batch: int = 128) -> Lists:
+    """Adjacency lists of a shard; every vector can be reached from the medoid.
 
     Vectors are inserted in a fixed random order, in batches that double up
     to ``batch``; a second pass inserts each again into the whole graph.
-    In the end links go both ways: pruning leaves some of a dense group
-    with hardly a link to them.
+    In the end links go both ways: the members of a dense group keep little
+    but its middle, so that its middle has to know them all.
     """
     n = len(v)
     adj = np.full((n + 1, degree), n)
@@ -186,44 +230,40 @@ def build(v: np.ndarray, degree: int = 24, width: int = 32, alpha: float = 1.2,
         while at < len(order):
             own = order[at : at + size]
             at, size = at + size, min(batch, size * 2)
-            ids, _, path, _ = walk(v[own], v, adj, start, width, 3)
+            ids, _, path, _ = walk(v[own], v, Rows(adj), start, width, 3)
             cand = np.concatenate([ids, *path, adj[own]], 1)
             cand[cand == own[:, None]] = n
             relink(adj, v, own, once(cand, n), alpha)
             i, k = np.nonzero(adj[own] < n)
-            to, back = dealt(adj[own][i, k], own[i], n)
-            both = once(np.concatenate([adj[to], back], 1), n)
+            to, came = dealt(adj[own][i, k], own[i], n)
+            both = once(np.concatenate([adj[to], came], 1), n)
             fits = (both < n).sum(1) <= degree
             adj[to[fits], : min(degree, both.shape[1])] = both[fits, :degree]
             relink(adj, v, to[~fits], both[~fits], alpha)
-    i, k = np.nonzero(adj[:n] < n)
-    if len(i):
-        to, back = dealt(adj[i, k], i, n)
-        adj = np.concatenate([adj, np.full((n + 1, back.shape[1]), n)], 1)
-        adj[to, degree:] = back
-    return connect(once(adj, n), v, start)
+    a, k = np.nonzero(adj[:n] < n)
+    b = adj[a, k]
+    return connect(np.concatenate([a, b]), np.concatenate([b, a]), v, start)
 
 
-def connect(adj: np.ndarray, v: np.ndarray, start: int) -> np.ndarray:
-    """Tie what the medoid does not reach to the nearest vector that it reaches."""
+def connect(a: np.ndarray, b: np.ndarray, v: np.ndarray, start: int) -> Lists:
+    """The links as lists, and what the medoid does not reach tied to the nearest vector that it reaches."""
     n = len(v)
-    seen = np.zeros(n + 1, bool)
-    seen[[start, n]] = True
-    todo = np.array([start])
     while True:
+        key = np.unique(a * n + b)
+        a, b = key // n, key % n
+        lists = Lists(np.split(b, np.searchsorted(a, np.arange(1, n))))
+        seen = np.zeros(n, bool)
+        seen[start] = True
+        todo = np.array([start])
         while len(todo):
-            todo = np.unique(adj[todo])
+            todo = np.unique(lists.of(todo)[1])
             todo = todo[~seen[todo]]
             seen[todo] = True
-        out, reached = np.flatnonzero(~seen)[:BLOCK], np.flatnonzero(seen[:n])
+        out, reached = np.flatnonzero(~seen)[:BLOCK], np.flatnonzero(seen)
         if not len(out):
-            return adj
-        to, more = dealt(reached[(v[out] @ v[reached].T).argmax(1)], out, n)
-        wide = np.full((n + 1, more.shape[1]), n)
-        wide[to] = more
-        adj = once(np.concatenate([adj, wide], 1), n)
-        todo = out
-        seen[out] = True
+            return lists
+        to = reached[(v[out] @ v[reached].T).argmax(1)]
+        a, b = np.concatenate([a, to, out]), np.concatenate([b, out, to])
 
 
 def centroids(sample: pd.DataFrame, want: dict[str, int]) -> dict[str, np.ndarray]:
@@ -291,8 +331,8 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids = pdf["id"].to_numpy()
-        adj = build(matrix(pdf["vec"]).astype(np.float32))[:-1]
-        return pd.DataFrame({"id": ids, "next": [ids[a[a < len(ids)]].tolist() for a in adj]})
+        near = build(matrix(pdf["vec"]).astype(np.float32))
+        return pd.DataFrame({"id": ids, "next": [ids[x].tolist() for x in np.split(near.to, near.start[1:-1])]})
 
     graph = placed.where("not asks").select("grp", "cluster", "salt", "id", "vec").groupBy("grp", "cluster", "salt")
     graph = cut(graph.applyInPandas(lists, "id bigint, next array<bigint>"), "lists")
@@ -308,18 +348,15 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
             own[i, : len(x)] = x
         inside = np.flatnonzero(member)
         place = {int(x): i for i, x in enumerate(ids[inside])}
-        near = [[place[y] for y in pdf["next"][i] if y in place] for i in inside]
-        adj = np.full((len(inside) + 1, max(1, max(map(len, near)))), len(inside))
-        for i, x in enumerate(near):
-            adj[i, : len(x)] = x
+        lists = Lists([np.array([place[y] for y in pdf["next"][i] if y in place], dtype=np.int64) for i in inside])
         full = matrix(pdf["vec"])
         q = full.astype(np.float32)
         v, exact = q[inside], full[inside]
         start, got = medoid(v), []
         for i in range(0, len(q), BLOCK):
-            row, node = search(q[i : i + BLOCK], v, adj, start, beam, bound, slack)
+            row, node = search(q[i : i + BLOCK], v, lists, start, beam, bound, slack)
             row = row + i
-            ok = np.concatenate([np.einsum("ij,ij->i", full[row[k : k + 100_000]], exact[node[k : k + 100_000]]) >= bound for k in range(0, len(row), 100_000)] or [np.zeros(0, bool)])
+            ok = products(exact, node, full, row) >= bound
             got.append((row[ok], inside[node[ok]]))
         a, b = (np.concatenate(x) for x in zip(*got))
         hits: dict[int, list[int]] = {}
@@ -330,7 +367,7 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
         a, b = pair // len(pdf), pair % len(pdf)
         # a pair that meets in several clusters counts in the first of them
         first = np.concatenate(
-            [np.where((x[:, :, None] == y[:, None, :]).any(2) & (x >= 0), x, 1 << 30).min(1) for x, y in ((own[a[k : k + 100_000]], own[b[k : k + 100_000]]) for k in range(0, len(a), 100_000))]
+            [np.where((x[:, :, None] == y[:, None, :]).any(2) & (x >= 0), x, 1 << 30).min(1) for x, y in ((own[a[k : k + PAIRS]], own[b[k : k + PAIRS]]) for k in range(0, len(a), PAIRS))]
             or [np.zeros(0, int)]
         )
         root = least_reached(len(pdf), a, b)

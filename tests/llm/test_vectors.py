@@ -74,7 +74,7 @@ def test_graph_search_recall():
     adj = build(f)
     seen, todo = {medoid(f)}, [medoid(f)]
     while todo:
-        new = {int(j) for j in adj[todo.pop()] if j < len(v)} - seen
+        new = set(adj.of(np.array([todo.pop()]))[1].tolist()) - seen
         seen |= new
         todo += new
     assert len(seen) == len(v)
