@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a Python worker holds few texts at once; shuffle files go when their job is over.
 
-    What a later job reads is in the shared folder by then (``cut``).
+    What a later job reads is in the shared folder by then (``cut``). The
+    settings are those of the session and stay set.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -30,11 +31,14 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a local folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset,
+    a local folder stands in if all runs on this machine; elsewhere
+    executors could not read each other's files, and the job is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
         named = os.path.join(tempfile.gettempdir(), "tessera-shared")
     return named.rstrip("/")
 
@@ -48,7 +52,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that no plan reads any more: what was made of them is written by now."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def crc_mod(column, modulus: int):
@@ -69,12 +83,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = cut(e.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
     before = None
     for _ in range(rounds):
+        last = e
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 #: Line numbers are below this; document id and line number make one ordered number.
 _SPAN = "4294967296"
@@ -95,6 +95,7 @@ def near_lines(first: DataFrame, words: Callable[[DataFrame], DataFrame]) -> Dat
     key = cut(first.select("ord", F.explode("halves").alias("key")), "halves")
     more = cut(key.groupBy("key").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a <> b").select("key"), "shared-halves")
     some = cut(key.join(more, "key", "left_semi").select("ord").distinct(), "sharing")
+    drop(key, more)
     cand = cut(words(some), "candidates")
     v = cut(variants(cand), "variants")
     replaced = v.where("i >= 0").groupBy("v", "i", "n").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first <> last")
@@ -107,7 +108,9 @@ def near_lines(first: DataFrame, words: Callable[[DataFrame], DataFrame]) -> Dat
     links = links.union(least.groupBy("whole").agg(F.min("ord").alias("first")).where("first < whole").select(F.col("whole").alias("ord"), "first"))
     links = links.distinct()
     links = links.join(cand.select("ord", F.col("w").alias("a")), "ord").join(cand.select(F.col("ord").alias("first"), F.col("w").alias("b")), "first")
-    return links.where(within_one(F.col("a"), F.col("b"))).select("ord").distinct()
+    near = cut(links.where(within_one(F.col("a"), F.col("b"))).select("ord").distinct(), "near-lines")
+    drop(some, cand, v, replaced, least)
+    return near
 
 
 def dedup_lines(
@@ -136,7 +139,7 @@ def dedup_lines(
     at = at.select("doc_id", "no", *keys(F.col("w")), F.when(F.size("w") >= min_words, blocks(F.col("w"), F.size("w"))).alias("b"))
     occurrences = cut(at.select("doc_id", "no", "key", "also", ord_.alias("ord"), *[F.col("b")[i].alias(f"b{i}") for i in range(4)]), "occurrences")
     first = occurrences.groupBy("key", "also").agg(F.min("ord").alias("first"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(4)])
-    first = cut(first, "first-lines")
+    first = whole_first = cut(first, "first-lines")
     occurrences = occurrences.select("doc_id", "no", "key", "also", "ord")
 
     def words(some: DataFrame) -> DataFrame:
@@ -152,10 +155,11 @@ def dedup_lines(
         return got.join(own, ["ord", "key", "also"], "left_semi").dropDuplicates(["ord"]).select("ord", "w")
 
     long = first.where("b0 is not null").select(F.col("first").alias("ord"), F.array("b0", "b1", "b2", "b3").alias("halves"))
-    near = cut(near_lines(long, words), "near-lines")
+    near = near_lines(long, words)
     first = first.select("key", "also", "first")
     state = first.join(near.select(F.col("ord").alias("first"), F.lit(True).alias("near")), "first", "left")
     state = cut(state, "line-state")
+    drop(whole_first, near)
     gone = occurrences.join(state, ["key", "also"]).where("near or ord > first")
     gone = gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
     none = F.array().cast("array<int>")

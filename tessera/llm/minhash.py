@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop
 
 #: Odd constants that spread bits (fixed values of the public splitmix64 finaliser, and multipliers of our own).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -208,8 +208,11 @@ def near_duplicates(
     Returns ``doc_id, n_shingles, component_id, kept``, one row for each
     row. Null or blank texts have no shingles and link with nothing.
     Repeated rows are returned each and fall into one component; a null id
-    is returned with a null component and ``kept`` false. An empty table
-    gives no rows; further columns are not read.
+    is returned with a null component and ``kept`` false; rows that share
+    an id but not the text are each grouped by their own text, and their
+    groups join where the id is a representative. An empty table gives no
+    rows; further columns are not read, whatever their names. Texts of any
+    length are read whole; of documents that tie, the smallest id is kept.
     """
     sig = cut(signatures(df, k, bands, rows, id_col, text_col), "signatures")
     by = ["n", "set_a", "set_b"]
@@ -246,6 +249,7 @@ def near_duplicates(
     more = verify(across, texts, k, percent).where("linked").select("a", "b")
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    drop(texts, rest, across, tried, placed)
     named = sets.select(*by, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     named = cut(named.select(*by, F.coalesce("component", "rep").alias("component")), "components")
     out = sig.select("id", *by).join(named, by, "left")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 from .minhash import mix, word_hashes
 
 #: Words of an anchor phrase.
@@ -205,6 +205,7 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
     anchors = runs.groupBy("anchor").agg(F.sum("n").alias("total"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
     anchors = cut(anchors.where("total > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     again = cut(runs.join(anchors, "anchor"), "recurring")
+    drop(runs, anchors)
     tell = again.groupBy("anchor", "seg", "mixed").agg(F.sum("n").alias("weight"), F.min("shard").alias("shard"))
 
     def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -253,6 +254,7 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
     partly = passages.where("not whole").join(marked, ["anchor", "seg"])
     partly = partly.select("anchor", "seg", F.explode(stretches(F.split("passage", " "), F.col("at"), window)).alias("passage"))
     patterns = cut(passages.where("whole").select("anchor", "seg", "passage").union(partly), "passages")
+    drop(told)
     routed = again.select("anchor", "seg", "shard").distinct().join(patterns, ["anchor", "seg"]).select("shard", "passage")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
