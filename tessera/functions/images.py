@@ -39,7 +39,7 @@ def two_means(v: np.ndarray, rounds: int = 30, eps: float = 0.5) -> np.ndarray:
 
 
 def cluster_samples(df: DataFrame, keys: str, columns: list[str]) -> DataFrame:
-    """Two centroids of each group's samples."""
+    """Two centroids of each group's samples; for groups that are bounded, such as the samples of a track."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         c = two_means(pdf.sort_values(columns)[columns].to_numpy(float))
@@ -49,6 +49,159 @@ def cluster_samples(df: DataFrame, keys: str, columns: list[str]) -> DataFrame:
     return df.groupBy(keys).applyInPandas(run, schema)
 
 
+def grouped_two_means(df: DataFrame, key: str, columns: list[str], rounds: int = 30, eps: float = 0.5) -> DataFrame:
+    """``two_means`` of each group as rounds of grouped sums, for groups of any size: ``key, <column>_0, <column>_1``.
+
+    Only sums are shuffled; a group that moves by less than ``eps`` stands
+    still from then on.
+    """
+    from ..operators.store import materialise
+
+    rows = materialise(df.select(key, *columns))
+    wide = F.array(*[F.var_pop(c) for c in columns])
+    low = F.array(*[F.min(F.struct(F.col(c).alias("at"), *columns)) for c in columns])
+    high = F.array(*[F.min(F.struct((-F.col(c)).alias("at"), *columns)) for c in columns])
+    c = rows.groupBy(key).agg(wide.alias("wide"), low.alias("low"), high.alias("high"))
+    c = c.withColumn("axis", (F.array_position("wide", F.array_max("wide")) - 1).cast("int"))
+    ends = [F.get(end, F.col("axis"))[x].alias(f"{x}_{i}") for i, end in enumerate(("low", "high")) for x in columns]
+    c = materialise(c.select(key, *ends, F.lit(False).alias("done")))
+    far = [sum(((F.col(x) - F.col(f"{x}_{i}")) * (F.col(x) - F.col(f"{x}_{i}")) for x in columns), F.lit(0.0)) for i in (0, 1)]
+    names = [f"{x}_{i}" for i in (0, 1) for x in columns]
+    for _ in range(rounds):
+        own = rows.join(c.where("not done"), key).withColumn("own", F.when(far[1] < far[0], 1).otherwise(0))
+        new = own.groupBy(key).agg(*[F.avg(F.when(F.col("own") == i, F.col(x))).alias(f"new_{x}_{i}") for i in (0, 1) for x in columns])
+        both = c.join(new, key, "left")
+        moved = F.greatest(*[F.abs(F.coalesce(f"new_{n}", n) - F.col(n)) for n in names], F.lit(0.0))
+        c = materialise(both.select(key, *[F.coalesce(f"new_{n}", n).alias(n) for n in names], (F.col("done") | (moved < eps)).alias("done")))
+        if c.where("not done").isEmpty():
+            break
+    return c.drop("done")
+
+
+def color_clusters(pixels: np.ndarray, k: int = 3, rounds: int = 20, eps: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and sizes by Lloyd's rounds from the mean's farthest pixel on, each next centre the farthest from those before; no randomness."""
+    c = [pixels[((pixels - pixels.mean(0)) ** 2).sum(1).argmax()]]
+    while len(c) < k:
+        c.append(pixels[np.min([((pixels - x) ** 2).sum(1) for x in c], axis=0).argmax()])
+    c = np.array(c, float)
+    for _ in range(rounds):
+        own = ((pixels[:, None] - c) ** 2).sum(-1).argmin(1)
+        new = np.stack([pixels[own == i].mean(0) if (own == i).any() else c[i] for i in range(k)])
+        moved = np.abs(new - c).max()
+        c = new
+        if moved < eps:
+            break
+    own = ((pixels[:, None] - c) ** 2).sum(-1).argmin(1)
+    return c, np.bincount(own, minlength=k)
+
+
+def dominant(image: np.ndarray, least: int = 30) -> tuple[int, int, int] | None:
+    """The centre of the largest colour cluster of a ``(h, w, 3)`` image, among pixels that are neither dark nor blown out."""
+    if image.size == 0:
+        return None
+    value = image.max(2)
+    pixels = image[(value > 30) & (value < 245)].astype(float)
+    if len(pixels) < least:
+        return None
+    c, n = color_clusters(pixels, 3 if len(pixels) >= 30 else 1)
+    return tuple(int(x) for x in c[int(n.argmax())])
+
+
+def grid_color(image: np.ndarray, rows: int = 3, cols: int = 2) -> tuple[int, int, int] | None:
+    """The mean of the dominant colours of a grid's cells; of the whole image where cells are under six pixels or none has a colour."""
+    h, w = image.shape[:2]
+    if h < 6 * rows or w < 6 * cols:
+        return dominant(image)
+    cells = [image[i * h // rows : (i + 1) * h // rows, j * w // cols : (j + 1) * w // cols] for i in range(rows) for j in range(cols)]
+    found = [c for c in (dominant(x, 10) for x in cells) if c is not None]
+    return tuple(int(x) for x in np.mean(np.array(found, float), axis=0)) if found else dominant(image)
+
+
+def crop_colors(df: DataFrame, ident: str = "event_id") -> DataFrame:
+    """``ident, b, g, r`` of image columns ``h, w, data`` (bytes, row by row); nulls where there is no colour."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            got = [grid_color(np.frombuffer(d, np.uint8).reshape(h, w, 3)) or (None,) * 3 for h, w, d in zip(pdf["h"], pdf["w"], pdf["data"])]
+            yield pd.DataFrame({ident: pdf[ident], **{c: pd.array([x[i] for x in got], dtype="Int32") for i, c in enumerate("bgr")}})
+
+    return df.select(ident, "h", "w", "data").mapInPandas(run, f"{ident} {df.schema[ident].dataType.simpleString()}, b int, g int, r int")
+
+
+def letterboxed(image: np.ndarray, w: int, h: int) -> np.ndarray:
+    """The image scaled to fit, in the middle of a black canvas, each channel stretched to the full range, from 0 to 1."""
+    ih, iw = image.shape[:2]
+    scale = min(w / max(iw, 1), h / max(ih, 1))
+    nw, nh = max(1, min(w, int(iw * scale))), max(1, min(h, int(ih * scale)))
+    y, x = (np.arange(nh) * ih // nh), (np.arange(nw) * iw // nw)
+    out = np.zeros((h, w, 3), np.float32)
+    out[(h - nh) // 2 : (h - nh) // 2 + nh, (w - nw) // 2 : (w - nw) // 2 + nw] = image[y][:, x]
+    low, high = out.min((0, 1)), out.max((0, 1))
+    stretch = np.where(high - low > 1e-3, 255.0 / np.maximum(high - low, 1e-3), 1.0)
+    return np.where(high - low > 1e-3, (out - low) * stretch, out) / 255.0
+
+
+def convolution(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Images ``(n, h, w, c)`` under kernels ``(3, 3, c, d)``, padded by one pixel, rectified."""
+    padded = np.pad(x, ((0, 0), (1, 1), (1, 1), (0, 0)))
+    out = sum(padded[:, i : i + x.shape[1], j : j + x.shape[2]] @ kernel[i, j] for i in range(3) for j in range(3))
+    return np.maximum(out, 0)
+
+
+def contrastive_vectors(images: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
+    """Unit vectors of letterboxed images: three convolutions, two of them halved, averages of 4 by 2 cells, two dense layers.
+
+    Weights are ``c1, c2, c3`` (kernels), ``d1, d2`` (dense); they come
+    from a checkpoint, which this library does not train.
+    """
+    x = images
+    for name in ("c1", "c2", "c3"):
+        x = convolution(x, weights[name])
+        if name != "c3":
+            n, h, w, c = x.shape
+            x = x[:, : h // 2 * 2, : w // 2 * 2].reshape(n, h // 2, 2, w // 2, 2, c).max((2, 4))
+    n, h, w, c = x.shape
+    cells = [x[:, i * h // 4 : -(-(i + 1) * h // 4), j * w // 2 : -(-(j + 1) * w // 2)].mean((1, 2)) for i in range(4) for j in range(2)]
+    z = np.maximum(np.concatenate(cells, 1) @ weights["d1"], 0) @ weights["d2"]
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+
+
+def stub_weights(size: int = 16, seed: int = 0) -> dict[str, np.ndarray]:
+    """Stands in for a checkpoint: weights by a fixed random seed, of the trained network's shapes but for the last layers' size."""
+    r = np.random.default_rng(seed)
+    shapes = {"c1": (3, 3, 3, 16), "c2": (3, 3, 16, 32), "c3": (3, 3, 32, 64), "d1": (512, 4 * size), "d2": (4 * size, size)}
+    return {k: (r.standard_normal(s) / np.sqrt(np.prod(s[:-1]))).astype(np.float32) for k, s in shapes.items()}
+
+
+def embed_crops(df: DataFrame, backend: Callable[[list[np.ndarray]], np.ndarray], batch: int = 64) -> DataFrame:
+    """Adds a vector ``v`` to rows with image columns ``h, w, data``, which go; the backend gets ``batch`` images at once."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            images = [np.frombuffer(d, np.uint8).reshape(h, w, 3) for h, w, d in zip(pdf["h"], pdf["w"], pdf["data"])]
+            v = [x.tolist() for at in range(0, len(images), batch) for x in np.asarray(backend(images[at : at + batch]), float)]
+            yield pdf.drop(columns=["h", "w", "data"]).assign(v=v)
+
+    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name not in ("h", "w", "data"))
+    return df.mapInPandas(run, f"{rest}, v array<double>")
+
+
+def painted(df: DataFrame, ident: str, h: str, w: str, base: list[str]) -> DataFrame:
+    """Test images for rows without any: ``h`` by ``w`` pixels about a base colour, with a pattern that depends on the id; other columns are kept."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            data = []
+            for e, hh, ww, *bgr in zip(pdf[ident], pdf["h"], pdf["w"], *(pdf[c] for c in base)):
+                at = np.arange(hh * ww * 3).reshape(hh, ww, 3)
+                data.append(((np.array(bgr) + (at * (e % 7 + 1)) % 23) % 256).astype(np.uint8).tobytes())
+            yield pdf.assign(data=data)
+
+    sized = df.withColumns({"h": F.expr(h).cast("int"), "w": F.expr(w).cast("int")})
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema)
+    return sized.mapInPandas(run, f"{schema}, data binary")
+
+
 def two_centroids(df: DataFrame, vector: str, ident: str, rounds: int = 30) -> np.ndarray | None:
     """``two_means`` on all components, the sums made on the executors, until nothing moves; none for an empty table."""
 

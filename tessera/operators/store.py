@@ -6,13 +6,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; a local folder stands in only where all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+        base = os.path.join(tempfile.gettempdir(), "tessera-shared")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write and reread; the folder is ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """Write and reread, so that lineage ends and what follows may read the rows again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-shared")
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -189,13 +189,16 @@ def a20(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", F.transform(E.unit("v"), lambda x: F.round(x, 12)).alias("v"))
 
 
-@plan("a21_referee_score", None)
+_HEAD = "list_inner_product(embedding::DOUBLE[], list_transform(range(0, 64), lambda i: CASE WHEN i % 2 = 0 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END))"
+
+
+@plan("a21_referee_score", f"SELECT label, round(avg(1 / (1 + exp(-{_HEAD}))), 9) AS ref_score, avg(1 / (1 + exp(-{_HEAD}))) > 0.5 AS is_referee FROM embeddings GROUP BY label")
 def a21(spark: SparkSession, sf: str) -> DataFrame:
     """A referee head's mean score by label; above one half it is a referee."""
     from ..functions.images import linear_head
 
     e = linear_head(read(spark, sf, "embeddings"), "embedding", [(-1.0) ** i / 8 for i in range(64)], 0.0)
-    return e.groupBy("label").agg(F.avg("score").alias("ref_score")).withColumn("is_referee", F.col("ref_score") > 0.5)
+    return e.groupBy("label").agg(F.avg("score").alias("s")).select("label", F.round("s", 9).alias("ref_score"), (F.col("s") > 0.5).alias("is_referee"))
 
 
 @det_plan("a22_team_swatch", "@DET, s AS (SELECT team_id, trunc(avg(k))::BIGINT AS b FROM det WHERE k > 98 GROUP BY team_id) SELECT t AS team_id, coalesce(s.b, 128) AS b FROM (SELECT unnest([0, 1, 2]) AS t) LEFT JOIN s ON s.team_id = t")
@@ -240,14 +243,18 @@ def a26(det: DataFrame) -> DataFrame:
     return det.agg(n("num = cast(k as string)").alias("hits"), F.count("*").alias("n"), n("k % 3 <> 0 and num = cast(k as string)").alias("positive_hits"), n("k % 3 = 0 and num = cast(k as string)").alias("negative_hits"))
 
 
-@plan("a27_triplet_rate", None)
+_LIP = "list_inner_product(v, {}) "
+
+
+@plan("a27_triplet_rate", f"WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings), p AS (SELECT * FROM (SELECT label, v, lead(v) OVER (PARTITION BY label ORDER BY h, vec_id) AS p FROM e) WHERE p IS NOT NULL), n AS (SELECT label - 1 AS label, v AS n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) AS rn FROM e) WHERE rn = 1) SELECT p.label, count(*) AS pairs, coalesce(sum(({_LIP.format('p')} > {_LIP.format('n')})::INT), 0)::BIGINT AS satisfied FROM p LEFT JOIN n ON p.label = n.label GROUP BY p.label")
 def a27(spark: SparkSession, sf: str) -> DataFrame:
     """Share of triplets whose positive is nearer than the negative; triplets without a negative count as missed."""
     e = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    w = W.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id")
+    mixed = F.md5(F.col("vec_id").cast("string"))
+    w = W.partitionBy("label").orderBy(mixed, "vec_id")
     pos = e.withColumn("p", F.lead("v").over(w)).where("p is not null")
     neg = e.select((F.col("label") - 1).alias("label"), "vec_id", F.col("v").alias("n"))
-    neg = O.top_n(neg, ["label"], [F.xxhash64("vec_id"), F.col("vec_id")], 1).select("label", "n")
+    neg = O.top_n(neg, ["label"], [mixed, F.col("vec_id")], 1).select("label", "n")
     t = pos.join(neg, "label", "left").withColumn("ok", E.dot("v", "p") > E.dot("v", "n"))
     return t.groupBy("label").agg(F.count("*").alias("pairs"), F.count_if("ok").alias("satisfied"))
 
@@ -284,10 +291,12 @@ def a32(det: DataFrame) -> DataFrame:
 @det_plan("a33_kmeans_teams", None)
 def a33(det: DataFrame) -> DataFrame:
     """Two centroids of the skaters of each run."""
-    from ..functions.images import cluster_samples
+    from ..functions.images import grouped_two_means
 
     skaters = S.tracked(det).where("class_name <> 'goaltender'")
-    return cluster_samples(skaters.selectExpr("run_id", "cast(x1 as double) as x", "cast(y1 as double) as y"), "run_id", ["x", "y"])
+    c = grouped_two_means(skaters.selectExpr("run_id", "cast(x1 as double) as x", "cast(y1 as double) as y"), "run_id", ["x", "y"])
+    both = F.array(*[F.struct(F.lit(i).alias("cluster"), F.col(f"x_{i}").alias("x"), F.col(f"y_{i}").alias("y")) for i in (0, 1)])
+    return c.select("run_id", F.explode(both).alias("c")).select("run_id", "c.*")
 
 
 @det_plan("a34_nearest_centroid", "@DET SELECT event_id, CASE WHEN (x1 - 700) * (x1 - 700) + (y1 - 300) * (y1 - 300) < (x1 - 300) * (x1 - 300) + (y1 - 200) * (y1 - 200) THEN 1 ELSE 0 END AS team FROM det")
@@ -380,10 +389,14 @@ def k07(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan("w10_negative_subsample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM labels WHERE toxic = 0) WHERE rn <= (SELECT round_even(count(*) * 1.0::DOUBLE, 0)::BIGINT FROM labels WHERE toxic = 1)")
 def w10(spark: SparkSession, sf: str) -> DataFrame:
-    """As many negatives as positives, the first in the order of a hash; the size is known before the sort is limited."""
+    """As many negatives as positives, the first in the order of a hash: places within ranges of it, and no global sort."""
+    from ..operators.graph import ranked
+
     l = read(spark, sf, "labels")
-    n = l.where("toxic = 1").count()
-    return l.where("toxic = 0").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(round(n * 1.0)).select("doc_id")
+    key = F.concat_ws("|", F.md5(F.col("doc_id").cast("string")), F.lpad(F.col("doc_id").cast("string"), 20, "0"))
+    n = l.agg(F.bround(F.count_if(F.expr("toxic = 1")) * F.lit(1.0)).cast("bigint").alias("wanted"))
+    first = ranked(l.where("toxic = 0").select("doc_id", key.alias("key")), "key").crossJoin(F.broadcast(n))  # one row
+    return first.where("i < wanted").select("doc_id")
 
 
 @plan("w11_group_holdout", "WITH g AS (SELECT source, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(source), source) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT DISTINCT source, lang FROM documents)) SELECT d.doc_id, g.rn <= greatest(1, trunc(g.n * 0.2::DOUBLE)::BIGINT) AS held FROM documents d JOIN g ON d.source = g.source AND d.lang = g.lang")

@@ -86,8 +86,8 @@ def x11(det: DataFrame) -> DataFrame:
 def f01(det: DataFrame) -> DataFrame:
     """Colour engine: two centroids of a run's samples, each sample's nearest, and the track's majority."""
     px = det.where("track_id >= 0").selectExpr("run_id", "track_id", "cast(k as double) as b", "cast(user_id % 256 as double) as g")
-    c = I.cluster_samples(px, "run_id", ["b", "g"]).groupBy("run_id").pivot("cluster", [0, 1]).agg(F.first("b").alias("b"), F.first("g").alias("g"))
-    j = px.join(c, "run_id").withColumn("team", F.expr("if(pow(b - `1_b`, 2) + pow(g - `1_g`, 2) < pow(b - `0_b`, 2) + pow(g - `0_g`, 2), 1, 0)"))
+    c = I.grouped_two_means(px, "run_id", ["b", "g"])
+    j = px.join(c, "run_id").withColumn("team", F.expr("if(pow(b - b_1, 2) + pow(g - g_1, 2) < pow(b - b_0, 2) + pow(g - g_0, 2), 1, 0)"))
     return j.groupBy("run_id", "track_id").agg((2 * F.sum("team") > F.count("*")).cast("int").alias("team"), F.count("*").alias("samples"))
 
 
@@ -103,6 +103,38 @@ def f09(det: DataFrame) -> DataFrame:
     return det.selectExpr("event_id", "least(3L, (x2 - x1) div 6) * least(2L, (y2 - y1) div 6) as cells")
 
 
+def crops(det: DataFrame) -> DataFrame:
+    """The torso images that detections would have: of their box's size, painted in a colour of their team and number."""
+    d = det.where("track_id >= 0").selectExpr("event_id", "track_id", "conf_c", "k", "cast(40 + 150 * team_id as int) as cb", "cast(k * 2 as int) as cg", "cast(60 + user_id % 100 as int) as cr")
+    return I.painted(d, "event_id", "8 + k % 30", "5 + k % 16", ["cb", "cg", "cr"])
+
+
+@det_plan("f09_dominant_colors", None)
+def f09_colors(det: DataFrame) -> DataFrame:
+    """The grid's mean of dominant colours of every crop."""
+    return I.crop_colors(crops(det))
+
+
+@det_plan("f04_contrastive_engine", None)
+def f04(det: DataFrame) -> DataFrame:
+    """Contrastive engine: vectors of each track's fifteen surest crops by the small network, then medoids, two clusters and votes."""
+    from ..operators.tracks import top_n
+
+    top = top_n(det.where("track_id >= 0"), ["track_id"], [F.desc("conf_c"), F.col("event_id")], 15).drop("rn")
+    return contrastive_teams(crops(top))
+
+
+def contrastive_teams(rows: DataFrame, weights: dict | None = None, size: tuple[int, int] = (16, 32)) -> DataFrame:
+    """Teams of tracks from crops ``(track_id, event_id, h, w, data)``; size and weights are the checkpoint's."""
+    import numpy as np
+
+    w = weights or I.stub_weights()
+    backend = lambda images: I.contrastive_vectors(np.stack([I.letterboxed(x, *size) for x in images]), w)
+    v = I.embed_crops(rows.select("track_id", "event_id", "h", "w", "data"), backend)
+    out = embedding_teams(v.selectExpr("track_id as label", "event_id as vec_id", "v"))
+    return out.withColumnsRenamed({"label": "track_id", "vec_id": "event_id"})
+
+
 @det_plan("f10_triplet_weights", "@DET, c AS (SELECT run_id, count(DISTINCT CASE WHEN team_id = 0 THEN track_id END) AS a, count(DISTINCT CASE WHEN team_id = 1 THEN track_id END) AS b FROM det WHERE track_id >= 0 GROUP BY run_id) SELECT run_id, least(a, b) * (a + b) AS weight FROM c")
 def f10(det: DataFrame) -> DataFrame:
     """A clip's weight in the sampler of triplets."""
@@ -166,14 +198,18 @@ def embedding_teams(e: DataFrame) -> DataFrame:
     return out.select("label", "vec_id", "team", *votes)
 
 
-@plan("f05_referee_head", None)
+_UNIT = "greatest(0, list_inner_product(embedding::DOUBLE[], list_transform(range(0, 64), lambda i: ((i * 16 + j) % 7 - 3) / 8.0::DOUBLE)))"
+_LOGIT = f"list_inner_product(list_transform(range(0, 16), lambda j: {_UNIT}), list_transform(range(0, 16), lambda j: (j % 5 - 2) / 4.0::DOUBLE))"
+
+
+@plan("f05_referee_head", f"SELECT vec_id, round(1 / (1 + exp(-{_LOGIT})), 9) AS score FROM embeddings")
 def f05(spark: SparkSession, sf: str) -> DataFrame:
-    """A 64-16-1 head over embeddings."""
+    """A 64-16-1 head over embeddings; its weights follow a rule, in place of a checkpoint."""
     import numpy as np
 
-    r = np.random.default_rng(0)
+    first = ((np.arange(64)[:, None] * 16 + np.arange(16)) % 7 - 3) / 8
     e = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    return I.mlp_head(e, "embedding", r.standard_normal((64, 16)), r.standard_normal(16))
+    return I.mlp_head(e, "embedding", first, (np.arange(16) % 5 - 2) / 4).select("vec_id", F.round("score", 9).alias("score"))
 
 
 @det_plan("f07_pose_inference", None)
@@ -190,20 +226,26 @@ def g09(det: DataFrame) -> DataFrame:
 
 @plan("f03_projection_engine", None)
 def f03(spark: SparkSession, sf: str) -> DataFrame:
-    """Projection engine: embeddings on three axes, then two clusters of all of them."""
+    """Projection engine: embeddings of crops on three axes; a label is a track."""
     from .graphs import g10
 
-    p = g10(spark, sf).selectExpr("0 as grp", "vec_id", "p[0] as a", "p[1] as b", "p[2] as c")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+    labels = read(spark, sf, "embeddings").select("vec_id", "label")
+    return projection_teams(g10(spark, sf).select("vec_id", F.col("p").alias("v")).join(labels, "vec_id"))
 
-    v = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(p)
-    return KMeans(k=2, seed=0).fit(v).transform(v).select("vec_id", F.col("prediction").alias("team"))
+
+def projection_teams(p: DataFrame) -> DataFrame:
+    """Two clusters of all crops' vectors ``(label, vec_id, v)``, and each label's team by the votes of its crops; equal votes give team 0."""
+    from ..operators.store import materialise
+
+    p = materialise(p.where("label is not null and v is not null"))
+    got = I.nearest_of_two(p, "v", I.two_centroids(p, "v", "vec_id")).groupBy("label")
+    votes = got.agg(*[F.count_if(F.col("team") == t).alias(f"votes_{t}") for t in (0, 1)])
+    return votes.select("label", F.when(F.col("votes_1") > F.col("votes_0"), 1).otherwise(0).alias("team"), "votes_0", "votes_1")
 
 
 @plan("f12_batched_embeddings", None)
 def f12(spark: SparkSession, sf: str) -> DataFrame:
-    """An embedding extractor's interface: vectors of images, sixty-four at once; a stub hashes bytes."""
+    """An embedding extractor's interface: vectors of the pages' bytes, sixty-four at once; a stub counts bytes."""
     import numpy as np
     import pandas as pd
 
@@ -214,20 +256,19 @@ def f12(spark: SparkSession, sf: str) -> DataFrame:
                 v = [np.bincount(np.frombuffer(x, np.uint8) % 8, minlength=8).astype(float).tolist() for x in part["image"]]
                 yield pd.DataFrame({"page_id": part["page_id"], "vec": v})
 
-    pages = read(spark, sf, "pages").select("page_id", F.col("url").cast("binary").alias("image"))
+    pages = read(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("image"))
     return pages.mapInPandas(embed, "page_id bigint, vec array<double>")
 
 
 @plan("k09_model_checkpoint", None)
 def k09(spark: SparkSession, sf: str) -> DataFrame:
     """A classifier head is fitted, saved to the shared folder, loaded again and scored."""
-    import uuid
-
     from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
     from pyspark.ml.functions import array_to_vector
 
+    from ..operators.store import shared_path
+
     e = read(spark, sf, "embeddings").select(array_to_vector("embedding").alias("features"), (F.col("label") == 0).cast("double").alias("label"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-shared"
-    path = f"{base.rstrip('/')}/model-{uuid.uuid4().hex}"
+    path = shared_path(spark, "model")
     LogisticRegression(maxIter=20).fit(e).save(path)
     return LogisticRegressionModel.load(path).transform(e).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("correct"))

@@ -67,15 +67,42 @@ def g04(det: DataFrame) -> DataFrame:
     return t.withColumn("size", F.count("*").over(W.partitionBy("user_id"))).where("size = 1").select("track_id")
 
 
-_BFS = f"WITH RECURSIVE {_GRAPH}, u AS (SELECT source, target FROM e UNION SELECT target, source FROM e), b AS (SELECT 'r' || r_regionkey AS id, 0 AS hop, r_regionkey AS rank FROM region UNION SELECT u.target, b.hop + 1, b.rank FROM b JOIN u ON b.id = u.source WHERE b.hop < 6)"
+#: SQL knows no search that stops by itself; no node of these graphs is this far away.
+_FAR = 12
+_PAIRS = f"{_GRAPH}, u AS (SELECT source, target FROM e UNION SELECT target, source FROM e)"
+_SHARED = "@DET, f AS (SELECT DISTINCT run_id, frame // 10 AS frame, track_id FROM det WHERE class_id = 0 AND track_id >= 0), p AS (SELECT l.run_id, l.track_id AS a, r.track_id AS b, count(*) AS shared FROM f l JOIN f r ON l.run_id = r.run_id AND l.frame = r.frame AND l.track_id < r.track_id GROUP BY 1, 2, 3)"
 
 
-@plan("g05_nearest_phase", None)
+def run_frames(det: DataFrame) -> DataFrame:
+    return S.tracked(det).withColumn("frame", F.expr("frame div 10"))
+
+
+@det_plan("g03_audit_of_runs", f"{_SHARED} SELECT run_id, a, b, shared FROM p")
+def g03_runs(det: DataFrame) -> DataFrame:
+    """The audit over a grouping that does not hold: all tracks of a run as one entity, and no frame allowed."""
+    coarse = run_frames(det)
+    members = coarse.select("run_id", "track_id", F.col("run_id").alias("root")).distinct()
+    return N.violations(members, N.shared_frames(coarse, ["run_id"]), ["run_id"], most=0).select("run_id", "a", "b", "shared")
+
+
+@det_plan("g04_lonely_tracks", f"{_SHARED} SELECT DISTINCT track_id FROM f WHERE track_id NOT IN (SELECT a FROM p UNION ALL SELECT b FROM p)")
+def g04_lonely(det: DataFrame) -> DataFrame:
+    """Tracks that share a stretch of frames with no other of their run."""
+    coarse = run_frames(det)
+    p = N.shared_frames(coarse, ["run_id"])
+    met = p.select(F.col("a").alias("track_id")).union(p.select("b"))
+    return coarse.select("track_id").distinct().join(met, "track_id", "left_anti")
+
+
+_BFS = f"WITH RECURSIVE {_PAIRS}, b AS (SELECT 'r' || r_regionkey AS id, 0 AS hop, r_regionkey::INT AS rank FROM region UNION SELECT u.target, b.hop + 1, b.rank FROM b JOIN u ON b.id = u.source WHERE b.hop < {_FAR})"
+
+
+@plan("g05_nearest_phase", f"{_BFS} SELECT id, hop, min(rank) AS rank FROM b WHERE (id, hop) IN (SELECT (id, min(hop)) FROM b GROUP BY id) GROUP BY id, hop")
 def g05(spark: SparkSession, sf: str) -> DataFrame:
     return G.nearest(graph(spark, sf)[1], phases(spark, sf))
 
 
-@plan("g06_stage_attribution", None)
+@plan("g06_stage_attribution", f"WITH RECURSIVE {_PAIRS}, o AS (SELECT 'n' || n_nationkey AS id, 'n' || n_nationkey AS own FROM nation UNION ALL SELECT 'r' || r_regionkey, 'nobody' FROM region), v AS (SELECT u.source, u.target, o.own FROM u LEFT JOIN o ON o.id = u.target), b AS (SELECT 'n' || n_nationkey AS id, 0 AS hop, n_nationkey::INT AS rank, 'n' || n_nationkey AS seed FROM nation UNION SELECT v.target, b.hop + 1, b.rank, b.seed FROM b JOIN v ON b.id = v.source WHERE b.hop < {_FAR} AND (v.own IS NULL OR v.own = b.seed)) SELECT id, hop, rank, seed FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hop, rank, seed) AS rn FROM b) WHERE rn = 1")
 def g06(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes by their nearest stage; phases and other stages may not be entered."""
     n = read(spark, sf, "nation")
@@ -84,13 +111,11 @@ def g06(spark: SparkSession, sf: str) -> DataFrame:
     return G.nearest_within(graph(spark, sf)[1], stage, owned)
 
 
-@plan("g07_orphans", None)
+@plan("g07_orphans", f"{_BFS}, l AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT 'r' || r_regionkey AS id FROM region UNION SELECT 'n' || n_nationkey FROM nation UNION SELECT 's' || s_suppkey FROM supplier) WHERE id NOT IN (SELECT id FROM b)), c AS (SELECT *, greatest(1, ceil(sqrt(n)))::BIGINT AS cols FROM l) SELECT id, ((i % cols) - cols / 2.0::DOUBLE) * 36.0::DOUBLE AS x, ((i // cols) - cols / 2.0::DOUBLE) * 36.0::DOUBLE AS y FROM c")
 def g07(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes that no phase reaches, laid out in a grid."""
     nodes, edges = graph(spark, sf)
-    lost = nodes.distinct().join(G.nearest(edges, phases(spark, sf)), "id", "left_anti")
-    n = F.count("*").over(W.partitionBy())
-    lost = lost.withColumn("n", n).withColumn("i", F.row_number().over(W.orderBy("id")) - 1)
+    lost = G.ranked(nodes.distinct().join(G.nearest(edges, phases(spark, sf)), "id", "left_anti"), "id")
     x, y = G.grid(F.col("i"), F.col("n"))
     return lost.select("id", x.alias("x"), y.alias("y"))
 
@@ -110,9 +135,20 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("e.source", "e.target")
 
 
-@plan("g08_label_communities", None)
+_LABELS = f"WITH {_GRAPH}, x AS (SELECT DISTINCT source, target FROM e WHERE target NOT LIKE 'r%' AND source <> target), u AS (SELECT source, target FROM x UNION SELECT target, source FROM x), l0 AS (SELECT DISTINCT source AS id, source AS label FROM u)" + "".join(
+    f", l{i} AS (SELECT id, label FROM (SELECT u.source AS id, l.label, row_number() OVER (PARTITION BY u.source ORDER BY count(*) DESC, l.label) AS rn FROM u JOIN l{i - 1} l ON l.id = u.target GROUP BY u.source, l.label) WHERE rn = 1)" for i in range(1, 6)
+)
+
+
+@plan("g08_label_communities", f"{_LABELS} SELECT id, label FROM l5")
 def g08(spark: SparkSession, sf: str) -> DataFrame:
-    """Communities as components of the graph without its phases."""
+    """Communities of the graph without its phases, by label propagation."""
+    return G.label_propagation(graph(spark, sf)[1].where("target not like 'r%'"))
+
+
+@plan("g13_graph_components", f"WITH RECURSIVE {_GRAPH}, x AS (SELECT source, target FROM e WHERE target NOT LIKE 'r%'), u AS (SELECT source, target FROM x UNION SELECT target, source FROM x), c AS (SELECT source AS node, source AS reached FROM u UNION SELECT c.node, u.target FROM c JOIN u ON u.source = c.reached) SELECT node, min(reached) AS component FROM c GROUP BY node")
+def g13(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of the graph without its phases."""
     e = graph(spark, sf)[1].where("target not like 'r%'")
     return connected_components(e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
@@ -144,22 +180,27 @@ def g12(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") * 200).alias("x"), (way * (60 + 40 * i)).cast("bigint").alias("y"))
 
 
-@plan("f08_edge_similarity", None)
+_F08 = f"""WITH det AS ({S.DET_SQL}), e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT user_id, track_id, event_id, row_number() OVER (PARTITION BY user_id, track_id ORDER BY conf_c DESC, event_id) AS rn, event_id % (SELECT count(*) FROM embeddings) AS slot FROM det WHERE class_id = 0 AND track_id >= 0),
+t AS (SELECT user_id, track_id, event_id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 0.000000001::DOUBLE)) AS v FROM d JOIN e ON d.slot = e.slot WHERE rn <= 15),
+s AS (SELECT a.user_id, a.track_id, a.event_id, any_value(a.v) AS v, round(sum(list_inner_product(a.v, b.v)), 9) AS s FROM t a JOIN t b ON a.track_id = b.track_id AND a.user_id = b.user_id GROUP BY 1, 2, 3),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, track_id ORDER BY s DESC, event_id) AS rn FROM s) WHERE rn = 1)
+SELECT l.user_id, l.track_id AS a, r.track_id AS b, round(list_inner_product(l.v, r.v), 9) AS sim FROM m l JOIN m r ON l.user_id = r.user_id AND l.track_id < r.track_id"""
+
+
+@plan("f08_edge_similarity", _F08)
 def f08(spark: SparkSession, sf: str) -> DataFrame:
     """Similarity of each user's pairs of tracks.
 
-    Detections have no images here; the vector of one is that whose number
-    is ``event_id`` modulo the count of vectors (numbered within hash
-    buckets, so that no task numbers all).
+    Detections have no images here; the vector of one is that whose place
+    is ``event_id`` modulo the count of vectors.
     """
-    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(1024)).alias("part"))
-    sizes = e.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("part").orderBy("vec_id")) - 1
-    e = e.withColumn("rank", rank).join(before, "part").select((F.col("before") + F.col("rank")).alias("slot"), "v")
+    e = G.ranked(read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
     det = S.tracked(S.detections(spark, sf)).select("user_id", "track_id", "event_id", "conf_c")
-    det = det.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("n")))).withColumn("slot", F.expr("pmod(event_id, n)"))
-    return track_similarity(det.join(e, "slot"))
+    n = read(spark, sf, "embeddings").agg(F.count("*").alias("n"))
+    det = det.crossJoin(F.broadcast(n)).withColumn("slot", F.expr("pmod(event_id, n)"))  # one row
+    both = det.drop("n").join(e.select(F.col("i").alias("slot"), "v"), "slot")
+    return track_similarity(both).select("user_id", "a", "b", F.round("sim", 9).alias("sim"))
 
 
 def track_similarity(rows: DataFrame, samples: int = 15) -> DataFrame:

@@ -102,13 +102,26 @@ def st01(det: DataFrame) -> DataFrame:
     return B.fold(commands(det, _ALL, _BODY))
 
 
-@det_plan("st07_direction_adjust", None)
+def _fold_sql(state: str) -> str:
+    """All result columns of a fold, from a query ``s`` of the state after each command."""
+    return f"@DET, {_LOG}, {state} SELECT match_id, seq, status::INT AS status, (sum((status = 200)::INT) OVER (PARTITION BY match_id ORDER BY sc, seq))::BIGINT AS rev, score_a::BIGINT AS score_a, score_b::BIGINT AS score_b, clock::DOUBLE AS clock, FALSE AS running, penalties_a::INT AS penalties_a, penalties_b::INT AS penalties_b, label FROM s"
+
+
+_AT = "PARTITION BY match_id ORDER BY sc, seq"
+_STILL = "0 AS score_a, 0 AS score_b"
+_ST07 = f"r AS (SELECT *, 1500 + sum(CASE WHEN k % 2 = 1 THEN k - 60 ELSE 0 END) OVER ({_AT}) AS run FROM c), s AS (SELECT *, CASE WHEN k % 2 = 0 AND k % 3 = 2 THEN 404 ELSE 200 END AS status, {_STILL}, run - least(0, min(run) OVER ({_AT})) AS clock, 0 AS penalties_a, 0 AS penalties_b, 'P1' AS label FROM r)"
+_ST08 = f"t AS (SELECT *, user_id % 2 AS team, k % 10 = 0 AS clears FROM c), g AS (SELECT *, sum(clears::INT) OVER (PARTITION BY match_id, team ORDER BY sc, seq) AS seg FROM t), n AS (SELECT *, sum((NOT clears)::INT) OVER (PARTITION BY match_id, team, seg ORDER BY sc, seq) AS adds FROM g), p AS (SELECT *, least(3, adds) AS held, CASE WHEN NOT clears AND adds > 3 THEN 404 ELSE 200 END AS status FROM n), s AS (SELECT *, {_STILL}, 1500 AS clock, coalesce(last_value(CASE WHEN team = 0 THEN held END IGNORE NULLS) OVER ({_AT}), 0) AS penalties_a, coalesce(last_value(CASE WHEN team = 1 THEN held END IGNORE NULLS) OVER ({_AT}), 0) AS penalties_b, 'P1' AS label FROM p)"
+_ST11 = f"t AS (SELECT *, sum((k % 4 = 0)::INT) OVER ({_AT}) % 2 AS swapped FROM c), l AS (SELECT *, (user_id + swapped) % 2 AS own, CASE WHEN k % 4 = 3 THEN CASE WHEN event_type = 'error' THEN -1 ELSE 1 END ELSE 0 END AS d FROM t), r AS (SELECT *, sum(CASE WHEN own = 0 THEN d ELSE 0 END) OVER ({_AT}) AS r0, sum(CASE WHEN own = 1 THEN d ELSE 0 END) OVER ({_AT}) AS r1, sum((own = 0 AND k % 4 = 2)::INT) OVER ({_AT}) AS p0, sum((own = 1 AND k % 4 = 2)::INT) OVER ({_AT}) AS p1 FROM l), f AS (SELECT *, r0 - least(0, min(r0) OVER ({_AT})) AS s0, r1 - least(0, min(r1) OVER ({_AT})) AS s1 FROM r), s AS (SELECT *, CASE WHEN k % 4 = 2 AND (CASE own WHEN 0 THEN p0 ELSE p1 END) > 3 THEN 404 ELSE 200 END AS status, CASE swapped WHEN 0 THEN s0 ELSE s1 END AS score_a, CASE swapped WHEN 0 THEN s1 ELSE s0 END AS score_b, 1500 AS clock, least(3, CASE swapped WHEN 0 THEN p0 ELSE p1 END) AS penalties_a, least(3, CASE swapped WHEN 0 THEN p1 ELSE p0 END) AS penalties_b, 'P1' AS label FROM f)"
+_ST12 = f"t AS (SELECT *, coalesce(last_value(CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 'PROL' ELSE 'P1' END END IGNORE NULLS) OVER ({_AT}), 'P1') AS label, coalesce(last_value(CASE WHEN k % 3 = 1 THEN greatest(1, k * 10) END IGNORE NULLS) OVER ({_AT}), 1500) AS per, coalesce(last_value(CASE WHEN k % 3 = 2 THEN greatest(1, k * 10) END IGNORE NULLS) OVER ({_AT}), 300) AS ot FROM c), s AS (SELECT *, 200 AS status, {_STILL}, CASE WHEN label LIKE 'PROL%' THEN ot ELSE per END AS clock, 0 AS penalties_a, 0 AS penalties_b FROM t)"
+
+
+@det_plan("st07_direction_adjust", _fold_sql(_ST07))
 def st07(det: DataFrame) -> DataFrame:
     body = "named_struct('value', element_at(array('up', 'down', 'sideways'), cast(k % 3 + 1 as int)), 'delta', k - 60)"
     return B.fold(commands(det, "if(k % 2 = 0, '/clock/direction', '/clock/adjust')", body))
 
 
-@det_plan("st08_penalty_limit", None)
+@det_plan("st08_penalty_limit", _fold_sql(_ST08))
 def st08(det: DataFrame) -> DataFrame:
     return B.fold(commands(det, "if(k % 10 = 0, '/penalty/clear', '/penalty/add')", _BODY))
 
@@ -118,16 +131,24 @@ def st10(det: DataFrame) -> DataFrame:
     return B.fold(commands(det, "case when k % 9 = 0 then '/clock/start' when k % 9 = 1 then '/penalty/add' else '/visible' end", _BODY))
 
 
-@det_plan("st11_swap_remove", None)
+@det_plan("st11_swap_remove", _fold_sql(_ST11))
 def st11(det: DataFrame) -> DataFrame:
     return B.fold(commands(det, "case k % 4 when 0 then '/swap' when 1 then '/penalty/remove' when 2 then '/penalty/add' else '/score' end", _BODY))
 
 
-@det_plan("st12_period_rules", None)
+@det_plan("st12_period_rules", _fold_sql(_ST12))
 def st12(det: DataFrame) -> DataFrame:
     return B.fold(commands(det, "case k % 3 when 0 then '/period' when 1 then '/period/duration' else '/period/ot_duration' end", "named_struct('value', k * 10, 'label', if(k % 2 = 0, 'prol', 'p1'))"))
 
 
+@det_plan("st16_malformed_commands", f"@DET, {_LOG}, s AS (SELECT *, CASE k % 5 WHEN 0 THEN 400 WHEN 1 THEN 400 WHEN 2 THEN 400 WHEN 3 THEN 404 ELSE 200 END AS status FROM c) SELECT match_id, seq, status::INT AS status, (sum((status = 200)::INT) OVER ({_AT}))::BIGINT AS rev, (sum(CASE WHEN status = 200 AND user_id % 2 = 0 THEN 1 ELSE 0 END) OVER ({_AT}))::BIGINT AS score_a FROM s")
+def st16(det: DataFrame) -> DataFrame:
+    """Bodies that are no JSON, no object, or hold no number are answered with 400 and change nothing."""
+    body = "case k % 5 when 0 then '{broken' when 1 then '[1]' when 2 then '{\"team\":\"A\",\"delta\":\"x\"}' when 3 then '{}' else if(user_id % 2 = 0, '{\"team\":\"A\",\"delta\":1}', '{\"team\":\"B\",\"delta\":\"1\"}') end"
+    c = log(det).withColumn("path", F.lit("/score")).withColumn("body", F.expr(body)).select("match_id", "seq", "at", "path", "body")
+    return B.fold(c).select("match_id", "seq", "status", "rev", "score_a")
+
+
 @det_plan("st13_snapshot", None)
 def st13(det: DataFrame) -> DataFrame:
     return B.snapshot(st01(det))

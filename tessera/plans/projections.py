@@ -326,7 +326,10 @@ def truth_keys(det: DataFrame) -> DataFrame:
     return parts.select(F.expr("try_cast(p[0] as bigint)").alias("run"), F.expr("try_cast(p[1] as bigint)").alias("tid")).where("tid is not null")
 
 
-@det_plan("p29_hsv", None)
+_PX = "@DET, p AS (SELECT event_id, (k * 2)::INT AS b, (user_id % 256)::INT AS g, (conf_c % 256)::INT AS r FROM det), m AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS span FROM p), u AS (SELECT *, CASE WHEN span = 0 THEN 0.0::DOUBLE WHEN v = r THEN 60.0::DOUBLE * (g - b) / span WHEN v = g THEN 120 + 60.0::DOUBLE * (b - r) / span ELSE 240 + 60.0::DOUBLE * (r - g) / span END AS hue FROM m)"
+
+
+@det_plan("p29_hsv", f"{_PX} SELECT event_id, b, g, r, (floor(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 2 + 0.5::DOUBLE)::INT % 180) AS h, CASE WHEN v = 0 THEN 0 ELSE floor(span * 255.0::DOUBLE / v + 0.5::DOUBLE)::INT END AS s, v FROM u")
 def hsv(det: DataFrame) -> DataFrame:
     from ..functions.images import hsv_columns
 

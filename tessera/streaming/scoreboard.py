@@ -131,56 +131,70 @@ class Board:
         self.running, self.up, self.left = False, False, float(self.lengths[self.kind()])
 
     def apply(self, path: str, data: dict[str, Any], now: float) -> int:
-        """Carry out a command; 200 bumps the revision, 404 leaves the state as it was."""
+        """Carry out a command; 200 bumps the revision, 404 and 400 (a value that is no number) leave the state as it was."""
         self.expire(now)
         step = COMMANDS.get(path)
-        if step is None or step(self, data) is False:
-            return 404
+        try:
+            if step is None or step(self, data) is False:
+                return 404
+        except (TypeError, ValueError, OverflowError):
+            return 400
         self.rev += 1
         return 200
 
+    def receive(self, path: str, body: str | None, now: float) -> int:
+        """Carry out a command as it came in; a body that is no JSON object is answered with 400, an absent one is empty."""
+        try:
+            data = json.loads(body) if body else {}
+        except ValueError:
+            data = None
+        if not isinstance(data, dict):
+            self.expire(now)
+            return 400
+        return self.apply(path, data, now)
+
 
 def _team(b: Board, d: dict[str, Any]) -> Team:
     return b.teams["A" if d["team"] == "A" else "B"]
 
 
 def _needs_team(f):
-    return lambda b, d: False if d.get("team") is None else f(b, d, _team(b, d))
+    return lambda b, d: f(b, d, _team(b, d)) if "team" in d else False
 
 
 def _score(b, d, t):
-    t.score = max(0, t.score + int(d.get("delta") or 0))
+    t.score = max(0, t.score + int(d.get("delta", 0)))
 
 
 def _set(b, d, t):
-    if d.get("value") is None:
+    if "value" not in d:
         return False
     t.score = max(0, int(d["value"]))
 
 
 def _look(b, d, t):
-    t.fields |= {k: d[k] for k in ("name", "short", "color", "textColor") if d.get(k) is not None}
+    t.fields |= {k: d[k] for k in ("name", "short", "color", "textColor") if k in d}
     if d.get("bgMode") in ("gradient", "color", "none"):
         t.fields["bgMode"] = d["bgMode"]
 
 
 def _team_logo(b, d, t):
-    t.fields["logo"] = d.get("value") or ""
+    t.fields["logo"] = str(d.get("value", ""))
 
 
 def _main_logo(b, d):
-    b.logo = d.get("value") or ""
+    b.logo = str(d.get("value", ""))
 
 
 def _period(b, d):
-    b.label = str(d.get("label") or b.label).upper()
-    if d.get("resetClock") is not False:
+    b.label = str(d.get("label", b.label)).upper()
+    if d.get("resetClock", True):
         b.rearm()
 
 
 def _length(kind, default):
     def run(b, d):
-        b.lengths[kind] = max(1, int(d.get("value") or default))
+        b.lengths[kind] = max(1, int(d.get("value", default)))
         if b.kind() == kind and not b.running:
             b.rearm()
 
@@ -188,7 +202,7 @@ def _length(kind, default):
 
 
 def _visible(b, d):
-    b.visible = str(d.get("value", "true")).lower() not in ("false", "0", "")
+    b.visible = bool(d.get("value", True))
 
 
 def _run(on):
@@ -199,34 +213,34 @@ def _run(on):
 
 
 def _reset(b, d):
-    if d.get("seconds") is None:
-        b.rearm()
-    else:
+    if "seconds" in d:
         b.running, b.left = False, max(0.0, float(d["seconds"]))
+    else:
+        b.rearm()
 
 
 def _direction(b, d):
-    way = d.get("value") or "up"
+    way = d.get("value", "up")
     if way not in ("up", "down"):
         return False
     b.up = way == "up"
 
 
 def _adjust(b, d):
-    b.left = max(0.0, b.left + float(d.get("delta") or 0))
+    b.left = max(0.0, b.left + float(d.get("delta", 0)))
 
 
 def _penalty(b, d, t):
+    length = int(d.get("duration", PENALTIES[0]))
     if len(t.penalties) >= MOST:
         return False
-    length = d.get("duration") or PENALTIES[0]
     length = length if length in PENALTIES else PENALTIES[0]
     b.made += 1
-    t.penalties.append({"id": d.get("id") or str(b.made), "duration": int(length), "left": float(length)})
+    t.penalties.append({"id": str(d.get("id") or b.made), "duration": length, "left": float(length)})
 
 
 def _remove(b, d, t):
-    t.penalties = [p for p in t.penalties if p["id"] != d.get("id")]
+    t.penalties = [p for p in t.penalties if p["id"] != str(d.get("id", ""))]
 
 
 def _clear(b, d, t):
@@ -254,7 +268,7 @@ RESULT = "match_id bigint, seq bigint, status int, rev bigint, score_a bigint, s
 def _rows(board: Board, match: int, pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for r in pdf.sort_values(["at", "seq"]).itertuples():
-        status = board.apply(r.path, json.loads(r.body), float(r.at))
+        status = board.receive(r.path, r.body, float(r.at))
         a, b = board.teams["A"], board.teams["B"]
         out.append((match, r.seq, status, board.rev, a.score, b.score, board.clock(float(r.at)), board.running, len(a.penalties), len(b.penalties), board.label))
     return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])

@@ -237,3 +237,67 @@ def test_upsert_publishes_whole_tables(spark, tmp_path):
     upsert(spark, path, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
     assert sorted(tuple(x) for x in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_malformed_commands_change_nothing(spark):
+    good, rows = json.dumps({"team": "A", "delta": 2}), []
+    bodies = ["{", "[]", "7", json.dumps({"team": "A", "delta": "x"}), json.dumps({"team": "A", "delta": None}), json.dumps({"delta": 1}), None, good]
+    rows = [(1, i, i, "/score", b) for i, b in enumerate(bodies)]
+    got = B.fold(spark.createDataFrame(rows, "match_id bigint, seq bigint, at bigint, path string, body string")).orderBy("seq").collect()
+    assert [x["status"] for x in got] == [400, 400, 400, 400, 400, 404, 404, 200] and [x["rev"] for x in got] == [0] * 7 + [1]
+    assert got[-1]["score_a"] == 2
+
+
+def test_values_are_read_as_the_protocol_reads_them():
+    b, status = play((0, "/penalty/add", {"team": "A", "duration": "300"}), (0, "/visible", {"value": "false"}), (0, "/clock/reset", {"seconds": 7}), (0, "/period", {"label": "p2", "resetClock": 0}))
+    assert status == [200] * 4 and b.teams["A"].penalties[0]["duration"] == 300 and b.visible and b.left == 7.0 and b.label == "P2"
+    b.apply("/visible", {"value": 0}, 1.0)
+    assert not b.visible and b.apply("/score/set", {"team": "B", "value": "nine"}, 1.0) == 400 and b.apply("/score/set", {"team": "B"}, 1.0) == 404
+
+
+def test_search_goes_on_until_nothing_is_new(spark):
+    e = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(70)], "source string, target string")
+    s = spark.createDataFrame([("n000", 0)], "id string, rank int")
+    assert {x["id"]: x["hop"] for x in G.nearest(e, s).collect()} == {f"n{i:03d}": i for i in range(71)}
+    with pytest.raises(RuntimeError):
+        G.nearest(e, s, most=5)
+
+
+def test_places_within_ranges(spark):
+    r = random.Random(3)
+    ids = r.sample(range(10_000), 500)
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    got = {x["id"]: (x["i"], x["n"]) for x in G.ranked(df, "id", 7).collect()}
+    assert got == {x: (i, 500) for i, x in enumerate(sorted(ids))} and G.ranked(df.limit(0), "id").count() == 0
+
+
+def test_grouped_means_equal_the_local_ones(spark):
+    from tessera.functions.images import grouped_two_means
+
+    r = np.random.default_rng(0)
+    rows = [(g, float(x), float(y)) for g in range(5) for x, y in r.integers(0, 50, (1 + 20 * g, 2)) + 60 * r.integers(0, 2, (1 + 20 * g, 1))]
+    got = {x["g"]: [[x["x_0"], x["y_0"]], [x["x_1"], x["y_1"]]] for x in grouped_two_means(spark.createDataFrame(rows, "g int, x double, y double"), "g", ["x", "y"]).collect()}
+    for g in range(5):
+        own = sorted((x, y) for gg, x, y in rows if gg == g)
+        assert np.allclose(got[g], two_means(np.array(own)))
+
+
+def test_writers_get_whole_runs_in_order(spark, tmp_path):
+    from contextlib import contextmanager
+
+    from tessera.sources.sinks import write_runs, write_runs_stream
+
+    base = str(tmp_path)
+
+    @contextmanager
+    def writer(run):
+        with open(f"{base}/{run['run']}.txt", "w") as f:
+            yield lambda row: f.write(f"{row['frame']}\n")
+
+    r = random.Random(1)
+    rows = [(run, f) for run in range(6) for f in range(30)]
+    r.shuffle(rows)
+    plan = spark.createDataFrame(rows, "run int, frame int").repartition(5)
+    for write in (lambda p: write_runs(p, ["run"], ["frame"], writer), lambda p: write_runs_stream(["run"], ["frame"], writer)(p, 0)):
+        write(plan)
+        assert all((tmp_path / f"{run}.txt").read_text().split() == [str(f) for f in range(30)] for run in range(6))
