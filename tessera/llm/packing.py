@@ -281,6 +281,8 @@ class Slots:
     offset: np.ndarray
 
 
+#: Pieces of one length that one task ranks.
+BUCKET = 100_000
 #: Ranks of one length are below this; length and rank together are one sort key.
 SPAN = 1 << 48
 
@@ -308,8 +310,9 @@ def pack(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", tex
     comes to the driver has ``size`` rows at most; the table of places,
     which goes to the executors, follows the number of configurations,
     not the rows. Ranks among pieces of one length are counted within
-    ``buckets`` hash buckets and offset by the sums of the buckets before,
-    so a length that a third of all pieces share is dealt over all tasks.
+    ``buckets`` hash buckets or more, as many as ``BUCKET`` pieces each
+    make, and offset by the sums of the buckets before, so a length that a
+    third of all pieces share is dealt over all tasks.
 
     Null texts are empty documents (one piece of id 0), repeated rows are
     packed each, null ids stay null, an empty table gives no rows, further
@@ -317,11 +320,12 @@ def pack(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", tex
     tokenised whole and cut into pieces. Pieces that tie in length are told
     apart by id, piece and content; equal ones may change places.
     """
-    p = pieces(df, path, size, id_col, text_col)
-    p = cut(p.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
-    by = p.groupBy("length", "part").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    p = cut(pieces(df, path, size, id_col, text_col), "pieces")
+    histogram = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = p.sparkSession.sparkContext.broadcast(slots(solve(histogram, size)[0]))
+    buckets = max(buckets, -(-max(histogram.values(), default=0) // BUCKET))
+    p = p.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    by = p.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = by.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     own = W.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = p.withColumn("rank", F.row_number().over(own)).join(before, ["length", "part"])

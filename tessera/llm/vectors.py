@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop
 
 #: Vectors that one graph is meant for, and centroids altogether, which bounds what goes to the executors.
 SHARD, CENTROIDS = 1000, 32_768
@@ -37,6 +37,8 @@ ROUNDS = 9
 BLOCK = 256
 #: Pairs of vectors that are multiplied at once.
 PAIRS = 100_000
+#: Tasks that a group's vectors are dealt over where its name is looked up.
+SALTS = 32
 #: What single precision may be wrong by; what is within it is compared in double precision.
 NEAR = 1e-5
 
@@ -323,7 +325,7 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
 
     kinds = "id bigint, grp string, vec array<double>, copies bigint, asks boolean"
     placed = vec.select("id", "grp", "vec", "copies", "asks").mapInArrow(assign, f"{kinds}, own array<int>")
-    placed = cut(placed.select("*", F.explode("own").alias("cluster")), "placed")
+    placed = once_placed = cut(placed.select("*", F.explode("own").alias("cluster")), "placed")
     sizes = placed.where("not asks").groupBy("grp", "cluster").agg(F.ceil(F.count("*") / F.lit(2.0 * SHARD)).cast("int").alias("salts"))
     placed = placed.join(sizes, ["grp", "cluster"]).withColumn("salt", F.when(F.col("asks"), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int"))
     placed = cut(placed, "shards")
@@ -336,6 +338,7 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
 
     graph = placed.where("not asks").select("grp", "cluster", "salt", "id", "vec").groupBy("grp", "cluster", "salt")
     graph = cut(graph.applyInPandas(lists, "id bigint, next array<bigint>"), "lists")
+    drop(once_placed)
     union = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
     every = placed.withColumn("at", F.explode(F.sequence(F.greatest("salt", F.lit(0)), F.col("salts") - 1))).join(union, "id", "left")
     every = every.withColumn("member", F.col("at") == F.col("salt"))
@@ -501,6 +504,7 @@ def near_vectors(
             report.setdefault("recall", []).append(share)
         if share >= recall_least:
             break
+        drop(links)
         overlap, beam, slack = overlap + 1, beam * 2, slack * 1.5
     else:
         raise RuntimeError(f"near_vectors: audited recall {share:.3f}")
@@ -510,7 +514,9 @@ def near_vectors(
     state = vec.join(count, "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")
     state = cut(state.select("grp", "vec", "name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "vector-state")
     least = state.where("component is not null").groupBy("component").agg(F.min("name").alias("least"))
-    state = state.join(least, "component", "left").select("grp", "vec", "n_links", F.coalesce("least", "name").alias("component"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large group is dealt over tasks
+    state = state.withColumn("salt", F.pmod(F.xxhash64("name", "grp"), F.lit(SALTS)).cast("int"))
+    state = state.join(least, ["component", "salt"], "left").select("grp", "vec", "n_links", F.coalesce("least", "name").alias("component"))
     named = own.withColumn("grp", F.when(F.coalesce(good, F.lit(False)), F.concat_ws("|", F.size("vec").cast("string"), "label")))
     out = named.join(state, ["grp", "vec"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

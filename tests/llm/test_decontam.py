@@ -55,6 +55,25 @@ def test_empty_tables(spark, docs):
     assert decontaminate(docs([]), none).count() == 0
 
 
+def test_long_texts_and_equal_windows(spark, docs):
+    item = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "x " * 30)], "item_id bigint, text string")
+    rows = [(1, "w " * 300_000 + item), (2, "x " * 100_000), (3, "w " * 1000)]
+    got = decontaminate(docs(rows), bench).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, [(1, item), (2, item), (3, "x " * 30)])
+
+
+def test_shuffled_fingerprints_give_the_same(spark, docs, monkeypatch):
+    import tessera.llm.decontam as D
+
+    r = random.Random(6)
+    items = [(i, " ".join(r.choice("abcdefgh") for _ in range(14))) for i in range(8)] + [(9, "b c")]
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(20)) + " " + r.choice(items)[1]) for i in range(40)]
+    monkeypatch.setattr(D, "SEND", 3)
+    got = decontaminate(docs(rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, items)
+
+
 def test_query_matches_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

@@ -70,3 +70,15 @@ def test_pack_stage_takes_any_rows(spark, sf):
     rows = [(None, "a b"), (None, "a b"), (1, None), (1, None), (2, "w " * 50_000)]
     got = C.packed(spark, table(spark, rows), sf).collect()
     assert sum(x["doc_id"] is None for x in got) == 2 and sum(x["doc_id"] == 1 for x in got) == 2 and sum(x["length"] for x in got if x["doc_id"] == 2) > 50_000
+
+
+def test_clashing_columns_pass_every_stage(spark, sf):
+    text = "the ferry leaves the small harbour at nine and comes back before the evening tide"
+    names = ["id", "key", "also", "n", "w", "ord", "rep", "label", "part", "rank", "bands", "item", "digest", "h", "named", "carried", "kept", "lines", "component_id"]
+    df = table(spark, [(1, text), (2, text), (None, text + " again"), (3, None)])
+    for n in names:
+        df = df.withColumn(n, C.F.lit("x"))
+    for name, stage in C.STAGES[:-1]:
+        df = C.cut(stage(spark, df, sf), "clash")
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+    assert C.packed(spark, df, sf).count() == df.count()
