@@ -160,20 +160,11 @@ def a18(det: DataFrame) -> DataFrame:
     return cluster_samples(det.where("track_id >= 0").selectExpr("track_id", "cast(k as double) as b", "cast(user_id % 256 as double) as g"), "track_id", ["b", "g"])
 
 
-_DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-
-
-@plan("a19_medoid", f"SELECT label, vec_id FROM (SELECT label, a AS vec_id, row_number() OVER (PARTITION BY label ORDER BY s DESC, a) AS rn FROM (SELECT a.label, a.vec_id AS a, round(sum({_DOT}), 9) AS s FROM (SELECT * FROM embeddings WHERE vec_id < 300) a JOIN (SELECT * FROM embeddings WHERE vec_id < 300) b ON a.label = b.label GROUP BY 1, 2)) WHERE rn = 1")
-def a19(spark: SparkSession, sf: str) -> DataFrame:
-    """The medoids of the first 300 ids only, as its SQL has them; ``a19_medoid_all`` takes all rows."""
-    return medoids(read(spark, sf, "embeddings").where("vec_id < 300"))
-
-
 _TOTAL = "t AS (SELECT label, list(x ORDER BY i) AS t FROM (SELECT label, i, sum(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
 
 
-@plan("a19_medoid_all", f"WITH {_TOTAL} SELECT label, vec_id FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY round(list_inner_product(e.embedding::DOUBLE[], t.t), 9) DESC, e.vec_id) AS rn FROM embeddings e JOIN t ON e.label = t.label) WHERE rn = 1")
-def a19_all(spark: SparkSession, sf: str) -> DataFrame:
+@plan("a19_medoid", f"WITH {_TOTAL} SELECT label, vec_id FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY round(list_inner_product(e.embedding::DOUBLE[], t.t), 9) DESC, e.vec_id) AS rn FROM embeddings e JOIN t ON e.label = t.label) WHERE rn = 1")
+def a19(spark: SparkSession, sf: str) -> DataFrame:
     return medoids(read(spark, sf, "embeddings"))
 
 
@@ -415,15 +406,8 @@ def w12(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", (F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.15))).alias("held"))
 
 
-@det_plan("o01_edge_order", "@DET SELECT user_id, max(conf_c) AS w, row_number() OVER (ORDER BY max(conf_c) DESC, user_id) AS place FROM det GROUP BY user_id ORDER BY 2 DESC, 1 LIMIT 50")
+@det_plan("o01_edge_order", "@DET SELECT user_id, max(conf_c) AS w, row_number() OVER (ORDER BY max(conf_c) DESC, user_id) AS place FROM det GROUP BY user_id ORDER BY 2 DESC, 1")
 def o01(det: DataFrame) -> DataFrame:
-    """The first fifty, as its SQL has them; ``o01_edge_order_all`` has no limit."""
-    e = det.groupBy("user_id").agg(F.max("conf_c").alias("w")).orderBy(F.desc("w"), "user_id").limit(50)
-    return e.withColumn("place", F.row_number().over(W.orderBy(F.desc("w"), "user_id")).cast("bigint"))  # fifty rows
-
-
-@det_plan("o01_edge_order_all", "@DET SELECT user_id, max(conf_c) AS w, row_number() OVER (ORDER BY max(conf_c) DESC, user_id) AS place FROM det GROUP BY user_id ORDER BY 2 DESC, 1")
-def o01_all(det: DataFrame) -> DataFrame:
     """All edges by weight; the place is the number of heavier ones plus the place among equals, so that no task holds all.
 
     Only the table of weights, as long as there are different ones, passes one task.

@@ -104,13 +104,7 @@ def report(det: DataFrame) -> DataFrame:
     return p.select("run_id", F.coalesce("click", F.lit(0)).alias("click"), F.coalesce("view", F.lit(0)).alias("view"))
 
 
-@det_plan("k08_graph_payload", "@DET SELECT event_id, replace('{\"label\":\"</' || num || '\"}', '</', '<\\/') AS payload FROM det WHERE k = 1")
-def payload(det: DataFrame) -> DataFrame:
-    """One class of ``k`` only, as its SQL has it; ``k08_graph_payload_all`` takes all rows."""
-    return escaped(det.where("k = 1"))
-
-
-@det_plan("k08_graph_payload_all", "@DET SELECT event_id, replace('{\"label\":\"</' || num || '\"}', '</', '<\\/') AS payload FROM det")
+@det_plan("k08_graph_payload", "@DET SELECT event_id, replace('{\"label\":\"</' || num || '\"}', '</', '<\\/') AS payload FROM det")
 def escaped(det: DataFrame) -> DataFrame:
     doc = F.concat(F.lit('{"label":"</'), F.col("num"), F.lit('"}'))
     return det.select("event_id", F.replace(doc, F.lit("</"), F.lit("<\\/")).alias("payload"))
@@ -121,14 +115,8 @@ def marker(det: DataFrame) -> DataFrame:
     return det.agg(F.count("*").alias("inputs")).select(F.lit("stub").alias("status"), "inputs")
 
 
-@det_plan("k11_copy_paths", "@DET SELECT event_id, 'crops/' || num || '/' || event_id || '.png' AS target FROM det WHERE k < 10")
+@det_plan("k11_copy_paths", "@DET SELECT event_id, 'crops/' || num || '/' || event_id || '.png' AS target FROM det WHERE num IS NOT NULL")
 def copies(det: DataFrame) -> DataFrame:
-    """A tenth of the crops, as its SQL has them; ``k11_copy_paths_all`` takes every labelled crop."""
-    return paths(det.where("k < 10"))
-
-
-@det_plan("k11_copy_paths_all", "@DET SELECT event_id, 'crops/' || num || '/' || event_id || '.png' AS target FROM det WHERE num IS NOT NULL")
-def copies_all(det: DataFrame) -> DataFrame:
     return paths(det.where("num is not null"))
 
 
@@ -363,14 +351,8 @@ def default_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("flag", F.when(F.col("kind") == "flag", "False").when(F.col("kind") == "pos", positional).otherwise(F.coalesce("dflt", F.lit("(none)"))).alias("shown"))
 
 
-@plan("p33_overtime", "SELECT o_orderkey, starts_with(upper(CASE WHEN o_orderkey % 3 = 0 THEN 'prol 1' ELSE o_orderpriority END), 'PROL') AS overtime FROM orders WHERE o_orderkey % 10 = 0")
+@plan("p33_overtime", "SELECT o_orderkey, starts_with(upper(CASE WHEN o_orderkey % 3 = 0 THEN 'prol 1' ELSE o_orderpriority END), 'PROL') AS overtime FROM orders")
 def overtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the orders only, as its SQL has them; ``p33_overtime_all`` takes all rows."""
-    return prolonged(read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
-
-
-@plan("p33_overtime_all", "SELECT o_orderkey, starts_with(upper(CASE WHEN o_orderkey % 3 = 0 THEN 'prol 1' ELSE o_orderpriority END), 'PROL') AS overtime FROM orders")
-def overtime_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prolonged(read(spark, sf_dir, "orders"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.plans import PLANS
-from tessera.plans.aggregates import o01_all
+from tessera.plans.aggregates import o01
 from tessera.plans.extensions import embedding_teams
 from tessera.plans.graphs import track_similarity
 from tessera.sources.detections import detections
@@ -19,12 +19,12 @@ def test_medoid_is_of_all_vectors(spark):
         v = np.array([r["embedding"] for r in own], float)
         want[label] = own[int(np.round((v @ v.T).sum(1), 9).argmax())]["vec_id"]
     assert max(want.values()) >= 300  # the ids that the sample leaves out
-    assert {r["label"]: r["vec_id"] for r in PLANS["a19_medoid_all"](spark, SF).collect()} == want
+    assert {r["label"]: r["vec_id"] for r in PLANS["a19_medoid"](spark, SF).collect()} == want
 
 
 def test_overtime_is_told_of_every_order(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
-    got = PLANS["p33_overtime_all"](spark, SF)
+    got = PLANS["p33_overtime"](spark, SF)
     assert got.count() == orders.count()
     assert got.where("overtime").count() == orders.where("o_orderkey % 3 = 0 or upper(o_orderpriority) like 'PROL%'").count()
 
@@ -32,19 +32,19 @@ def test_overtime_is_told_of_every_order(spark):
 def test_every_edge_has_a_place(spark):
     best = detections(spark, SF).groupBy("user_id").agg({"conf_c": "max"}).collect()
     want = [(u, w, i + 1) for i, (u, w) in enumerate(sorted(map(tuple, best), key=lambda x: (-x[1], x[0])))]
-    assert [(r["user_id"], r["w"], r["place"]) for r in PLANS["o01_edge_order_all"](spark, SF).collect()] == want
+    assert [(r["user_id"], r["w"], r["place"]) for r in PLANS["o01_edge_order"](spark, SF).collect()] == want
 
 
 def test_order_of_more_than_fifty_edges(spark):
     rows = [(u, 100 * (u % 7)) for u in range(120)]
-    got = o01_all(spark.createDataFrame(rows, "user_id bigint, conf_c bigint")).collect()
+    got = o01(spark.createDataFrame(rows, "user_id bigint, conf_c bigint")).collect()
     assert [tuple(r) for r in got] == [(u, w, i + 1) for i, (u, w) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))]
 
 
-@pytest.mark.parametrize("name", ["f06_number_reader", "k08_graph_payload_all", "k11_copy_paths_all"])
+@pytest.mark.parametrize("name", ["f06_number_reader", "k08_graph_payload", "k11_copy_paths"])
 def test_every_detection_is_read(spark, name):
     det = detections(spark, SF)
-    want = det.where("num is not null").count() if name == "k11_copy_paths_all" else det.count()
+    want = det.where("num is not null").count() if name == "k11_copy_paths" else det.count()
     assert PLANS[name](spark, SF).select("event_id").distinct().count() == want
 
 
