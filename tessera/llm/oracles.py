@@ -31,6 +31,16 @@ m AS (SELECT src, min(dst) AS component_id FROM c GROUP BY src)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, m.component_id = w.doc_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.src = w.doc_id
 """
 
+OP8 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+g AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) >= 0.98::DOUBLE * sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+c AS (SELECT vec_id AS src, vec_id AS dst FROM v UNION SELECT c.src, p.b FROM c JOIN p ON c.dst = p.a),
+m AS (SELECT src, min(dst) AS component_id FROM c GROUP BY src)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, m.component_id = v.vec_id AS kept FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN m ON m.src = v.vec_id
+"""
+
 OP10 = r"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
@@ -46,5 +56,6 @@ ORACLES = {
     "op3_substring_dedup": OP3,
     "op6_line_dedup": OP6,
     "op7_minhash_near_dedup": OP7,
+    "op8_embedding_near_dedup": OP8,
     "op10_decontamination": OP10,
 }
