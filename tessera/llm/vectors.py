@@ -323,8 +323,8 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
                         own[i] = x
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.list_(pa.int32()))], names=["id", "grp", "vec", "copies", "asks", "own"])
 
-    kinds = "id bigint, grp string, vec array<double>, copies bigint, asks boolean"
-    placed = vec.select("id", "grp", "vec", "copies", "asks").mapInArrow(assign, f"{kinds}, own array<int>")
+    columns = "id bigint, grp string, vec array<double>, copies bigint, asks boolean"
+    placed = vec.select("id", "grp", "vec", "copies", "asks").mapInArrow(assign, f"{columns}, own array<int>")
     placed = once_placed = cut(placed.select("*", F.explode("own").alias("cluster")), "placed")
     sizes = placed.where("not asks").groupBy("grp", "cluster").agg(F.ceil(F.count("*") / F.lit(2.0 * SHARD)).cast("int").alias("salts"))
     placed = placed.join(sizes, ["grp", "cluster"]).withColumn("salt", F.when(F.col("asks"), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int"))
@@ -343,6 +343,8 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
     every = placed.withColumn("at", F.explode(F.sequence(F.greatest("salt", F.lit(0)), F.col("salts") - 1))).join(union, "id", "left")
     every = every.withColumn("member", F.col("at") == F.col("salt"))
 
+    kinds = {"id": "int64", "n": "int64", "root": "int64", "hits": object}
+
     def ask(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["asks", "id"], ignore_index=True)
         ids, copies, member, asks = (pdf[c].to_numpy() for c in ("id", "copies", "member", "asks"))
@@ -350,6 +352,8 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
         for i, x in enumerate(pdf["own"]):
             own[i, : len(x)] = x
         inside = np.flatnonzero(member)
+        if not len(inside):
+            return pd.DataFrame({"id": [], "n": [], "root": [], "hits": []}).astype(kinds)
         place = {int(x): i for i, x in enumerate(ids[inside])}
         lists = Lists([np.array([place[y] for y in pdf["next"][i] if y in place], dtype=np.int64) for i in inside])
         full = matrix(pdf["vec"])
@@ -381,7 +385,7 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
         some = np.flatnonzero((n > 0) | (root != np.arange(len(pdf))))
         out = pd.DataFrame({"id": ids[some], "n": n[some], "root": ids[root[some]], "hits": [[] for _ in some]})
         more = pd.DataFrame({"id": list(hits), "n": 0, "root": list(hits), "hits": list(hits.values())})
-        return pd.concat([out, more]).astype({"id": "int64", "n": "int64", "root": "int64"})
+        return pd.concat([out, more]).astype(kinds)
 
     return every.groupBy("grp", "cluster", "at").applyInPandas(ask, "id bigint, n bigint, root bigint, hits array<bigint>")
 

@@ -111,6 +111,14 @@ def test_shards_overlaps_and_salts(spark, monkeypatch):
     assert sum(g[2] == e[2] for g, e in zip(got, expected)) >= 0.99 * len(rows)
 
 
+def test_more_salts_than_vectors(spark, monkeypatch):
+    """Some salts of a cluster stay empty and are visited all the same."""
+    monkeypatch.setattr(V, "SHARD", 1)
+    r = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(x for b in cloud(r, 6, 8) for x in cloud(r, 3, 8, b[None], 0.02))]
+    assert sorted(tuple(x) for x in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted(brute(rows, 0.98))
+
+
 def test_ids_that_name_several_vectors(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (0, [1.0, 0.01], 0), (1, [1.0, 0.0], 1), (-7, [1.0, 0.0], 1)]
     assert sorted((tuple(x) for x in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == brute(rows, 0.98)
