@@ -23,9 +23,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'=<>`]++)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_AT = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_AT = re.compile(r"@[^{};@]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\}?)")
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -191,11 +190,12 @@ def declared(text: str) -> tuple[str | None, str | None, bool]:
 def rules_of(sheet: str) -> list[Rule]:
     """The rules of a style sheet that say whether something shows. At-rules and compound selectors are left out."""
     out = []
-    for m in _RULE.finditer(_AT.sub("", _COMMENT.sub("", sheet))):
-        display, visibility, important = declared(m[2])
+    for rule in _AT.sub("", _COMMENT.sub("", sheet)).split("}"):
+        selectors, _, body = rule.partition("{")
+        display, visibility, important = declared(body)
         if display is None and visibility is None:
             continue
-        for selector in m[1].split(","):
+        for selector in selectors.split(","):
             simple = _SIMPLE.fullmatch(selector.strip())
             if not simple or not simple[0]:
                 continue

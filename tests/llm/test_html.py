@@ -54,6 +54,11 @@ def test_style_rules():
     assert render(css + "<p class='a h'>1</p><p id=i>2</p><p class=q>3</p><i class=q>4</i><u class=r>5</u><s class=s>6</s><b class=t style='display:inline'>7</b><em class=h style='display:inline'>8</em>") == "4568"
 
 
+def test_long_style_sheets_take_linear_time():
+    for bad in ("@" * 300_000, "/*" * 300_000, "a " * 300_000, "{" * 300_000, "@media x{" * 50_000, ".a,:b " * 100_000):
+        assert render(f"<style>.h{{display:none}} {bad}</style><p class=h>no<p>yes").endswith("yes")
+
+
 def test_spans_are_wide_and_tables_deep():
     assert render("<table><tr><td colspan=300>w<td>x<tr>" + "<td>a" * 301 + "</table>").splitlines()[0].split() == ["w", "x"]
     page = "<table><tr><td>a<td>" * 300 + "<b>deep</b>"
