@@ -42,6 +42,15 @@ def test_ids_equal_the_library(library):
         assert enc.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_all_characters_are_classed_alike(library):
+    """The three pattern engines have tables of their own of what is a letter, a number or a space."""
+    enc, m = encoder(JSON), Merger(JSON)
+    for low in [*range(0, 0x32000, 4096), 0xE0000]:
+        some = [f"a{c}b {c}1{c} {c}{c}" for c in map(chr, range(low, low + 4096)) if not "\ud800" <= c < "\ue000"]
+        for t, e in zip(some, library.encode_batch(some, add_special_tokens=False)):
+            assert enc.ids(t).tolist() == e.ids and m.count(t) == len(e.ids), repr(t)
+
+
 def test_cache_is_bounded():
     g = Generations(len, 10)
     keys = ["x" * (i % 7) + str(i) for i in range(100)] + ["y" * 65, "z" * 100_000]
