@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, drop
 
 #: Vectors that one graph is meant for, and centroids altogether, which bounds what goes to the executors.
-SHARD, CENTROIDS = 1000, 32_768
+SHARD, CENTROIDS = 5000, 32_768
 #: Vectors that centroids are learnt from, and vectors of an audit, of each of its two kinds.
 SAMPLE, AUDIT = 40_000, 256
 #: True links of sampled vectors that an audit needs to judge by them, besides the planted ones.
@@ -115,18 +115,25 @@ def products(v: np.ndarray, at: np.ndarray, q: np.ndarray, row: np.ndarray) -> n
     return np.concatenate(parts or [np.zeros(0, v.dtype)])
 
 
-def step(lists, row: np.ndarray, node: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs ``row, neighbour`` that a row has not seen yet, in order; they are seen from here on."""
-    n, keys = seen.shape[1], [np.zeros(0, np.int64)]
+def step(lists, row: np.ndarray, node: np.ndarray, seen: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``row, neighbour`` that a row has not seen yet, rows in order; they are seen from here on.
+
+    ``mark`` is room for a number for each row and node; of equal pairs
+    the one whose number stays is kept.
+    """
+    n, out = seen.shape[1], [(row[:0], node[:0])]
     for i in range(0, len(row), PAIRS // 8):
         place, near = lists.of(node[i : i + PAIRS // 8])
         r = row[i + place]
         new = ~seen[r, near]
-        keys.append(np.unique(r[new] * n + near[new]))
-    key = np.unique(np.concatenate(keys)) if len(keys) > 2 else keys[-1]
-    row, near = key // n, key % n
-    seen[row, near] = True
-    return row, near
+        r, near = r[new], near[new]
+        key, own = r * n + near, np.arange(len(r), dtype=np.int32)
+        mark[key] = own
+        once_ = mark[key] == own
+        r, near = r[once_], near[once_]
+        seen[r, near] = True
+        out.append((r, near))
+    return np.concatenate([r for r, _ in out]), np.concatenate([m for _, m in out])
 
 
 def walk(q: np.ndarray, v: np.ndarray, lists, start: int, beam: int, floor: float, expand: int = 4):
@@ -139,6 +146,7 @@ def walk(q: np.ndarray, v: np.ndarray, lists, start: int, beam: int, floor: floa
     n = len(v)
     seen = np.zeros((len(q), n), bool)
     seen[:, start] = True
+    mark = np.empty(len(q) * n, np.int32)
     ids, sims = np.full((len(q), beam), n), np.full((len(q), beam), -2, np.float32)
     done = np.ones((len(q), beam), bool)
     ids[:, 0], sims[:, 0], done[:, 0] = start, q @ v[start], False
@@ -157,13 +165,14 @@ def walk(q: np.ndarray, v: np.ndarray, lists, start: int, beam: int, floor: floa
         node = np.where(some, ids[on[:, None], pick], n)
         path.append(np.full((len(q), expand), n))
         path[-1][on] = node
-        row, new = step(lists, np.repeat(on, expand)[some.ravel()], node.ravel()[some.ravel()], seen)
+        row, new = step(lists, np.repeat(on, expand)[some.ravel()], node.ravel()[some.ravel()], seen, mark)
         if not len(row):
             continue
         s = products(v, new, q, row)
         hit = s >= floor
         pool.append((row[hit], new[hit], s[hit]))
-        who, first, count = np.unique(row, return_index=True, return_counts=True)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        who, count = row[first], np.diff(np.append(first, len(row)))
         place = np.repeat(np.arange(len(who)), count), np.arange(len(row)) - np.repeat(first, count)
         more, worth = np.full((len(who), int(count.max())), n), np.full((len(who), int(count.max())), -2, np.float32)
         more[place], worth[place] = new, s
@@ -177,11 +186,12 @@ def search(q: np.ndarray, v: np.ndarray, lists, start: int, beam: int, bound: fl
     """Pairs ``row, node`` in range: greedy walks, then an expansion from all that came in or near the range."""
     _, seen, _, pool = walk(q, v, lists, start, beam, bound - slack)
     row, node, sim = (np.concatenate(x) for x in zip(*pool))
-    found = []
+    found, mark = [], np.empty(seen.size, np.int32)
     while len(row):
         hit, go = sim >= bound - NEAR, sim >= bound - slack
         found.append((row[hit], node[hit]))
-        row, node = step(lists, row[go], node[go], seen)
+        order = np.argsort(row[go], kind="stable")
+        row, node = step(lists, row[go][order], node[go][order], seen, mark)
         sim = products(v, node, q, row)
     return np.concatenate([np.zeros(0, np.int64), *(r for r, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(m for _, m in found)])
 
@@ -476,8 +486,8 @@ def near_vectors(
     beam, range and overlap are widened and all is searched again. If
     ``ROUNDS`` searches do not suffice, the job fails. ``report``, if
     given, gets the audited recalls. There are ``CENTROIDS`` shards with
-    further ones by salt: beyond 33 million vectors, work per vector grows
-    with the table, by a millisecond for each further 50 million or so.
+    further ones by salt: beyond 160 million vectors, work per vector
+    grows with the table, by a search for each further 320 million.
     """
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     own = df.select(df[id_col].cast("bigint").alias("id"), df[vec_col].cast("array<double>").alias("vec"), label.alias("label"))
