@@ -32,7 +32,7 @@ SAMPLE, AUDIT = 40_000, 256
 #: True links of sampled vectors that an audit needs to judge by them, besides the planted ones.
 ENOUGH = 100
 #: Audits, each of a wider search than the one before; the last beam is wider than any shard.
-ROUNDS = 9
+ROUNDS = 10
 #: Vectors that are searched for at once.
 BLOCK = 256
 #: Pairs of vectors that are multiplied at once.
@@ -500,7 +500,7 @@ def near_vectors(
     vec = cut(vec.withColumn("id", F.monotonically_increasing_id()), "vectors")  # ids of the table may name several vectors
     total = vec.count()
     size = max(SHARD, -(-total // CENTROIDS))
-    large = vec.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > size)
+    large = vec.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 2 * size)  # up to this one graph holds all
     want = {r["grp"]: -(-r["n"] // size) for r in large.collect()}
     where: dict[str, np.ndarray] = {}
     if want:
