@@ -112,3 +112,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings of 200 bytes that occur more than once."""
+    from .suffixes import remove_repeated_bytes
+
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"), window=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
