@@ -121,3 +121,25 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeated_bytes(table(spark, sf_dir, "documents"), window=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words with a period in every document, every tenth of which has one written into it."""
+    from .periodic import periodic_runs, planted
+
+    out = periodic_runs(table(spark, sf_dir, "documents"), words=24, times=3, rewrite=planted)
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise("")
+    return out.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256")
+    )
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, and the words that they may be variants of."""
+    from .variants import spelling_variants
+
+    out = spelling_variants(table(spark, sf_dir, "documents"), least=5, many=3, ratio=2, mistakes=True)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
