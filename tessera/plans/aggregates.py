@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import tracks as O
+from ..operators.selection import place_by_hash
 from ..sources import detections as S
 from .base import det_plan, plan, read
 from .joins import _ENGINES, engines
@@ -361,11 +362,10 @@ _SPLIT = "r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source OR
 
 def stratified(df: DataFrame, key: str, label: str, seed: str = "42") -> DataFrame:
     """Split every label 80/10/10 in the order of a hash; labels of fewer than ten rows are for training."""
-    by = W.partitionBy(label)
-    d = df.withColumn("rn", F.row_number().over(by.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key))).withColumn("n", F.count("*").over(by))
-    d = d.withColumn("val", F.expr("if(n < 10, 0, greatest(1, cast(bround(n * 0.1D) as bigint)))"))
-    d = d.withColumn("test", F.expr("if(n < 10, 0, greatest(1, n - cast(bround(n * 0.8D) as bigint) - val))"))
-    return d.withColumn("split", F.expr("case when rn <= val then 'val' when rn <= val + test then 'test' else 'train' end")).drop("rn", "n", "val", "test")
+    val = F.expr("if(n < 10, 0, greatest(1, cast(bround(n * 0.1D) as bigint)))")
+    test = F.expr("if(n < 10, 0, greatest(1, n - cast(bround(n * 0.8D) as bigint) - greatest(1, cast(bround(n * 0.1D) as bigint))))")
+    d = place_by_hash(df, [label], key, [val, val + test], seed)
+    return d.withColumn("split", F.element_at(F.array(F.lit("val"), F.lit("test"), F.lit("train")), F.col("place") + 1)).drop("place")
 
 
 @plan("w09_stratified_split", f"WITH {_SPLIT} SELECT * FROM y")
@@ -393,17 +393,15 @@ def w10(spark: SparkSession, sf: str) -> DataFrame:
 @plan("w11_group_holdout", "WITH g AS (SELECT source, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(source), source) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT DISTINCT source, lang FROM documents)) SELECT d.doc_id, g.rn <= greatest(1, trunc(g.n * 0.2::DOUBLE)::BIGINT) AS held FROM documents d JOIN g ON d.source = g.source AND d.lang = g.lang")
 def w11(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").select("doc_id", "source", "lang")
-    by = W.partitionBy("lang")
-    g = d.select("source", "lang").distinct().withColumn("rn", F.row_number().over(by.orderBy(F.md5("source"), "source"))).withColumn("n", F.count("*").over(by))
-    return d.join(g, ["source", "lang"]).select("doc_id", (F.col("rn") <= F.greatest(F.lit(1), (F.col("n") * 0.2).cast("bigint"))).alias("held"))
+    g = place_by_hash(d.select("source", "lang").distinct(), ["lang"], "source", [F.expr("greatest(1, cast(n * 0.2D as bigint))")])
+    return d.join(g, ["source", "lang"]).select("doc_id", (F.col("place") == 0).alias("held"))
 
 
 @plan("w12_crop_holdout", "SELECT doc_id, rn <= greatest(1, floor(n * 0.15::DOUBLE)::BIGINT) AS held FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER (PARTITION BY source, lang) AS n FROM documents)")
 def w12(spark: SparkSession, sf: str) -> DataFrame:
-    by = W.partitionBy("source", "lang")
     d = read(spark, sf, "documents").select("doc_id", "source", "lang")
-    d = d.withColumn("rn", F.row_number().over(by.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))).withColumn("n", F.count("*").over(by))
-    return d.select("doc_id", (F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.15))).alias("held"))
+    d = place_by_hash(d, ["source", "lang"], "doc_id", [F.expr("greatest(1, cast(floor(n * 0.15D) as bigint))")])
+    return d.select("doc_id", (F.col("place") == 0).alias("held"))
 
 
 @det_plan("o01_edge_order", "@DET SELECT user_id, max(conf_c) AS w, row_number() OVER (ORDER BY max(conf_c) DESC, user_id) AS place FROM det GROUP BY user_id ORDER BY 2 DESC, 1")

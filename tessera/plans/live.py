@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.scan import floored_scan, running_best
 from ..streaming import scoreboard as B
 from .base import det_plan
 
@@ -22,13 +23,13 @@ _DELTA = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 0 END"
 @det_plan("st02_absolute_score", f"@DET, {_LOG}, s AS (SELECT *, count(CASE WHEN event_type = 'purchase' THEN 1 END) OVER (PARTITION BY match_id ORDER BY sc, seq) AS seg, CASE WHEN event_type = 'purchase' THEN k ELSE {_DELTA} END AS step FROM c), r AS (SELECT *, sum(step) OVER (PARTITION BY match_id, seg ORDER BY sc, seq) AS run FROM s) SELECT seq, (run - least(0, min(run) OVER (PARTITION BY match_id, seg ORDER BY sc, seq)))::BIGINT AS score FROM r")
 def st02(det: DataFrame) -> DataFrame:
     c = log(det).withColumn("delta", F.expr(_DELTA)).withColumn("absolute", F.expr("case when event_type = 'purchase' then k end"))
-    return B.floored_score(c, ["match_id"], ["at", "seq"], absolute="absolute").select("seq", F.col("score").cast("bigint").alias("score"))
+    return floored_scan(c, ["match_id"], ["at", "seq"], absolute="absolute").select("seq", "score")
 
 
 @det_plan("st03_floored_score", f"@DET, {_LOG}, r AS (SELECT *, sum({_DELTA}) OVER (PARTITION BY match_id ORDER BY sc, seq) AS run FROM c) SELECT seq, (run - least(0, min(run) OVER (PARTITION BY match_id ORDER BY sc, seq)))::BIGINT AS score FROM r")
 def st03(det: DataFrame) -> DataFrame:
     c = log(det).withColumn("delta", F.expr(_DELTA))
-    return B.floored_score(c, ["match_id"], ["at", "seq"]).select("seq", F.col("score").cast("bigint").alias("score"))
+    return floored_scan(c, ["match_id"], ["at", "seq"]).select("seq", "score")
 
 
 _RUNS = f"{_LOG}, v AS (SELECT match_id, sc * 100000000 + seq AS o, sc, k % 2 = 0 AS running FROM c WHERE event_type = 'view'), d AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY match_id ORDER BY o), FALSE) AS before FROM v), x AS (SELECT match_id, o, sc, running FROM d WHERE running <> before), sp AS (SELECT * FROM (SELECT match_id, running, sc AS since, lead(sc) OVER (PARTITION BY match_id ORDER BY o) AS until FROM x) WHERE running), e AS (SELECT match_id, max(sc) AS fin FROM c GROUP BY match_id)"
@@ -126,9 +127,43 @@ def st08(det: DataFrame) -> DataFrame:
     return B.fold(commands(det, "if(k % 10 = 0, '/penalty/clear', '/penalty/add')", _BODY))
 
 
-@det_plan("st10_penalty_expiry", None)
+#: Starts, pauses and a few penalties; everything else changes nothing.
+_TICK = "case when k = 1 then '/penalty/add' when k between 10 and 40 then '/clock/start' when k between 41 and 60 then '/clock/pause' else '/visible' end"
+_TICK_BODY = "named_struct('team', if(user_id div 16 % 2 = 0, 'A', 'B'), 'duration', element_at(array(120, 300, 600, 90), cast(user_id div 16 % 4 + 1 as int)))"
+_ENDS = f"{_LOG}, v AS (SELECT match_id, sc, seq, k <= 40 AS running FROM c WHERE k BETWEEN 10 AND 60), d AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY match_id ORDER BY sc, seq), FALSE) AS before FROM v), sp AS (SELECT * FROM (SELECT match_id, running, sc AS since, lead(sc) OVER (PARTITION BY match_id ORDER BY sc, seq) AS until FROM d WHERE running <> before) WHERE running), p AS (SELECT match_id, sc, CASE user_id // 16 % 2 WHEN 0 THEN 'A' ELSE 'B' END AS team, CASE user_id // 16 % 4 WHEN 1 THEN 300 WHEN 2 THEN 600 ELSE 120 END AS dur, row_number() OVER (PARTITION BY match_id ORDER BY sc, seq) AS id FROM c WHERE k = 1), o AS (SELECT p.*, greatest(sp.since, p.sc) AS a, sp.until AS b FROM p JOIN sp ON p.match_id = sp.match_id AND (sp.until IS NULL OR sp.until > p.sc)), g AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY match_id, id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ran FROM o), x AS (SELECT match_id, CAST(id AS VARCHAR) AS penalty, team, round((a + dur - ran)::DOUBLE - 0.05::DOUBLE, 2) AS ends FROM g WHERE ran < dur AND (b IS NULL OR ran + b - a >= dur))"
+
+
+def _ends(happened: DataFrame) -> DataFrame:
+    return happened.where("path = 'expired'").select("match_id", "penalty", "team", F.round("at", 2).alias("ends"))
+
+
+@det_plan("st10_penalty_expiry", f"@DET, {_ENDS} SELECT * FROM x")
 def st10(det: DataFrame) -> DataFrame:
-    return B.fold(commands(det, "case when k % 9 = 0 then '/clock/start' when k % 9 = 1 then '/penalty/add' else '/visible' end", _BODY))
+    """Each penalty that ends, at its own time, whether a command follows or not."""
+    return _ends(B.happenings(commands(det, _TICK, _TICK_BODY)))
+
+
+def replayed(det: DataFrame) -> tuple[DataFrame, str]:
+    """The command log as a stream with timers: what happened, and the folder of the stream's state.
+
+    A last command of a match of its own, long after all others, moves the
+    watermark over every penalty's end.
+    """
+    from ..operators.store import materialise, shared_path
+    from ..streaming.timers import replay
+
+    spark = det.sparkSession
+    c = commands(det, _TICK, _TICK_BODY)
+    last = c.agg((F.max("at") + 86_400_000).alias("at")).select(F.lit(-1).cast("bigint").alias("match_id"), F.lit(-1).cast("bigint").alias("seq"), "at", F.lit("/visible").alias("path"), F.lit("{}").alias("body"))
+    log_ = materialise(c.unionByName(last.where("at is not null")))
+    checkpoint = shared_path(spark, "board-state")
+    return replay(spark, log_.inputFiles()[0].rsplit("/", 1)[0], log_.schema, shared_path(spark, "board-rows"), checkpoint, files=100_000), checkpoint
+
+
+@det_plan("st10_timer_stream", f"@DET, {_ENDS} SELECT * FROM x")
+def st10_stream(det: DataFrame) -> DataFrame:
+    """The same ends from the stream, where timers show them."""
+    return _ends(replayed(det)[0])
 
 
 @det_plan("st11_swap_remove", _fold_sql(_ST11))
@@ -149,13 +184,29 @@ def st16(det: DataFrame) -> DataFrame:
     return B.fold(c).select("match_id", "seq", "status", "rev", "score_a")
 
 
-@det_plan("st13_snapshot", None)
+@det_plan("st13_snapshot", f"@DET, {_ENDS}, n AS (SELECT match_id, count(*) AS n FROM c GROUP BY match_id), e AS (SELECT match_id, count(DISTINCT ends) AS e, count(*) AS gone FROM x GROUP BY match_id), r AS (SELECT match_id, arg_max(running, sc * 100000000 + seq) AS running FROM v GROUP BY match_id), a AS (SELECT match_id, count(*) AS adds FROM p GROUP BY match_id) SELECT n.match_id, n.n + coalesce(e.e, 0) AS rev, coalesce(r.running, FALSE) AS running, coalesce(a.adds, 0) - coalesce(e.gone, 0) AS penalties FROM n LEFT JOIN e ON n.match_id = e.match_id LEFT JOIN r ON n.match_id = r.match_id LEFT JOIN a ON n.match_id = a.match_id")
 def st13(det: DataFrame) -> DataFrame:
-    return B.snapshot(st01(det))
+    """The state of each match as the stream's state store holds it."""
+    from ..streaming.timers import snapshot
+
+    return snapshot(det.sparkSession, replayed(det)[1]).where("match_id >= 0").select("match_id", "rev", "running", "penalties")
+
+
+@det_plan("k05_late_subscribers", f"@DET, {_ENDS}, t AS (SELECT match_id, sc::DOUBLE AS ends, seq, 0 AS o FROM c UNION ALL SELECT DISTINCT match_id, ends, NULL, -1 FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY ends, o, seq) AS rev FROM t), s AS (SELECT match_id, max(rev) AS rev FROM r GROUP BY match_id), u AS (SELECT DISTINCT user_id, run_id AS match_id, user_id % 7 AS behind FROM det) SELECT u.user_id, u.match_id, s.rev AS snapshot_rev, count(r.rev) AS missed FROM u JOIN s ON u.match_id = s.match_id LEFT JOIN r ON r.match_id = u.match_id AND r.rev > s.rev - u.behind GROUP BY 1, 2, 3")
+def k05_late(det: DataFrame) -> DataFrame:
+    """Clients who were away get the snapshot from the state store; of what happened, they missed the revisions after the last they saw."""
+    from ..streaming.timers import catch_up, snapshot
+
+    happened, state = replayed(det)
+    now = snapshot(det.sparkSession, state)
+    clients = det.select("user_id", F.col("run_id").cast("bigint").alias("match_id")).distinct()
+    clients = clients.join(now.select("match_id", "rev"), "match_id").select("user_id", "match_id", (F.col("rev") - F.col("user_id") % 7).alias("seen"))
+    return catch_up(clients, now, happened)
 
 
-@det_plan("w13_running_score", f"@DET, {_LOG}, r AS (SELECT *, sum({_DELTA}) OVER (PARTITION BY match_id, user_id % 2 ORDER BY sc, seq) AS run FROM c) SELECT match_id, user_id % 2 AS team, max(run - 0)::BIGINT AS best FROM r GROUP BY 1, 2")
+@det_plan("w13_running_score", f"@DET, {_LOG}, r AS (SELECT *, user_id % 2 AS team, sum({_DELTA}) OVER (PARTITION BY match_id, user_id % 2 ORDER BY sc, seq) AS run FROM c), f AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY match_id, team ORDER BY sc, seq)) AS score FROM r) SELECT match_id, team, seq, score::BIGINT AS score, (max(score) OVER (PARTITION BY match_id, team ORDER BY sc, seq))::BIGINT AS best FROM f")
 def w13(det: DataFrame) -> DataFrame:
-    w = W.partitionBy("match_id", F.col("user_id") % 2).orderBy("at", "seq")
-    r = log(det).withColumn("run", F.sum(F.expr(_DELTA)).over(w))
-    return r.groupBy("match_id", (F.col("user_id") % 2).alias("team")).agg(F.max("run").cast("bigint").alias("best"))
+    """Each team's running score, floored at zero, and the best it had so far."""
+    c = log(det).withColumn("delta", F.expr(_DELTA)).withColumn("team", F.col("user_id") % 2)
+    s = floored_scan(c, ["match_id", "team"], ["at", "seq"])
+    return running_best(s, ["match_id", "team"], ["at", "seq"], "score", "best").select("match_id", "team", "seq", "score", "best")

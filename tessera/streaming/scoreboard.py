@@ -24,6 +24,8 @@ PATHS = [
 ]
 #: Lengths in seconds (fixed values): a period, an overtime, penalties; penalties of a team at once.
 PERIOD, OVERTIME, PENALTIES, MOST = 1500, 300, (120, 300, 600), 3
+#: Seconds left at which a penalty counts as over (fixed value).
+OVER = 0.05
 BODY = "team string, delta double, value string, duration int, id string, seconds double, label string, resetClock boolean, name string, short string, color string, textColor string, bgMode string, broken string"
 
 
@@ -34,21 +36,6 @@ def parse_commands(df: DataFrame) -> DataFrame:
     return out.withColumn("status", status)
 
 
-def floored_score(df: DataFrame, keys: list[str], order: list[str], delta: str = "delta", absolute: str | None = None) -> DataFrame:
-    """A running score that never falls below zero.
-
-    In a stretch that begins with an absolute value the score is
-    ``S - min(0, min S)``, where S is the running sum and the minimum is
-    taken over the stretch so far.
-    """
-    w = W.partitionBy(*keys).orderBy(*order)
-    start = F.lit(0) if absolute is None else F.count(absolute).over(w)
-    step = F.col(delta) if absolute is None else F.when(F.col(absolute).isNotNull(), F.greatest(F.lit(0), F.col(absolute))).otherwise(F.coalesce(delta, F.lit(0)))
-    v = W.partitionBy(*keys, "stretch").orderBy(*order)
-    s = df.withColumn("stretch", start).withColumn("step", step).withColumn("run", F.sum("step").over(v))
-    return s.withColumn("score", F.col("run") - F.least(F.lit(0), F.min("run").over(v))).drop("stretch", "step", "run")
-
-
 def running_changes(df: DataFrame, keys: list[str], order: list[str], on: str = "running") -> DataFrame:
     """Only commands that change the state count: repeats of start or pause are dropped."""
     w = W.partitionBy(*keys).orderBy(*order)
@@ -117,15 +104,25 @@ class Board:
                 p["left"] = max(0.0, p["left"] - gone)
         self.since = now
 
-    def expire(self, now: float) -> bool:
-        """Drop penalties that are over; a drop counts as a revision."""
+    def due(self) -> float | None:
+        """When the next penalty is over, if no command comes before."""
+        ends = [self.since + max(0.0, p["left"] - OVER) for t in self.teams.values() for p in t.penalties]
+        return min(ends, default=None) if self.running else None
+
+    def expire(self, now: float) -> list[tuple[float, str, str, int]]:
+        """Bring the state to ``now``: time, team, penalty and revision of those that were over on the way, each at its own time.
+
+        All that end at one time are one revision.
+        """
+        gone = []
+        while (at := self.due()) is not None and at <= now:
+            self.settle(at)
+            self.rev += 1
+            for name, t in self.teams.items():
+                gone += [(at, name, p["id"], self.rev) for p in t.penalties if p["left"] <= OVER + 1e-6]
+                t.penalties = [p for p in t.penalties if p["left"] > OVER + 1e-6]
         self.settle(now)
-        before = sum(len(t.penalties) for t in self.teams.values())
-        for t in self.teams.values():
-            t.penalties = [p for p in t.penalties if p["left"] > 0.05]
-        changed = before != sum(len(t.penalties) for t in self.teams.values())
-        self.rev += changed
-        return changed
+        return gone
 
     def rearm(self) -> None:
         self.running, self.up, self.left = False, False, float(self.lengths[self.kind()])
@@ -236,7 +233,8 @@ def _penalty(b, d, t):
         return False
     length = length if length in PENALTIES else PENALTIES[0]
     b.made += 1
-    t.penalties.append({"id": str(d.get("id") or b.made), "duration": length, "left": float(length)})
+    # penalties are numbered here; an id that a caller sends is not looked at
+    t.penalties.append({"id": str(b.made), "duration": length, "left": float(length)})
 
 
 def _remove(b, d, t):
@@ -297,6 +295,41 @@ def stream(commands: DataFrame) -> DataFrame:
     return commands.groupBy("match_id").applyInPandasWithState(run, RESULT, "board string", "append", GroupStateTimeout.NoTimeout)
 
 
+#: What happens to a match: its commands, and penalties that are over, under the path ``expired``.
+HAPPENED = "match_id bigint, at double, seq bigint, path string, status int, rev bigint, team string, penalty string"
+
+
+def happen(board: Board, match: int, rows: list[tuple[float, int, str, str | None]], until: float | None = None) -> list[tuple]:
+    """Carry out commands ``(at, seq, path, body)`` in order; with what is over on the way and, after the last of them, ``until`` then."""
+
+    def over(gone: list[tuple[float, str, str, int]]) -> list[tuple]:
+        return [(match, at, None, "expired", None, rev, team, penalty) for at, team, penalty, rev in gone]
+
+    out = []
+    for at, seq, path, body in sorted(rows, key=lambda r: r[:2]):
+        out += over(board.expire(at))
+        status = board.receive(path, body, at)
+        out.append((match, at, seq, path, status, board.rev, None, None))
+    if until is not None:
+        while (at := board.due()) is not None and at <= until:
+            out += over(board.expire(at))
+    return out
+
+
+def happenings(commands: DataFrame, until: float = float("inf")) -> DataFrame:
+    """Each match's commands and ends of penalties, each at its own time, up to ``until``; matches are folded in parallel."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(float(r.at), r.seq, r.path, r.body) for r in pdf.itertuples()]
+        told = pd.DataFrame(happen(Board(since=min(r[0] for r in rows)), int(key[0]), rows, until), columns=NAMES)
+        return told.astype({"seq": "Int64", "status": "Int64"})
+
+    return commands.groupBy("match_id").applyInPandas(run, HAPPENED)
+
+
+NAMES = [c.split()[0] for c in HAPPENED.split(", ")]
+
+
 def snapshot(states: DataFrame) -> DataFrame:
     """The latest state of each match, which a new subscriber gets first."""
     last = F.row_number().over(W.partitionBy("match_id").orderBy(F.desc("rev"), F.desc("seq")))
