@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; texts are long, so it is well under Spark's default.
 BATCH_ROWS = 1000
+#: A key with more than this part of all rows is heavy.
+HEAVY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,19 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Join ``left`` with a written table of unique keys that tells in ``count`` how many rows of ``left`` each key has.
+
+    Keys with more than a thousandth of all those rows are broadcast, and
+    their rows are not shuffled; there are fewer than 1000 such keys.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * HEAVY > total
+    told, rest = right.where(heavy).drop(count), right.where(~heavy).drop(count)
+    light = left.join(F.broadcast(told.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(told), keys).unionByName(light.join(rest, keys))
+
+
 def crc_mod(column, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as 0."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % F.lit(modulus), F.lit(0)).cast("int")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, join_skewed
 from .minhash import mix
 
 #: Bytes of text whose runs are sought at once.
@@ -368,28 +368,29 @@ def remove_repeated_bytes(df: DataFrame, window: int = 200, id_col: str = "doc_i
         raise ValueError("a window has 16 bytes or more")
     docs = cut(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
     runs = cut(runs_of(docs, window), "runs")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = cut(runs.join(twice, "anchor", "left_semi"), "recurring")
-    drop(runs)
+    twice = cut(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    again = cut(join_skewed(runs, twice, ["anchor"]), "recurring")
+    drop(runs, twice)
     told = again.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "size")).alias("rep"))
     told = cut(told.select("anchor", "seg", "n", "rep.*"), "told")
     hot = told.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_RUNS).select("anchor", F.lit(True).alias("hot"))
     named = told.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     parts = cut(bodies_of(docs, named, window), "parts")
-    drop(told)
     warm, hot = parts.where("not hot"), parts.where("hot")
     windows = cut(windows_of(hot, window), "windows")
-    rep = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "seg", "at")).alias("rep")).where("n > 1")
-    single = rep.select("w1", "w2", "n", "rep.*").join(hot.select("anchor", "seg", "body"), ["anchor", "seg"])
-    single = cut(single.select(F.col("w1").alias("anchor"), F.col("w2").alias("seg"), "n", F.expr(f"substring(body, at + 1, {window})").alias("body")), "single")
+    rep = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("anchor", "seg", "at")).alias("rep")).where("n > 1")
+    single = rep.select("w1", "w2", "n", "rows", "rep.*").join(hot.select("anchor", "seg", "body"), ["anchor", "seg"])
+    single = cut(single.select(F.col("w1").alias("anchor"), F.col("w2").alias("seg"), "n", "rows", F.expr(f"substring(body, at + 1, {window})").alias("body")), "single")
     total = warm.select(F.octet_length("body").alias("b")).union(single.select(F.octet_length("body"))).agg(F.sum("b")).first()[0] or 0
     bins = -(-total // BIN_BYTES) or 1
     found = recurring(warm, window, bins)
-    one = recurring(single, window, bins).select(F.col("anchor").alias("w1"), F.col("seg").alias("w2"))
-    one = windows.join(one, ["w1", "w2"]).groupBy("anchor", "seg").agg(F.collect_set("at").alias("at"))
-    found = cut(found.union(one.select("anchor", "seg", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("at"))), "found")
-    drop(parts, windows, single)
-    marks = again.join(found, ["anchor", "seg"]).groupBy("row").agg(F.collect_list(F.struct("first", "at")).alias("marks"))
+    one = recurring(single, window, bins).join(single.select("anchor", "seg", "rows"), ["anchor", "seg"])
+    one = cut(one.select(F.col("anchor").alias("w1"), F.col("seg").alias("w2"), "rows"), "one")
+    one = join_skewed(windows, one, ["w1", "w2"], "rows").groupBy("anchor", "seg").agg(F.collect_set("at").alias("at"))
+    found = found.union(one.select("anchor", "seg", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("at")))
+    found = cut(found.join(told.select("anchor", "seg", "n"), ["anchor", "seg"]), "found")
+    drop(told, parts, windows, single)
+    marks = join_skewed(again, found, ["anchor", "seg"]).groupBy("row").agg(F.collect_list(F.struct("first", "at")).alias("marks"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
