@@ -72,8 +72,21 @@ def running_best(df: DataFrame, keys: list[str], order: list[str], value: str, n
     d = d.withColumn("own", F.max(value).over(W.partitionBy("part", *keys).orderBy(*order)))
     w = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     p = d.groupBy("part", *keys).agg(F.max(value).alias("most")).withColumn("before", F.max("most").over(w))
-    p = p.select(F.col("part").alias("of"), *[F.col(k).alias(f"of_{k}") for k in keys], "before")
+    return _with_before(d, p, keys, F.greatest("own", "before"), name)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """``name``: the sum of a key's values so far (of all rows, without keys), by the same two levels."""
+    d = ranges(df, keys, order, parts)
+    d = d.withColumn("own", F.sum(value).over(W.partitionBy("part", *keys).orderBy(*order)))
+    w = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    return _with_before(d, d.groupBy("part", *keys).agg(F.sum(value).alias("all")).withColumn("before", F.sum("all").over(w)), keys, F.col("own") + F.coalesce("before", F.lit(0)), name)
+
+
+def _with_before(d: DataFrame, parts: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Add what stands ``before`` each range to its rows, and from both and ``own`` the value."""
+    p = parts.select(F.col("part").alias("of"), *[F.col(k).alias(f"of_{k}") for k in keys], "before")
     on = F.col("part") == F.col("of")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    return d.join(p, on).withColumn(name, F.greatest("own", "before")).drop("part", "own", "of", *[f"of_{k}" for k in keys], "before")
+    return d.join(p, on).withColumn(name, value).drop("part", "own", "of", *[f"of_{k}" for k in keys], "before")

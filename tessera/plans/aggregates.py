@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import tracks as O
+from ..operators.bitmaps import coverage, frame_words
 from ..operators.selection import place_by_hash
 from ..sources import detections as S
 from .base import det_plan, plan, read
@@ -108,7 +109,7 @@ def a10(det: DataFrame) -> DataFrame:
 @det_plan("a11_entity_coverage", f"@DET SELECT user_id AS entity, count(DISTINCT frame) AS covered, min(frame) AS first_frame, max(frame) AS last_frame, round_even(100 * count(DISTINCT frame) / greatest((SELECT max(frame) FROM det), 1)::DOUBLE, 2) AS pct FROM det WHERE {_T} GROUP BY user_id")
 def a11(det: DataFrame) -> DataFrame:
     total = det.agg(F.max("frame").alias("total"))
-    c = S.tracked(det).groupBy(F.col("user_id").alias("entity")).agg(F.countDistinct("frame").alias("covered"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    c = coverage(frame_words(S.tracked(det).withColumnRenamed("user_id", "entity"), ["entity"]), ["entity"])
     c = c.join(F.broadcast(total))  # one row: an aggregate without keys
     return c.select("entity", "covered", "first_frame", "last_frame", F.bround(100 * F.col("covered") / F.greatest(F.col("total"), F.lit(1)), 2).alias("pct"))
 

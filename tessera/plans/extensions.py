@@ -135,12 +135,42 @@ def contrastive_teams(rows: DataFrame, weights: dict | None = None, size: tuple[
     return out.withColumnsRenamed({"label": "track_id", "vec_id": "event_id"})
 
 
-@det_plan("f10_triplet_weights", "@DET, c AS (SELECT run_id, count(DISTINCT CASE WHEN team_id = 0 THEN track_id END) AS a, count(DISTINCT CASE WHEN team_id = 1 THEN track_id END) AS b FROM det WHERE track_id >= 0 GROUP BY run_id) SELECT run_id, least(a, b) * (a + b) AS weight FROM c")
+#: Clips of both teams: a user's parity is the team, so that clips are of neighbouring users.
+_CLIP = "SELECT user_id // 2 % 16 AS clip, team_id AS team, event_id AS crop FROM det WHERE track_id >= 0"
+_CLIPS = f"crops AS ({_CLIP}), sizes AS (SELECT clip, sum((team = 0)::INT)::BIGINT AS a, sum((team = 1)::INT)::BIGINT AS b FROM crops GROUP BY clip), w AS (SELECT *, least(a, b) * (a + b) AS weight FROM sizes)"
+
+
+def _chance(*parts: str) -> str:
+    """The sampler's numbers in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 12) AS BIGINT)"
+
+
+def crops_of_clips(det: DataFrame) -> DataFrame:
+    return det.where("track_id >= 0").select((F.expr("user_id div 2") % 16).alias("clip"), F.col("team_id").alias("team"), F.col("event_id").alias("crop"))
+
+
+@det_plan("f10_triplet_weights", f"@DET, {_CLIPS} SELECT clip, weight FROM w")
 def f10(det: DataFrame) -> DataFrame:
     """A clip's weight in the sampler of triplets."""
-    n = lambda t: F.countDistinct(F.when(F.col("team_id") == t, F.col("track_id")))
-    c = det.where("track_id >= 0").groupBy("run_id").agg(n(0).alias("a"), n(1).alias("b"))
-    return c.select("run_id", (F.least("a", "b") * (F.col("a") + F.col("b"))).alias("weight"))
+    c = crops_of_clips(det).groupBy("clip").agg(F.count_if(F.col("team") == 0).alias("a"), F.count_if(F.col("team") == 1).alias("b"))
+    return c.select("clip", (F.least("a", "b") * (F.col("a") + F.col("b"))).alias("weight"))
+
+
+@det_plan("f10_triplets", f"@DET, {_CLIPS}, o AS (SELECT *, sum(weight) OVER (ORDER BY clip) - weight AS since, sum(weight) OVER () AS total FROM w), d AS (SELECT DISTINCT event_id AS draw FROM det), h AS (SELECT draw, {_chance('0', chr(39) + 'c' + chr(39), 'draw')} AS c, {_chance('0', chr(39) + 't' + chr(39), 'draw')} % 2 AS team, {_chance('0', chr(39) + 'p' + chr(39), 'draw')} AS p, {_chance('0', chr(39) + 'q' + chr(39), 'draw')} AS q, {_chance('0', chr(39) + 'r' + chr(39), 'draw')} AS r, {_chance('0', chr(39) + 'g' + chr(39), 'draw')} % 2 = 0 AS grey FROM d), x AS (SELECT h.*, o.clip, CASE team WHEN 0 THEN a ELSE b END AS own, CASE team WHEN 0 THEN b ELSE a END AS other FROM h JOIN o ON o.weight > 0 AND h.c % o.total >= o.since AND h.c % o.total < o.since + o.weight), y AS (SELECT *, p % own AS i, q % greatest(own - 1, 1) AS j0, r % other AS k FROM x WHERE own >= 2), z AS (SELECT *, CASE WHEN j0 >= i THEN j0 + 1 ELSE j0 END AS j FROM y), s AS (SELECT *, row_number() OVER (PARTITION BY clip, team ORDER BY crop) - 1 AS place FROM crops) SELECT z.draw, z.clip, z.team, sa.crop AS anchor, sp.crop AS positive, sn.crop AS negative, z.grey FROM z JOIN s sa ON sa.clip = z.clip AND sa.team = z.team AND sa.place = z.i JOIN s sp ON sp.clip = z.clip AND sp.team = z.team AND sp.place = z.j JOIN s sn ON sn.clip = z.clip AND sn.team = 1 - z.team AND sn.place = z.k")
+def f10_triplets(det: DataFrame) -> DataFrame:
+    """As many triplets as there are detections, drawn from the clips by weight."""
+    from ..operators.sampling import triplets
+
+    return triplets(crops_of_clips(det), det.select(F.col("event_id").alias("draw")).distinct(), "0")
+
+
+@det_plan("f10_weighted_crops", f"@DET, t AS (SELECT event_id, run_id, -ln(({_chance(chr(39) + '7' + chr(39), 'event_id')} + 1)::DOUBLE / 281474976710657::DOUBLE) / conf_c::DOUBLE AS wait FROM det WHERE conf_c > 0) SELECT run_id, event_id, place FROM (SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY wait, event_id) AS place FROM t) WHERE place <= 50")
+def f10_weighted_crops(det: DataFrame) -> DataFrame:
+    """Fifty crops of each run, drawn without replacement by confidence."""
+    from ..operators.sampling import weighted_sample
+
+    s = weighted_sample(det.select("run_id", "event_id", "conf_c"), "conf_c", "event_id", 50, "7", ["run_id"])
+    return s.select("run_id", "event_id", F.col("place").cast("bigint").alias("place"))
 
 
 @det_plan("s06_pose_cache", f"@DET, p AS ({_POSE}) SELECT frame, count(*) AS poses, sum(x1)::BIGINT AS x FROM p GROUP BY frame")

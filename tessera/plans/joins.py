@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import entities as N
 from ..operators import tracks as O
+from ..operators.bitmaps import frame_words, frames_of, merge_words
+from ..operators.grid import overlapping
 from ..sources import detections as S
 from .base import det_plan, plan, read
 
@@ -30,7 +32,7 @@ def spatial_top1(boxes: DataFrame, poses: DataFrame, keys: list[str], least: flo
     box, pose = ["x1", "y1", "x2", "y2"], ["px1", "py1", "px2", "py2"]
     d = boxes.select("event_id", *keys, *[F.col(c).cast("double").alias(c) for c in box])
     p = poses.select(*keys, "pose_idx", *[F.col(c).cast("double").alias(c) for c in pose])
-    j = d.join(p, keys).withColumn("iou", E.iou(box, pose))
+    j = overlapping(d, p, keys, box, pose, least).withColumn("iou", E.iou(box, pose))
     return O.top_n(j, ["event_id"], [F.desc("iou"), F.col("pose_idx")], 1).where(F.col("iou") > least)
 
 
@@ -185,7 +187,8 @@ def u02(det: DataFrame) -> DataFrame:
 
 @det_plan("u03_frame_union", "@DET SELECT DISTINCT frame FROM (SELECT frame FROM det WHERE k < 5 UNION SELECT frame FROM det WHERE k > 95)")
 def u03(det: DataFrame) -> DataFrame:
-    return det.where("k < 5").select("frame").union(det.where("k > 95").select("frame")).distinct()
+    a, b = (frame_words(det.where(c), []) for c in ("k < 5", "k > 95"))
+    return frames_of(merge_words(a.union(b), []))
 
 
 @det_plan("u04_needed_frames", "@DET SELECT DISTINCT frame FROM (SELECT frame, row_number() OVER (PARTITION BY track_id ORDER BY conf_c DESC, frame, event_id) rn FROM det WHERE class_id = 0 AND track_id >= 0) WHERE rn <= 3")
