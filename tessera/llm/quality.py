@@ -150,7 +150,9 @@ def prepare(
     marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("double").alias("label")).where("doc_id is not null and label is not null")
     marks = marks.where(crc_mod(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.avg("label").alias("label"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return fit(own.join(F.broadcast(marks), "doc_id").where("text is not null and text <> ''"), dims, rank, k)
+    # of rows that share an id one is learnt from, so that the bound on ids is a bound on rows
+    rows = own.join(F.broadcast(marks), "doc_id").where("text is not null and text <> ''")
+    return fit(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")), dims, rank, k)
 
 
 def classify(
@@ -170,8 +172,9 @@ def classify(
     """Score the quality of every whole text; one row for each row, no shuffle of texts.
 
     At most ``sample`` labelled rows, chosen by a hash of the id among
-    those whose crc32 modulo ``folds`` is not ``held``, are learnt from;
-    the model's size follows that bound alone. Labels, language, source
+    those whose crc32 modulo ``folds`` is not ``held``, are learnt from,
+    of rows that share an id the one with the least text; the model's
+    size follows that bound alone. Labels, language, source
     and id are no inputs of a score. Returns ``doc_id, held_out, score,
     predicted`` (1 if the score is ``threshold`` or more). Null and empty
     texts, and texts like no labelled one, get the share of label 1 among
