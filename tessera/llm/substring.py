@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import HEAVY, cut, drop
 from .minhash import mix, word_hashes
 
 #: Words of an anchor phrase.
 PHRASE = 8
 #: Bytes of text that a shard is meant to hold.
 SHARD_BYTES = 3_000_000
+#: Copies of a row that are made by one task at a time.
+PORTION = 10_000
 #: Symbols of one place of a word's code.
 BASE = 256
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -174,6 +176,33 @@ class Phrases:
         return np.cumsum(step)[:-1] > 0
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows with ``copies``, how many rows each stands for.
+
+    Rows that are equal in id and text and more than a thousandth of all
+    are told by two of them: one for itself and one for the others, so that
+    all their windows still recur. There are fewer than 1000 such rows.
+    """
+    key = (F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
+    n = docs.select(*key).groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    total = docs.count()
+    heavy = n.where((F.col("n") * HEAVY > total) & (F.col("n") > 2)).select("k1", "k2", "n")
+    told = docs.select("*", *key).join(F.broadcast(heavy), ["k1", "k2"], "left")
+    light = told.where("n is null").select("doc_id", "text", F.lit(1).cast("bigint").alias("copies"))
+    pair = told.where("n is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    pair = pair.select("row.*", F.explode(F.array(F.lit(1).cast("bigint"), F.col("n") - 1)).alias("copies"))
+    return light.unionByName(pair)
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """Each row as often as ``copies`` says; copies are made in portions, which are dealt to all tasks."""
+    one = rows.where("copies = 1").drop("copies")
+    many = rows.where("copies > 1").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies"), F.lit(PORTION).cast("bigint"))))
+    many = many.withColumn("here", F.least(F.lit(PORTION), F.col("copies") - F.col("portion"))).where("here > 0")
+    many = many.repartition("doc_id", "portion").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("here").cast("int"))))
+    return one.unionByName(many.drop("copies", "portion", "here", "copy"))
+
+
 def stretches(words: Column, at: Column, window: int) -> Column:
     """The passages of a run's words that the windows starting ``at`` cover, one for each row of neighbouring starts."""
     firsts = F.filter(at, lambda p: ~F.array_contains(at, p - 1))
@@ -193,11 +222,13 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
     ties do not arise; null ids stay null; an empty table gives no rows;
     further columns are not read, whatever their names. What recurs is
     confirmed by 128 bits of a run (anchor and digest) or of a window, what
-    is removed is compared word by word. Rows that are equal in id and text
-    share a shard.
+    is removed is compared word by word. Of rows that are equal in id and
+    text, if they are more than a thousandth of all, two stand for the rest
+    (``without_copies``), so that no shard is told by how often a row is
+    repeated; fewer share a shard.
     """
     spark = df.sparkSession
-    docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    docs = without_copies(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
@@ -271,7 +302,7 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
                     words = [w for w, x in zip(words, gone.tolist()) if not x]
             n_removed.append(n_words[-1] - len(words))
             out.append(b" ".join(words).decode())
-        return pa.table({"doc_id": left["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(out, pa.string())})
+        return pa.table({"copies": left["copies"], "doc_id": left["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(out, pa.string())})
 
-    out = docs.select("shard", "doc_id", "text").groupBy("shard").cogroup(routed.groupBy("shard"))
-    return out.applyInArrow(locate, f"doc_id {kind}, n_words bigint, n_removed bigint, text string")
+    out = docs.select("shard", "copies", "doc_id", "text").groupBy("shard").cogroup(routed.groupBy("shard"))
+    return with_copies(out.applyInArrow(locate, f"copies bigint, doc_id {kind}, n_words bigint, n_removed bigint, text string"))
