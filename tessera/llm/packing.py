@@ -312,22 +312,24 @@ def pack(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", tex
     not the rows. Ranks among pieces of one length are counted within
     ``buckets`` hash buckets or more, as many as ``BUCKET`` pieces each
     make, and offset by the sums of the buckets before, so a length that a
-    third of all pieces share is dealt over all tasks.
+    third of all pieces share is dealt over all tasks. Buckets hash a
+    number that each piece is given when it is written; equal rows are
+    dealt like others.
 
     Null texts are empty documents (one piece of id 0), repeated rows are
     packed each, null ids stay null, an empty table gives no rows, further
     columns are not read, whatever their names. A text of any length is
     tokenised whole and cut into pieces. Pieces that tie in length are told
-    apart by id, piece and content; equal ones may change places.
+    apart by the number that they were given.
     """
-    p = cut(pieces(df, path, size, id_col, text_col), "pieces")
+    p = cut(pieces(df, path, size, id_col, text_col).withColumn("deal", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = p.sparkSession.sparkContext.broadcast(slots(solve(histogram, size)[0]))
     buckets = max(buckets, -(-max(histogram.values(), default=0) // BUCKET))
-    p = p.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    p = p.withColumn("part", F.pmod(F.xxhash64("deal"), F.lit(buckets)).cast("int"))
     by = p.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = by.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    own = W.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
+    own = W.partitionBy("length", "part").orderBy("deal")
     ranked = p.withColumn("rank", F.row_number().over(own)).join(before, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank") - 1).alias("rank"))
 
