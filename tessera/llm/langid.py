@@ -8,7 +8,6 @@ those bits, less the hits that false positives alone would give, decide.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes other than ASCII letters and the bytes of longer characters count as a space.
 _CLEAN = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -63,7 +61,7 @@ class Filters:
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text):
+        if not text or not any(map(str.isalpha, text)):
             return "und", 0.0
         if not self.langs:
             return "und", 0.0
