@@ -19,8 +19,8 @@ from .common import cut
 #: Fixed value of the contract: what stands between words, after A-Z are in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Fingerprints of the test set up to which they are sent to every executor; beyond, both sides are shuffled.
-SEND = 200_000
+#: Fingerprints of the test set, and bytes of their text, up to which they are sent to every executor; beyond, both sides are shuffled.
+SEND, SEND_BYTES = 200_000, 16_000_000
 
 
 def words(text: Column) -> Column:
@@ -101,7 +101,10 @@ def decontaminate(
     marks = cut(marks.union(own.where(F.col("len") < window).select("key")).distinct(), "marks")
 
     def small(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if side.limit(SEND + 1).count() <= SEND else side
+        """Broadcast a written table of at most ``SEND`` rows and ``SEND_BYTES`` bytes of text."""
+        text = [F.octet_length(c) for c in ("phrase",) if c in side.columns] + [F.expr("aggregate(items, 0L, (n, x) -> n + octet_length(x))") for c in ("items",) if c in side.columns]
+        n, size = side.agg(F.count("*"), F.coalesce(F.sum(sum(text, F.lit(0))), F.lit(0))).first()
+        return F.broadcast(side) if n <= SEND and size <= SEND_BYTES else side
 
     split = keyed.select("id", "digest", "doc_id", words(F.col("text")).alias("w"))
     sizes = cut(split.select("id", "digest", "doc_id", F.size("w").cast("bigint").alias("n_words")), "sizes")

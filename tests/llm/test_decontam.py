@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tessera.llm.decontam import decontaminate
 from tessera.llm.registry import QUERIES
 
@@ -63,13 +65,14 @@ def test_long_texts_and_equal_windows(spark, docs):
     assert sorted((tuple(x) for x in got), key=str) == brute(rows, [(1, item), (2, item), (3, "x " * 30)])
 
 
-def test_shuffled_fingerprints_give_the_same(spark, docs, monkeypatch):
+@pytest.mark.parametrize("bound", [("SEND", 3), ("SEND_BYTES", 100)])
+def test_shuffled_fingerprints_give_the_same(spark, docs, monkeypatch, bound):
     import tessera.llm.decontam as D
 
     r = random.Random(6)
     items = [(i, " ".join(r.choice("abcdefgh") for _ in range(14))) for i in range(8)] + [(9, "b c")]
     rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(20)) + " " + r.choice(items)[1]) for i in range(40)]
-    monkeypatch.setattr(D, "SEND", 3)
+    monkeypatch.setattr(D, *bound)
     got = decontaminate(docs(rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert sorted((tuple(x) for x in got), key=str) == brute(rows, items)
 

@@ -24,14 +24,14 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_edge_cases(spark):
     rows = [(i, "the cat and the dog sat", "en", "s") for i in range(30)] + [(i + 30, "le chat et la souris dorment", "fr", "s") for i in range(30)]
-    rows += [(100, None, "en", "s"), (101, "", None, "s"), (102, "123 ...", "en", "s"), (None, "the dog", None, None), (103, "le chat", None, None), (103, "le chat", None, None)]
+    rows += [(100, None, "en", "s"), (101, "", None, "s"), (102, "123 ...", "en", "s"), (104, "½ ² Ⅷ ①", "fr", "s"), (None, "the dog", None, None), (103, "le chat", None, None), (103, "le chat", None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").selectExpr("*", "'x' as id", "'y' as gram")
     got = identify(df, per_lang=1000).collect()
     assert len(got) == len(rows)
     by = {}
     for x in got:
         by.setdefault(x["doc_id"], []).append(x["lang_pred"])
-    assert by[100] == by[101] == by[102] == ["und"] and by[103] == ["fr", "fr"] and by[None] == ["en"]
+    assert by[100] == by[101] == by[102] == by[104] == ["und"] and by[103] == ["fr", "fr"] and by[None] == ["en"]
     assert identify(df.limit(0)).count() == 0
     assert {x["lang_pred"] for x in identify(df.where("lang is null")).collect()} == {"und"}
 
@@ -72,6 +72,17 @@ def test_quality_edge_cases(spark):
     assert {x["score"] for x in classify(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_rows_that_share_an_id_are_learnt_from_once(spark):
+    """One labelled id on 10,000 rows: the model holds no more vectors than the sample's bound."""
+    from tessera.llm.quality import prepare
+
+    df = spark.range(10_000).selectExpr("7 as doc_id", "concat('some text ', id) as text").union(spark.createDataFrame([(i, f"text {i}") for i in range(20, 60)], "doc_id int, text string"))
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(20, 60)], "doc_id int, quality int")
+    for sample, most in ((1, 1), (10, 10), (3000, 41)):
+        model = prepare(df, labels, "doc_id", "text", "quality", 5, 99, sample, 512, 8, 3)
+        assert len(model.refs) == most
+
+
 def test_learnt_vectors_do_not_depend_on_row_order():
     x = np.stack([counts(t, 512) for t in ("a b c", "x! y! z!", "plain words", "MORE!! MARKS")]).astype(np.float32)
     m = learn(x, np.array([1.0, 0, 1, 0]), 2, 1)

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from tessera.llm.registry import QUERIES
-from tessera.llm.substring import Phrases, remove_repeats
+from tessera.llm.substring import Phrases, remove_repeats, with_copies, without_copies
 
 
 def brute(rows, window):
@@ -56,6 +56,19 @@ def test_many_kinds_of_words():
     assert p.width == 3 and p.covered([b"x", *words, b"y"]).sum() == 70_000
 
 
+def test_many_copies_of_a_row_are_told_by_two(docs):
+    """Rows equal in id and text, null ids too, are dealt over all tasks and lose what recurs."""
+    copied, short = " ".join(f"c{i}" for i in range(50)), "too short to lose anything"
+    rows = [(None, copied)] * 3000 + [(5, short)] * 1500 + [(6, copied + " tail")] + [(i, f"other {i}") for i in range(10, 40)]
+    df = docs(rows).select("doc_id", "text")
+    told = without_copies(df).collect()
+    assert len(told) == 35 and sum(x["copies"] for x in told) == len(rows)
+    got = sorted((tuple(x) for x in remove_repeats(df, 35).collect()), key=str)
+    assert got == brute(rows, 35)
+    made = with_copies(without_copies(df))
+    assert made.where("doc_id is null").count() == 3000
+
+
 def test_long_texts(docs):
     long = " ".join(f"{i}" for i in range(300_000))
     rows = [(1, long), (2, "z " + long), (3, "x " * 300_000)]

@@ -139,6 +139,12 @@ def test_pack_small_table(docs, library):
     assert pack(docs([]), JSON).count() == 0
 
 
+def test_equal_rows_are_packed_each(docs, library):
+    rows = [(None, "the same words " * 9)] * 3000 + [(1, "a")]
+    used, least = check_packing(rows, pack(docs(rows), JSON).collect(), library)
+    assert used <= least + 2
+
+
 def test_runs_of_white_space_are_tokenised(docs, library):
     """The fast encoder refuses such texts."""
     rows = [(1, " " * 2_000_000 + "x"), (2, "a" + "\n" * 1_000_000), (3, "b")]
