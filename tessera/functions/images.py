@@ -215,10 +215,14 @@ def two_centroids(df: DataFrame, vector: str, ident: str, rounds: int = 30) -> n
                         x = v[own == i]
                         yield pd.DataFrame({"team": [int(i)], "n": [len(x)], "s": [x.sum(0).tolist()], "q": [(x**2).sum(0).tolist()]})
 
+        part = df.select(vector).mapInPandas(run, "team int, n bigint, s array<double>, q array<double>")
+        part = part.select("team", "n", F.posexplode(F.arrays_zip("s", "q")).alias("i", "x"))
+        sums = part.groupBy("team", "i").agg(F.sum("n").alias("n"), F.sum("x.s").alias("s"), F.sum("x.q").alias("q"))
         out: dict[int, tuple] = {}
-        for r in df.select(vector).mapInPandas(run, "team int, n bigint, s array<double>, q array<double>").collect():
-            n, s, q = out.get(r["team"], (0, 0.0, 0.0))
-            out[r["team"]] = (n + r["n"], s + np.array(r["s"]), q + np.array(r["q"]))
+        rows = sorted(sums.collect(), key=lambda r: (r["team"], r["i"]))  # a row for each component of two centroids
+        for team in {r["team"] for r in rows}:
+            own = [r for r in rows if r["team"] == team]
+            out[team] = (own[0]["n"], np.array([r["s"] for r in own]), np.array([r["q"] for r in own]))
         return out
 
     every = total(None)

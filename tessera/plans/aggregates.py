@@ -156,10 +156,21 @@ def a17(det: DataFrame) -> DataFrame:
 
 @det_plan("a18_dominant_color", None)
 def a18(det: DataFrame) -> DataFrame:
-    """The centroids of each track's pixels; the larger cluster is its colour."""
-    from ..functions.images import cluster_samples
+    """The colour of each user's pixels: the centre of the largest of three clusters, or the mean of fewer than 30 pixels."""
+    p = det.where("track_id >= 0").selectExpr("user_id", "event_id", "cast(k as double) as b", "cast(user_id * event_id % 256 as double) as g")
+    return dominant(p, "user_id", "event_id", ["b", "g"])
 
-    return cluster_samples(det.where("track_id >= 0").selectExpr("track_id", "cast(k as double) as b", "cast(user_id % 256 as double) as g"), "track_id", ["b", "g"])
+
+def dominant(p: DataFrame, key: str, ident: str, columns: list[str], k: int = 3, least: int = 30) -> DataFrame:
+    """``key, <columns>, n``: the largest cluster's centre, cut to whole numbers, and its size; of equals the first centre."""
+    from ..operators.kmeans import grouped_kmeans
+
+    sizes = p.groupBy(key).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in columns]).alias("centre"))
+    many = p.join(sizes.where(F.col("n") >= least).select(key), key, "left_semi")
+    c = grouped_kmeans(many, key, ident, columns, k, starts=3, rounds=20)
+    top = c.groupBy(key).agg(F.min_by(F.struct("centre", "n"), F.struct(-F.col("n"), "cluster")).alias("c")).select(key, "c.centre", "c.n")
+    all_ = top.unionByName(sizes.where(F.col("n") < least).select(key, "centre", "n"))
+    return all_.select(key, *[F.col("centre")[i].cast("int").alias(c) for i, c in enumerate(columns)], "n")
 
 
 _TOTAL = "t AS (SELECT label, list(x ORDER BY i) AS t FROM (SELECT label, i, sum(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
@@ -194,11 +205,15 @@ def a21(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("label").agg(F.avg("score").alias("s")).select("label", F.round("s", 9).alias("ref_score"), (F.col("s") > 0.5).alias("is_referee"))
 
 
-@det_plan("a22_team_swatch", "@DET, s AS (SELECT team_id, trunc(avg(k))::BIGINT AS b FROM det WHERE k > 98 GROUP BY team_id) SELECT t AS team_id, coalesce(s.b, 128) AS b FROM (SELECT unnest([0, 1, 2]) AS t) LEFT JOIN s ON s.team_id = t")
+@det_plan("a22_team_swatch", f"@DET, g AS (SELECT track_id, 2 * sum((class_name = 'goaltender')::INT) > count(*) AS goalie FROM det WHERE {_T} GROUP BY track_id), s AS (SELECT d.team_id, trunc(avg(d.k))::BIGINT AS b, trunc(avg(d.user_id % 256))::BIGINT AS g, trunc(avg(d.conf_c % 256))::BIGINT AS r FROM det d JOIN g ON d.track_id = g.track_id WHERE d.class_id = 0 AND NOT g.goalie GROUP BY d.team_id) SELECT t AS team_id, coalesce(s.b, 128) AS b, coalesce(s.g, 128) AS g, coalesce(s.r, 128) AS r FROM (SELECT unnest([0, 1, 2]) AS t) LEFT JOIN s ON s.team_id = t")
 def a22(det: DataFrame) -> DataFrame:
-    s = det.where("k > 98").groupBy("team_id").agg(F.avg("k").cast("bigint").alias("b"))
+    """Each team's mean colour over the tracks that clusters are fitted on, those of skaters; a team without any is grey."""
+    t = S.tracked(det)
+    fit = t.join(O.goalies(t).where("not is_goaltender").select("track_id"), "track_id", "left_semi")
+    mean = lambda c: F.avg(F.expr(c)).cast("bigint")
+    s = fit.groupBy("team_id").agg(mean("k").alias("b"), mean("user_id % 256").alias("g"), mean("conf_c % 256").alias("r"))
     every = det.sparkSession.range(3).select(F.col("id").cast("int").alias("team_id"))
-    return every.join(s, "team_id", "left").select("team_id", F.coalesce("b", F.lit(128)).alias("b"))
+    return every.join(s, "team_id", "left").select("team_id", *[F.coalesce(c, F.lit(128)).alias(c) for c in "bgr"])
 
 
 _BENCH = f"@DET, {_ENGINES}, j AS (SELECT a.track_id // 100 AS clip, a.team, b.team AS said FROM a LEFT JOIN b ON a.track_id = b.track_id), c AS (SELECT clip, count(*) AS n, sum(coalesce(team = said, FALSE)::INT)::BIGINT AS same, sum(coalesce(team <> said, FALSE)::INT)::BIGINT AS swap FROM j GROUP BY clip)"
@@ -283,13 +298,19 @@ def a32(det: DataFrame) -> DataFrame:
 
 @det_plan("a33_kmeans_teams", None)
 def a33(det: DataFrame) -> DataFrame:
-    """Two centroids of the skaters of each run."""
-    from ..functions.images import grouped_two_means
+    """Two centroids of each run, by the best of ten starts.
 
-    skaters = S.tracked(det).where("class_name <> 'goaltender'")
-    c = grouped_two_means(skaters.selectExpr("run_id", "cast(x1 as double) as x", "cast(y1 as double) as y"), "run_id", ["x", "y"])
-    both = F.array(*[F.struct(F.lit(i).alias("cluster"), F.col(f"x_{i}").alias("x"), F.col(f"y_{i}").alias("y")) for i in (0, 1)])
-    return c.select("run_id", F.explode(both).alias("c")).select("run_id", "c.*")
+    They are fitted on skaters, on all tracked rows where there are fewer
+    than two; a run with fewer than two rows gets the default centre twice.
+    """
+    from ..operators.kmeans import grouped_kmeans
+
+    t = S.tracked(det).select("run_id", "event_id", "x1", "y1", (F.col("class_name") != "goaltender").alias("skater"))
+    n = t.groupBy("run_id").agg(F.count_if("skater").alias("skaters"), F.count("*").alias("n"))
+    fit = t.join(n, "run_id").where("n >= 2 and (skater or skaters < 2)")
+    c = grouped_kmeans(fit, "run_id", "event_id", ["x1", "y1"], 2, starts=10)
+    few = n.where("n < 2").select("run_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cluster"), F.lit(128.0).alias("x"), F.lit(128.0).alias("y"))
+    return c.select("run_id", "cluster", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y")).unionByName(few)
 
 
 @det_plan("a34_nearest_centroid", "@DET SELECT event_id, CASE WHEN (x1 - 700) * (x1 - 700) + (y1 - 300) * (y1 - 300) < (x1 - 300) * (x1 - 300) + (y1 - 200) * (y1 - 200) THEN 1 ELSE 0 END AS team FROM det")

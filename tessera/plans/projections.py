@@ -66,9 +66,19 @@ def thumbs(det: DataFrame) -> DataFrame:
 TRACKERS = [("bytetrack_tuned", 0.25, 0.1, 0.25, 180, 0.9, None, None), ("botsort_reid", 0.25, 0.1, 0.25, 180, 0.9, 0.5, 0.7)]
 
 
-@plan("s09_tracker_configs", "SELECT * FROM (VALUES ('bytetrack_tuned', 0.25::DOUBLE, 0.1::DOUBLE, 0.25::DOUBLE, 180, 0.9::DOUBLE, NULL::DOUBLE, NULL::DOUBLE), ('botsort_reid', 0.25::DOUBLE, 0.1::DOUBLE, 0.25::DOUBLE, 180, 0.9::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE)) AS t(tracker, high, low, fresh, buffer, match, proximity, appearance)")
-def trackers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TRACKERS, "tracker string, high double, low double, fresh double, buffer int, match double, proximity double, appearance double")
+_TRACKERS = "(VALUES ('bytetrack_tuned', 0.25::DOUBLE, 0.1::DOUBLE, 0.25::DOUBLE, 180, 0.9::DOUBLE, NULL::DOUBLE, NULL::DOUBLE), ('botsort_reid', 0.25::DOUBLE, 0.1::DOUBLE, 0.25::DOUBLE, 180, 0.9::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE)) AS t(tracker, high, low, fresh, buffer, match, proximity, appearance)"
+
+
+@det_plan("s09_tracker_configs", f"@DET SELECT t.*, d.run_id, sum((conf_c % 100 >= t.high * 100)::INT)::BIGINT AS first_round, sum((conf_c % 100 >= t.low * 100 AND conf_c % 100 < t.high * 100)::INT)::BIGINT AS second_round, sum((conf_c % 100 < t.low * 100)::INT)::BIGINT AS dropped, sum((conf_c % 100 >= t.fresh * 100)::INT)::BIGINT AS may_begin FROM det d, {_TRACKERS} GROUP BY ALL")
+def trackers(det: DataFrame) -> DataFrame:
+    """How each tracker's settings would deal the boxes of a run to its rounds of association."""
+    t = det.sparkSession.createDataFrame(TRACKERS, "tracker string, high double, low double, fresh double, buffer int, match double, proximity double, appearance double")
+    counted = det.groupBy("run_id", (F.col("conf_c") % 100).alias("conf")).agg(F.count("*").alias("n"))
+    d = counted.crossJoin(F.broadcast(t))  # two rows of settings
+    n = lambda c: F.sum(F.when(F.expr(c), F.col("n")).otherwise(0)).alias
+    return d.groupBy(*t.columns, "run_id").agg(
+        n("conf >= high * 100")("first_round"), n("conf >= low * 100 and conf < high * 100")("second_round"), n("conf < low * 100")("dropped"), n("conf >= fresh * 100")("may_begin")
+    )
 
 
 @det_plan("s10_command_parse", "@DET SELECT CASE WHEN event_id % 11 = 0 THEN 400 WHEN event_id % 7 = 0 THEN 404 ELSE 200 END AS status, count(*) AS n FROM det GROUP BY 1")
@@ -231,10 +241,10 @@ def letterbox(det: DataFrame) -> DataFrame:
 
 @det_plan("p15_channel_stretch", "@DET, g AS (SELECT track_id, min(k) AS lo, max(k) AS hi FROM det WHERE track_id >= 0 GROUP BY track_id) SELECT d.event_id, CASE WHEN hi - lo > 0.001 THEN (k - lo) * 255::DOUBLE / (hi - lo) ELSE k::DOUBLE END AS v FROM det d JOIN g ON d.track_id = g.track_id")
 def stretch(det: DataFrame) -> DataFrame:
-    channel = det.where("track_id >= 0").groupBy("track_id").agg(F.collect_list(F.struct("event_id", "k")).alias("px"))
-    s = channel.withColumn("lo", F.array_min("px.k")).withColumn("hi", F.array_max("px.k"))
-    s = s.select(F.explode(F.transform("px", lambda p: F.struct(p["event_id"].alias("event_id"), F.when(F.col("hi") - F.col("lo") > 1e-3, (p["k"] - F.col("lo")) * F.lit(255.0) / (F.col("hi") - F.col("lo"))).otherwise(p["k"].cast("double")).alias("v")))).alias("p"))
-    return s.select("p.*")
+    d = det.where("track_id >= 0")
+    span = d.groupBy("track_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    wide = F.col("hi") - F.col("lo")
+    return d.join(span, "track_id").select("event_id", F.when(wide > 1e-3, (F.col("k") - F.col("lo")) * F.lit(255.0) / wide).otherwise(F.col("k").cast("double")).alias("v"))
 
 
 @plan("p16_digit_filter", "SELECT doc_id, CASE WHEN length(d) BETWEEN 1 AND 2 THEN d ELSE '' END AS number FROM (SELECT doc_id, regexp_replace(source, '[^0-9]', '', 'g') AS d FROM documents)")
@@ -325,30 +335,44 @@ def hsv(det: DataFrame) -> DataFrame:
     return hsv_columns(px)
 
 
-@det_plan("p30_pixel_masks", "@DET, p AS (SELECT track_id, k * 2 AS v, user_id % 60 AS s FROM det WHERE track_id >= 0), c AS (SELECT track_id, sum((v > 30 AND v < 245)::INT)::BIGINT AS plain, sum((v > 40 AND v < 240 AND s > 30)::INT)::BIGINT AS strict, count(*) AS n FROM p GROUP BY track_id) SELECT track_id, plain, CASE WHEN strict >= 4 THEN strict ELSE n END AS annotate FROM c")
+#: Pixels that a mask must leave to be used (fixed value).
+LEAST_PIXELS = 40
+
+
+@det_plan("p30_pixel_masks", "@DET, p AS (SELECT user_id, k * 2 AS v, event_id % 60 AS s FROM det), c AS (SELECT user_id, sum((v > 30 AND v < 245)::INT)::BIGINT AS plain, sum((v > 40 AND v < 240)::INT)::BIGINT AS loose, sum((v > 40 AND v < 240 AND s > 30)::INT)::BIGINT AS strict FROM p GROUP BY user_id) SELECT user_id, plain, CASE WHEN strict >= 40 THEN strict WHEN loose >= 40 THEN loose END AS annotate FROM c")
 def masks(det: DataFrame) -> DataFrame:
-    p = det.where("track_id >= 0").selectExpr("track_id", "k * 2 as v", "user_id % 60 as s")
-    c = p.groupBy("track_id").agg(F.count_if(F.expr("v > 30 and v < 245")).alias("plain"), F.count_if(F.expr("v > 40 and v < 240 and s > 30")).alias("strict"), F.count("*").alias("n"))
-    return c.selectExpr("track_id", "plain", "if(strict >= 4, strict, n) as annotate")
+    """Pixels of each crop (here a user's rows) that its masks leave; too few by saturation: by value alone; too few by value: none."""
+    p = det.selectExpr("user_id", "k * 2 as v", "event_id % 60 as s")
+    n = lambda c: F.count_if(F.expr(c))
+    c = p.groupBy("user_id").agg(n("v > 30 and v < 245").alias("plain"), n("v > 40 and v < 240").alias("loose"), n("v > 40 and v < 240 and s > 30").alias("strict"))
+    annotate = F.when(F.col("strict") >= LEAST_PIXELS, F.col("strict")).when(F.col("loose") >= LEAST_PIXELS, F.col("loose"))
+    return c.select("user_id", "plain", annotate.alias("annotate"))
+
+
+#: Flags of a parameter registry: (flag, kind).
+FLAGS = [("video", "pos"), ("--output", "str"), ("--debug-dir", "str"), ("--debug", "flag"), ("--conf", "float"), ("dir", "pos")]
+_FLAGS_SQL = "f AS (SELECT event_id, k, ['video', '--output', '--debug-dir', '--debug', '--conf', 'dir'][event_id % 6 + 1] AS flag, ['pos', 'str', 'str', 'flag', 'float', 'pos'][event_id % 6 + 1] AS kind, CASE WHEN k % 3 <> 0 THEN CAST(k AS VARCHAR) END AS dflt FROM det)"
 
 
-#: Flags of a parameter registry: (flag, default, kind).
-FLAGS = [("video", None, "pos"), ("--output", "run", "str"), ("--debug-dir", None, "str"), ("--debug", None, "flag"), ("--conf", "0.3", "float"), ("dir", "x", "pos")]
-_FLAGS_SQL = "(VALUES ('video', NULL, 'pos'), ('--output', 'run', 'str'), ('--debug-dir', NULL, 'str'), ('--debug', NULL, 'flag'), ('--conf', '0.3', 'float'), ('dir', 'x', 'pos')) AS f(flag, dflt, kind)"
+def parameters(det: DataFrame) -> DataFrame:
+    """A registry of parameters, one for each row: its flag and kind by the row's id, its default, where it has one, by ``k``."""
+    at = (F.col("event_id") % len(FLAGS) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in FLAGS]), at)
+    return det.select("event_id", pick(0).alias("flag"), pick(1).alias("kind"), F.when(F.col("k") % 3 != 0, F.col("k").cast("string")).alias("dflt"))
 
 
-@plan("p31_flag_io", f"SELECT flag, CASE WHEN NOT starts_with(flag, '--') THEN 'input' WHEN contains(flag, 'output') THEN 'output' WHEN contains(flag, 'debug') AND contains(flag, 'dir') THEN 'output' ELSE 'input' END AS io FROM {_FLAGS_SQL}")
-def flag_io(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, name = spark.createDataFrame(FLAGS, "flag string, dflt string, kind string"), F.lower("flag")
+@det_plan("p31_flag_io", f"@DET, {_FLAGS_SQL} SELECT event_id, CASE WHEN NOT starts_with(flag, '--') THEN 'input' WHEN contains(flag, 'output') THEN 'output' WHEN contains(flag, 'debug') AND contains(flag, 'dir') THEN 'output' ELSE 'input' END AS io FROM f")
+def flag_io(det: DataFrame) -> DataFrame:
+    name = F.lower("flag")
     out = name.startswith("--") & (name.contains("output") | (name.contains("debug") & name.contains("dir")))
-    return f.select("flag", F.when(out, "output").otherwise("input").alias("io"))
+    return parameters(det).select("event_id", F.when(out, "output").otherwise("input").alias("io"))
 
 
-@plan("p32_default_text", f"SELECT flag, CASE WHEN kind = 'flag' THEN 'False' WHEN kind = 'pos' THEN coalesce('=' || dflt, '(required)') ELSE coalesce(dflt, '(none)') END AS shown FROM {_FLAGS_SQL}")
-def default_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame(FLAGS, "flag string, dflt string, kind string")
+@det_plan("p32_default_text", f"@DET, {_FLAGS_SQL} SELECT event_id, CASE WHEN kind = 'flag' THEN 'False' WHEN kind = 'pos' THEN coalesce('=' || dflt, '(required)') ELSE coalesce(dflt, '(none)') END AS shown FROM f")
+def default_text(det: DataFrame) -> DataFrame:
     positional = F.coalesce(F.concat(F.lit("="), F.col("dflt")), F.lit("(required)"))
-    return f.select("flag", F.when(F.col("kind") == "flag", "False").when(F.col("kind") == "pos", positional).otherwise(F.coalesce("dflt", F.lit("(none)"))).alias("shown"))
+    shown = F.when(F.col("kind") == "flag", "False").when(F.col("kind") == "pos", positional).otherwise(F.coalesce("dflt", F.lit("(none)")))
+    return parameters(det).select("event_id", shown.alias("shown"))
 
 
 @plan("p33_overtime", "SELECT o_orderkey, starts_with(upper(CASE WHEN o_orderkey % 3 = 0 THEN 'prol 1' ELSE o_orderpriority END), 'PROL') AS overtime FROM orders")
