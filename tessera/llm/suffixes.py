@@ -43,7 +43,7 @@ BIN_BYTES, HOT_RUNS = 1_000_000, 2_000
 #: Suffixes of a shard and hash of a symbol, in bits; a shard is at most one run larger, so that both fit a word of 64.
 SHARD_BITS, SYMBOL_BITS = 18, 44
 #: Most bytes of a symbol.
-WIDTH = 40
+WIDTH = 50
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _FAR = 1 << 60
 
