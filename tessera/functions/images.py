@@ -305,47 +305,3 @@ def stub_poses(frames: pd.DataFrame) -> pd.DataFrame:
     """Stands in for a pose model: as many poses as the frame's number modulo three."""
     rows = [(f, i, 10.0 * i, 0.0, 10.0 * i + 40, 80.0, 0.5) for f in frames["frame"] for i in range(f % 3)]
     return pd.DataFrame(rows, columns=["frame", "pose_idx", "x1", "y1", "x2", "y2", "conf"]).astype({"frame": "int64", "pose_idx": "int32"})
-
-
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection over union of every box of ``a`` with every box of ``b``."""
-    side = np.maximum(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0)
-    both = side.prod(2)
-    area = lambda x: (x[:, 2:] - x[:, :2]).prod(1)
-    return both / (area(a)[:, None] + area(b)[None, :] - both)
-
-
-def associate(det: DataFrame, keys: list[str], least: float = 0.3, memory: int = 180) -> DataFrame:
-    """Track ids of boxes: frame by frame, the pair that overlaps most first; a track is kept for ``memory`` frames.
-
-    The order of frames matters, so a group of ``keys``, a run or a part of
-    one, is one task, which holds the group's boxes.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "event_id"], ignore_index=True)
-        boxes, frames = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["frame"].to_numpy()
-        ids, last, where = np.zeros(0, int), np.zeros(0, int), np.zeros((0, 4))  # tracks, their latest frame and box
-        track, made = np.zeros(len(pdf), int), 0
-        for rows in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(frames)) + 1):
-            keep = frames[rows[0]] - last <= memory
-            ids, last, where = ids[keep], last[keep], where[keep]
-            v = overlaps(where, boxes[rows])
-            t, i = np.nonzero(v >= least)
-            order = np.lexsort((i, ids[t], -v[t, i]))
-            taken, used = np.full(len(rows), -1), np.zeros(len(ids), bool)
-            for a, b in zip(t[order].tolist(), i[order].tolist()):
-                if taken[b] < 0 and not used[a]:
-                    taken[b], used[a] = a, True
-            new = np.flatnonzero(taken < 0)
-            names = np.where(taken >= 0, np.append(ids, 0)[taken], 0)
-            names[new] = made + np.arange(len(new))
-            made += len(new)
-            track[rows] = names
-            stay = np.setdiff1d(np.arange(len(ids)), taken)
-            ids, where = np.concatenate([ids[stay], names]), np.concatenate([where[stay], boxes[rows]])
-            last = np.concatenate([last[stay], np.full(len(rows), frames[rows[0]])])
-        return pdf[[*keys, "event_id"]].assign(track=track)
-
-    names = ", ".join(f"{k} {det.schema[k].dataType.simpleString()}" for k in keys)
-    return det.groupBy(*keys).applyInPandas(run, f"{names}, event_id bigint, track bigint")

@@ -250,8 +250,11 @@ def f07(det: DataFrame) -> DataFrame:
 
 @det_plan("g09_association", None)
 def g09(det: DataFrame) -> DataFrame:
-    """Tracks by overlap within each run."""
-    return I.associate(det.where("class_id = 0").selectExpr("user_id % 512 as part", "event_id", "frame", "x1", "y1", "x2", "y2"), ["part"])
+    """Tracks of each run's persons, in chunks of 1000 frames that are stitched where they overlap."""
+    from ..operators.tracking import track_boxes
+
+    boxes = det.where("class_id = 0").selectExpr("run_id", "event_id", "frame", "x1", "y1", "x2", "y2", "conf_c % 100 / 100D as score")
+    return track_boxes(boxes, "run_id")
 
 
 @plan("f03_projection_engine", None)

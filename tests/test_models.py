@@ -303,35 +303,115 @@ def test_g01_greedy_merge(spark, det):
     assert len(want) > 20 and sorted((x["user_id"], x["track_id"], x["root"]) for x in query(spark, "g01_greedy_merge")) == sorted(want)
 
 
-def test_g09_association(spark, rows):
-    by = defaultdict(lambda: defaultdict(list))
-    for r in rows:
-        if r["class_id"] == 0:
-            by[r["user_id"] % 512][r["frame"]].append((r["event_id"], tuple(float(r[c]) for c in ("x1", "y1", "x2", "y2"))))
+class Slow:
+    """One track: four plain filters of place and speed."""
+
+    def __init__(self, name, z, frame, sure):
+        self.name, self.seen, self.sure = name, frame, sure
+        h = max(z[3], 1.0)
+        self.f = [[v, 0.0, 4 * (h / 20) ** 2, 0.0, 100 * (h / 160) ** 2] for v in z]  # place, speed, and their (co)variances
+
+    def move(self, n):
+        h = max(self.f[3][0], 1.0)
+        for f in self.f:
+            x, v, a, b, c = f
+            f[:] = [x + n * v, v, a + 2 * n * b + n * n * c + n * (h / 20) ** 2, b + n * c, c + n * (h / 160) ** 2]
+
+    def box(self):
+        x, y, w, h = self.f[0][0], self.f[1][0], max(self.f[2][0], 1e-3), max(self.f[3][0], 1e-3)
+        return (x - w / 2, y - h / 2, x + w / 2, y + h / 2)
+
+    def take(self, z, frame):
+        h = max(self.f[3][0], 1.0)
+        for f, m in zip(self.f, z):
+            x, v, a, b, c = f
+            s = a + (h / 20) ** 2
+            f[:] = [x + a / s * (m - x), v + b / s * (m - x), a - a * a / s, b - b * a / s, c - b * b / s]
+        self.seen, self.sure = frame, True
+
+
+def slow_tracks(rows):
+    """Tracks of boxes ``(frame, id, box, score)``, track by track; assignments are the best of all that there are."""
 
     def iou(p, q):
         w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
         both = max(w, 0) * max(h, 0)
-        return both / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both)
+        return both / max((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both, 1e-9)
+
+    def best(ts, bs, cost, most):
+        if not ts:
+            return 0.0, []
+        out = best(ts[1:], bs, cost, most)
+        for b in bs:
+            if (c := cost(ts[0], b)) <= most:
+                gain, pairs = best(ts[1:], [x for x in bs if x is not b], cost, most)
+                if gain + most - c > out[0]:
+                    out = gain + most - c, [(ts[0], b), *pairs]
+        return out
+
+    z = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b[2] - b[0], b[3] - b[1])
+    live, of, made, now = [], {}, 0, None
+    for frame in sorted({r[0] for r in rows}):
+        boxes, first = sorted(r for r in rows if r[0] == frame), now is None
+        live = [t for t in live if frame - t.seen <= 180]
+        for t in live if not first else ():
+            t.move(frame - now)
+        before, now = now, frame
+        where, sure, left = {id(t): t.box() for t in live}, [t for t in live if t.sure], {t.name for t in live}
+        high = [b for b in boxes if b[3] >= 0.25]
+        fused = lambda t, b: 1 - iou(where[id(t)], b[2]) * b[3]
+
+        def join(ts, bs, cost, most):
+            for t, b in best(ts, bs, cost, most)[1]:
+                t.take(z(b[2]), frame)
+                of[b[1]] = t.name
+                left.discard(t.name)
+            return [b for b in bs if b[1] not in of]
+
+        unsure = [t for t in live if not t.sure]
+        recent = {t.name for t in sure if t.seen == before}
+        high = join(sure, high, fused, 0.9)
+        join([t for t in sure if t.name in left and t.name in recent], [b for b in boxes if 0.1 <= b[3] < 0.25], lambda t, b: 1 - iou(where[id(t)], b[2]), 0.5)
+        high = join(unsure, high, fused, 0.7)
+        live = [t for t in live if t.name not in left or t in sure]
+        for b in high:
+            of[b[1]] = made
+            live.append(Slow(made, z(b[2]), frame, first))
+            made += 1
+    return of
 
-    want = {}
-    for frames in by.values():
-        last, made = {}, 0
-        for f in sorted(frames):
-            boxes = sorted(frames[f])
-            last = {t: x for t, x in last.items() if f - x[0] <= 180}
-            free = set(last)
-            own = {}
-            for v, t, i in sorted((-iou(b, box), t, i) for t, (_, box) in last.items() for i, (_, b) in enumerate(boxes)):
-                if -v >= 0.3 and t in free and i not in own:
-                    own[i] = t
-                    free.discard(t)
-            for i, (e, b) in enumerate(boxes):
-                if i not in own:
-                    own[i], made = made, made + 1
-                last[own[i]] = (f, b)
-                want[e] = own[i]
-    assert {x["event_id"]: x["track"] for x in query(spark, "g09_association")} == want
+
+def test_g09_association(spark, rows):
+    chunks = defaultdict(list)
+    for r in rows:
+        if r["class_id"] == 0:
+            for c in {r["frame"] // 1000, (r["frame"] - 200) // 1000}:
+                chunks[r["run_id"], max(c, 0)].append((r["frame"], r["event_id"], tuple(float(r[x]) for x in ("x1", "y1", "x2", "y2")), r["conf_c"] % 100 / 100))
+    local = {k: {(k, t): {e for e, x in of.items() if x == t} for t in set(of.values())} for k, of in ((k, slow_tracks(sorted(set(v)))) for k, v in chunks.items())}
+    groups = {n: {n} for ts in local.values() for n in ts}
+    for (run, c), ts in local.items():
+        nxt = local.get((run, c + 1), {})
+        n = {(a, b): len(ts[a] & nxt[b]) for a in ts for b in nxt if ts[a] & nxt[b]}
+        top = lambda k, i: min((x for x in n if x[i] == k), key=lambda x: (-n[x], x[1 - i]))
+        for a, b in n:
+            if top(a, 0) == (a, b) == top(b, 1):
+                both = groups[a] | groups[b]
+                for x in both:
+                    groups[x] = both
+    tracks = {frozenset(g) for g in groups.values()}
+    got = {x["event_id"]: x["track"] for x in query(spark, "g09_association")}
+    told = defaultdict(set)
+    for e, t in got.items():
+        if t is not None:
+            told[t].add(e)
+    first = {}
+    for k in sorted(local):
+        for t, es in local[k].items():
+            for e in es:
+                first.setdefault(e, t)
+    want = [{e for e, t in first.items() if t in g} for g in tracks]
+    assert sorted(map(sorted, told.values())) == sorted(sorted(w) for w in want if w)
+    assert set(got) == {r["event_id"] for r in rows if r["class_id"] == 0} and sum(len(w) > 1 for w in want) > 5
 
 
 def test_k09_model_checkpoint(spark):
