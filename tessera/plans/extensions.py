@@ -190,10 +190,14 @@ def k02(det: DataFrame) -> DataFrame:
 
 @det_plan("k04_upsert", "@DET, o AS (SELECT track_id, min(num) AS label FROM det WHERE k < 60 AND track_id >= 0 GROUP BY track_id), n AS (SELECT track_id, max(num) AS label FROM det WHERE k > 40 AND track_id >= 0 GROUP BY track_id) SELECT * FROM n UNION ALL SELECT * FROM o WHERE track_id NOT IN (SELECT track_id FROM n)")
 def k04(det: DataFrame) -> DataFrame:
-    from ..sources.sinks import merge_rows
+    """Labels upserted into a table of buckets and read from its latest version."""
+    from ..operators.store import shared_path
+    from ..sources.buckets import read_table, upsert_table
 
-    o = det.where("k < 60 and track_id >= 0").groupBy("track_id").agg(F.min("num").alias("label"))
-    return merge_rows(o, det.where("k > 40 and track_id >= 0").groupBy("track_id").agg(F.max("num").alias("label")), ["track_id"])
+    spark, path = det.sparkSession, shared_path(det.sparkSession, "labels")
+    upsert_table(spark, path, det.where("k < 60 and track_id >= 0").groupBy("track_id").agg(F.min("num").alias("label")), ["track_id"], 16)
+    upsert_table(spark, path, det.where("k > 40 and track_id >= 0").groupBy("track_id").agg(F.max("num").alias("label")), ["track_id"])
+    return read_table(spark, path)
 
 
 @det_plan("k05_fan_out", "@DET, c AS (SELECT event_id AS client, run_id AS match_id, sec AS since, CASE WHEN k % 2 = 0 THEN sec + 86400 END AS until FROM det WHERE event_type = 'signup' AND k > 90), r AS (SELECT run_id AS match_id, event_id AS seq, sec AS sc FROM det WHERE event_type = 'click') SELECT client, count(*) AS messages, min(seq) AS first_seq FROM c JOIN r ON c.match_id = r.match_id AND r.sc >= c.since AND (c.until IS NULL OR r.sc < c.until) GROUP BY client")

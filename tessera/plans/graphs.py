@@ -146,6 +146,14 @@ def g08(spark: SparkSession, sf: str) -> DataFrame:
     return G.label_propagation(graph(spark, sf)[1].where("target not like 'r%'"))
 
 
+@plan("g08_modularity", None)
+def g08_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities of the graph without its phases, by modularity, level by level."""
+    from ..operators.communities import louvain
+
+    return louvain(graph(spark, sf)[1].where("target not like 'r%'"))
+
+
 @plan("g13_graph_components", f"WITH RECURSIVE {_GRAPH}, x AS (SELECT source, target FROM e WHERE target NOT LIKE 'r%'), u AS (SELECT source, target FROM x UNION SELECT target, source FROM x), c AS (SELECT source AS node, source AS reached FROM u UNION SELECT c.node, u.target FROM c JOIN u ON u.source = c.reached) SELECT node, min(reached) AS component FROM c GROUP BY node")
 def g13(spark: SparkSession, sf: str) -> DataFrame:
     """Components of the graph without its phases."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager
 from itertools import groupby
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .buckets import upsert_table
+
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows by key; where both sides have one, the new row replaces the old one whole."""
@@ -17,28 +18,14 @@ def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(new)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
-    """Merge rows into a Parquet table; readers see the old table or the new one, never a part.
+def upsert_stream(path: str, keys: list[str], buckets: int = 64):
+    """A ``foreachBatch`` function that upserts each micro-batch into a table of buckets."""
+    return lambda batch, _: upsert_table(batch.sparkSession, path, batch, keys, buckets)
 
-    The merged table is written beside the old one, which then makes room
-    by two renames.
-    """
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target = fs_path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    staged, retired = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    there = fs.exists(target)
-    (merge_rows(spark.read.parquet(path), new, keys) if there else new).write.parquet(staged)
-    if there:
-        fs.rename(target, fs_path(retired))
-    fs.rename(fs_path(staged), target)
-    if there:
-        fs.delete(fs_path(retired), True)
-
-
-def upsert_stream(path: str, keys: list[str]):
-    """A ``foreachBatch`` function that upserts each micro-batch."""
-    return lambda batch, _: upsert(batch.sparkSession, path, batch, keys)
+
+def write_split(df: DataFrame, path: str, column: str = "split") -> None:
+    """One folder for each part of a split, each in as many files as its rows make."""
+    df.repartition(column, F.pmod(F.xxhash64(*df.columns), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))).write.partitionBy(column).parquet(path)
 
 
 def write_runs(plan: DataFrame, keys: list[str], order: list[str], writer: Callable[[dict], AbstractContextManager]) -> None:

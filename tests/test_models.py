@@ -512,6 +512,15 @@ def test_st01_folds(spark, det):
     assert {x["seq"]: tuple(x) for x in query(spark, "st01_command_fold")} == folded(commands(det, _ALL, _BODY))
 
 
+def test_g08_modularity(spark):
+    from tessera.plans.graphs import graph
+    from tests.test_communities import modularity, plain
+
+    pairs = [tuple(x) for x in graph(spark, SF)[1].where("target not like 'r%'").collect()]
+    got = {x["id"]: x["community"] for x in query(spark, "g08_modularity")}
+    assert got == plain(pairs) and modularity(pairs, got) > 0.3
+
+
 def test_every_query_has_sql_or_a_model():
     text = open(__file__).read()
     assert [n for n in plans.PLANS if n not in plans.ORACLES and n not in text] == []

@@ -229,16 +229,6 @@ def test_windows_close_behind_the_watermark(spark, tmp_path, sf):
     assert got == {x for x in every if x[0] != last}
 
 
-def test_upsert_publishes_whole_tables(spark, tmp_path):
-    from tessera.sources.sinks import upsert
-
-    path = str(tmp_path / "t")
-    upsert(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
-    upsert(spark, path, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
-    assert sorted(tuple(x) for x in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
-
-
 def test_malformed_commands_change_nothing(spark):
     good, rows = json.dumps({"team": "A", "delta": 2}), []
     bodies = ["{", "[]", "7", json.dumps({"team": "A", "delta": "x"}), json.dumps({"team": "A", "delta": None}), json.dumps({"delta": 1}), None, good]
