@@ -176,8 +176,8 @@ class Phrases:
         return np.cumsum(step)[:-1] > 0
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows with ``copies``, how many rows each stands for.
+def without_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows, and ``(doc_id, text, copies)`` of those that are told by two in place of many, if there are any.
 
     Rows that are equal in id and text and more than a thousandth of all
     are told by two of them: one for itself and one for the others, so that
@@ -185,22 +185,21 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     key = (F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
     n = docs.select(*key).groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    total = docs.count()
-    heavy = n.where((F.col("n") * HEAVY > total) & (F.col("n") > 2)).select("k1", "k2", "n")
+    heavy = cut(n.where((F.col("n") * HEAVY > docs.count()) & (F.col("n") > 2)), "copied")
+    if heavy.isEmpty():
+        return docs, None
     told = docs.select("*", *key).join(F.broadcast(heavy), ["k1", "k2"], "left")
-    light = told.where("n is null").select("doc_id", "text", F.lit(1).cast("bigint").alias("copies"))
     pair = told.where("n is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "text")).alias("row"))
     pair = pair.select("row.*", F.explode(F.array(F.lit(1).cast("bigint"), F.col("n") - 1)).alias("copies"))
-    return light.unionByName(pair)
+    return told.where("n is null").select("doc_id", "text"), cut(pair, "pairs")
 
 
 def with_copies(rows: DataFrame) -> DataFrame:
     """Each row as often as ``copies`` says; copies are made in portions, which are dealt to all tasks."""
-    one = rows.where("copies = 1").drop("copies")
-    many = rows.where("copies > 1").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies"), F.lit(PORTION).cast("bigint"))))
-    many = many.withColumn("here", F.least(F.lit(PORTION), F.col("copies") - F.col("portion"))).where("here > 0")
-    many = many.repartition("doc_id", "portion").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("here").cast("int"))))
-    return one.unionByName(many.drop("copies", "portion", "here", "copy"))
+    far = (F.col("copies") - 1, F.lit(PORTION).cast("bigint"))
+    many = rows.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("bigint"), *far))).repartition("doc_id", "portion")
+    here = F.least(F.lit(PORTION), F.col("copies") - F.col("portion")).cast("int")
+    return many.withColumn("copy", F.explode(F.array_repeat(F.lit(0), here))).drop("copies", "portion", "copy")
 
 
 def stretches(words: Column, at: Column, window: int) -> Column:
@@ -228,7 +227,9 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
     repeated; fewer share a shard.
     """
     spark = df.sparkSession
-    docs = without_copies(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")))
+    docs, pairs = without_copies(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")))
+    kept = "doc_id", "text", F.lit(None).cast("bigint").alias("copies")
+    docs = docs.select(*kept) if pairs is None else docs.select(*kept).unionByName(pairs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
@@ -304,5 +305,10 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
             out.append(b" ".join(words).decode())
         return pa.table({"copies": left["copies"], "doc_id": left["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(out, pa.string())})
 
-    out = docs.select("shard", "copies", "doc_id", "text").groupBy("shard").cogroup(routed.groupBy("shard"))
-    return with_copies(out.applyInArrow(locate, f"copies bigint, doc_id {kind}, n_words bigint, n_removed bigint, text string"))
+    def located(part: DataFrame) -> DataFrame:
+        own = part.select("shard", "copies", "doc_id", "text").groupBy("shard").cogroup(routed.groupBy("shard"))
+        return own.applyInArrow(locate, f"copies bigint, doc_id {kind}, n_words bigint, n_removed bigint, text string")
+
+    if pairs is None:
+        return located(docs).drop("copies")
+    return located(docs.where("copies is null")).drop("copies").unionByName(with_copies(located(docs.where("copies is not null"))))
