@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, drop
@@ -309,6 +309,21 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def visits(placed: DataFrame) -> DataFrame:
+    """The rows at every graph of their cluster that they ask, which are those of their own salt and of higher ones, and there in slices.
+
+    A graph's own vectors ask in slice 0 and are there to be found in all
+    slices; the others, those of lower salts and questions, are dealt to
+    the rest, as many as there are lower salts, so that a slice holds one
+    graph and about as many more rows, however large its cluster is.
+    """
+    at = F.col("at")
+    one = F.array(F.when(at > 0, 1 + F.pmod(F.xxhash64("id", F.lit(3)), F.greatest(at, F.lit(1)))).otherwise(0).cast("int"))
+    every = placed.withColumn("at", F.explode(F.sequence(F.greatest("salt", F.lit(0)), F.col("salts") - 1)))
+    every = every.withColumn("member", at == F.col("salt")).withColumn("slice", F.when(F.col("member"), F.sequence(F.lit(0), at)).otherwise(one))
+    return every.withColumn("slice", F.explode("slice")).withColumn("asking", ~F.col("member") | (F.col("slice") == 0))
+
+
 def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overlap: int, beam: int, slack: float) -> DataFrame:
     """``id, n, root, hits`` of vectors ``vec(id, grp, vec, copies, asks)``, as one search finds them; rows of one id add up.
 
@@ -350,8 +365,7 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
     graph = cut(graph.applyInPandas(lists, "id bigint, next array<bigint>"), "lists")
     drop(once_placed)
     union = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    every = placed.withColumn("at", F.explode(F.sequence(F.greatest("salt", F.lit(0)), F.col("salts") - 1))).join(union, "id", "left")
-    every = every.withColumn("member", F.col("at") == F.col("salt"))
+    every = visits(placed).join(union, "id", "left")
 
     kinds = {"id": "int64", "n": "int64", "root": "int64", "hits": object}
 
@@ -367,12 +381,12 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
         place = {int(x): i for i, x in enumerate(ids[inside])}
         lists = Lists([np.array([place[y] for y in pdf["next"][i] if y in place], dtype=np.int64) for i in inside])
         full = matrix(pdf["vec"])
-        q = full.astype(np.float32)
+        q, who = full.astype(np.float32), np.flatnonzero(pdf["asking"].to_numpy())
         v, exact = q[inside], full[inside]
-        start, got = medoid(v), []
-        for i in range(0, len(q), BLOCK):
-            row, node = search(q[i : i + BLOCK], v, lists, start, beam, bound, slack)
-            row = row + i
+        start, got = medoid(v), [(who[:0], who[:0])]
+        for i in range(0, len(who), BLOCK):
+            row, node = search(q[who[i : i + BLOCK]], v, lists, start, beam, bound, slack)
+            row = who[i + row]
             ok = products(exact, node, full, row) >= bound
             got.append((row[ok], inside[node[ok]]))
         a, b = (np.concatenate(x) for x in zip(*got))
@@ -397,7 +411,9 @@ def find_links(vec: DataFrame, where: dict[str, np.ndarray], bound: float, overl
         more = pd.DataFrame({"id": list(hits), "n": 0, "root": list(hits), "hits": list(hits.values())})
         return pd.concat([out, more]).astype(kinds)
 
-    return every.groupBy("grp", "cluster", "at").applyInPandas(ask, "id bigint, n bigint, root bigint, hits array<bigint>")
+    found = every.groupBy("grp", "cluster", "at", "slice").applyInPandas(ask, "id bigint, n bigint, root bigint, hits array<bigint>")
+    found.scratch = (placed, graph)
+    return found
 
 
 def planted(v: np.ndarray, seed: int, bound: float) -> np.ndarray:
@@ -512,7 +528,9 @@ def near_vectors(
     both = vec if asks is None else cut(vec.select("id", "grp", "vec", "copies", "asks").union(asks), "vectors-asked")
     truth = cut(true_answers(vec, asked, bound), "answers") if len(asked) else None
     for _ in range(ROUNDS):
-        links = cut(find_links(both, where, bound, overlap, beam, slack), "links")
+        found = find_links(both, where, bound, overlap, beam, slack)
+        links = cut(found, "links")
+        drop(*getattr(found, "scratch", ()))
         share = recall(links, truth, asked) if truth is not None else 1.0
         if report is not None:
             report.setdefault("recall", []).append(share)

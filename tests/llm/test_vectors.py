@@ -111,6 +111,22 @@ def test_shards_overlaps_and_salts(spark, monkeypatch):
     assert sum(g[2] == e[2] for g, e in zip(got, expected)) >= 0.99 * len(rows)
 
 
+def test_a_cluster_of_any_size_is_dealt_to_slices(spark):
+    """One cluster of 20,000 vectors in 40 salts: no slice holds more than one graph and about as many askers; each asks each graph once."""
+    from pyspark.sql import functions as F
+
+    placed = spark.range(-64, 20_000).select("id", F.lit("g").alias("grp"), F.lit(0).alias("cluster"), F.lit(40).alias("salts"), (F.col("id") < 0).alias("asks"))
+    placed = placed.withColumn("salt", F.when(F.col("asks"), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(40))).cast("int"))
+    every = V.visits(placed).cache()
+    sizes = every.groupBy("at", "slice").agg(F.count("*").alias("n"), F.count_if("member").alias("members")).collect()
+    assert max(x["n"] for x in sizes) < 1300 and max(x["members"] for x in sizes) < 600 and len(sizes) == 820
+    asked = every.where("asking").groupBy("id", "at").count()
+    assert asked.where("count <> 1").isEmpty()
+    told = {x["id"]: x["n"] for x in every.where("asking").groupBy("id", "salt").agg(F.count("*").alias("n"), F.max("salt").alias("s")).select("id", "n").collect()}
+    assert told[-1] == 40 and sum(n for i, n in told.items() if i >= 0) == sum(40 - x["salt"] for x in placed.where("id >= 0").select("salt").collect())
+    every.unpersist()
+
+
 def test_more_salts_than_vectors(spark, monkeypatch):
     """Some salts of a cluster stay empty and are visited all the same."""
     monkeypatch.setattr(V, "SHARD", 1)
