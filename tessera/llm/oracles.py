@@ -52,10 +52,38 @@ m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS name
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0, FALSE) AS contaminated FROM w LEFT JOIN p ON w.r = p.r LEFT JOIN m ON w.r = m.r
 """
 
+OP11 = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT r, i, md5(b[i:i + 199]) AS k FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM t WHERE octet_length(b) >= 200)),
+d AS (SELECT r, i FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+f AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, TRUE) AS fresh FROM d),
+n AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS no FROM f),
+s AS (SELECT r, no, min(i) AS a, max(i) + 200 AS e FROM n GROUP BY r, no),
+p AS (SELECT r, sum(e - a)::BIGINT AS gone, count(*) AS spans, list(a ORDER BY a) AS starts, list(e ORDER BY a) AS ends FROM s GROUP BY r)
+SELECT t.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN p.r IS NULL THEN b ELSE list_reduce(list_transform(range(1, len(starts) + 2), lambda j: b[(CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] END):(CASE WHEN j > len(starts) THEN octet_length(b) ELSE starts[j] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256 FROM t LEFT JOIN p ON t.r = p.r
+"""
+
+OP13 = r"""
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+x AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+l AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM x WHERE length(run) >= 5 GROUP BY 1, 2),
+y AS (SELECT run, n, hex(encode(id || ':' || run)) AS h FROM l),
+z AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, crc[xor(a, b) % 256 + 1]))) AS h FROM y, c),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM z) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+k AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+q AS (SELECT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT w.word, k.word, k.n FROM w JOIN k ON k.rest = w.word UNION SELECT k.word, w.word, w.n FROM w JOIN k ON k.rest = w.word),
+o AS (SELECT word, count(*) AS n_near, max(m) AS most FROM q GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN (SELECT min(other) FROM q WHERE q.word = w.word AND q.m = o.most) END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM w LEFT JOIN o ON w.word = o.word),
+r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word
+"""
+
 ORACLES = {
     "op3_substring_dedup": OP3,
     "op6_line_dedup": OP6,
     "op7_minhash_near_dedup": OP7,
     "op8_embedding_near_dedup": OP8,
     "op10_decontamination": OP10,
+    "op11_suffix_array_dedup": OP11,
+    "op13_spelling_variants": OP13,
 }
