@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import tracks as O
 from ..operators.bitmaps import coverage, frame_words
+from ..operators.scan import running_sum
 from ..operators.selection import place_by_hash
 from ..sources import detections as S
 from .base import det_plan, plan, read
@@ -259,8 +260,9 @@ def a27(spark: SparkSession, sf: str) -> DataFrame:
     """Share of triplets whose positive is nearer than the negative; triplets without a negative count as missed."""
     e = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     mixed = F.md5(F.col("vec_id").cast("string"))
-    w = W.partitionBy("label").orderBy(mixed, "vec_id")
-    pos = e.withColumn("p", F.lead("v").over(w)).where("p is not null")
+    placed = running_sum(e.where("label is not null").withColumn("h", mixed).withColumn("one", F.lit(1)), ["label"], ["h", "vec_id"], "one", "place")
+    after = placed.select("label", (F.col("place") - 1).alias("place"), F.col("v").alias("p"))
+    pos = placed.join(after, ["label", "place"]).select("label", "v", "p")
     neg = e.select((F.col("label") - 1).alias("label"), "vec_id", F.col("v").alias("n"))
     neg = O.top_n(neg, ["label"], [mixed, F.col("vec_id")], 1).select("label", "n")
     t = pos.join(neg, "label", "left").withColumn("ok", E.dot("v", "p") > E.dot("v", "n"))
@@ -400,6 +402,18 @@ def k07(spark: SparkSession, sf: str) -> DataFrame:
     return w09(spark, sf).groupBy("split").agg(F.count("*").alias("n")).withColumn("seed", F.lit(42))
 
 
+@plan("k07_split_files", f"WITH {_SPLIT} SELECT split, count(*) AS n, count(DISTINCT source) AS sources FROM y GROUP BY split")
+def k07_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The split written as a folder for each part, and read by its folders."""
+    from ..operators.store import shared_path
+    from ..sources.sinks import write_split
+
+    path = shared_path(spark, "split")
+    write_split(w09(spark, sf), path)
+    back = spark.read.schema("doc_id bigint, source string, split string").parquet(path)
+    return back.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+
+
 @plan("w10_negative_subsample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM labels WHERE toxic = 0) WHERE rn <= (SELECT round_even(count(*) * 1.0::DOUBLE, 0)::BIGINT FROM labels WHERE toxic = 1)")
 def w10(spark: SparkSession, sf: str) -> DataFrame:
     """As many negatives as positives, the first in the order of a hash: places within ranges of it, and no global sort."""

@@ -24,9 +24,7 @@ def needed(det: DataFrame) -> DataFrame:
 
 @det_plan("s02_sample_frames", "@DET, t AS (SELECT run_id, count(*) AS total FROM det GROUP BY run_id) SELECT run_id, total, i, CAST(floor(i * (total - 1) / 8.0) AS BIGINT) AS frame FROM t, (SELECT unnest([0,1,2,3,4,5,6,7,8]) AS i)")
 def sampled(det: DataFrame) -> DataFrame:
-    t = det.groupBy("run_id").agg(F.count("*").alias("total"))
-    at = t.select("run_id", "total", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.expr("0"))).alias("i", "z"))
-    return at.select("run_id", "total", "i", F.floor(F.col("i") * (F.col("total") - 1) / 8).alias("frame"))
+    return S.sample_frames(det.groupBy("run_id").agg(F.count("*").alias("total")), 9)
 
 
 @det_plan("s03_scan_options", "@DET SELECT event_id, frame, class_id, conf_c FROM det WHERE class_id IN (0, 32) AND conf_c >= 3000 AND frame % 2 = 0")
@@ -34,7 +32,20 @@ def scan(det: DataFrame) -> DataFrame:
     return S.scan(det, [0, 32], F.lit(3000), 2).select("event_id", "frame", "class_id", "conf_c")
 
 
-@det_plan("s04_documents_scan", "@DET SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY event_id) - 1 AS box_pos, CAST(class_id AS BIGINT) AS class_id, class_name, track_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, CAST(conf_c AS DOUBLE) / 100 AS conf FROM det")
+_DOCUMENTS = "@DET SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY event_id) - 1 AS box_pos, CAST(class_id AS BIGINT) AS class_id, class_name, track_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, CAST(conf_c AS DOUBLE) / 100 AS conf FROM det"
+
+
+@det_plan("s04_document_files", _DOCUMENTS)
+def document_files(det: DataFrame) -> DataFrame:
+    """The documents written as text, one a line, and read by the source."""
+    from ..operators.store import shared_path
+
+    path = shared_path(det.sparkSession, "documents")
+    S.to_documents(det).select("doc").write.text(path)
+    return S.read_documents(det.sparkSession, path, whole=False).withColumn("box_pos", F.col("box_pos").cast("bigint"))
+
+
+@det_plan("s04_documents_scan", _DOCUMENTS)
 def documents(det: DataFrame) -> DataFrame:
     return S.from_documents(S.to_documents(det)).withColumn("box_pos", F.col("box_pos").cast("bigint"))
 

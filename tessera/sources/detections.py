@@ -85,9 +85,9 @@ def from_documents(docs: DataFrame, column: str = "doc") -> DataFrame:
     )
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Detections of a folder of multi-line JSON documents."""
-    return from_documents(spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc"))
+def read_documents(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Detections of a folder of JSON documents: one a file, on any number of lines, or one a line."""
+    return from_documents(spark.read.text(path, wholetext=whole).withColumnRenamed("value", "doc"))
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -110,6 +110,6 @@ def needed_frames(frames: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def sample_frames(totals: DataFrame, n: int, total: str = "total") -> DataFrame:
-    """Indices of ``n`` evenly spaced frames, the first and the last included."""
+    """Numbers ``i`` and indices of ``n`` evenly spaced frames, the first and the last included."""
     at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col(total) - 1) / max(n - 1, 1)).cast("bigint"))
-    return totals.withColumn("frame", F.explode(at))
+    return totals.select("*", F.posexplode(at).alias("i", "frame"))
