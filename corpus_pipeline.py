@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written and read again as the next stage's documents. All but the last
 return the columns of ``documents``.
+
+All stages decide by row: null and repeated ids are as good as others. A
+text of any length is read whole, by one task. An empty table gives no
+rows. Further columns pass through, whatever their names (packing returns
+its own); only ``corpus_pipeline_row_number`` is kept for the stages.
 """
 
 from __future__ import annotations
@@ -35,7 +40,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and empty texts get the labels' mean and stay unless that is low.
 
-    Rows are judged one by one: null or repeated ids make no difference.
+    Rows are judged one by one: null or repeated ids make no difference;
+    a long text is counted whole. An empty table gives no rows, further
+    columns are returned as they are.
     """
     tune(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
@@ -46,7 +53,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Earlier is by document id and line number; rows without an id come
     last, in the order of the table. Null texts stay. Rows that repeat id
-    and text lose the same lines and stay for the next stage to drop.
+    and text lose the same lines and stay for the next stage to drop. A
+    text of very many lines, or of one long line, is treated like others.
+    An empty table gives no rows, further columns are returned as they are
+    (but ``n_chars`` is counted anew where lines went).
     """
     tune(spark)
     rows = numbered(docs)
@@ -63,7 +73,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id are grouped like others and stay only if no row of
     their group has one; of rows that tie, the first in the table stays.
-    Rows without text are in no group and stay.
+    Rows without text are in no group and stay. Long texts are compared by
+    all their shingles. An empty table gives no rows, further columns are
+    returned as they are.
     """
     tune(spark)
     rows = numbered(docs)
@@ -76,7 +88,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose own text holds a window of a benchmark item go, whatever their id; null texts stay."""
+    """Rows whose own text holds a window of a benchmark item go, whatever their id; null texts stay.
+
+    A window at any place of a long text counts. An empty table gives no
+    rows, further columns are returned as they are.
+    """
     tune(spark)
     rows = numbered(docs)
     gone = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated").select(F.col("doc_id").alias(ROW))
@@ -84,7 +100,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, packed into sequences of 2048 ids; null ids stay null, repeated rows are packed each."""
+    """The documents that are left, packed into sequences of 2048 ids; null ids stay null, repeated rows are packed each.
+
+    Long texts are cut into pieces of 2048 ids. An empty table gives no
+    rows; further columns are not read.
+    """
     tune(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
