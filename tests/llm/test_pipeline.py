@@ -66,6 +66,17 @@ def test_lines_of_rows_without_id(spark, sf):
     assert sum((t or "").count(two) for _, t in got) == 1 and sum((t or "").count(one) for _, t in got) == 2
 
 
+def test_long_texts_pass_the_filtering_stages(spark, sf):
+    """A text of 60,000 words on one line, and one of 20,000 lines, with a near copy and a repeated line each."""
+    wide = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+    high = "\n".join(f"line {i} of a very long text with its own number {i * 7}" for i in range(20_000))
+    rows = [(1, wide), (2, wide + " end"), (3, high), (4, high + "\nline 5 of a very long text with its own number 35"), (5, None)]
+    assert C.quality(spark, table(spark, rows), sf).count() <= 5
+    got = dict(kept(C.lines(spark, table(spark, [*rows[:1], *rows[2:]]), sf)))
+    assert got[1] == wide and got[3] == high and 4 not in got
+    assert [d for d, _ in kept(C.near(spark, table(spark, rows), sf))] == [1, 3, 5]
+
+
 def test_pack_stage_takes_any_rows(spark, sf):
     rows = [(None, "a b"), (None, "a b"), (1, None), (1, None), (2, "w " * 50_000)]
     got = C.packed(spark, table(spark, rows), sf).collect()
