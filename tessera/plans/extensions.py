@@ -270,6 +270,22 @@ def f03(spark: SparkSession, sf: str) -> DataFrame:
     return projection_teams(g10(spark, sf).select("vec_id", F.col("p").alias("v")).join(labels, "vec_id"))
 
 
+@plan("f03_spectral_engine", None)
+def f03_spectral(spark: SparkSession, sf: str) -> DataFrame:
+    """Projection engine on the coordinates that keep neighbours together: two clusters of each clip, by restarts, and the tracks' votes."""
+    from ..operators.kmeans import grouped_kmeans
+    from ..operators.store import materialise
+    from .graphs import clip_vectors, g10_spectral
+
+    x = materialise(g10_spectral(spark, sf).select("clip", "vec_id", *[(F.col("x")[i] * 1000).alias(f"x{i}") for i in range(3)]))
+    c = grouped_kmeans(x, "clip", "vec_id", ["x0", "x1", "x2"], 2, starts=10)
+    far = E.squared_distance([F.col(f"x{i}") for i in range(3)], [F.col("centre")[i] for i in range(3)])
+    own = x.join(c, "clip").groupBy("clip", "vec_id").agg(F.min_by("cluster", F.struct(far, "cluster")).alias("team"))
+    own = own.join(clip_vectors(spark, sf).select("vec_id", "label"), "vec_id")
+    votes = own.groupBy("label").agg(*[F.count_if(F.col("team") == t).alias(f"votes_{t}") for t in (0, 1)])
+    return votes.select("label", F.when(F.col("votes_1") > F.col("votes_0"), 1).otherwise(0).alias("team"), "votes_0", "votes_1")
+
+
 def projection_teams(p: DataFrame) -> DataFrame:
     """Two clusters of all crops' vectors ``(label, vec_id, v)``, and each label's team by the votes of its crops; equal votes give team 0."""
     from ..operators.store import materialise

@@ -171,6 +171,29 @@ def g10(spark: SparkSession, sf: str) -> DataFrame:
     return PCA(k=3, inputCol="v", outputCol="p").fit(e).transform(e).select("vec_id", vector_to_array("p").alias("p"))
 
 
+def clip_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as crops: a label is a track, five tracks are a clip."""
+    return read(spark, sf, "embeddings").select(F.expr("label div 5").alias("clip"), "label", "vec_id", "embedding")
+
+
+@plan("g10_neighbour_graph", None)
+def g10_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The fuzzy graph of each crop's 15 nearest neighbours in its clip, by cosine."""
+    from ..operators.neighbours import fuzzy, nearest
+
+    g = fuzzy(nearest(clip_vectors(spark, sf), "clip", "vec_id", "embedding"))
+    return g.select(F.col("grp").alias("clip"), "src", "dst", F.round("w", 6).alias("w"))
+
+
+@plan("g10_spectral", None)
+def g10_spectral(spark: SparkSession, sf: str) -> DataFrame:
+    """Crops on three axes that keep neighbours together, the leading eigenvectors of that graph."""
+    from ..operators.neighbours import fuzzy, nearest, spectral
+
+    x = spectral(fuzzy(nearest(clip_vectors(spark, sf), "clip", "vec_id", "embedding")), 3, 20)
+    return x.select(F.col("grp").alias("clip"), F.col("id").alias("vec_id"), "x")
+
+
 @plan("g11_layouts", "SELECT n_name, round(110 * (0.5::DOUBLE + CAST('0x' || substring(sha1(n_name), 17, 8) AS BIGINT) / 4294967295.0::DOUBLE * 0.5::DOUBLE) * (CAST('0x' || substring(sha1(n_name), 9, 8) AS BIGINT) / 4294967295.0::DOUBLE * 2 - 1), 6) AS dy FROM nation")
 def g11(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "nation").select("n_name", F.round(G.galaxy(F.col("n_name"))["dy"], 6).alias("dy"))

@@ -521,6 +521,47 @@ def test_g08_modularity(spark):
     assert got == plain(pairs) and modularity(pairs, got) > 0.3
 
 
+def clips(spark):
+    by = defaultdict(dict)
+    for i, (l, v) in vectors(spark).items():
+        by[l // 5][i] = v
+    return by
+
+
+def test_g10_neighbour_graph(spark):
+    from tests.test_neighbours import plain_graph
+
+    got = {(x["clip"], x["src"], x["dst"]): x["w"] for x in query(spark, "g10_neighbour_graph")}
+    n = 0
+    for clip, vs in clips(spark).items():
+        ids = sorted(vs)
+        p = plain_graph(np.array([vs[i] for i in ids]), 15)
+        n += int((p > 0).sum())
+        assert all(abs(got[clip, ids[i], ids[j]] - p[i, j]) < 1e-5 for i, j in zip(*np.nonzero(p)))
+    assert n == len(got)
+
+
+def test_g10_spectral_f03_spectral_engine(spark):
+    from tests.test_neighbours import plain_graph
+
+    x = {r["vec_id"]: r["x"] for r in query(spark, "g10_spectral")}
+    votes = defaultdict(Counter)
+    for vs in clips(spark).values():
+        ids = sorted(vs)
+        p = plain_graph(np.array([vs[i] for i in ids]), 15)
+        d = np.sqrt(p.sum(1))
+        own = np.array([x[i] for i in ids])
+        m = p / d[:, None] / d[None, :]
+        assert np.allclose(own.T @ own, np.eye(3), atol=1e-6) and np.trace(own.T @ m @ own) > 0.9 * np.sort(np.linalg.eigvalsh(m))[::-1][1:4].sum()
+        points = {i: tuple(1000 * v for v in x[i]) for i in ids}
+        c = [centre for centre, _ in restarts(points, 2, 10, 30)]
+        for i in ids:
+            far = [sum((a - b) ** 2 for a, b in zip(points[i], y)) for y in c]
+            votes[vectors(spark)[i][0]][far.index(min(far))] += 1
+    got = {r["label"]: (r["votes_0"], r["votes_1"]) for r in query(spark, "f03_spectral_engine")}
+    assert got == {l: (v[0], v[1]) for l, v in votes.items()}
+
+
 def test_every_query_has_sql_or_a_model():
     text = open(__file__).read()
     assert [n for n in plans.PLANS if n not in plans.ORACLES and n not in text] == []
