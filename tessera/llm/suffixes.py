@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop, join_skewed
 from .minhash import mix
 
-#: Bytes of text whose runs are sought at once.
+#: Bytes of text whose runs are sought at once; longer texts are sought piece by piece.
 CHUNK_BYTES = 4_000_000
 #: Bytes of runs that a bin is meant to hold, and runs of one anchor beyond which its windows are dealt one by one.
 BIN_BYTES, HOT_RUNS = 1_000_000, 2_000
@@ -123,17 +123,25 @@ def find_runs(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     return doc, first - start[doc], last - first + 1, key[real], seg
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as bytes, some at a time, with the place of the first of them."""
-    first, out, n = 0, [], 0
+def chunks(texts: list[str | None], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Texts as bytes, some at a time, with the place of each in the list and where it begins in its text.
+
+    Long texts come in pieces that overlap by what a window needs, so that
+    each window is in one of them.
+    """
+    place, begin, out, n = [], [], [], 0
     for i, t in enumerate(texts):
-        out.append((t or "").encode("utf-8"))
-        n += len(out[-1])
-        if n >= CHUNK_BYTES:
-            yield first, out
-            first, out, n = i + 1, [], 0
+        raw = (t or "").encode("utf-8")
+        for at in range(0, max(1, len(raw) - window + 1), CHUNK_BYTES):
+            place.append(i)
+            begin.append(at)
+            out.append(raw[at : at + CHUNK_BYTES + window - 1])
+            n += len(out[-1])
+            if n >= CHUNK_BYTES:
+                yield np.array(place), np.array(begin), out
+                place, begin, out, n = [], [], [], 0
     if out:
-        yield first, out
+        yield np.array(place), np.array(begin), out
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -286,9 +294,9 @@ def runs_of(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = b.column(0).to_numpy()
-            for start, texts in chunks(b.column(1).to_pylist()):
+            for place, begin, texts in chunks(b.column(1).to_pylist(), window):
                 doc, first, size, anchor, seg = find_runs(texts, window)
-                columns = [pa.array(row[start + doc]), pa.array(first), pa.array(size.astype(np.int32)), signed(anchor), signed(seg)]
+                columns = [pa.array(row[place[doc]]), pa.array(first + begin[doc]), pa.array(size.astype(np.int32)), signed(anchor), signed(seg)]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "first", "size", "anchor", "seg"])
 
     return docs.select("row", "text").mapInArrow(run, "row bigint, first bigint, size int, anchor bigint, seg bigint")

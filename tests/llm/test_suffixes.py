@@ -56,6 +56,38 @@ def test_matches_brute_force(docs):
         assert sum(x[2] for x in compare(docs, made(seed), window)) > 1000
 
 
+def test_long_texts_come_in_pieces(docs, monkeypatch):
+    """Runs are cut where pieces meet; every window is in one piece, and copies that are cut elsewhere are found."""
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 500)
+    rows = made(6, 12)
+    whole = " ".join(t for _, t in rows if t)
+    got = list(suffixes.chunks([whole, None, "short", "x" * 700], 200))
+    seen = Counter((p, b + i) for ps, bs, ts in got for p, b, t in zip(ps.tolist(), bs.tolist(), ts) for i in range(len(t) - 199))
+    assert max(seen.values()) == 1 and len(seen) == len(whole.encode()) - 199 + 501 and max(len(t) for _, _, ts in got for t in ts) <= 699
+    monkeypatch.undo()
+    monkeypatch.setattr(suffixes, "runs_of", in_pieces_of(500))
+    compare(docs, [*rows, (900, whole), (901, "a" + whole)], 200)
+
+
+def in_pieces_of(size):
+    """``runs_of`` with small pieces, made here, as executors do not see a patched constant."""
+    whole = suffixes.runs_of
+
+    def run(docs, window):
+        rows = docs.select("row", "text").collect()
+        before, suffixes.CHUNK_BYTES = suffixes.CHUNK_BYTES, size
+        try:
+            out = []
+            for place, begin, texts in suffixes.chunks([r["text"] for r in rows], window):
+                d, first, n, anchor, seg = find_runs(texts, window)
+                out += zip([rows[place[k]]["row"] for k in d], (first + begin[d]).tolist(), n.tolist(), anchor.view(np.int64).tolist(), seg.view(np.int64).tolist())
+        finally:
+            suffixes.CHUNK_BYTES = before
+        return docs.sparkSession.createDataFrame(out, whole(docs, window).schema)
+
+    return run
+
+
 def test_windows_of_hot_anchors_are_dealt_one_by_one(docs, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_RUNS", 3)
     r = random.Random(7)
