@@ -58,4 +58,5 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], box: list[st
         k = _classed(F.col(high) - F.col(low))
         r = r.withColumn(name, F.struct(k.alias("k"), _cell((F.col(high) + F.col(low)) / 2, k).alias("c")))
     near = [F.abs(F.col(a) + F.col(b) - F.col(c) - F.col(d)) < F.least(F.col(b) - F.col(a), F.col(d) - F.col(c)) for a, b, c, d in ((x1, x2, p1, p2), (y1, y2, q1, q2))]
-    return l.join(r, [*keys, "at_x", "at_y"]).where(near[0] & near[1]).drop("at_x", "at_y")
+    # both sides grow with the input, and their expanded rows are far larger than estimates tell: neither may pass the driver
+    return l.join(r.hint("merge"), [*keys, "at_x", "at_y"]).where(near[0] & near[1]).drop("at_x", "at_y")
