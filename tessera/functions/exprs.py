@@ -32,6 +32,16 @@ def unit(v: Column | str) -> Column:
     return F.transform(col(v), lambda x: x / n)
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double to so many decimals as SQL engines count them: scaled, to the nearest whole number (halves away from zero), and back.
+
+    ``F.round`` goes by a double's shortest decimal form instead, which
+    may lie on the other side of a half than the scaled number.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(col(x).cast("double") * scale) / scale
+
+
 def squared_distance(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda s, d: s + d, [(x - y) * (x - y) for x, y in zip(a, b)])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp_box, col, digits, dot
+from ..functions.exprs import clamp_box, col, digits, dot, rounded
 
 
 def remap_classes(df: DataFrame, table: list[tuple[int, int, str]]) -> DataFrame:
@@ -88,7 +88,7 @@ def medoids(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
     """
     total = rows.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
     total = total.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("t"))
-    s = rows.join(total, keys).withColumn("s", F.round(dot("v", "t"), 9))
+    s = rows.join(total, keys).withColumn("s", rounded(dot("v", "t"), 9))
     return top_n(s, keys, [F.desc("s"), F.col(ident)], 1).select(*keys, ident, "v")
 
 

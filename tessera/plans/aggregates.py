@@ -141,7 +141,7 @@ def a15(det: DataFrame) -> DataFrame:
     dist = F.sqrt(E.squared_distance([F.col("x1"), F.col("y1")], [F.col("cx"), F.col("cy")]))
     i = d.groupBy("team_id").agg(F.avg(dist).alias("s"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
     apart = F.sqrt(F.pow(F.max("cx") - F.min("cx"), 2) + F.pow(F.max("cy") - F.min("cy"), 2))
-    return i.agg(F.round(apart / (F.avg("s") + F.lit(1e-6)), 6).alias("margin"))
+    return i.agg(E.rounded(apart / (F.avg("s") + F.lit(1e-6)), 6).alias("margin"))
 
 
 @det_plan("a16_median_color", "@DET SELECT track_id, trunc(quantile_cont(k, 0.5))::BIGINT AS b, trunc(quantile_cont(user_id % 256, 0.5))::BIGINT AS g, trunc(quantile_cont(conf_c % 256, 0.5))::BIGINT AS r FROM det WHERE track_id >= 0 GROUP BY track_id")
@@ -191,7 +191,7 @@ def medoids(e: DataFrame) -> DataFrame:
 @plan("a20_l2_normalise", "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 0.000000001), 12)) AS v FROM embeddings")
 def a20(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return e.select("vec_id", F.transform(E.unit("v"), lambda x: F.round(x, 12)).alias("v"))
+    return e.select("vec_id", F.transform(E.unit("v"), lambda x: E.rounded(x, 12)).alias("v"))
 
 
 _HEAD = "list_inner_product(embedding::DOUBLE[], list_transform(range(0, 64), lambda i: CASE WHEN i % 2 = 0 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END))"
@@ -203,7 +203,7 @@ def a21(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.images import linear_head
 
     e = linear_head(read(spark, sf, "embeddings"), "embedding", [(-1.0) ** i / 8 for i in range(64)], 0.0)
-    return e.groupBy("label").agg(F.avg("score").alias("s")).select("label", F.round("s", 9).alias("ref_score"), (F.col("s") > 0.5).alias("is_referee"))
+    return e.groupBy("label").agg(F.avg("score").alias("s")).select("label", E.rounded("s", 9).alias("ref_score"), (F.col("s") > 0.5).alias("is_referee"))
 
 
 @det_plan("a22_team_swatch", f"@DET, g AS (SELECT track_id, 2 * sum((class_name = 'goaltender')::INT) > count(*) AS goalie FROM det WHERE {_T} GROUP BY track_id), s AS (SELECT d.team_id, trunc(avg(d.k))::BIGINT AS b, trunc(avg(d.user_id % 256))::BIGINT AS g, trunc(avg(d.conf_c % 256))::BIGINT AS r FROM det d JOIN g ON d.track_id = g.track_id WHERE d.class_id = 0 AND NOT g.goalie GROUP BY d.team_id) SELECT t AS team_id, coalesce(s.b, 128) AS b, coalesce(s.g, 128) AS g, coalesce(s.r, 128) AS r FROM (SELECT unnest([0, 1, 2]) AS t) LEFT JOIN s ON s.team_id = t")
@@ -236,7 +236,7 @@ def a23(det: DataFrame) -> DataFrame:
 def a24(det: DataFrame) -> DataFrame:
     t = det.where("track_id >= 0").groupBy("track_id").agg(F.min("run_id").alias("run_id"), (F.min("user_id") % 25 == 0).alias("truth"), (F.max("k") > 90).alias("said"))
     c = t.groupBy("run_id").agg(F.count_if(F.expr("truth and said")).alias("hit"), F.count_if("truth").alias("t"), F.count_if("said").alias("s"))
-    rate = lambda d: F.round(F.avg(F.try_divide("hit", d)), 9)
+    rate = lambda d: E.rounded(F.avg(F.try_divide("hit", d)), 9)
     return c.agg(rate("t").alias("recall"), rate("s").alias("precision_"))
 
 

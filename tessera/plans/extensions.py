@@ -243,7 +243,7 @@ def f05(spark: SparkSession, sf: str) -> DataFrame:
 
     first = ((np.arange(64)[:, None] * 16 + np.arange(16)) % 7 - 3) / 8
     e = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    return I.mlp_head(e, "embedding", first, (np.arange(16) % 5 - 2) / 4).select("vec_id", F.round("score", 9).alias("score"))
+    return I.mlp_head(e, "embedding", first, (np.arange(16) % 5 - 2) / 4).select("vec_id", E.rounded("score", 9).alias("score"))
 
 
 @det_plan("f07_pose_inference", None)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..operators.scan import floored_scan, running_best
 from ..streaming import scoreboard as B
 from .base import det_plan
@@ -134,7 +135,7 @@ _ENDS = f"{_LOG}, v AS (SELECT match_id, sc, seq, k <= 40 AS running FROM c WHER
 
 
 def _ends(happened: DataFrame) -> DataFrame:
-    return happened.where("path = 'expired'").select("match_id", "penalty", "team", F.round("at", 2).alias("ends"))
+    return happened.where("path = 'expired'").select("match_id", "penalty", "team", E.rounded("at", 2).alias("ends"))
 
 
 @det_plan("st10_penalty_expiry", f"@DET, {_ENDS} SELECT * FROM x")
