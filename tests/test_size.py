@@ -26,3 +26,24 @@ def test_boxes_meet_without_a_broadcast(spark):
     l, r = (spark.createDataFrame(rows, f"frame int, {', '.join(f'{c} double' for c in x)}") for x in (a, b))
     j = overlapping(l, r, ["frame"], a, b)
     assert "SortMergeJoin" in planned(j) and "Broadcast" not in planned(j) and j.count() == 1
+
+
+def test_shared_frames_of_long_sets_without_pairs_in_a_shuffle(spark):
+    import random
+
+    from tessera.operators import bitmaps as M
+
+    r = random.Random(3)
+    sets = {(k, m): {r.randrange(b, b + w) for _ in range(n)} for k in range(3) for m, (b, w, n) in enumerate([(0, 90, 30), (0, 5000, 400), (40, 3000, 300), (500, 60, 20), (4000, 50, 10), (-700, 1500, 90), (9000, 5, 3)])}
+    rows = [(k, m, f) for (k, m), fs in sets.items() for f in fs]
+    df = M.shared(M.frame_words(spark.createDataFrame(rows, "k int, m int, frame bigint"), ["k", "m"]), ["k"], "m")
+    want = {(k, a, b): len(sets[k, a] & sets[k, b]) for k in range(3) for a in range(7) for b in range(a + 1, 7) if sets[k, a] & sets[k, b]}
+    assert {(x["k"], x["a"], x["b"]): x["shared"] for x in df.collect()} == want
+    plan = planned(df)
+    assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
+
+
+def test_lonely_tracks_are_told_without_pairs(spark, sf):
+    from tessera.plans import PLANS
+
+    assert "Inner" not in planned(PLANS["g04_lonely_tracks"](spark, sf))
