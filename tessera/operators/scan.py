@@ -77,10 +77,22 @@ def running_best(df: DataFrame, keys: list[str], order: list[str], value: str, n
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
     """``name``: the sum of a key's values so far (of all rows, without keys), by the same two levels."""
+    return running_sums(df, keys, order, {name: value}, parts)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], parts: int | None = None) -> DataFrame:
+    """As ``running_sum``, of several values at once: the new columns' names and what they sum."""
     d = ranges(df, keys, order, parts)
-    d = d.withColumn("own", F.sum(value).over(W.partitionBy("part", *keys).orderBy(*order)))
+    here = W.partitionBy("part", *keys).orderBy(*order)
+    d = d.withColumns({f"own_{n}": F.sum(v).over(here) for n, v in values.items()})
     w = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    return _with_before(d, d.groupBy("part", *keys).agg(F.sum(value).alias("all")).withColumn("before", F.sum("all").over(w)), keys, F.col("own") + F.coalesce("before", F.lit(0)), name)
+    p = d.groupBy("part", *keys).agg(*[F.sum(v).alias(f"all_{n}") for n, v in values.items()])
+    p = p.select(F.col("part").alias("of"), *[F.col(k).alias(f"of_{k}") for k in keys], *[F.sum(f"all_{n}").over(w).alias(f"before_{n}") for n in values])
+    on = F.col("part") == F.col("of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    out = d.join(p, on).withColumns({n: F.col(f"own_{n}") + F.coalesce(F.col(f"before_{n}"), F.lit(0)) for n in values})
+    return out.drop("part", "of", *[f"of_{k}" for k in keys], *[f"{x}_{n}" for x in ("own", "before") for n in values])
 
 
 def _with_before(d: DataFrame, parts: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators.scan import floored_scan, running_best
+from ..operators.scan import floored_scan, running_best, running_sums
 from ..streaming import scoreboard as B
 from .base import det_plan
 
@@ -68,13 +68,22 @@ def st06(det: DataFrame) -> DataFrame:
 
 @det_plan("st09_penalty_countdown", f"@DET, {_RUNS}, p AS (SELECT match_id, seq, sc, CASE k % 3 WHEN 0 THEN 120 WHEN 1 THEN 300 ELSE 600 END * 1000 AS dur FROM c WHERE event_type = 'purchase' AND k < 50) SELECT p.seq, greatest(0, min(p.dur) - coalesce(sum(greatest(0, least(coalesce(sp.until, e.fin), e.fin) - greatest(sp.since, p.sc))), 0))::BIGINT AS remaining FROM p JOIN e ON p.match_id = e.match_id LEFT JOIN sp ON sp.match_id = p.match_id AND coalesce(sp.until, e.fin) > p.sc GROUP BY p.seq")
 def st09(det: DataFrame) -> DataFrame:
-    """A penalty's time left: its length less what its life shares with the spans in which the clock ran."""
-    c = log(det)
+    """A penalty's time left: its length less what the clock ran from then to the match's end.
+
+    What the clock has run up to a time follows from the changes so far:
+    each start counts the time since it, each pause takes that off again.
+    So a penalty needs two running sums and meets no span. One that begins
+    after the clock's last stop counts all time from then, as in the SQL.
+    """
+    c = log(det).where("match_id is not null")
+    p = c.where("event_type = 'purchase' and k < 50").selectExpr("match_id", "seq", "at", "case k % 3 when 0 then 120 when 1 then 300 else 600 end * 1000 as dur", "0L as way", "0L as since")
+    s = changes(det).withColumn("way", F.when(F.col("running"), 1).otherwise(-1).cast("bigint"))
+    s = s.select("match_id", "seq", "at", F.lit(None).cast("int").alias("dur"), "way", (F.col("way") * F.col("at")).alias("since"))
+    rows = running_sums(p.union(s), ["match_id"], ["at", "seq"], {"ways": "way", "sinces": "since"}).where("dur is not null")
     end = c.groupBy("match_id").agg(F.max("at").alias("fin"))
-    p = c.where("event_type = 'purchase' and k < 50").selectExpr("match_id", "seq", "at", "case k % 3 when 0 then 120 when 1 then 300 else 600 end * 1000 as dur").join(end, "match_id")
-    s = spans(det).withColumnRenamed("match_id", "m")
-    j = p.join(s, (F.col("match_id") == F.col("m")) & (F.coalesce("until", "fin") > F.col("at")), "left")
-    gone = F.sum(B.elapsed(F.greatest("since", "at"), F.col("until"), F.col("fin")))
+    all_ = s.groupBy("match_id").agg(F.sum("way").alias("n"), F.sum("since").alias("m"), F.max(F.when(F.col("way") < 0, F.col("at"))).alias("stopped"))
+    j = rows.join(end, "match_id").join(all_, "match_id", "left")
+    gone = F.sum(F.expr("if(if(n = 1, fin, stopped) > at, fin * n - m - (at * ways - sinces), fin - at)"))
     return j.groupBy("seq").agg(F.greatest(F.lit(0), F.min("dur") - F.coalesce(gone, F.lit(0))).cast("bigint").alias("remaining"))
 
 
@@ -156,7 +165,8 @@ def replayed(det: DataFrame) -> tuple[DataFrame, str]:
     spark = det.sparkSession
     c = commands(det, _TICK, _TICK_BODY)
     last = c.agg((F.max("at") + 86_400_000).alias("at")).select(F.lit(-1).cast("bigint").alias("match_id"), F.lit(-1).cast("bigint").alias("seq"), "at", F.lit("/visible").alias("path"), F.lit("{}").alias("body"))
-    log_ = materialise(c.unionByName(last.where("at is not null")))
+    # in order of time, so that a batch of commands is of few hours
+    log_ = materialise(c.unionByName(last.where("at is not null")).repartitionByRange("at").sortWithinPartitions("at"))
     checkpoint = shared_path(spark, "board-state")
     return replay(spark, log_.inputFiles()[0].rsplit("/", 1)[0], log_.schema, shared_path(spark, "board-rows"), checkpoint, files=100_000), checkpoint
 

@@ -47,3 +47,45 @@ def test_lonely_tracks_are_told_without_pairs(spark, sf):
     from tessera.plans import PLANS
 
     assert "Inner" not in planned(PLANS["g04_lonely_tracks"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["st07_direction_adjust", "st10_penalty_expiry", "st16_malformed_commands"])
+def test_matches_are_folded_batch_by_batch(spark, sf, name):
+    from tessera.plans import PLANS
+
+    df = PLANS[name](spark, sf)
+    assert "FlatMapGroups" not in planned(df)
+    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(map(tuple, df.collect()))
+    try:
+        spark.conf.set(key, "7")
+        assert sorted(map(tuple, PLANS[name](spark, sf).collect())) == want
+    finally:
+        spark.conf.set(key, size)
+
+
+def test_penalties_meet_no_spans(spark, sf):
+    from tessera.plans import PLANS
+
+    assert "until" not in planned(PLANS["st09_penalty_countdown"](spark, sf))
+
+
+def test_catching_up_joins_no_revisions(spark):
+    from tessera.streaming.timers import catch_up
+
+    now = spark.createDataFrame([(1, 9), (2, 3)], "match_id bigint, rev bigint")
+    of = [(1, r, "x", 200) for r in (1, 2, 4, 7, 7, 9, 11)] + [(2, 3, "expired", None), (2, 2, "x", 404)]
+    happened = spark.createDataFrame(of, "match_id bigint, rev bigint, path string, status int")
+    clients = spark.createDataFrame([(5, 1, 3), (6, 1, 9), (7, 1, 20), (8, 2, 0), (9, 2, 3)], "user_id bigint, match_id bigint, seen bigint")
+    df = catch_up(clients, now, happened)
+    assert {r["user_id"]: r["missed"] for r in df.collect()} == {5: 3, 6: 0, 7: 0, 8: 1, 9: 0}
+    assert "(of#" not in planned(df) or "seen" not in "".join(x for x in planned(df).split("\n") if "Join" in x)
+
+
+def test_medoids_of_bounded_groups_equal_the_others(spark):
+    from tessera.operators import tracks as O
+
+    rows = spark.range(300).selectExpr("id % 37 as g", "id as e", "array(sin(id), cos(id * 3), (id % 5) / 4D) as v")
+    df = O.bounded_medoids(rows, ["g"], "e")
+    assert sorted((r["g"], r["e"]) for r in df.collect()) == sorted((r["g"], r["e"]) for r in O.medoids(rows, ["g"], "e").collect())
+    assert "Generate" not in planned(df)
