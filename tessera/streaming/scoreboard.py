@@ -272,13 +272,31 @@ def _rows(board: Board, match: int, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
 
+def in_order(commands: DataFrame) -> DataFrame:
+    """Each match's commands in one partition and in order of time, so that a fold sees them batch by batch."""
+    n = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return commands.repartition(n, "match_id").sortWithinPartitions("match_id", "at", "seq")
+
+
+def stretches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bool, pd.DataFrame]]:
+    """Of batches in order, each match's rows: its number, whether it begins here, and the rows."""
+    last = None
+    for pdf in parts:
+        for match, own in pdf.groupby("match_id", sort=False):
+            yield int(match), match != last, own
+            last = match
+
+
 def fold(commands: DataFrame) -> DataFrame:
-    """State after each command of ``(match_id, seq, at, path, body)``; matches are folded in parallel."""
+    """State after each command of ``(match_id, seq, at, path, body)``; matches are folded in parallel, each in batches."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rows(Board(since=float(pdf["at"].min())), int(key[0]), pdf)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for match, new, pdf in stretches(parts):
+            if new:
+                board = Board(since=float(pdf["at"].iloc[0]))
+            yield _rows(board, match, pdf)
 
-    return commands.groupBy("match_id").applyInPandas(run, RESULT)
+    return in_order(commands.where("match_id is not null")).mapInPandas(run, RESULT)
 
 
 def stream(commands: DataFrame) -> DataFrame:
@@ -316,15 +334,25 @@ def happen(board: Board, match: int, rows: list[tuple[float, int, str, str | Non
     return out
 
 
-def happenings(commands: DataFrame, until: float = float("inf")) -> DataFrame:
-    """Each match's commands and ends of penalties, each at its own time, up to ``until``; matches are folded in parallel."""
+def told(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=NAMES).astype({"seq": "Int64", "status": "Int64"})
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(float(r.at), r.seq, r.path, r.body) for r in pdf.itertuples()]
-        told = pd.DataFrame(happen(Board(since=min(r[0] for r in rows)), int(key[0]), rows, until), columns=NAMES)
-        return told.astype({"seq": "Int64", "status": "Int64"})
 
-    return commands.groupBy("match_id").applyInPandas(run, HAPPENED)
+def happenings(commands: DataFrame, until: float = float("inf")) -> DataFrame:
+    """Each match's commands and ends of penalties, each at its own time, up to ``until``; matches are folded in parallel, each in batches."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        board, last = None, None
+        for match, new, pdf in stretches(parts):
+            if new:
+                if board is not None:
+                    yield told(happen(board, last, [], until))
+                board, last = Board(since=float(pdf["at"].iloc[0])), match
+            yield told(happen(board, match, [(float(r.at), r.seq, r.path, r.body) for r in pdf.itertuples()]))
+        if board is not None:
+            yield told(happen(board, last, [], until))
+
+    return in_order(commands.where("match_id is not null")).mapInPandas(run, HAPPENED)
 
 
 NAMES = [c.split()[0] for c in HAPPENED.split(", ")]
