@@ -92,6 +92,17 @@ def medoids(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
     return top_n(s, keys, [F.desc("s"), F.col(ident)], 1).select(*keys, ident, "v")
 
 
+def bounded_medoids(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """As ``medoids``, for groups whose number of rows is bounded: each is gathered once and its vectors are not taken apart."""
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(ident).alias("id"), F.col("v").cast("array<double>").alias("v")))).alias("own_rows"))
+    none = F.array_repeat(F.lit(0.0), F.size(F.col("own_rows")[0]["v"]))
+    g = g.withColumn("own_total", F.aggregate("own_rows", none, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + F.coalesce(b, F.lit(0.0)))))
+    # nulls come last, as in a falling order
+    less = lambda x: F.coalesce(-rounded(dot(x["v"], "own_total"), 9), F.lit(float("inf")))
+    best = F.array_min(F.transform("own_rows", lambda x: F.struct(less(x).alias("less"), x["id"].alias("id"), x["v"].alias("v"))))
+    return g.withColumn("own_best", best).select(*keys, F.col("own_best.id").alias(ident), "own_best.v")
+
+
 def majority(c0: Column, c1: Column) -> Column:
     """The team with more votes; equal votes give team 0."""
     return F.when(c1 > c0, 1).otherwise(0)
