@@ -167,7 +167,7 @@ def dominant(p: DataFrame, key: str, ident: str, columns: list[str], k: int = 3,
     from ..operators.kmeans import grouped_kmeans
 
     sizes = p.groupBy(key).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in columns]).alias("centre"))
-    many = p.join(sizes.where(F.col("n") >= least).select(key), key, "left_semi")
+    many = p.join(sizes.where(F.col("n") >= least).select(key).hint("merge"), key, "left_semi")
     c = grouped_kmeans(many, key, ident, columns, k, starts=3, rounds=20)
     top = c.groupBy(key).agg(F.min_by(F.struct("centre", "n"), F.struct(-F.col("n"), "cluster")).alias("c")).select(key, "c.centre", "c.n")
     all_ = top.unionByName(sizes.where(F.col("n") < least).select(key, "centre", "n"))
