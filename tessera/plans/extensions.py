@@ -121,17 +121,17 @@ def f04(det: DataFrame) -> DataFrame:
     from ..operators.tracks import top_n
 
     top = top_n(det.where("track_id >= 0"), ["track_id"], [F.desc("conf_c"), F.col("event_id")], 15).drop("rn")
-    return contrastive_teams(crops(top))
+    return contrastive_teams(crops(top), bounded=True)
 
 
-def contrastive_teams(rows: DataFrame, weights: dict | None = None, size: tuple[int, int] = (16, 32)) -> DataFrame:
-    """Teams of tracks from crops ``(track_id, event_id, h, w, data)``; size and weights are the checkpoint's."""
+def contrastive_teams(rows: DataFrame, weights: dict | None = None, size: tuple[int, int] = (16, 32), bounded: bool = False) -> DataFrame:
+    """Teams of tracks from crops ``(track_id, event_id, h, w, data)``; size and weights are the checkpoint's; ``bounded`` if a track has few crops."""
     import numpy as np
 
     w = weights or I.stub_weights()
     backend = lambda images: I.contrastive_vectors(np.stack([I.letterboxed(x, *size) for x in images]), w)
     v = I.embed_crops(rows.select("track_id", "event_id", "h", "w", "data"), backend)
-    out = embedding_teams(v.selectExpr("track_id as label", "event_id as vec_id", "v"))
+    out = embedding_teams(v.selectExpr("track_id as label", "event_id as vec_id", "v"), bounded)
     return out.withColumnsRenamed({"label": "track_id", "vec_id": "event_id"})
 
 
@@ -216,17 +216,18 @@ def f02(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_teams(read(spark, sf, "embeddings").selectExpr("label", "vec_id", "cast(embedding as array<double>) as v"))
 
 
-def embedding_teams(e: DataFrame) -> DataFrame:
+def embedding_teams(e: DataFrame, bounded: bool = False) -> DataFrame:
     """The medoid of each label's unit vectors, two clusters of the medoids on all components, and votes.
 
     The assigned team gets as many votes as the label has vectors, the
-    other none. Rows without label or vector are left out.
+    other none. Rows without label or vector are left out. ``bounded`` if
+    no label has many vectors.
     """
     from ..operators.store import materialise
-    from ..operators.tracks import medoids
+    from ..operators.tracks import bounded_medoids, medoids
 
     e = e.where("label is not null and v is not null").select("label", "vec_id", E.unit("v").alias("v"))
-    m = materialise(medoids(e, ["label"], "vec_id").join(e.groupBy("label").agg(F.count("*").alias("n")), "label"))
+    m = materialise((bounded_medoids if bounded else medoids)(e, ["label"], "vec_id").join(e.groupBy("label").agg(F.count("*").alias("n")), "label"))
     out = I.nearest_of_two(m, "v", I.two_centroids(m, "v", "label")).drop("v")
     votes = [F.when(F.col("team") == t, F.col("n")).otherwise(0).cast("bigint").alias(f"votes_{t}") for t in (0, 1)]
     return out.select("label", "vec_id", "team", *votes)

@@ -21,21 +21,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from ..operators.scan import running_sum
 from ..operators.store import materialise
-from .scoreboard import HAPPENED, NAMES, Board, Team, happen
+from .scoreboard import HAPPENED, NAMES, Board, Team, happen, told
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Seconds whose commands wait together.
+HOUR = 3600
+
+
 class Scoreboard(StatefulProcessor):
-    """State of a match: ``board`` (one value), ``penalties`` by id, and ``waiting`` commands."""
+    """State of a match: ``board`` (one value), ``penalties`` by id, and ``waiting`` commands by the hour, in ``chunks`` as they came.
+
+    However many commands wait, an hour's are in memory at once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.board = handle.getValueState("board", "text string")
         self.penalties = handle.getMapState("penalties", "id string", "team string, duration int, left double")
-        self.waiting = handle.getListState("waiting", "at double, seq long, path string, body string")
+        self.waiting = handle.getMapState("waiting", "hour long, chunk long", "rows string")
+        self.chunks = handle.getValueState("chunks", "n long")
+
+    def wait(self, rows: list[tuple]) -> None:
+        hours: dict[int, list[tuple]] = {}
+        for r in rows:
+            hours.setdefault(int(r[0] // HOUR), []).append(r)
+        n = self.chunks.get()[0] if self.chunks.exists() else 0
+        for hour, own in hours.items():
+            self.waiting.updateValue((hour, n), (json.dumps(own),))
+            n += 1
+        self.chunks.update((n,))
+
+    def held(self, hour: int, chunks: list[int]) -> list[tuple]:
+        return [tuple(r) for n in chunks for r in json.loads(self.waiting.getValue((hour, n))[0])]
 
     def load(self, since: float) -> Board:
         if not self.board.exists():
@@ -62,26 +84,37 @@ class Scoreboard(StatefulProcessor):
             self.handle.registerTimer(ceil(min(times) * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        fresh = [(float(r.at), int(r.seq), r.path, r.body) for pdf in rows for r in pdf.itertuples()]
-        self.waiting.appendList(fresh)
-        timers = list(self.handle.listTimers())
-        self.alarm([t / 1000 for t in timers] + [r[0] for r in fresh])
+        times = [t / 1000 for t in self.handle.listTimers()]
+        for pdf in rows:
+            fresh = [(float(r.at), int(r.seq), r.path, r.body) for r in pdf.itertuples()]
+            self.wait(fresh)
+            times = [min(times + [r[0] for r in fresh])]
+        self.alarm(times)
         yield pd.DataFrame(columns=NAMES)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
-        held = [tuple(r) for r in self.waiting.get()]
-        ready, later = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
-        board = self.load(min((r[0] for r in ready), default=now))
-        out = happen(board, int(key[0]), ready, now)
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
+        hours: dict[int, list[int]] = {}
+        for hour, n in sorted(self.waiting.keys()):
+            hours.setdefault(hour, []).append(n)
+        board, later = None, []
+        for hour in sorted(hours):
+            rows = self.held(hour, hours[hour])
+            ready, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+            if ready:
+                board = board or self.load(min(r[0] for r in ready))
+                for n in hours[hour]:
+                    self.waiting.removeKey((hour, n))
+                if later:
+                    self.wait(later)
+                yield told(happen(board, int(key[0]), ready))
+            if later:
+                break
+        board = board or self.load(now)
+        yield told(happen(board, int(key[0]), [], now))
         self.save(board)
         due = board.due()
         self.alarm([r[0] for r in later] + ([] if due is None else [due]))
-        yield pd.DataFrame(out, columns=NAMES).astype({"seq": "Int64", "status": "Int64"})
 
     def close(self) -> None:
         pass
@@ -140,6 +173,13 @@ def catch_up(clients: DataFrame, snapshot: DataFrame, happened: DataFrame) -> Da
     revision.
     """
     one = happened.where("path = 'expired' or status = 200").select("match_id", F.col("rev").alias("of")).distinct()
-    c = clients.join(snapshot.select("match_id", F.col("rev").alias("snapshot_rev")), "match_id")
-    on = (c["match_id"] == one["match_id"]) & (one["of"] > c["seen"]) & (one["of"] <= c["snapshot_rev"])
-    return c.join(one, on, "left").groupBy(c["user_id"], c["match_id"], "snapshot_rev").agg(F.count("of").alias("missed"))
+    now = snapshot.select("match_id", F.col("rev").alias("snapshot_rev"))
+    one = one.join(now, "match_id").where("of <= snapshot_rev").select("match_id", "of")
+    c = clients.join(now, "match_id")
+    # how many revisions there are up to what each client saw, counted along all of a match's revisions
+    rows = one.selectExpr("match_id", "of as at", "1L as n", "cast(null as bigint) as user_id", "cast(null as bigint) as snapshot_rev")
+    rows = rows.union(c.select("match_id", F.col("seen").cast("bigint"), F.lit(0).cast("bigint"), "user_id", "snapshot_rev"))
+    seen = running_sum(rows.where("match_id is not null"), ["match_id"], ["at"], "n", "before").where("snapshot_rev is not null")
+    every = one.groupBy("match_id").agg(F.count("*").alias("every"))
+    out = seen.join(every, "match_id", "left").groupBy("user_id", "match_id", "snapshot_rev")
+    return out.agg(F.sum(F.coalesce("every", F.lit(0)) - F.when(F.col("at").isNull(), F.coalesce("every", F.lit(0))).otherwise(F.col("before"))).alias("missed"))
