@@ -51,8 +51,17 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def assign(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
-    """Pairs of rows and columns for which the sum of what they cost less than ``most`` is largest; shortest augmenting paths."""
+    """Pairs of rows and columns for which the sum of what they cost less than ``most`` is largest; shortest augmenting paths.
+
+    The fewer side is led to the other, of which only what some row may
+    take is looked at: a frame has few boxes and many tracks to remember.
+    """
     n, m = cost.shape
+    if n > m:
+        return sorted((i, j) for j, i in assign(cost.T, most))
+    near = np.flatnonzero((cost <= most).any(0))
+    if len(near) < m:
+        return [(i, int(near[j])) for i, j in assign(cost[:, near], most)] if len(near) else []
     # a row may go to a column of its own at no gain
     gain = np.concatenate([np.minimum(cost - most, 0), np.zeros((n, n))], axis=1)
     u, v = np.zeros(n), np.zeros(m + n)

@@ -89,3 +89,47 @@ def test_medoids_of_bounded_groups_equal_the_others(spark):
     df = O.bounded_medoids(rows, ["g"], "e")
     assert sorted((r["g"], r["e"]) for r in df.collect()) == sorted((r["g"], r["e"]) for r in O.medoids(rows, ["g"], "e").collect())
     assert "Generate" not in planned(df)
+
+
+def crops(n, seed=0):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    return [r.integers(0, 256, (int(r.integers(1, 40)), int(r.integers(1, 22)), 3)).astype(np.uint8) // int(r.integers(1, 9)) for _ in range(n)]
+
+
+def test_images_at_once_equal_single_ones():
+    import numpy as np
+
+    from tessera.functions import images as I
+
+    x = crops(300)
+    assert I.grid_colors(x) == [I.grid_color(i) for i in x]
+    assert np.array_equal(I.letterboxed_all(x, 16, 32), np.stack([I.letterboxed(i, 16, 32) for i in x]))
+
+
+def test_convolution_equals_its_sum_of_shifts():
+    import numpy as np
+
+    from tessera.functions import images as I
+
+    r = np.random.default_rng(1)
+    x, kernel = r.random((5, 6, 7, 3)).astype(np.float32), r.standard_normal((3, 3, 3, 4)).astype(np.float32)
+    padded = np.pad(x, ((0, 0), (1, 1), (1, 1), (0, 0)))
+    want = sum(padded[:, i : i + 6, j : j + 7] @ kernel[i, j] for i in range(3) for j in range(3))
+    assert np.allclose(I.convolution(x, kernel), np.maximum(want, 0), atol=1e-5)
+
+
+def test_many_tracks_and_few_boxes_are_assigned_quickly():
+    import time
+
+    import numpy as np
+
+    from tessera.operators.tracking import assign
+
+    r = np.random.default_rng(0)
+    cost = np.where(r.random((1000, 70)) < 0.05, r.random((1000, 70)), 1.0)
+    began = time.time()
+    got = assign(cost, 0.9)
+    assert time.time() - began < 2  # 18 seconds from the side of the tracks
+    assert len(got) == 70 and len({j for _, j in got}) == 70 and all(cost[i, j] <= 0.9 for i, j in got)
