@@ -117,17 +117,111 @@ def grid_color(image: np.ndarray, rows: int = 3, cols: int = 2) -> tuple[int, in
     return tuple(int(x) for x in np.mean(np.array(found, float), axis=0)) if found else dominant(image)
 
 
-def crop_colors(df: DataFrame, ident: str = "event_id") -> DataFrame:
-    """``ident, b, g, r`` of image columns ``h, w, data`` (bytes, row by row); nulls where there is no colour."""
+def by_shape(images: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Places and stacks of the images of each height and width."""
+    at: dict[tuple[int, ...], list[int]] = {}
+    for i, x in enumerate(images):
+        at.setdefault(x.shape[:2], []).append(i)
+    for own in at.values():
+        yield own, np.stack([images[i] for i in own])
+
+
+def stacked_clusters(pixels: np.ndarray, ok: np.ndarray, k: int = 3, rounds: int = 20, eps: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """``color_clusters`` of many images at once: of each row of ``(n, p, 3)`` the pixels that are ``ok``, of which there are some."""
+    far = lambda c: np.where(ok, ((pixels - c[:, None]) ** 2).sum(-1), -1.0)
+    pick = lambda d: pixels[np.arange(len(d)), d.argmax(1)]
+    first = pick(far((pixels * ok[..., None]).sum(1) / ok.sum(1)[:, None]))
+    c, least = [first], far(first)
+    while len(c) < k:
+        c.append(pick(least))
+        least = np.minimum(least, far(c[-1]))
+    c = np.stack(c, 1)
+
+    def owned(p: np.ndarray, at: np.ndarray, good: np.ndarray) -> np.ndarray:
+        own = np.stack([((p - at[:, i, None]) ** 2).sum(-1) for i in range(k)], -1).argmin(-1)
+        return np.stack([(own == i) & good for i in range(k)], 1)
+
+    live = np.arange(len(pixels))
+    for _ in range(rounds):
+        own = owned(pixels[live], c[live], ok[live])
+        n = own.sum(2)[..., None]
+        new = np.where(n > 0, own.astype(float) @ pixels[live] / np.maximum(n, 1), c[live])
+        moved = np.abs(new - c[live]).max((1, 2))
+        c[live] = new
+        live = live[moved >= eps]
+        if not len(live):
+            break
+    return c, owned(pixels, c, ok).sum(2)
+
+
+def dominants(images: list[np.ndarray], least: int = 30) -> list[tuple[int, int, int] | None]:
+    """``dominant`` of many images."""
+    out: list[tuple[int, int, int] | None] = [None] * len(images)
+    for at, stack in by_shape(images):
+        if stack.size == 0:
+            continue
+        pixels = stack.reshape(len(at), -1, 3)
+        value = pixels.max(2)
+        ok = (value > 30) & (value < 245)
+        n, pixels = ok.sum(1), pixels.astype(float)
+        few, many = np.flatnonzero((n >= least) & (n < 30)), np.flatnonzero((n >= least) & (n >= 30))
+        for i in few:
+            out[at[i]] = tuple(int(x) for x in pixels[i][ok[i]].mean(0))
+        if len(many):
+            c, size = stacked_clusters(pixels[many], ok[many])
+            for i, x in zip(many, c[np.arange(len(many)), size.argmax(1)].astype(int).tolist()):
+                out[at[i]] = tuple(x)
+    return out
+
+
+def grid_colors(images: list[np.ndarray], rows: int = 3, cols: int = 2) -> list[tuple[int, int, int] | None]:
+    """``grid_color`` of many images."""
+    large = [i for i, x in enumerate(images) if x.shape[0] >= 6 * rows and x.shape[1] >= 6 * cols]
+    cells = []
+    for i in large:
+        h, w = images[i].shape[:2]
+        cells += [images[i][r * h // rows : (r + 1) * h // rows, c * w // cols : (c + 1) * w // cols] for r in range(rows) for c in range(cols)]
+    got = dominants(cells, 10)
+    out: list[tuple[int, int, int] | None] = [None] * len(images)
+    for n, i in enumerate(large):
+        found = [c for c in got[n * rows * cols : (n + 1) * rows * cols] if c is not None]
+        if found:
+            out[i] = tuple(int(sum(x) / len(found)) for x in zip(*found))
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, x in zip(rest, dominants([images[i] for i in rest])):
+        out[i] = x
+    return out
+
+
+def crop_colors(df: DataFrame, ident: str = "event_id", batch: int = 4000) -> DataFrame:
+    """``ident, b, g, r`` of image columns ``h, w, data`` (bytes, row by row); nulls where there is no colour. ``batch`` images are looked at together."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            got = [grid_color(np.frombuffer(d, np.uint8).reshape(h, w, 3)) or (None,) * 3 for h, w, d in zip(pdf["h"], pdf["w"], pdf["data"])]
-            yield pd.DataFrame({ident: pdf[ident], **{c: pd.array([x[i] for x in got], dtype="Int32") for i, c in enumerate("bgr")}})
+        for whole in parts:
+            for at in range(0, len(whole), batch):
+                pdf = whole.iloc[at : at + batch]
+                got = [x or (None,) * 3 for x in grid_colors([np.frombuffer(d, np.uint8).reshape(h, w, 3) for h, w, d in zip(pdf["h"], pdf["w"], pdf["data"])])]
+                yield pd.DataFrame({ident: pdf[ident].to_numpy(), **{c: pd.array([x[i] for x in got], dtype="Int32") for i, c in enumerate("bgr")}})
 
     return df.select(ident, "h", "w", "data").mapInPandas(run, f"{ident} {df.schema[ident].dataType.simpleString()}, b int, g int, r int")
 
 
+def letterboxed_all(images: list[np.ndarray], w: int, h: int) -> np.ndarray:
+    """``letterboxed`` of many images."""
+    out = np.zeros((len(images), h, w, 3), np.float32)
+    for at, stack in by_shape(images):
+        ih, iw = stack.shape[1:3]
+        scale = min(w / max(iw, 1), h / max(ih, 1))
+        nw, nh = max(1, min(w, int(iw * scale))), max(1, min(h, int(ih * scale)))
+        y, x = (np.arange(nh) * ih // nh), (np.arange(nw) * iw // nw)
+        own = np.zeros((len(at), h, w, 3), np.float32)
+        own[:, (h - nh) // 2 : (h - nh) // 2 + nh, (w - nw) // 2 : (w - nw) // 2 + nw] = stack[:, y][:, :, x]
+        low, high = own.min((1, 2), keepdims=True), own.max((1, 2), keepdims=True)
+        stretch = np.where(high - low > 1e-3, 255.0 / np.maximum(high - low, 1e-3), 1.0)
+        out[at] = np.where(high - low > 1e-3, (own - low) * stretch, own) / 255.0
+    return out
+
+
 def letterboxed(image: np.ndarray, w: int, h: int) -> np.ndarray:
     """The image scaled to fit, in the middle of a black canvas, each channel stretched to the full range, from 0 to 1."""
     ih, iw = image.shape[:2]
@@ -143,9 +237,11 @@ def letterboxed(image: np.ndarray, w: int, h: int) -> np.ndarray:
 
 def convolution(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Images ``(n, h, w, c)`` under kernels ``(3, 3, c, d)``, padded by one pixel, rectified."""
+    n, h, w, c = x.shape
     padded = np.pad(x, ((0, 0), (1, 1), (1, 1), (0, 0)))
-    out = sum(padded[:, i : i + x.shape[1], j : j + x.shape[2]] @ kernel[i, j] for i in range(3) for j in range(3))
-    return np.maximum(out, 0)
+    # one product of two matrices: each pixel's surroundings as a row
+    near = np.lib.stride_tricks.sliding_window_view(padded, (3, 3), axis=(1, 2)).transpose(0, 1, 2, 4, 5, 3).reshape(n * h * w, 9 * c)
+    return np.maximum(near @ kernel.reshape(9 * c, -1), 0).reshape(n, h, w, -1)
 
 
 def contrastive_vectors(images: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:

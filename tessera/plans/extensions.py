@@ -129,8 +129,13 @@ def contrastive_teams(rows: DataFrame, weights: dict | None = None, size: tuple[
     import numpy as np
 
     w = weights or I.stub_weights()
-    backend = lambda images: I.contrastive_vectors(np.stack([I.letterboxed(x, *size) for x in images]), w)
-    v = I.embed_crops(rows.select("track_id", "event_id", "h", "w", "data"), backend)
+
+    def backend(images: list[np.ndarray]) -> np.ndarray:
+        """Images of equal size are scaled together; the network gets 64 at once."""
+        x = I.letterboxed_all(images, *size)
+        return np.concatenate([I.contrastive_vectors(x[at : at + 64], w) for at in range(0, len(x), 64)])
+
+    v = I.embed_crops(rows.select("track_id", "event_id", "h", "w", "data"), backend, 2048)
     out = embedding_teams(v.selectExpr("track_id as label", "event_id as vec_id", "v"), bounded)
     return out.withColumnsRenamed({"label": "track_id", "vec_id": "event_id"})
 
