@@ -15,15 +15,35 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unit
 from .sampling import chance
 from .store import materialise
 
-#: Rows of a block.
-BLOCK = 2000
+#: Rows of a block; blocks from which on they grow, up to so many rows; rows whose products are held at once.
+BLOCK, BLOCKS, LARGE, TILE = 2000, 16, 16_000, 500
+
+
+def blocks(rows: Column) -> Column:
+    """Blocks of a group: each row is sent to all of them, so their number grows late."""
+    return F.greatest(F.least(F.ceil(rows / F.lit(float(BLOCK))), F.lit(BLOCKS)), F.ceil(rows / F.lit(float(LARGE)))).cast("int")
+
+
+def best_of(sim: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(row, column)`` of each row's ``k`` largest, rounded to nine decimals, best first; of equals those of the lesser ``others``."""
+    if sim.shape[1] > k:
+        # what may round to the last place's value stays
+        last = -np.partition(-sim, k - 1, axis=1)[:, k - 1] - 1.5e-9
+        row, column = np.nonzero((sim >= last[:, None]) & (sim > -np.inf))
+    else:
+        row, column = np.nonzero(sim > -np.inf)
+    order = np.lexsort((others[column], -np.round(sim[row, column], 9), row))
+    row, column = row[order], column[order]
+    first = np.r_[0, np.cumsum(np.bincount(row, minlength=len(sim)))[:-1]]
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], column[keep]
 
 
 def nearest(df: DataFrame, group: str, ident: str, vector: str, k: int = 15) -> DataFrame:
@@ -33,7 +53,7 @@ def nearest(df: DataFrame, group: str, ident: str, vector: str, k: int = 15) ->
     first. Rows with a null group, id or vector are left out.
     """
     v = df.select(F.col(group).alias("grp"), F.col(ident).alias("id"), unit(F.col(vector).cast("array<double>")).alias("v")).dropna()
-    n = v.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    n = v.groupBy("grp").agg(blocks(F.count("*")).alias("blocks"))
     v = v.join(n, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     v = materialise(v)
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -45,12 +65,18 @@ def nearest(df: DataFrame, group: str, ident: str, vector: str, k: int = 15) ->
         if not len(left) or not len(right):
             return pd.DataFrame({"grp": [], "id": [], "near": []})
         right = right.sort_values("id", ignore_index=True)
-        sim = np.round(np.stack(left["v"]) @ np.stack(right["v"]).T, 9)
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        sim[ids[:, None] == others[None, :]] = -np.inf
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        told = [[{"sim": float(sim[i, j]), "other": others[j]} for j in row if sim[i, j] > -np.inf] for i, row in enumerate(best)]
-        return pd.DataFrame({"grp": left["grp"], "id": ids, "near": told})
+        to = np.stack(right["v"]).T
+        near: list[list[dict]] = [[] for _ in ids]
+        for at in range(0, len(ids), TILE):
+            sim = np.stack(left["v"].iloc[at : at + TILE]) @ to
+            sim[np.isnan(sim)] = -np.inf
+            if left["a"].iloc[0] == right["b"].iloc[0]:
+                sim[ids[at : at + TILE, None] == others[None, :]] = -np.inf
+            row, column = best_of(sim, others, k)
+            for i, s, o in zip(row.tolist(), np.round(sim[row, column], 9).tolist(), others[column]):
+                near[at + i].append({"sim": s, "other": o})
+        return pd.DataFrame({"grp": left["grp"], "id": ids, "near": near})
 
     other = v.schema["id"].dataType.simpleString()
     part = ask.groupBy("grp", "a", "b").cogroup(base.groupBy("grp", "a", "b")).applyInPandas(pairs, ", ".join([*kinds, f"near array<struct<sim: double, other: {other}>>"]))

@@ -133,3 +133,24 @@ def test_many_tracks_and_few_boxes_are_assigned_quickly():
     got = assign(cost, 0.9)
     assert time.time() - began < 2  # 18 seconds from the side of the tracks
     assert len(got) == 70 and len({j for _, j in got}) == 70 and all(cost[i, j] <= 0.9 for i, j in got)
+
+
+def test_blocks_grow_late_and_the_best_are_exact(spark):
+    import numpy as np
+
+    from tessera.operators import neighbours as N
+
+    got = [r["b"] for r in spark.createDataFrame([(1,), (2001,), (100_000,), (300_000,)], "n bigint").select(N.blocks(F.col("n")).alias("b")).collect()]
+    assert got == [1, 2, 16, 19]
+    r = np.random.default_rng(0)
+    sim = np.round(r.random((40, 300)), 2)
+    sim[:, :3] = -np.inf
+    row, column = N.best_of(sim, np.arange(300), 15)
+    want = np.argsort(-sim, axis=1, kind="stable")[:, :15]
+    assert np.array_equal(column.reshape(40, 15), want) and np.array_equal(row, np.repeat(np.arange(40), 15))
+
+
+def test_components_share_a_call(spark, sf):
+    from tessera.plans import PLANS
+
+    assert "pmod" in planned(PLANS["g01_greedy_merge"](spark, sf))
