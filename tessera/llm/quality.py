@@ -10,6 +10,7 @@ with their similarity.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,15 +115,21 @@ def fit(rows: DataFrame, dims: int, rank: int, k: int) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [counts(t, dims).astype(np.float32).tobytes() for t in b.column(0).to_pylist()]
+            x = [zlib.compress(counts(t, dims).astype(np.float32).tobytes(), 1) for t in b.column(0).to_pylist()]  # mostly zeros
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.binary())], names=["label", "x"])
 
     got = rows.select("text", "label").mapInArrow(run, "label double, x binary").toPandas()
-    got = got[got["x"].map(len) > 0].sort_values(["x", "label"], kind="stable") if len(got) else got
     if not len(got):
         return Model(np.ones(dims), np.zeros((dims, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, k)
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), dims)
-    return learn(x, got["label"].to_numpy(float), rank, k)
+    x = np.empty((len(got), dims), np.float32)
+    for i, packed in enumerate(got["x"]):
+        x[i] = np.frombuffer(zlib.decompress(packed), np.float32)
+    labels = got["label"].to_numpy(float)
+    del got
+    # in the order of the counts' bytes, then of labels
+    order = sorted(range(len(x)), key=lambda i: (x[i].tobytes(), labels[i]))
+    x, labels = x[order], labels[order]
+    return learn(x, labels, rank, k)
 
 
 def learn(x: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
@@ -138,8 +145,9 @@ def learn(x: np.ndarray, labels: np.ndarray, rank: int, k: int) -> Model:
         q, _ = np.linalg.qr(y.T @ (y @ q))
     _, _, v = np.linalg.svd(y @ q, full_matrices=False)
     basis = (q @ v.T)[:, :rank]
-    model = Model(weight, basis, np.zeros((0, 1), np.float32), labels, float(labels.mean()), k)
-    return Model(weight, basis, model.vectors(x), labels, float(labels.mean()), k)
+    refs = y @ basis  # what the model's vectors of these texts are, without weighing them once more
+    refs = (refs / np.maximum(np.linalg.norm(refs, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return Model(weight, basis, refs, labels, float(labels.mean()), k)
 
 
 def prepare(

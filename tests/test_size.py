@@ -154,3 +154,14 @@ def test_components_share_a_call(spark, sf):
     from tessera.plans import PLANS
 
     assert "pmod" in planned(PLANS["g01_greedy_merge"](spark, sf))
+
+
+def test_learnt_texts_have_the_models_own_vectors():
+    import numpy as np
+
+    from tessera.llm import quality as Q
+
+    r = np.random.default_rng(0)
+    x = r.integers(0, 4, (60, 128)).astype(np.float32)
+    m = Q.learn(x, r.integers(0, 2, 60).astype(float), 16, 9)
+    assert m.refs.dtype == np.float32 and np.allclose(m.refs, m.vectors(x), atol=1e-5)
