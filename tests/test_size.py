@@ -43,6 +43,52 @@ def test_shared_frames_of_long_sets_without_pairs_in_a_shuffle(spark):
     assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
 
 
+def rows_shuffled(spark):
+    """Rows that this session's stages have written to shuffles so far."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(60_000)
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def meetings(sets):
+    return sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b])
+
+
+def shared_of(spark, sets):
+    from tessera.operators import bitmaps as M
+
+    words = M.frame_words(spark.createDataFrame([(1, m, f) for m, fs in sets.items() for f in fs], "k int, m int, frame bigint"), ["k", "m"])
+    return sorted((x["a"], x["b"], x["shared"]) for x in M.shared(words, ["k"], "m").collect())
+
+
+def test_members_of_many_blocks_are_shuffled_once_for_each_frame(spark, monkeypatch):
+    from tessera.operators import bitmaps as M
+
+    monkeypatch.setattr(M, "BLOCK", 16)
+    sets = {m: {m % 50, 50 + m * 7 % 60} for m in range(300)}
+    before = rows_shuffled(spark)
+    assert shared_of(spark, sets) == meetings(sets)
+    # all of them in each of 19 blocks would be 5,700 rows
+    assert rows_shuffled(spark) - before < 4000
+
+
+@pytest.mark.parametrize("block, slice_", [(8192, 512), (4, 3)])
+def test_equal_long_and_negative_sets_meet_once(spark, monkeypatch, block, slice_):
+    import random
+
+    from tessera.operators import bitmaps as M
+
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "SLICE", slice_, raising=False)
+    r = random.Random(5)
+    kinds = [{63}, {0, 63, 64}, set(range(60, 70)), set(range(0, 2000, 90)), {-1, -64, -65, 500}, {-1, 63, 511, 512}, {3, 700}]
+    kinds += [{r.randrange(-100, 700) for _ in range(r.choice([2, 9, 40]))} for _ in range(8)]
+    sets = dict(enumerate(kinds * 3))
+    assert shared_of(spark, sets) == meetings(sets)
+
+
 def test_lonely_tracks_are_told_without_pairs(spark, sf):
     from tessera.plans import PLANS
 
