@@ -74,6 +74,21 @@ def test_members_of_many_blocks_are_shuffled_once_for_each_frame(spark, monkeypa
     assert rows_shuffled(spark) - before < 4000
 
 
+def test_audit_of_one_entity_shuffles_its_tracks_and_not_blocks_of_them(spark, monkeypatch):
+    from tessera.operators import bitmaps as M
+    from tessera.operators import entities as N
+
+    monkeypatch.setattr(M, "BLOCK", 16)
+    sets = {m: {m % 50, 50 + m * 7 % 60} for m in range(300)}
+    det = spark.createDataFrame([(1, m, f) for m, fs in sets.items() for f in fs], "run_id int, track_id bigint, frame bigint")
+    members = spark.createDataFrame([(1, m, m % 2) for m in sets], "run_id int, track_id bigint, root int")
+    before = rows_shuffled(spark)
+    got = N.violations(members, det, ["run_id"], most=0).collect()
+    assert sorted((x["a"], x["b"], x["shared"]) for x in got) == sorted(x for i in range(2) for x in meetings({m: s for m, s in sets.items() if m % 2 == i}))
+    # with each half in all of its 10 blocks they are 4,432 rows
+    assert rows_shuffled(spark) - before < 4000
+
+
 @pytest.mark.parametrize("block, slice_", [(8192, 512), (4, 3)])
 def test_equal_long_and_negative_sets_meet_once(spark, monkeypatch, block, slice_):
     import random
